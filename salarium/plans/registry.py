@@ -391,3 +391,311 @@ ORDER BY avg_salary DESC, c.company_name, c.city, c.activity_description LIMIT {
 @register("dashboard_top_companies", sql(TOP_COMPANIES_SQL.format(where=cohort_where(COHORT), top=20)))
 def _(star, spark, d):
     return dashboard.dashboard_top_companies(star, COHORT)
+
+
+# ---------------------------------------------------------------------------
+# Report fact (S2), inequality (I1 - I8), Lorenz and running income
+# ---------------------------------------------------------------------------
+
+FACT_CTE = """, fact AS (
+  SELECT s.salary_amount, c.city, c.activity_description, c.company_name, s.employee_id
+  FROM salary_records s JOIN companies c ON s.company_id = c.company_id
+  WHERE s.salary_amount >= 1
+), x AS (SELECT CAST(salary_amount AS DOUBLE) AS v FROM fact)"""
+
+GINI = """(SELECT ROUND(SUM((2 * i - n - 1) * w) / (MAX(n) * SUM(w)), 8) FROM (
+    SELECT w, ROW_NUMBER() OVER (ORDER BY w) AS i, COUNT(*) OVER () AS n FROM (
+      SELECT v - (SELECT CASE WHEN MIN(v) < 0 THEN MIN(v) ELSE 0 END FROM x) + 1e-7 AS w FROM x)))"""
+HOOVER = """(SELECT ROUND(CASE WHEN COUNT(*) = 0 OR SUM(v) = 0 THEN 0
+    ELSE SUM(ABS(v - (SELECT AVG(v) FROM x))) / (2 * SUM(v)) END, 8) FROM x)"""
+ATKINSON = """(SELECT ROUND(CASE WHEN COUNT(*) = 0 THEN 0
+    ELSE 1 - POWER(AVG(POWER(v / (SELECT AVG(v) FROM x WHERE v > 0), 0.5)), 2) END, 8) FROM x WHERE v > 0)"""
+NAT_CTE = f""", nat AS ({NATIONAL_SQL})"""
+
+
+@register("salary_fact", sql("""SELECT CAST(salary_amount AS DOUBLE) AS salary_amount, city,
+  activity_description, company_name, employee_id FROM fact""", FACT_CTE))
+def _(star, spark, d):
+    from salarium.operators.joins import salary_fact
+    return salary_fact(star)
+
+
+@register("gini", sql(f"SELECT {GINI} AS gini", FACT_CTE))
+def _(star, spark, d):
+    return report.inequality_measures(star).select("gini")
+
+
+@register("hoover", sql(f"SELECT {HOOVER} AS hoover", FACT_CTE))
+def _(star, spark, d):
+    return report.inequality_measures(star).select("hoover")
+
+
+@register("atkinson", sql(f"SELECT {ATKINSON} AS atkinson", FACT_CTE))
+def _(star, spark, d):
+    return report.inequality_measures(star).select("atkinson")
+
+
+@register("inequality_by_group", sql("""SELECT city, COUNT(*) AS record_count,
+  ROUND(SUM((2 * i - n - 1) * w) / (MAX(n) * SUM(w)), 8) AS gini,
+  ROUND(CASE WHEN SUM(v) = 0 THEN 0 ELSE SUM(ABS(v - mean)) / (2 * SUM(v)) END, 8) AS hoover,
+  ROUND(CASE WHEN COUNT(CASE WHEN v > 0 THEN 1 END) = 0 THEN 0
+    ELSE 1 - POWER(AVG(CASE WHEN v > 0 THEN POWER(v / pmean, 0.5) END), 2) END, 8) AS atkinson
+FROM (
+  SELECT g.city, g.v, g.v - CASE WHEN st.mn < 0 THEN st.mn ELSE 0 END + 1e-7 AS w,
+         ROW_NUMBER() OVER (PARTITION BY g.city ORDER BY g.v) AS i, st.n, st.mean, st.pmean
+  FROM gx g JOIN st ON g.city = st.city)
+GROUP BY city""", FACT_CTE + """, gx AS (
+  SELECT city, CAST(salary_amount AS DOUBLE) AS v FROM fact WHERE city IS NOT NULL
+), st AS (
+  SELECT city, COUNT(*) AS n, MIN(v) AS mn, AVG(v) AS mean, AVG(CASE WHEN v > 0 THEN v END) AS pmean
+  FROM gx GROUP BY city
+)"""))
+def _(star, spark, d):
+    return report.inequality_by_group(star, "city")
+
+
+CURVE_CTE = FACT_CTE + """, curve AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY salary_amount) - 1 AS i,
+         SUM(salary_amount) OVER (ORDER BY salary_amount ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
+         COUNT(*) OVER () AS n, SUM(salary_amount) OVER () AS t
+  FROM fact
+)"""
+
+
+@register("lorenz_curve", sql("""SELECT i AS point_index,
+  CASE WHEN n > 1 THEN CAST(i AS DOUBLE) / (n - 1) ELSE 0.0 END AS x,
+  CAST(c AS DOUBLE) / CAST(t AS DOUBLE) AS y
+FROM curve
+WHERE i IN (SELECT DISTINCT (g.j * (m.nn - 1)) // 100 FROM range(0, 101) g(j), (SELECT COUNT(*) AS nn FROM fact) m)""",
+                              CURVE_CTE))
+def _(star, spark, d):
+    return report.lorenz_curve(star, 100)
+
+
+@register("running_income", sql("""SELECT i + 1 AS position,
+  CASE WHEN n > 1 THEN CAST(i AS DOUBLE) / (n - 1) ELSE 0.0 END AS x,
+  CAST(c AS DOUBLE) / CAST(t AS DOUBLE) AS cumulative_share
+FROM curve""", CURVE_CTE))
+def _(star, spark, d):
+    return report.running_income(star)
+
+
+@register("global_stddev", sql(f"SELECT {std('salary_amount')} AS stddev_salary FROM fact", FACT_CTE))
+def _(star, spark, d):
+    return report.global_stddev(star)
+
+
+PRANK_CTE = """, pr AS (
+  SELECT employee_id, document_id, CAST(salary_amount AS DOUBLE) AS salary_amount,
+         PERCENT_RANK() OVER (ORDER BY salary_amount) AS percent_rank
+  FROM salary_records
+)"""
+
+
+@register("global_percent_rank", sql("SELECT * FROM pr", PRANK_CTE))
+def _(star, spark, d):
+    return report.global_percent_rank(star)
+
+
+@register("percent_rank_at_least", sql("SELECT * FROM pr WHERE percent_rank >= 0.99", PRANK_CTE))
+def _(star, spark, d):
+    return report.percent_rank_at_least(star, 0.99)
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"ROUND({a} / NULLIF({b}, 0), 8)"
+
+
+@register("percentile_ratios", sql(f"""SELECT {_ratio('p90', 'p10')} AS p90_p10, {_ratio('p75', 'p25')} AS p75_p25,
+  {_ratio('p99', 'p50')} AS p99_p50,
+  CASE WHEN p50 > 0 THEN {_ratio('avg', 'p50')} ELSE 0.0 END AS mean_median_ratio FROM nat""", NAT_CTE))
+def _(star, spark, d):
+    return report.percentile_ratios(star)
+
+
+@register("top1_threshold", sql("SELECT p99 AS top1_min_salary FROM nat", NAT_CTE))
+def _(star, spark, d):
+    return report.top1_threshold(star)
+
+
+def _share(cond: str) -> str:
+    return (f"ROUND(CAST(SUM(CASE WHEN {cond} THEN salary_amount END) AS DOUBLE) / "
+            f"CAST(SUM(salary_amount) AS DOUBLE) * 100, 8)")
+
+
+@register("income_concentration", sql(f"""SELECT {_share('decile = 10')} AS top_10_percent,
+  {_share('decile >= 9')} AS top_20_percent, {_share('decile <= 5')} AS bottom_50_percent
+FROM deciles""", DECILES_CTE))
+def _(star, spark, d):
+    return report.income_concentration(star)
+
+
+PCT_KEYS = list(report.NATIONAL_PERCENTILES)
+PCT_TABLE_SQL = "\nUNION ALL\n".join(
+    f"SELECT CAST({i + 1} AS BIGINT) AS ord, '{k}' AS percentile_key, "
+    f"CAST({report.NATIONAL_PERCENTILES[k]} AS DOUBLE) AS percentile, {k} AS value, "
+    + ("CAST(NULL AS DOUBLE)" if i == 0 else _ratio(k, PCT_KEYS[i - 1]))
+    + " AS ratio_to_previous, avg AS mean_salary FROM nat"
+    for i, k in enumerate(PCT_KEYS))
+
+
+@register("page_percentiles", sql(PCT_TABLE_SQL, NAT_CTE))
+def _(star, spark, d):
+    return report.page_percentiles(star)
+
+
+@register("percentile_step_ratios", sql(
+    f"SELECT percentile_key AS to_key, ratio_to_previous FROM ({PCT_TABLE_SQL}) WHERE ord > 1", NAT_CTE))
+def _(star, spark, d):
+    return report.percentile_step_ratios(star)
+
+
+# ---------------------------------------------------------------------------
+# Report pages
+# ---------------------------------------------------------------------------
+
+@register("report_summary", sql(f"""SELECT record_count, total_salary, avg AS mean_salary, p50 AS median_salary,
+  CASE WHEN p50 > 0 THEN {_ratio('avg', 'p50')} ELSE 0.0 END AS mean_median_ratio,
+  min AS min_salary, max AS max_salary, ROUND(max - min, 2) AS salary_range,
+  (SELECT {std('salary_amount')} FROM fact) AS stddev_salary,
+  p10, p25, p50, p75, p90, p95, p99,
+  {_ratio('p90', 'p10')} AS p90_p10, {_ratio('p75', 'p25')} AS p75_p25, {_ratio('p99', 'p50')} AS p99_p50,
+  {GINI} AS gini, {HOOVER} AS hoover
+FROM nat""", FACT_CTE + NAT_CTE))
+def _(star, spark, d):
+    return report.report_summary(star)
+
+
+@register("page_salary_distribution", sql("""SELECT salary_range, range_order, count,
+  CAST(count AS DOUBLE) / CAST(SUM(count) OVER () AS DOUBLE) * 100 AS percentage
+FROM (""" + REPORT_BUCKETS_SQL + ")"))
+def _(star, spark, d):
+    return report.page_salary_distribution(star)
+
+
+@register("page_lorenz", sql(f"""SELECT {GINI} AS gini, {HOOVER} AS hoover, {ATKINSON} AS atkinson,
+  {_ratio('p90', 'p10')} AS p90_p10, {_ratio('p75', 'p25')} AS p75_p25, {_ratio('p99', 'p50')} AS p99_p50,
+  p99 AS top1_min_salary FROM nat""", FACT_CTE + NAT_CTE))
+def _(star, spark, d):
+    return report.page_lorenz(star)
+
+
+@register("page_decile_shares", sql("""SELECT CAST(decile AS BIGINT) AS decile, COUNT(*) AS employee_count,
+  CAST(SUM(salary_amount) AS DOUBLE) AS total_salary,
+  ROUND(CAST(SUM(salary_amount) AS DOUBLE) / CAST((SELECT SUM(salary_amount) FROM deciles) AS DOUBLE) * 100, 8)
+    AS income_share_pct
+FROM deciles GROUP BY decile""", DECILES_CTE))
+def _(star, spark, d):
+    return report.page_decile_shares(star)
+
+
+@register("page_company_sizes", sql(f"""SELECT {label_of('range_order', COMPANY_SIZE_LABELS)} AS size_range,
+  range_order, company_count, employee_count,
+  CAST(SUM(company_count) OVER () AS BIGINT) AS total_companies,
+  CAST(SUM(employee_count) OVER () AS BIGINT) AS total_employees,
+  ROUND(CAST(SUM(employee_count) OVER () AS DOUBLE) / CAST(SUM(company_count) OVER () AS DOUBLE), 4)
+    AS avg_company_size
+FROM size_buckets""", COMPANY_SIZES_SQL))
+def _(star, spark, d):
+    return report.page_company_sizes(star)
+
+
+def _geo_cte(key: str) -> str:
+    body = _geo_sql(key)[len(sql("")):].strip()
+    return f", geo AS ({body})"
+
+
+@register("page_top_cities_headcount", sql("""SELECT city, employee_count, company_count, avg_salary,
+  CAST(TRUNC(avg_salary) AS BIGINT) AS avg_salary_label
+FROM geo ORDER BY employee_count DESC, city LIMIT 15""", _geo_cte("city")))
+def _(star, spark, d):
+    return report.page_top_cities_headcount(star)
+
+
+@register("page_top_cities_salary", sql("""SELECT city, avg_salary, employee_count, company_count
+FROM geo WHERE employee_count >= 100 ORDER BY avg_salary DESC, city LIMIT 15""", _geo_cte("city")))
+def _(star, spark, d):
+    return report.page_top_cities_salary(star)
+
+
+SHORT50 = ("CASE WHEN length(activity_description) > 50 THEN substring(activity_description, 1, 50) || '...' "
+           "ELSE activity_description END")
+
+
+@register("page_top_activities_headcount", sql(f"""SELECT activity_description, {SHORT50} AS short_name,
+  employee_count, company_count, avg_salary
+FROM geo ORDER BY employee_count DESC, activity_description LIMIT 15""", _geo_cte("activity_description")))
+def _(star, spark, d):
+    return report.page_top_activities_headcount(star)
+
+
+@register("page_top_activities_salary", sql(f"""SELECT activity_description, {SHORT50} AS short_name,
+  avg_salary, employee_count, company_count, median_salary
+FROM geo WHERE employee_count >= 100 ORDER BY avg_salary DESC, activity_description LIMIT 15""",
+                                            _geo_cte("activity_description")))
+def _(star, spark, d):
+    return report.page_top_activities_salary(star)
+
+
+LARGEST = "(SELECT * FROM geo ORDER BY employee_count DESC, city LIMIT 15)"
+
+
+@register("page_city_mean_median", sql(f"""SELECT city, avg_salary, median_salary, employee_count,
+  {_ratio('avg_salary', 'median_salary')} AS mean_median_ratio FROM {LARGEST}""", _geo_cte("city")))
+def _(star, spark, d):
+    return report.page_city_mean_median(star)
+
+
+@register("page_city_cv", sql(f"""SELECT city, stddev_salary, avg_salary, employee_count,
+  {_ratio('stddev_salary', 'avg_salary')} AS cv FROM {LARGEST}""", _geo_cte("city")))
+def _(star, spark, d):
+    return report.page_city_cv(star)
+
+
+@register("page_city_iqr", sql(f"""SELECT city, p25_salary, p75_salary, employee_count,
+  ROUND(p75_salary - p25_salary, 6) AS iqr, {_ratio('p75_salary', 'p25_salary')} AS iqr_ratio
+FROM {LARGEST}""", _geo_cte("city")))
+def _(star, spark, d):
+    return report.page_city_iqr(star)
+
+
+COMPANY_LABELS = ("COALESCE(NULLIF(city, ''), 'Unknown') AS city_label, "
+                  "CASE WHEN length(activity_description) > 40 THEN substring(activity_description, 1, 37) || '...' "
+                  "ELSE activity_description END AS activity_label")
+COMPANY_CTE = f", comp AS ({COMPANY_STATS_SQL})"
+
+
+@register("page_top_companies_headcount", sql(f"""SELECT company_name, city, activity_description, {COMPANY_LABELS},
+  employee_count, avg_salary, CAST(TRUNC(avg_salary) AS BIGINT) AS avg_salary_label
+FROM comp ORDER BY employee_count DESC, company_name, city, activity_description LIMIT 15""", COMPANY_CTE))
+def _(star, spark, d):
+    return report.page_top_companies_headcount(star)
+
+
+@register("page_top_companies_salary", sql(f"""SELECT company_name, city, activity_description, {COMPANY_LABELS},
+  avg_salary, employee_count, median_salary
+FROM comp WHERE employee_count >= 30
+ORDER BY avg_salary DESC, company_name, city, activity_description LIMIT 15""", COMPANY_CTE))
+def _(star, spark, d):
+    return report.page_top_companies_salary(star)
+
+
+@register("size_vs_salary_corr", sql(f"""SELECT COUNT(*) AS company_count,
+  ROUND(corr(CAST(size AS DOUBLE), avg_salary), 8) AS correlation FROM (
+  SELECT c.company_id, COUNT(DISTINCT s.employee_id) AS size, {avg_d(SAL)} AS avg_salary
+  FROM companies c JOIN salary_records s ON c.company_id = s.company_id
+  WHERE s.salary_amount >= 1 GROUP BY c.company_id)"""))
+def _(star, spark, d):
+    return report.size_vs_salary_corr(star)
+
+
+@register("compare_two_cities", sql(f"""SELECT {label_of('range_order', REPORT_SALARY_LABELS)} AS salary_range,
+  range_order, count_a, count_b FROM (
+  SELECT CAST({case_ordinal('s.salary_amount', REPORT_SALARY_EDGES)} AS BIGINT) AS range_order,
+         COUNT(CASE WHEN c.city = '{CITY_A}' THEN 1 END) AS count_a,
+         COUNT(CASE WHEN c.city = '{CITY_B}' THEN 1 END) AS count_b
+  FROM companies c JOIN salary_records s ON c.company_id = s.company_id
+  WHERE s.salary_amount >= 1 AND c.city IN ('{CITY_A}', '{CITY_B}')
+  GROUP BY 1)"""))
+def _(star, spark, d):
+    return report.compare_two_cities(star, CITY_A, CITY_B)
