@@ -699,3 +699,272 @@ def _(star, spark, d):
   GROUP BY 1)"""))
 def _(star, spark, d):
     return report.compare_two_cities(star, CITY_A, CITY_B)
+
+
+# ---------------------------------------------------------------------------
+# Scans, filters and joins
+# ---------------------------------------------------------------------------
+
+@register("city_list", sql("SELECT DISTINCT city FROM companies WHERE city IS NOT NULL ORDER BY city"))
+def _(star, spark, d):
+    return star.companies.where(F.col("city").isNotNull()).select("city").distinct().orderBy("city")
+
+
+@register("star_detail", sql(f"SELECT {DETAIL}\n{STAR_FROM}"))
+def _(star, spark, d):
+    from salarium.operators.joins import DETAIL_COLUMNS, star_detail
+    return star_detail(star).select(*DETAIL_COLUMNS)
+
+
+FILTER_COMPANY = "customer#00000001"
+
+
+@register("filter_text_contains", sql(f"SELECT {DETAIL}\n{STAR_FROM}\nWHERE {like_ci('c.company_name', FILTER_COMPANY)}"))
+def _(star, spark, d):
+    from salarium.functions.criteria import contains_ci
+    from salarium.operators.joins import DETAIL_COLUMNS, star_detail
+    return star_detail(star, contains_ci("company_name", FILTER_COMPANY)).select(*DETAIL_COLUMNS)
+
+
+@register("filter_salary_between", sql(f"SELECT {DETAIL}\n{STAR_FROM}\nWHERE s.salary_amount BETWEEN 50000 AND 60000"))
+def _(star, spark, d):
+    from salarium.functions.criteria import salary_between
+    from salarium.operators.joins import DETAIL_COLUMNS, star_detail
+    return star_detail(star, salary_between("salary_amount", 50000, 60000)).select(*DETAIL_COLUMNS)
+
+
+@register("cohort_filter", sql(f"SELECT {DETAIL}\n{STAR_FROM}\nWHERE {cohort_where(COHORT)}"))
+def _(star, spark, d):
+    from salarium.operators.joins import DETAIL_COLUMNS
+    return dashboard.cohort(star, COHORT).select(*DETAIL_COLUMNS)
+
+
+@register("filter_salary_floor", sql("""SELECT employee_id, document_id, CAST(salary_amount AS DOUBLE) AS salary_amount
+FROM salary_records WHERE salary_amount >= 1"""))
+def _(star, spark, d):
+    return report.floor_records(star)
+
+
+@register("filter_not_null_dim", sql("""SELECT company_id, company_name, activity_description, city
+FROM companies WHERE city IS NOT NULL AND activity_description IS NOT NULL"""))
+def _(star, spark, d):
+    return star.companies.where(F.col("city").isNotNull() & F.col("activity_description").isNotNull())
+
+
+@register("having_min_count", sql("""SELECT c.company_id, COUNT(DISTINCT s.employee_id) AS employee_count
+FROM companies c JOIN salary_records s ON c.company_id = s.company_id
+WHERE s.salary_amount >= 1
+GROUP BY c.company_id HAVING COUNT(DISTINCT s.employee_id) >= 30"""))
+def _(star, spark, d):
+    from salarium.operators.joins import company_fact
+    return (company_fact(star).where(F.col("salary_amount") >= 1).groupBy("company_id")
+            .agg(F.countDistinct("employee_id").alias("employee_count"))
+            .where(F.col("employee_count") >= 30))
+
+
+@register("filter_nonblank_token", sql(f"""SELECT {TOKEN} AS first_name, COUNT(*) AS person_count
+FROM employees e JOIN salary_records s ON e.employee_id = s.employee_id
+GROUP BY 1 HAVING {TOKEN} != ''"""))
+def _(star, spark, d):
+    from salarium.operators.joins import employee_fact
+    return (employee_fact(star).withColumn("first_name", views.name_token())
+            .groupBy("first_name").agg(F.count(F.lit(1)).alias("person_count"))
+            .where(F.col("first_name") != ""))
+
+
+@register("name_token_in", sql(f"""SELECT e.employee_id, e.full_name, {TOKEN} AS first_name,
+  CAST(s.salary_amount AS DOUBLE) AS salary_amount
+FROM employees e JOIN salary_records s ON e.employee_id = s.employee_id
+WHERE {TOKEN} IN ({_tok_list})"""))
+def _(star, spark, d):
+    from salarium.operators.joins import employee_fact
+    return (employee_fact(star).withColumn("first_name", views.name_token())
+            .where(F.col("first_name").isin(list(NAME_TOKENS)))
+            .select("employee_id", "full_name", "first_name", "salary_amount"))
+
+
+@register("company_fact_join", sql("""SELECT s.employee_id, s.company_id, s.document_id,
+  CAST(s.salary_amount AS DOUBLE) AS salary_amount, c.company_name, c.activity_description, c.city
+FROM companies c JOIN salary_records s ON c.company_id = s.company_id"""))
+def _(star, spark, d):
+    from salarium.operators.joins import company_fact
+    return company_fact(star)
+
+
+@register("employee_fact_join", sql("""SELECT s.employee_id, s.document_id,
+  CAST(s.salary_amount AS DOUBLE) AS salary_amount, e.full_name
+FROM employees e JOIN salary_records s ON e.employee_id = s.employee_id"""))
+def _(star, spark, d):
+    from salarium.operators.joins import employee_fact
+    return employee_fact(star)
+
+
+@register("company_left_fact", sql("""SELECT c.company_id, c.company_name, c.activity_description, c.city,
+  s.employee_id, CAST(s.salary_amount AS DOUBLE) AS salary_amount
+FROM companies c LEFT JOIN salary_records s ON c.company_id = s.company_id"""))
+def _(star, spark, d):
+    from salarium.operators.joins import company_left_fact
+    return company_left_fact(star)
+
+
+@register("share_of_total", sql("""SELECT c.city, CAST(SUM(s.salary_amount) AS DOUBLE) AS salary_mass,
+  CAST(SUM(s.salary_amount) AS DOUBLE) / CAST((SELECT SUM(salary_amount) FROM salary_records) AS DOUBLE) * 100
+    AS percentage_of_total
+FROM companies c JOIN salary_records s ON c.company_id = s.company_id
+GROUP BY c.city"""))
+def _(star, spark, d):
+    from salarium.operators.joins import company_fact, with_share_of_total
+    per = company_fact(star).groupBy("city").agg(F.sum("salary_amount").alias("salary_mass"))
+    return with_share_of_total(per, "salary_mass", star.records("salary_amount"), "salary_amount")
+
+
+FUZZY_TERM = "widgets"
+
+
+def _trgm_sql(col: str) -> str:
+    words = (f"list_filter(string_split(trim(regexp_replace(lower({col}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), "
+             "lambda w: w <> '')")
+    return (f"list_distinct(flatten(list_transform({words}, lambda w: list_transform("
+            "range(1, length('  ' || w || ' ') - 1), lambda i: substring('  ' || w || ' ', i, 3)))))")
+
+
+@register("fuzzy_name_search", sql(f"""SELECT employee_id, full_name, similarity FROM (
+  SELECT employee_id, full_name,
+    ROUND(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+      ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) END, 8) AS similarity
+  FROM (SELECT employee_id, full_name, {_trgm_sql('full_name')} AS a, {_trgm_sql("'" + FUZZY_TERM + "'")} AS b
+        FROM employees))
+WHERE similarity >= 0.3"""))
+def _(star, spark, d):
+    from salarium.operators.fuzzy import fuzzy_search
+    return fuzzy_search(star.employees, "full_name", FUZZY_TERM).select("employee_id", "full_name", "similarity")
+
+
+# ---------------------------------------------------------------------------
+# Dashboard bundle and chart datasets
+# ---------------------------------------------------------------------------
+
+def _bundle_sql(cr: Criteria) -> str:
+    w = cohort_where(cr)
+    city = _dash_group_sql("city", True, cr)[len(sql("")):].strip()
+    act = _dash_group_sql("activity_description", False, cr)[len(sql("")):].strip()
+    buckets = _bucket_sql(DASHBOARD_SALARY_EDGES, DASHBOARD_SALARY_LABELS,
+                          f"SELECT s.salary_amount {STAR_FROM} WHERE {w}")
+    comps = TOP_COMPANIES_SQL.format(where=w, top=20)
+    return sql(f"""SELECT 'city_stats' AS dataset, city AS label, city, CAST(NULL AS VARCHAR) AS activity_description,
+  employee_count, avg_salary, median_salary, max_salary, CAST(NULL AS BIGINT) AS record_count FROM ({city})
+UNION ALL
+SELECT 'activity_stats', activity_description, NULL, activity_description, employee_count, avg_salary,
+  median_salary, NULL, NULL FROM ({act})
+UNION ALL
+SELECT 'salary_distribution', salary_range, NULL, NULL, NULL, NULL, NULL, NULL, count FROM ({buckets})
+UNION ALL
+SELECT 'top_companies', company_name, city, activity_description, employee_count, avg_salary, NULL,
+  max_salary, NULL FROM ({comps})""")
+
+
+@register("stats_bundle", _bundle_sql(COHORT))
+def _(star, spark, d):
+    return dashboard.stats_bundle_long(star, COHORT)
+
+
+def _chart_sql(cr: Criteria) -> str:
+    w = cohort_where(cr)
+    city = _dash_group_sql("city", True, cr, 15)[len(sql("")):].strip()
+    act = _dash_group_sql("activity_description", False, cr, 15)[len(sql("")):].strip()
+    comps = TOP_COMPANIES_SQL.format(where=w, top=15)
+
+    def cut(c):
+        return f"CASE WHEN length({c}) > 40 THEN substring({c}, 1, 40) || '...' ELSE {c} END"
+    return sql(f"""SELECT 'city' AS chart, city AS label, avg_salary, employee_count FROM ({city})
+UNION ALL SELECT 'activity', {cut('activity_description')}, avg_salary, employee_count FROM ({act})
+UNION ALL SELECT 'company', {cut('company_name')}, avg_salary, employee_count FROM ({comps})""")
+
+
+@register("chart_top15", _chart_sql(COHORT))
+def _(star, spark, d):
+    return dashboard.chart_top15(star, COHORT)
+
+
+# ---------------------------------------------------------------------------
+# Table jobs
+# ---------------------------------------------------------------------------
+
+ROW_COUNTS_SQL = sql("""SELECT 'Companies:' AS table_name, COUNT(*) AS row_count FROM companies
+UNION ALL SELECT 'Employees:', COUNT(*) FROM employees
+UNION ALL SELECT 'Documents:', COUNT(*) FROM documents
+UNION ALL SELECT 'Salary Records:', COUNT(*) FROM salary_records""")
+
+
+@register("table_row_counts", ROW_COUNTS_SQL)
+def _(star, spark, d):
+    from salarium.plans.jobs import table_row_counts
+    return table_row_counts(star)
+
+
+@register("reload_tables", ROW_COUNTS_SQL)
+def _(star, spark, d):
+    from salarium.plans.jobs import reload_and_count
+    return reload_and_count(spark, star)
+
+
+@register("metric_value_stats", sql(f"""SELECT 'Avg Salary' AS metric, {avg_round2('salary_amount')} AS value FROM salary_records
+UNION ALL SELECT 'Median Salary', {q('salary_amount', 0.5)} FROM salary_records
+UNION ALL SELECT 'Max Salary', CAST(MAX(salary_amount) AS DOUBLE) FROM salary_records"""))
+def _(star, spark, d):
+    from salarium.plans.jobs import metric_value_stats
+    return metric_value_stats(star)
+
+
+@register("document_mass_backfill", sql("""SELECT d.document_id, d.filename, d.company_id, d.employee_count,
+  CAST(COALESCE(m.mass, 0) AS DOUBLE) AS total_salary_mass
+FROM documents d LEFT JOIN (SELECT document_id, SUM(salary_amount) AS mass FROM salary_records GROUP BY 1) m
+  ON d.document_id = m.document_id"""))
+def _(star, spark, d):
+    from salarium.plans.jobs import document_mass_backfill
+    return document_mass_backfill(star)
+
+
+@register("refresh_summary_tables", sql(f"""SELECT 'company_summary' AS table_name, COUNT(*) AS row_count FROM companies
+UNION ALL SELECT 'top_earners', COUNT(*) {STAR_FROM}
+UNION ALL SELECT 'city_salary_stats', COUNT(DISTINCT COALESCE(c.city, '<null>'))
+  FROM companies c JOIN salary_records s ON c.company_id = s.company_id
+UNION ALL SELECT 'activity_salary_stats', COUNT(DISTINCT COALESCE(c.activity_description, '<null>'))
+  FROM companies c JOIN salary_records s ON c.company_id = s.company_id"""))
+def _(star, spark, d):
+    from salarium.plans.jobs import refresh_summary_tables
+    return refresh_summary_tables(spark, star)
+
+
+@register("export_result", sql(f"SELECT {DETAIL}\n{STAR_FROM}\nWHERE {cohort_where(COHORT)}"))
+def _(star, spark, d):
+    from salarium.operators.joins import DETAIL_COLUMNS
+    from salarium.sources.sinks import export_result, scratch_path
+    rows = dashboard.cohort(star, COHORT).select(*DETAIL_COLUMNS)
+    path = export_result(rows, scratch_path(spark, "export"), "json")
+    schema = ", ".join(f"{f.name} {'double' if isinstance(f.dataType, T.DecimalType) else f.dataType.simpleString()}"
+                       for f in rows.schema.fields)
+    return spark.read.schema(schema).json(path)
+
+
+# ---------------------------------------------------------------------------
+# Generators (hash-seeded: no SQL twin, checked by invariants in tests)
+# ---------------------------------------------------------------------------
+
+@register("document_headcounts")
+def _(star, spark, d):
+    from salarium.operators.generate import document_headcounts
+    return document_headcounts(star.companies)
+
+
+@register("synthetic_assignments")
+def _(star, spark, d):
+    from salarium.operators.generate import document_headcounts, synthetic_assignments
+    return synthetic_assignments(document_headcounts(star.companies), star.employees)
+
+
+@register("random_order_in_company")
+def _(star, spark, d):
+    from salarium.operators.generate import random_order_in_company
+    pairs = star.records("company_id", "employee_id").where(F.col("company_id").isNotNull())
+    return random_order_in_company(pairs)
