@@ -5,10 +5,18 @@ Instead (per optional group key ``g``):
 
 1. ``hist``: ``groupBy(g, v).count()`` -- partial aggregation; ties collapse,
    so a value held by a third of all rows is a single row here.
-2. Range buckets: ``k`` boundaries from ``approxQuantile`` (a bounded list
-   of doubles on the driver).  The bucket is a pure function of the value
-   (binary search in the fixed boundary array), so a recomputed partition
-   lands in the same bucket and a tie group never straddles two buckets.
+2. Range buckets.  The bucket is a pure function of the value (binary
+   search in a fixed boundary array), so a recomputed partition lands in
+   the same bucket and a tie group never straddles two buckets.
+   * exact-resolution values (DECIMAL, integers -- salaries): fixed
+     log-spaced buckets, 32 per doubling on both signs, computed with
+     integer arithmetic (``log_bucket``).  No data pass is needed, the
+     bucket count has a hard bound (so the offsets table below may be
+     broadcast), and because values have a fixed resolution a bucket
+     [t, t*(1+1/32)) holds at most t/32/ulp + 1 distinct values, whatever
+     the data size.
+   * DOUBLE values: ``k`` boundaries from ``approxQuantile`` (a bounded list
+     of doubles on the driver).
 3. Per (g, bucket) totals -> exclusive prefix offsets per group.  That
    table has at most ``groups x (k + 1)`` rows.
 4. ``Window.partitionBy(g, bucket).orderBy(v)`` running sums of ``f`` and
@@ -38,6 +46,45 @@ from salarium.session import checkpoint_dir
 V, F_, PRE, CUM, B = "v", "f", "pre", "cum", "_bucket"
 
 
+LOG_STEPS_BITS = 5      # 2^5 = 32 buckets per doubling of |value|
+NULL_BUCKET = 1 << 30   # NULL / NaN values: one bucket after all others
+
+
+def log_bucket(unscaled: Column) -> Column:
+    """Exact, monotone bucket of an integer (a DECIMAL's unscaled value):
+    octave e = floor(log2 |u|) from the length of its binary string, then
+    32 equal steps inside the octave: floor((|u| / 2^e - 1) * 32).  Division
+    by a power of two is exact in binary floating point, so the bucket is
+    exact for |u| < 2^53 and deterministic on every executor beyond it.
+    Buckets are mirrored for negative values and 0 has its own; at most
+    2 * 64 * 32 + 2 distinct buckets."""
+    steps = 1 << LOG_STEPS_BITS
+    a = F.abs(unscaled)
+    e = (F.length(F.bin(a)) - 1).cast("int")
+    sub = F.floor((a.cast("double") / F.pow(F.lit(2.0), e) - 1.0) * steps)
+    mag = e.cast("long") * steps + sub.cast("long")
+    b = (F.when(unscaled > 0, mag)
+          .when(unscaled < 0, -mag - 2)
+          .when(unscaled == 0, F.lit(-1))).cast("int")
+    # Non-nullable on purpose: a nullable join key makes the optimizer push
+    # an inferred IS NOT NULL below the histogram aggregate on one branch
+    # only, and the two uses of the histogram would then shuffle twice.
+    return F.coalesce(b, F.lit(NULL_BUCKET))
+
+
+def _unscaled(c: Column, dt) -> Column:
+    from pyspark.sql import types as T
+    if isinstance(dt, T.DecimalType):
+        return (c * F.lit(10 ** dt.scale)).cast("long")
+    return c.cast("long")
+
+
+def _exact_resolution(df: DataFrame, col: str) -> bool:
+    from pyspark.sql import types as T
+    dt = df.schema[col].dataType
+    return isinstance(dt, (T.DecimalType, T.IntegerType, T.LongType, T.ShortType, T.ByteType))
+
+
 def default_buckets(df: DataFrame) -> int:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(16, 4 * parts)
@@ -79,7 +126,14 @@ def bucketize(df: DataFrame, dcol: str, bounds: list[float], out: str = B) -> Da
     tmp = "_bk_in"
     df = df.withColumn(tmp, F.coalesce(F.col(dcol), F.lit(float("nan"))))
     bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return bz.transform(df).withColumn(out, F.col(out).cast("int")).drop(tmp)
+    # NaN lands in the extra last bucket; make it the NULL bucket and keep
+    # the column non-nullable so both uses of the histogram plan identically
+    # (one shared exchange instead of two).
+    b = F.col(out)
+    return (bz.transform(df)
+              .withColumn(out, F.coalesce(F.when(b < len(splits) - 1, b.cast("int")),
+                                          F.lit(NULL_BUCKET)))
+              .drop(tmp))
 
 
 def rank_frame(df: DataFrame, value: str | Column, groups=(), *,
@@ -87,9 +141,9 @@ def rank_frame(df: DataFrame, value: str | Column, groups=(), *,
                checkpoint: bool = False) -> RankFrame:
     """Build the rank frame of ``value`` (optionally per ``groups``).
 
-    ``bounds_from``: a one-column numeric DataFrame with roughly the same
-    value distribution (e.g. the bare salary column, no joins) used only to
-    pick bucket boundaries; the default is the histogram itself.
+    ``bounds_from`` (DOUBLE values only): a one-column numeric DataFrame with
+    roughly the same value distribution, used only to pick quantile bucket
+    boundaries; the default is the histogram itself.
     ``checkpoint``: cut the histogram's lineage into the shared checkpoint
     folder so an expensive input is computed once and survives executor
     loss between the boundary job and the main job.
@@ -101,15 +155,17 @@ def rank_frame(df: DataFrame, value: str | Column, groups=(), *,
     if checkpoint:
         checkpoint_dir(df.sparkSession)
         hist = hist.checkpoint(eager=True)
-    k = buckets or default_buckets(df)
-    if bounds_from is None:
-        src = hist.select(F.col(V).cast("double").alias("_q")).where(F.col("_q").isNotNull())
+    if buckets is None and _exact_resolution(hist, V):
+        hb = hist.withColumn(B, log_bucket(_unscaled(F.col(V), hist.schema[V].dataType)))
     else:
-        src = bounds_from.select(F.col(bounds_from.columns[0]).cast("double").alias("_q"))\
-                         .where(F.col("_q").isNotNull())
-    bounds = _bounds(src, "_q", k)
-
-    hb = bucketize(hist.withColumn("_vd", F.col(V).cast("double")), "_vd", bounds).drop("_vd")
+        k = buckets or default_buckets(df)
+        if bounds_from is None:
+            src = hist.select(F.col(V).cast("double").alias("_q")).where(F.col("_q").isNotNull())
+        else:
+            src = bounds_from.select(F.col(bounds_from.columns[0]).cast("double").alias("_q"))\
+                             .where(F.col("_q").isNotNull())
+        bounds = _bounds(src, "_q", k)
+        hb = bucketize(hist.withColumn("_vd", F.col(V).cast("double")), "_vd", bounds).drop("_vd")
     vf = F.col(V) * F.col(F_)
 
     # Per (group, bucket) totals and exclusive prefix offsets.  At most
@@ -139,7 +195,8 @@ def rank_frame(df: DataFrame, value: str | Column, groups=(), *,
         offsets = offsets.withColumn("_g", F.struct(*groups)).drop(*groups)
         keys = ["_g", B]
     else:
-        # (k + 1) rows at most: a proven bound, safe to broadcast.
+        # One row per non-empty bucket: at most ~4100 rows (log buckets) or
+        # k + 1 (quantile buckets) -- a proven bound, so it is broadcast.
         offsets = F.broadcast(offsets)
         keys = [B]
 

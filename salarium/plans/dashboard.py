@@ -45,17 +45,17 @@ def _top(df: DataFrame, by: str, keys, n: int) -> DataFrame:
     return df.orderBy(F.col(by).desc_nulls_first(), *[F.col(k).asc_nulls_last() for k in keys]).limit(n)
 
 
-def city_stats(rows: DataFrame, bounds: DataFrame | None = None, top: int = DASHBOARD_TOP) -> DataFrame:
+def city_stats(rows: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
     """A5: per non-null city: distinct employees, mean, median, max; top by mean."""
     s = salary_stats(rows.where(F.col("city").isNotNull()), ["city"], avg_name="avg_salary",
-                     percentiles=MEDIAN, max_name="max_salary", bounds_from=bounds)
+                     percentiles=MEDIAN, max_name="max_salary")
     return _top(s, "avg_salary", ["city"], top)
 
 
-def activity_stats(rows: DataFrame, bounds: DataFrame | None = None, top: int = DASHBOARD_TOP) -> DataFrame:
+def activity_stats(rows: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
     """Per non-null activity: distinct employees, mean, median; top by mean."""
     s = salary_stats(rows.where(F.col("activity_description").isNotNull()), ["activity_description"],
-                     avg_name="avg_salary", percentiles=MEDIAN, max_name=None, bounds_from=bounds)
+                     avg_name="avg_salary", percentiles=MEDIAN, max_name=None)
     return _top(s, "avg_salary", ["activity_description"], top)
 
 
@@ -75,11 +75,11 @@ def top_companies(rows: DataFrame, min_employees: int = COMPANY_MIN_EMPLOYEES,
 
 
 def dashboard_city_stats(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return city_stats(cohort(star, cr), star.records("salary_amount"))
+    return city_stats(cohort(star, cr))
 
 
 def dashboard_activity_stats(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return activity_stats(cohort(star, cr), star.records("salary_amount"))
+    return activity_stats(cohort(star, cr))
 
 
 def dashboard_salary_buckets(star: Star, cr: Criteria = Criteria()) -> DataFrame:
@@ -96,10 +96,9 @@ def stats_bundle(star: Star, cr: Criteria = Criteria()) -> dict[str, DataFrame]:
     cached blocks are recomputed from lineage (the plan is deterministic)."""
     rows = cohort(star, cr).select("employee_id", "company_name", "activity_description", "city",
                                    "salary_amount").persist(StorageLevel.MEMORY_AND_DISK)
-    bounds = star.records("salary_amount")
     return {"cohort": rows,
-            "city_stats": city_stats(rows, bounds),
-            "activity_stats": activity_stats(rows, bounds),
+            "city_stats": city_stats(rows),
+            "activity_stats": activity_stats(rows),
             "salary_distribution": salary_buckets(rows),
             "top_companies": top_companies(rows)}
 
@@ -109,7 +108,6 @@ def stats_bundle_long(star: Star, cr: Criteria = Criteria()) -> DataFrame:
     lists side by side, built from one shared cohort plan."""
     rows = cohort(star, cr).select("employee_id", "company_name", "activity_description", "city",
                                    "salary_amount")
-    bounds = star.records("salary_amount")
     cols = ["dataset", "label", "city", "activity_description", "employee_count", "avg_salary",
             "median_salary", "max_salary", "record_count"]
 
@@ -120,9 +118,9 @@ def stats_bundle_long(star: Star, cr: Criteria = Criteria()) -> DataFrame:
                 out = out.withColumn(c, F.lit(None).cast(fill.get(c, "double")))
         return out.select(*cols)
 
-    return (shape(city_stats(rows, bounds), "city_stats", "city",
+    return (shape(city_stats(rows), "city_stats", "city",
                   activity_description="string", record_count="long")
-            .unionByName(shape(activity_stats(rows, bounds), "activity_stats", "activity_description",
+            .unionByName(shape(activity_stats(rows), "activity_stats", "activity_description",
                                city="string", record_count="long"))
             .unionByName(shape(salary_buckets(rows).withColumnRenamed("count", "record_count"),
                                "salary_distribution", "salary_range", city="string",
@@ -136,10 +134,9 @@ def chart_top15(star: Star, cr: Criteria = Criteria(), n: int = CHART_TOP,
     """The dashboard charts keep the first 15 rows of the city,
     activity and company lists; long labels become 40 chars + '...'."""
     rows = cohort(star, cr)
-    bounds = star.records("salary_amount")
-    cities = city_stats(rows, bounds, top=n).select(
+    cities = city_stats(rows, top=n).select(
         F.lit("city").alias("chart"), F.col("city").alias("label"), "avg_salary", "employee_count")
-    acts = activity_stats(rows, bounds, top=n).select(
+    acts = activity_stats(rows, top=n).select(
         F.lit("activity").alias("chart"),
         truncate_label("activity_description", chars, chars).alias("label"),
         "avg_salary", "employee_count")

@@ -39,9 +39,6 @@ def _floor(df: DataFrame, floor=SALARY_FLOOR) -> DataFrame:
     return df.where(F.col("salary_amount") >= F.lit(floor))
 
 
-def _bounds(star: Star) -> DataFrame:
-    return star.records("salary_amount")
-
 
 def floor_records(star: Star, floor=SALARY_FLOOR) -> DataFrame:
     """salary_records with salary >= floor."""
@@ -56,7 +53,7 @@ def _geo_stats(star: Star, key: str) -> DataFrame:
     rows = _floor(company_fact(star)).where(F.col(key).isNotNull())
     return salary_stats(rows, [key], company_count=True, avg_name="avg_salary",
                         percentiles=QUARTILES, stddev=True, max_name="max_salary",
-                        min_name="min_salary", bounds_from=_bounds(star))
+                        min_name="min_salary")
 
 
 def report_city_stats(star: Star) -> DataFrame:
@@ -76,7 +73,7 @@ def report_company_stats(star: Star, min_employees: int = COMPANY_MIN_EMPLOYEES)
     return salary_stats(rows, ["company_name", "city", "activity_description"],
                         avg_name="avg_salary", percentiles=QUARTILES, stddev=True,
                         max_name="max_salary", min_name="min_salary",
-                        bounds_from=_bounds(star), min_employees=min_employees)
+                        min_employees=min_employees)
 
 
 def report_salary_buckets(star: Star) -> DataFrame:
@@ -172,8 +169,7 @@ def percent_rank_at_least(star: Star, p: float = 0.99) -> DataFrame:
 def running_income(star: Star) -> DataFrame:
     """Cumulative income share of every record in ascending salary
     order (over the report fact, salary >= 1)."""
-    rf = rank_frame(salary_fact(star).select("salary_amount"), "salary_amount",
-                    bounds_from=_bounds(star))
+    rf = rank_frame(salary_fact(star).select("salary_amount"), "salary_amount")
     return running_share(rf)
 
 
@@ -182,8 +178,7 @@ def running_income(star: Star) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def fact_frame(star: Star, groups=()):
-    return rank_frame(salary_fact(star).select(*groups, "salary_amount"), "salary_amount", groups,
-                      bounds_from=_bounds(star))
+    return rank_frame(salary_fact(star).select(*groups, "salary_amount"), "salary_amount", groups)
 
 
 def inequality_measures(star: Star, epsilon: float = DEFAULT_EPSILON) -> DataFrame:
@@ -195,8 +190,7 @@ def inequality_by_group(star: Star, group: str = "city", epsilon: float = DEFAUL
     """I8: Gini / Hoover / Atkinson per group (NULL group dropped); a hot group
     spans many rank buckets."""
     f = salary_fact(star).where(F.col(group).isNotNull())
-    rf = rank_frame(f.select(group, "salary_amount"), "salary_amount", [group],
-                    bounds_from=_bounds(star))
+    rf = rank_frame(f.select(group, "salary_amount"), "salary_amount", [group])
     return inequality(rf, epsilon)
 
 
