@@ -4,6 +4,9 @@ The definitions are those of the reference's numpy functions, rewritten
 over the rank frame (one row per distinct value with ``f`` copies and
 ``pre`` rows strictly below), so nothing is sorted in one place:
 
+Empty input (global): record_count 0, Gini NULL (undefined -- the
+reference raises), Hoover 0, Atkinson 0.
+
 * Gini: shift by -min when min < 0, add 1e-7 to every value, then
   sum_i (2i - n - 1) x_i / (n sum x).  A tie group of value v at ranks
   pre+1 .. pre+f contributes v f (2 pre + f - n); the numerator does not
@@ -56,7 +59,8 @@ def inequality(rf: RankFrame, epsilon: float = DEFAULT_EPSILON,
     n = F.col("n").cast("double")
     shift = F.when(F.col("_min") < 0, n * F.col("_min")).otherwise(F.lit(0.0))
     gini = F.col("_gnum") / (n * (F.col("_sum") + n * F.lit(GINI_OFFSET) - shift))
-    hoover = F.when((F.col("n") == 0) | (F.col("_sum") == 0), F.lit(0.0))\
+    empty = F.coalesce(F.col("n"), F.lit(0)) == 0
+    hoover = F.when(empty | (F.coalesce(F.col("_sum"), F.lit(0.0)) == 0), F.lit(0.0))\
               .otherwise(F.col("_absdev") / (2 * F.col("_sum")))
     pmean = F.col("_ps") / F.col("_pn")
     if epsilon == 1:
@@ -67,7 +71,7 @@ def inequality(rf: RankFrame, epsilon: float = DEFAULT_EPSILON,
 
     def r(c):
         return F.round(c, digits) if digits is not None else c
-    return g.select(*rf.groups, F.col("n").alias("record_count"),
+    return g.select(*rf.groups, F.coalesce(F.col("n"), F.lit(0)).alias("record_count"),
                     r(gini).alias("gini"), r(hoover).alias("hoover"), r(atk).alias("atkinson"))
 
 
