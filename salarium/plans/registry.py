@@ -968,3 +968,26 @@ def _(star, spark, d):
     from salarium.operators.generate import random_order_in_company
     pairs = star.records("company_id", "employee_id").where(F.col("company_id").isNotNull())
     return random_order_in_company(pairs)
+
+
+# ---------------------------------------------------------------------------
+# Declaration ingest (S4) over declaration lines rendered from the tables
+# ---------------------------------------------------------------------------
+
+@register("declaration_ingest", sql("""SELECT status, row_count FROM (
+  SELECT 'header' AS status, COUNT(*) AS row_count FROM documents d JOIN companies c ON d.company_id = c.company_id
+  UNION ALL SELECT 'blank', COUNT(*) FROM emp_lines WHERE salary_amount IS NULL
+  UNION ALL SELECT 'missing_header', COUNT(*) FROM emp_lines WHERE NOT has_header AND salary_amount IS NOT NULL
+) WHERE row_count > 0
+UNION ALL SELECT 'loaded', COUNT(*) FROM (SELECT DISTINCT filename, full_name, salary_amount FROM ok_lines)
+UNION ALL SELECT 'duplicate', (SELECT COUNT(*) FROM ok_lines)
+  - (SELECT COUNT(*) FROM (SELECT DISTINCT filename, full_name, salary_amount FROM ok_lines))""",
+    """, emp_lines AS (
+  SELECT d.filename, e.full_name, s.salary_amount, c.company_id IS NOT NULL AS has_header
+  FROM salary_records s JOIN employees e ON s.employee_id = e.employee_id
+  JOIN documents d ON s.document_id = d.document_id
+  LEFT JOIN companies c ON d.company_id = c.company_id
+), ok_lines AS (SELECT * FROM emp_lines WHERE has_header AND salary_amount IS NOT NULL)"""))
+def _(star, spark, d):
+    from salarium.sources.ingest import parse_declarations, render_declarations
+    return parse_declarations(render_declarations(star)).audit
