@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salarium.functions.numeric import PERCENTILE_DIGITS, SPREAD_DIGITS, mean_d, rnd
-from salarium.operators.joins import join_null_safe
-from salarium.operators.ranks import quantiles, rank_frame
+from salarium.operators.ranks import frame_from_hist, quantile_exprs, quantile_value, side_bucket
 
 MEDIAN = {"median_salary": 0.5}
 QUARTILES = {"median_salary": 0.5, "p25_salary": 0.25, "p75_salary": 0.75}
@@ -24,9 +23,71 @@ def salary_stats(df: DataFrame, keys, *, value: str = "salary_amount",
                  company_count: bool = False, employee_count: bool = True,
                  avg_name: str = "average_salary", percentiles: dict | None = None,
                  stddev: bool = False, max_name: str | None = "max_salary",
-                 min_name: str | None = None, bounds_from: DataFrame | None = None,
-                 min_employees: int | None = None) -> DataFrame:
+                 min_name: str | None = None, min_employees: int | None = None) -> DataFrame:
+    """Per-group salary statistics.  Without percentiles: one aggregate.
+    With percentiles: one pass over ``df`` -- a GROUPING SETS aggregate
+    yields the (group, value) histogram and the (group, employee) /
+    (group, company) distinct keys together -- then one aggregate over the
+    rank frame gives mean, exact stddev, min/max and the percentiles."""
     keys = list(keys)
+    if not percentiles:
+        return _plain_stats(df, keys, value, company_count, employee_count, avg_name, stddev,
+                            max_name, min_name, min_employees)
+    ids = [c for c, on in (("company_id", company_count), ("employee_id", employee_count)) if on]
+    sets = [keys + [value]] + [keys + [c] for c in ids]
+    g = (df.groupingSets(sets, *keys, value, *ids)
+           .agg(F.count(F.lit(1)).alias("_f"), F.grouping(value).alias("_gv"),
+                *[F.grouping(c).alias(f"_g_{c}") for c in ids]))
+    # One DataFrame feeds the rank frame: value rows (v, f) plus weight-0
+    # side rows carrying one distinct id each, counted in the same final
+    # aggregate -- so the input is aggregated exactly once.
+    is_val = F.col("_gv") == 0
+    carry = [f"_id_{c}" for c in ids]
+    items = g.select(*keys,
+                     F.when(is_val, F.col(value)).alias("v"),
+                     F.when(is_val, F.col("_f")).otherwise(F.lit(0)).alias("f"),
+                     *[F.when(F.col(f"_g_{c}") == 0, F.col(c)).alias(f"_id_{c}") for c in ids],
+                     F.when(~is_val, side_bucket(*[F.col(c) for c in ids], F.col("_gv")))
+                      .alias("_side"))
+    rf = frame_from_hist(items, keys, carry=carry, side="_side")
+    v = F.col("v")
+    names = {"company_id": "company_count", "employee_id": "employee_count"}
+    aggs = quantile_exprs(percentiles) + [
+        F.first("n").alias("_n"), F.first("total").alias("_s1"),
+        F.sum(v * v * F.col("f")).alias("_s2"),
+        F.first("vmin").alias("_min"), F.first("vmax").alias("_max")] + \
+        [F.count(f"_id_{c}").alias(names[c]) for c in ids]
+    st = rf.df.groupBy(*keys).agg(*aggs)
+    n = F.col("_n")
+    cols = [F.try_divide(F.col("_s1").cast("double"), n).alias(avg_name)]
+    if stddev:
+        cols.append(rnd(_stddev_samp(n, F.col("_s1"), F.col("_s2")), SPREAD_DIGITS).alias("stddev_salary"))
+    if max_name:
+        cols.append(F.col("_max").cast("double").alias(max_name))
+    if min_name:
+        cols.append(F.col("_min").cast("double").alias(min_name))
+    cols += [rnd(quantile_value(p), PERCENTILE_DIGITS).alias(p) for p in percentiles]
+    out = st.select(*keys, *[names[c] for c in ids], *cols)
+    if min_employees is not None:
+        out = out.where(F.col("employee_count") >= min_employees)
+    order = keys + (["company_count"] if company_count else []) + \
+        (["employee_count"] if employee_count else [])
+    return out.select(*order, *[c for c in out.columns if c not in order])
+
+
+def _stddev_samp(n: Column, s1: Column, s2: Column) -> Column:
+    """Sample standard deviation from exact decimal moments:
+    sqrt((n*S2 - S1^2) / (n (n-1))); NULL for n < 2.  The numerator is exact
+    in decimal; if it would overflow, the double form is used instead."""
+    exact = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), s2), F.try_multiply(s1, s1))
+    den = n.cast("double") * (n - 1).cast("double")
+    approx = s2.cast("double") - s1.cast("double") * s1.cast("double") / n.cast("double")
+    var = F.coalesce(exact.cast("double") / den, approx / (n - 1).cast("double"))
+    return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))
+
+
+def _plain_stats(df, keys, value, company_count, employee_count, avg_name, stddev, max_name,
+                 min_name, min_employees) -> DataFrame:
     aggs: list[Column] = []
     if company_count:
         aggs.append(F.countDistinct("company_id").alias("company_count"))
@@ -42,13 +103,7 @@ def salary_stats(df: DataFrame, keys, *, value: str = "salary_amount",
     base = df.groupBy(*keys).agg(*aggs)
     if min_employees is not None:
         base = base.where(F.col("employee_count") >= min_employees)
-    if not percentiles:
-        return base
-    rf = rank_frame(df.select(*keys, value), value, keys, bounds_from=bounds_from)
-    q = quantiles(rf, percentiles)
-    q = q.select(*keys, *[rnd(F.col(n), PERCENTILE_DIGITS).alias(n) for n in percentiles])
-    # Percentiles only for the groups that survive HAVING (semi-reduced by the join).
-    return join_null_safe(base, q, keys, "left")
+    return base
 
 
 def bucket_counts(df: DataFrame, spec, value: str = "salary_amount",

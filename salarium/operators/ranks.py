@@ -152,11 +152,39 @@ def rank_frame(df: DataFrame, value: str | Column, groups=(), *,
     vcol = F.col(value) if isinstance(value, str) else value
     hist = (df.groupBy(*groups, vcol.alias(V))
               .agg(F.count(F.lit(1)).alias(F_)))
+    return frame_from_hist(hist, groups, bounds_from=bounds_from, buckets=buckets,
+                           checkpoint=checkpoint)
+
+
+SIDE_BUCKETS = 1024
+SIDE_BASE = -(1 << 20)   # below every value bucket
+
+
+def side_bucket(*ids: Column) -> Column:
+    """Bucket for weight-0 side rows (see ``frame_from_hist``): a hash of
+    the row's id spread over ``SIDE_BUCKETS`` buckets below all values."""
+    return (F.lit(SIDE_BASE) - F.pmod(F.xxhash64(*ids), F.lit(SIDE_BUCKETS))).cast("int")
+
+
+def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None = None,
+                    buckets: int | None = None, checkpoint: bool = False,
+                    carry=(), side: str | None = None) -> RankFrame:
+    """Rank frame from an already aggregated histogram ``(*groups, v, f)``
+    (one row per group and distinct value).
+
+    ``carry``: extra columns passed through to the frame.  ``side``: a
+    column holding a bucket for *side rows* -- rows with ``f = 0`` and
+    ``v`` NULL that ride along (e.g. distinct ids to count per group in the
+    same final aggregate).  Weight 0 leaves every rank, offset and quantile
+    unchanged; the side bucket spreads them over many tasks."""
+    groups = tuple(groups)
+    df = hist
     if checkpoint:
         checkpoint_dir(df.sparkSession)
         hist = hist.checkpoint(eager=True)
     if buckets is None and _exact_resolution(hist, V):
-        hb = hist.withColumn(B, log_bucket(_unscaled(F.col(V), hist.schema[V].dataType)))
+        lb = log_bucket(_unscaled(F.col(V), hist.schema[V].dataType))
+        hb = hist.withColumn(B, F.coalesce(F.col(side), lb) if side else lb)
     else:
         k = buckets or default_buckets(df)
         if bounds_from is None:
@@ -166,6 +194,8 @@ def rank_frame(df: DataFrame, value: str | Column, groups=(), *,
                              .where(F.col("_q").isNotNull())
         bounds = _bounds(src, "_q", k)
         hb = bucketize(hist.withColumn("_vd", F.col(V).cast("double")), "_vd", bounds).drop("_vd")
+        if side:
+            hb = hb.withColumn(B, F.coalesce(F.col(side), F.col(B)))
     vf = F.col(V) * F.col(F_)
 
     # Per (group, bucket) totals and exclusive prefix offsets.  At most
@@ -206,7 +236,7 @@ def rank_frame(df: DataFrame, value: str | Column, groups=(), *,
              .select(*groups, V, F_,
                      (F.col("_off_f") + F.coalesce(F.sum(F_).over(win), F.lit(0))).alias(PRE),
                      (F.col("_off_s") + F.coalesce(F.sum(vf).over(win), F.lit(0))).alias(CUM),
-                     "n_rows", "n", "total", "vmin", "vmax"))
+                     "n_rows", "n", "total", "vmin", "vmax", *carry))
     return RankFrame(frame, groups)
 
 

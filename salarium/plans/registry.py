@@ -37,10 +37,23 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+_STARS: dict = {}
+
+
+def star_for(spark: SparkSession, sf_dir: str):
+    """The adapter star for (session, folder), built once: its DataFrames
+    are lazy plans over read-only files, like tables registered in a
+    catalog, so every query reuses the file listing and schemas."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STARS:
+        _STARS[key] = load_tpch_star(spark, sf_dir)
+    return _STARS[key]
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return decimals_to_double(fn(load_tpch_star(spark, sf_dir), spark, sf_dir))
+            return decimals_to_double(fn(star_for(spark, sf_dir), spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
