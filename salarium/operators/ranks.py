@@ -279,7 +279,7 @@ def quantiles(rf: RankFrame, probs: dict[str, float]) -> DataFrame:
     return agg.select(*rf.groups, *quantile_finish(probs))
 
 
-def ntile_pieces(rf: RankFrame, tiles: int = 10) -> DataFrame:
+def ntile_pieces(rf: RankFrame, tiles: int = 10, carry=()) -> DataFrame:
     """NTILE(tiles) over the value order as (``*groups, v, tile, rows``):
     how many rows of each distinct value fall in each tile.  With
     n = tiles*q + r the first r tiles hold q+1 rows; a tie group straddling
@@ -301,13 +301,17 @@ def ntile_pieces(rf: RankFrame, tiles: int = 10) -> DataFrame:
     ex = rf.df.withColumn("_t", F.explode(F.sequence(tile_of(pre), tile_of(pre + f - 1))))
     t = F.col("_t")
     overlap = F.least(pre + f, start(t + 1)) - F.greatest(pre, start(t))
-    return ex.select(*rf.groups, V, (t + 1).alias("tile"), overlap.cast("long").alias("rows"))
+    return ex.select(*rf.groups, V, (t + 1).alias("tile"), overlap.cast("long").alias("rows"),
+                     *[F.col(c).alias(f"_carry_{c}") for c in carry])
 
 
 def ntile(rf: RankFrame, tiles: int = 10) -> DataFrame:
-    """NTILE(tiles) aggregated per tile: ``*groups, tile, rows, total``."""
-    return (ntile_pieces(rf, tiles).groupBy(*rf.groups, "tile")
-            .agg(F.sum("rows").alias("rows"), F.sum(F.col(V) * F.col("rows")).alias("total")))
+    """NTILE(tiles) aggregated per tile: ``*groups, tile, rows, total,
+    group_total`` (the group's whole sum rides along, so shares need no
+    second pass)."""
+    return (ntile_pieces(rf, tiles, carry=("total",)).groupBy(*rf.groups, "tile")
+            .agg(F.sum("rows").alias("rows"), F.sum(F.col(V) * F.col("rows")).alias("total"),
+                 F.max("_carry_total").alias("group_total")))
 
 
 def lorenz_points(rf: RankFrame, points: int = 100) -> DataFrame:

@@ -131,14 +131,12 @@ def income_deciles(star: Star) -> DataFrame:
     """NTILE(10) by salary (salary >= 1): rows, total, mean and income
     share per decile.  Tie groups straddling a decile edge are split by
     count, exactly as NTILE assigns rows."""
-    rf = national_frame(star)
-    t = ntile(rf, DECILES)
-    grand = rf.df.agg(F.max("total")).scalar()
+    t = ntile(national_frame(star), DECILES)
     return t.select(F.col("tile").cast("long").alias("decile"),
                     F.col("rows").cast("long").alias("employee_count"),
                     F.col("total").cast("double").alias("total_salary"),
                     ratio(F.col("total"), F.col("rows")).alias("avg_salary"),
-                    ratio(F.col("total"), grand).alias("income_share"))
+                    ratio(F.col("total"), F.col("group_total")).alias("income_share"))
 
 
 def salary_ntile(star: Star, tiles: int = DECILES) -> DataFrame:
@@ -261,8 +259,9 @@ def report_summary(star: Star) -> DataFrame:
     """Key statistics page as one row (percentiles over records with
     salary >= 1; stddev, Gini and Hoover over the report fact)."""
     p = national_percentiles(star)
-    ineq = inequality_measures(star)
-    sd = global_stddev(star)
+    # one scalar subquery per source (a struct), not one per column
+    fact = inequality(fact_frame(star), with_stddev=True).select(
+        F.struct("gini", "hoover", "stddev_salary").alias("s")).scalar()
     return p.select(
         "record_count", "total_salary", F.col("avg").alias("mean_salary"),
         F.col("p50").alias("median_salary"),
@@ -270,13 +269,13 @@ def report_summary(star: Star) -> DataFrame:
          .otherwise(F.lit(0.0)).alias("mean_median_ratio"),
         F.col("min").alias("min_salary"), F.col("max").alias("max_salary"),
         rnd(F.col("max") - F.col("min"), 2).alias("salary_range"),
-        sd.select("stddev_salary").scalar().alias("stddev_salary"),
+        fact.getField("stddev_salary").alias("stddev_salary"),
         "p10", "p25", "p50", "p75", "p90", "p95", "p99",
         rnd(ratio(F.col("p90"), F.col("p10")), INDEX_DIGITS).alias("p90_p10"),
         rnd(ratio(F.col("p75"), F.col("p25")), INDEX_DIGITS).alias("p75_p25"),
         rnd(ratio(F.col("p99"), F.col("p50")), INDEX_DIGITS).alias("p99_p50"),
-        ineq.select("gini").scalar().alias("gini"),
-        ineq.select("hoover").scalar().alias("hoover"))
+        fact.getField("gini").alias("gini"),
+        fact.getField("hoover").alias("hoover"))
 
 
 def page_salary_distribution(star: Star) -> DataFrame:
@@ -294,13 +293,13 @@ def page_percentiles(star: Star) -> DataFrame:
 def page_lorenz(star: Star, epsilon: float = DEFAULT_EPSILON) -> DataFrame:
     """Inequality box of the Lorenz page (curve points: ``lorenz_curve``)."""
     ineq = inequality_measures(star, epsilon)
-    p = national_percentiles(star)
-    return ineq.select(
-        "gini", "hoover", "atkinson",
-        p.select(rnd(ratio(F.col("p90"), F.col("p10")), INDEX_DIGITS)).scalar().alias("p90_p10"),
-        p.select(rnd(ratio(F.col("p75"), F.col("p25")), INDEX_DIGITS)).scalar().alias("p75_p25"),
-        p.select(rnd(ratio(F.col("p99"), F.col("p50")), INDEX_DIGITS)).scalar().alias("p99_p50"),
-        p.select("p99").scalar().alias("top1_min_salary"))
+    p = national_percentiles(star).select(F.struct(
+        rnd(ratio(F.col("p90"), F.col("p10")), INDEX_DIGITS).alias("p90_p10"),
+        rnd(ratio(F.col("p75"), F.col("p25")), INDEX_DIGITS).alias("p75_p25"),
+        rnd(ratio(F.col("p99"), F.col("p50")), INDEX_DIGITS).alias("p99_p50"),
+        F.col("p99").alias("top1_min_salary"))).scalar()
+    return ineq.select("gini", "hoover", "atkinson",
+                       *[p.getField(c).alias(c) for c in ("p90_p10", "p75_p25", "p99_p50", "top1_min_salary")])
 
 
 def page_decile_shares(star: Star) -> DataFrame:
@@ -313,8 +312,8 @@ def page_decile_shares(star: Star) -> DataFrame:
 def page_company_sizes(star: Star) -> DataFrame:
     """P5: size ranges plus totals and the average company size."""
     s = company_size_distribution(star)
-    tc = s.agg(F.sum("company_count")).scalar()
-    te = s.agg(F.sum("employee_count")).scalar()
+    tot = s.agg(F.struct(F.sum("company_count").alias("c"), F.sum("employee_count").alias("e"))).scalar()
+    tc, te = tot.getField("c"), tot.getField("e")
     return s.select("*", tc.cast("long").alias("total_companies"),
                     te.cast("long").alias("total_employees"),
                     rnd(ratio(te, tc), SPREAD_DIGITS).alias("avg_company_size"))
