@@ -53,9 +53,9 @@ def salary_stats(df: DataFrame, keys, *, value: str = "salary_amount",
     v = F.col("v")
     names = {"company_id": "company_count", "employee_id": "employee_count"}
     aggs = quantile_exprs(percentiles) + [
-        F.first("n").alias("_n"), F.first("total").alias("_s1"),
+        F.max("n").alias("_n"), F.max("total").alias("_s1"),
         F.sum(v * v * F.col("f")).alias("_s2"),
-        F.first("vmin").alias("_min"), F.first("vmax").alias("_max")] + \
+        F.max("vmin").alias("_min"), F.max("vmax").alias("_max")] + \
         [F.count(f"_id_{c}").alias(names[c]) for c in ids]
     st = rf.df.groupBy(*keys).agg(*aggs)
     n = F.col("_n")

@@ -175,8 +175,9 @@ def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None
     ``carry``: extra columns passed through to the frame.  ``side``: a
     column holding a bucket for *side rows* -- rows with ``f = 0`` and
     ``v`` NULL that ride along (e.g. distinct ids to count per group in the
-    same final aggregate).  Weight 0 leaves every rank, offset and quantile
-    unchanged; the side bucket spreads them over many tasks."""
+    same final aggregate).  They stay out of the bucket totals and get NULL
+    rank columns; the side bucket spreads them over many tasks.  Consumers
+    read group constants with ``max`` (NULL on side rows)."""
     groups = tuple(groups)
     df = hist
     if checkpoint:
@@ -200,7 +201,11 @@ def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None
 
     # Per (group, bucket) totals and exclusive prefix offsets.  At most
     # groups x (k + 1) rows; without groups this is a (k + 1)-row table.
-    tot = hb.groupBy(*groups, B).agg(
+    # side rows (weight 0) need no offsets: keep them out of the totals.
+    # Filter on the weight, not on the side column: a predicate on grouping
+    # columns would be pushed below the shared histogram aggregate and make
+    # this branch stop reusing its shuffle.
+    tot = (hb.where(F.col(F_) > 0) if side else hb).groupBy(*groups, B).agg(
         F.sum(F_).alias("_bf"),
         F.sum(F.when(F.col(V).isNotNull(), F.col(F_)).otherwise(0)).alias("_bn"),
         F.sum(vf).alias("_bs"),
@@ -221,9 +226,13 @@ def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None
         # Group keys may be NULL (a view keeps the NULL city): join on one
         # struct key, which matches NULL to NULL and still hash-partitions,
         # so the window below reuses the join's partitioning.
-        hb = hb.withColumn("_g", F.struct(*groups))
-        offsets = offsets.withColumn("_g", F.struct(*groups)).drop(*groups)
-        keys = ["_g", B]
+        # A 64-bit hash leads the key so sorts and joins compare longs; the
+        # struct follows for exactness (equal hashes of different groups
+        # stay apart).
+        gh = F.xxhash64(*[F.col(c) for c in groups])
+        hb = hb.withColumn("_gh", gh).withColumn("_g", F.struct(*groups))
+        offsets = offsets.withColumn("_gh", gh).withColumn("_g", F.struct(*groups)).drop(*groups)
+        keys = ["_gh", "_g", B]
     else:
         # One row per non-empty bucket: at most ~4100 rows (log buckets) or
         # k + 1 (quantile buckets) -- a proven bound, so it is broadcast.
@@ -232,7 +241,8 @@ def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None
 
     win = (Window.partitionBy(*keys).orderBy(F.col(V).asc_nulls_last())
            .rowsBetween(Window.unboundedPreceding, -1))
-    frame = (hb.join(offsets, keys, "inner")
+    # side rows find no offsets row (LEFT join) and keep NULL rank columns
+    frame = (hb.join(offsets, keys, "left" if side else "inner")
              .select(*groups, V, F_,
                      (F.col("_off_f") + F.coalesce(F.sum(F_).over(win), F.lit(0))).alias(PRE),
                      (F.col("_off_s") + F.coalesce(F.sum(vf).over(win), F.lit(0))).alias(CUM),
