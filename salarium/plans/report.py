@@ -113,7 +113,7 @@ def percentile_table(star: Star) -> DataFrame:
     for i, k in enumerate(keys):
         prev = F.lit(None).cast("double") if i == 0 else \
             rnd(ratio(F.col(k), F.col(keys[i - 1])), INDEX_DIGITS)
-        parts.append(F.struct(F.lit(i + 1).alias("ord"), F.lit(k).alias("percentile_key"),
+        parts.append(F.struct(F.lit(i + 1).cast("long").alias("ord"), F.lit(k).alias("percentile_key"),
                               F.lit(NATIONAL_PERCENTILES[k]).alias("percentile"),
                               F.col(k).alias("value"), prev.alias("ratio_to_previous")))
     return (p.select(F.explode(F.array(*parts)).alias("r"), F.col("avg").alias("mean_salary"))
