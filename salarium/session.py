@@ -17,6 +17,38 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster run, sized from the input volume.
+
+    * Shuffle partitions start at about one per ``target_partition_bytes``
+      of input (at least 2000); AQE then coalesces small ones toward the
+      advisory size instead of keeping the default parallelism, so a 100 TB
+      job starts near 400k partitions and small jobs shrink automatically.
+    * Scan splits are 512 MB so a 100 TB scan is ~200k tasks, each
+      streaming one split through whole-stage code.
+    * Skew join splits any shuffle partition 5x over the median and above
+      512 MB (the "one key holds a third of the rows" case for joins).
+    * Broadcasts stay size-checked at 64 MB; the rank core's only explicit
+      broadcast is its bucket-offset table, bounded by construction.
+    * Checkpoint files of finished jobs are cleaned up.
+    """
+    parts = max(2000, input_bytes // target_partition_bytes)
+    conf = dict(DEFAULT_CONF)
+    conf.update({
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    })
+    conf.pop("spark.ui.enabled", None)   # the cluster's own choice
+    return conf
+
+
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
               app: str = "salarium", extra: dict | None = None) -> SparkSession:
     """Local session for tests and benchmarks.  On a cluster the session is
