@@ -99,4 +99,5 @@ def running_share(rf: RankFrame, chunk: int = 100_000) -> DataFrame:
     return rows.select(*rf.groups, (F.col("pos") + 1).alias("position"),
                        F.when(F.col("n") > 1, F.col("pos").cast("double") / (F.col("n") - 1).cast("double"))
                         .otherwise(F.lit(0.0)).alias("x"),
-                       (cum.cast("double") / F.col("total").cast("double")).alias("cumulative_share"))
+                       F.try_divide(cum.cast("double"), F.col("total").cast("double"))
+                        .alias("cumulative_share"))

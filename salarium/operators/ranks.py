@@ -344,8 +344,8 @@ def lorenz_points(rf: RankFrame, points: int = 100) -> DataFrame:
     pts = ex.select(*rf.groups, "i",
                     F.when(F.col("n") > 1, F.col("i").cast("double") / (F.col("n") - 1).cast("double"))
                      .otherwise(F.lit(0.0)).alias("x"),
-                    ((F.col(CUM) + F.col(V) * (F.col("i") - pre + 1)).cast("double")
-                     / F.col("total").cast("double")).alias("y"))
+                    F.try_divide((F.col(CUM) + F.col(V) * (F.col("i") - pre + 1)).cast("double"),
+                                 F.col("total").cast("double")).alias("y"))
     return pts.dropDuplicates([*rf.groups, "i"])
 
 
