@@ -89,9 +89,26 @@ def national_frame(star: Star):
     return rank_frame(floor_records(star).select("salary_amount"), "salary_amount")
 
 
-def national_percentiles(star: Star) -> DataFrame:
+def national_percentiles(star: Star, approx_accuracy: int | None = None) -> DataFrame:
     """Exact p01 .. p999 plus mean, min, max, record count and total,
-    one aggregate over the rank frame (no single-partition sort)."""
+    one aggregate over the rank frame (no single-partition sort).
+
+    ``approx_accuracy`` (opt-in): one aggregation pass with Spark's mergeable
+    ``percentile_approx`` sketch instead (rank error <= 1/accuracy, bounded
+    memory, no rank frame); the percentiles are then observed values, not
+    interpolated."""
+    if approx_accuracy is not None:
+        x = F.col("salary_amount")
+        one = floor_records(star).agg(
+            F.percentile_approx(x.cast("double"), list(NATIONAL_PERCENTILES.values()),
+                                approx_accuracy).alias("_q"),
+            F.count(x).alias("record_count"), F.sum(x).alias("_total"),
+            F.min(x).alias("_min"), F.max(x).alias("_max"))
+        return one.select(*[F.col("_q")[i].alias(k) for i, k in enumerate(NATIONAL_PERCENTILES)],
+                          F.try_divide(F.col("_total").cast("double"), F.col("record_count")).alias("avg"),
+                          F.col("_min").cast("double").alias("min"), F.col("_max").cast("double").alias("max"),
+                          F.col("record_count").cast("long").alias("record_count"),
+                          F.col("_total").cast("double").alias("total_salary"))
     rf = national_frame(star)
     one = rf.df.agg(*quantile_exprs(NATIONAL_PERCENTILES),
                     F.max("n").alias("record_count"), F.max("total").alias("_total"),

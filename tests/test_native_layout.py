@@ -33,3 +33,16 @@ def test_salary_filter_pushed_down(stars):
     _, native = stars
     p = report.report_salary_buckets(native)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(salary_amount,1.00)" in p
+
+
+def test_approx_percentiles_within_rank_error(stars):
+    src, _ = stars
+    exact = report.national_percentiles(src).first()
+    approx = report.national_percentiles(src, approx_accuracy=1000).first()
+    vals = sorted(float(r.salary_amount) for r in report.floor_records(src).collect())
+    n = len(vals)
+    for k, p in report.NATIONAL_PERCENTILES.items():
+        # the approximate value's rank is within n/accuracy of the target rank
+        rank = sum(1 for v in vals if v < approx[k])
+        assert abs(rank - p * (n - 1)) <= n / 1000 + 1, k
+    assert approx.record_count == exact.record_count and approx.total_salary == exact.total_salary
