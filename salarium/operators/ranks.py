@@ -254,22 +254,18 @@ def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None
 # Consumers
 # ---------------------------------------------------------------------------
 
-def _value_at(pos: Column) -> Column:
-    """Value of the hist row holding 0-based position ``pos`` (NULL elsewhere)."""
-    return F.when((F.col(PRE) <= pos) & (pos < F.col(PRE) + F.col(F_)),
-                  F.col(V).cast("double"))
-
-
 def quantile_exprs(probs: dict[str, float]) -> list[Column]:
     """Aggregate expressions for exact PERCENTILE_CONT over a rank frame:
-    k = (n-1)p, linear interpolation between positions floor(k), ceil(k)."""
+    k = (n-1)p, linear interpolation between positions floor(k), ceil(k).
+    Each is one SQL expression string: one round trip to the JVM instead of
+    one per sub-expression when the plan is built."""
     out = []
     for name, p in probs.items():
-        k = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(k), F.ceil(k)
-        out += [F.max(_value_at(lo)).alias(f"_lo_{name}"),
-                F.max(_value_at(hi)).alias(f"_hi_{name}"),
-                F.first(k - lo, ignorenulls=True).alias(f"_fr_{name}")]
+        k = f"(CAST(n - 1 AS DOUBLE) * CAST({float(p)!r} AS DOUBLE))"
+        at = ("MAX(CASE WHEN {pre} <= {pos} AND {pos} < {pre} + {f} THEN CAST({v} AS DOUBLE) END)")
+        out += [F.expr(at.format(pre=PRE, f=F_, v=V, pos=f"FLOOR({k})") + f" AS `_lo_{name}`"),
+                F.expr(at.format(pre=PRE, f=F_, v=V, pos=f"CEIL({k})") + f" AS `_hi_{name}`"),
+                F.expr(f"FIRST({k} - FLOOR({k}), true) AS `_fr_{name}`")]
     return out
 
 
