@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from salarium.operators.ranks import PRE, V, rank_frame
 from salarium.sources.star import SALARY
 
-# Fixed values (reference seed script).
-FILENAME_PREFIX = "CNSS_"
+# Fixed values (reference seed script); the filename is prefix || id ||
+# suffix, and the prefix names the declaring authority (a parameter).
+FILENAME_PREFIX = "DECL_"
 FILENAME_SUFFIX = "_2024_01.pdf"
 # (max company id, base headcount, random span): ids 1-5 -> 15-49,
 # 6-15 -> 5-19, the rest -> 2-9.
@@ -40,8 +41,10 @@ def uniform(seed: int, tag: str, *cols: str | Column) -> Column:
     return h.bitwiseAND(F.lit(_MASK53)).cast("double") / F.lit(float(1 << 53))
 
 
-def document_headcounts(companies: DataFrame, seed: int = 42) -> DataFrame:
-    """One declaration per company with a random headcount band."""
+def document_headcounts(companies: DataFrame, seed: int = 42,
+                        prefix: str = FILENAME_PREFIX) -> DataFrame:
+    """One declaration per company with a random headcount band;
+    filename = prefix || company_id || '_2024_01.pdf'."""
     cid = F.col("company_id")
     u = uniform(seed, "headcount", "company_id")
     hc = None
@@ -51,7 +54,7 @@ def document_headcounts(companies: DataFrame, seed: int = 42) -> DataFrame:
     hc = hc.otherwise(F.lit(HEADCOUNT_DEFAULT[0]) + F.floor(u * HEADCOUNT_DEFAULT[1]).cast("int"))
     return companies.select(
         cid.alias("document_id"),
-        F.concat(F.lit(FILENAME_PREFIX), cid.cast("string"), F.lit(FILENAME_SUFFIX)).alias("filename"),
+        F.concat(F.lit(prefix), cid.cast("string"), F.lit(FILENAME_SUFFIX)).alias("filename"),
         cid.alias("company_id"),
         hc.cast("int").alias("employee_count"),
         F.lit(0).cast(SALARY).alias("total_salary_mass"))

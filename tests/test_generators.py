@@ -16,7 +16,7 @@ def test_headcounts_and_assignments(spark):
     for cid, r in d.items():
         lo, hi = (15, 49) if cid <= 5 else (5, 19) if cid <= 15 else (2, 9)
         assert lo <= r.employee_count <= hi
-        assert r.filename == f"CNSS_{cid}_2024_01.pdf"
+        assert r.filename == f"DECL_{cid}_2024_01.pdf"
     a = synthetic_assignments(docs, star.employees).cache()
     per = {r.company_id: (r.n, r.u, r.mx) for r in a.groupBy("company_id").agg(
         F.count("*").alias("n"), F.countDistinct("employee_id").alias("u"), F.max("emp_num").alias("mx")).collect()}
