@@ -1,13 +1,12 @@
 """Search and dashboard statistics for one cohort (the web API's queries).
 
 Every dataset is a plan over the same filtered star detail; ``stats_bundle``
-builds the cohort once and persists it while its four consumers run
-(the reference re-ran the four-way join four times).
+computes the cohort once and checkpoints it into the shared folder for its
+four consumers (the reference re-ran the four-way join four times).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from salarium.functions.criteria import Criteria, cohort_predicate
 from salarium.functions.labels import truncate_label
 from salarium.operators.aggregates import MEDIAN, bucket_counts, salary_stats
 from salarium.operators.joins import DETAIL_COLUMNS, star_detail
+from salarium.session import materialize
 from salarium.sources.star import Star
 
 # Fixed values (reference dashboard parameters).
@@ -91,11 +91,11 @@ def dashboard_top_companies(star: Star, cr: Criteria = Criteria()) -> DataFrame:
 
 
 def stats_bundle(star: Star, cr: Criteria = Criteria()) -> dict[str, DataFrame]:
-    """T-2: the four dashboard datasets over one persisted cohort.  The
-    caller collects them and then calls ``unpersist`` on ``cohort``; lost
-    cached blocks are recomputed from lineage (the plan is deterministic)."""
-    rows = cohort(star, cr).select("employee_id", "company_name", "activity_description", "city",
-                                   "salary_amount").persist(StorageLevel.MEMORY_AND_DISK)
+    """T-2: the four dashboard datasets over one cohort, computed once and
+    checkpointed into the shared folder (the reference re-ran the four-way
+    join for every dataset)."""
+    rows = materialize(cohort(star, cr).select("employee_id", "company_name",
+                                               "activity_description", "city", "salary_amount"))
     return {"cohort": rows,
             "city_stats": city_stats(rows),
             "activity_stats": activity_stats(rows),
@@ -106,8 +106,9 @@ def stats_bundle(star: Star, cr: Criteria = Criteria()) -> dict[str, DataFrame]:
 def stats_bundle_long(star: Star, cr: Criteria = Criteria()) -> DataFrame:
     """T-2 as one long DataFrame (dataset, label, measures) -- the API's four
     lists side by side, built from one shared cohort plan."""
-    rows = cohort(star, cr).select("employee_id", "company_name", "activity_description", "city",
-                                   "salary_amount")
+    # The cohort (a four-way join) feeds four aggregations: compute it once.
+    rows = materialize(cohort(star, cr).select("employee_id", "company_name",
+                                               "activity_description", "city", "salary_amount"))
     cols = ["dataset", "label", "city", "activity_description", "employee_count", "avg_salary",
             "median_salary", "max_salary", "record_count"]
 
@@ -133,7 +134,8 @@ def chart_top15(star: Star, cr: Criteria = Criteria(), n: int = CHART_TOP,
                 chars: int = CHART_LABEL_CHARS) -> DataFrame:
     """The dashboard charts keep the first 15 rows of the city,
     activity and company lists; long labels become 40 chars + '...'."""
-    rows = cohort(star, cr)
+    rows = materialize(cohort(star, cr).select("employee_id", "company_name",
+                                               "activity_description", "city", "salary_amount"))
     cities = city_stats(rows, top=n).select(
         F.lit("city").alias("chart"), F.col("city").alias("label"), "avg_salary", "employee_count")
     acts = activity_stats(rows, top=n).select(

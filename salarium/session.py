@@ -88,3 +88,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once into the shared checkpoint folder
+    (reliable checkpoint, never ``localCheckpoint``) and return a DataFrame
+    reading it back.  For an intermediate read by several aggregations."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
