@@ -11,7 +11,7 @@ from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, mean_d,
 from salarium.operators.aggregates import MEDIAN, salary_stats
 from salarium.operators.joins import (DETAIL_COLUMNS, company_fact, company_left_fact,
                                       employee_fact, star_detail)
-from salarium.operators.ranks import F_, V, quantiles, rank_frame
+from salarium.operators.ranks import F_, V, quantile_exprs, quantile_value, quantiles, rank_frame
 from salarium.sources.star import Star
 
 # Fixed values (reference query parameters).
@@ -101,17 +101,21 @@ def first_name_stats_bottom(star: Star, min_count: int = NAME_TOKEN_MIN_COUNT,
 
 def name_token_stats(star: Star, tokens=("HAMZA",)) -> DataFrame:
     """Count, rounded mean and rounded median for the listed tokens
-    (case-sensitive IN)."""
+    (case-sensitive IN) -- one pass: count, exact sum and median all come
+    from the token's rank frame."""
     df = (employee_fact(star).withColumn("first_name", name_token())
           .where(F.col("first_name").isin(list(tokens))))
-    base = df.groupBy("first_name").agg(F.count(F.lit(1)).alias("person_count"),
-                                        mean_round2("salary_amount").alias("avg_salary"))
     rf = rank_frame(df.select("first_name", "salary_amount"), "salary_amount", ["first_name"])
-    med = quantiles(rf, MEDIAN).select(
-        "first_name",
+    agg = rf.df.groupBy("first_name").agg(
+        *quantile_exprs(MEDIAN), F.max("n_rows").alias("person_count"),
+        F.max("n").alias("_n"), F.max("total").alias("_t"))
+    # the exact sum at the precision of SUM(DECIMAL(15,2)), then HALF_UP
+    mean2 = F.round(F.try_divide(F.col("_t").cast("decimal(25,2)"), F.col("_n")), 2).cast("double")
+    return agg.select(
+        "first_name", F.col("person_count").cast("long").alias("person_count"), mean2.alias("avg_salary"),
         # a median of cent values has at most 3 decimals: exact HALF_UP to 2
-        F.round(F.col("median_salary").cast("decimal(18,3)"), 2).cast("double").alias("median_salary"))
-    return base.join(med, "first_name", "left").orderBy(F.col("avg_salary").desc_nulls_first())
+        F.round(quantile_value("median_salary").cast("decimal(18,3)"), 2).cast("double")
+         .alias("median_salary")).orderBy(F.col("avg_salary").desc_nulls_first())
 
 
 def top_income_shares(star: Star, groups=TOP_SHARE_GROUPS) -> DataFrame:
