@@ -28,7 +28,7 @@ def norm(v):
     return repr(float(v)) if isinstance(v, float) else repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(E.ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     cols = sorted(df.columns)
