@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salarium.llm.decontaminate import contaminated
 from salarium.llm.mix import MAX_REPEAT, WEIGHTS, mix_copies
 from salarium.llm.shard import LIMIT_BYTES, assign_shards
+from salarium.llm.simhash import simhash_classes
+from salarium.llm.toxicity import toxicity, train_model
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train_model(docs, table(spark, sf_dir, "labels")))
+
+
 def bits_sql(text: str) -> str:
     """The first 60 bits of the MD5 of a string."""
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
@@ -71,6 +87,9 @@ SELECT doc_id, size, source_size, target, least(floor(u + e * (i + 1)) - floor(u
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE = {
