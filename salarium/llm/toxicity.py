@@ -206,9 +206,9 @@ def learn(train: DataFrame) -> Model:
         share = (p + n) * size / (toxic + clean)
         return F.when(count > 0, count * F.log(count / share)).otherwise(0.0)
 
-    def telling(counts: DataFrame, limit: int, least: float) -> dict[str, float]:
+    def telling(counts: DataFrame, limit: int, least: float, margin: float) -> dict[str, float]:
         # chance exceeds this in less than one of the terms that are frequent enough to be judged
-        chance = 2 * F.log(F.lit(float(max(2, counts.where(p + n >= 4).count())))) + 2
+        chance = 2 * F.log(F.lit(float(max(2, counts.where(p + n >= 4).count())))) + margin
         rows = (counts.withColumn("gain", 2 * (part(p, toxic) + part(n, clean))).withColumn("weight", weight)
                 .where((F.col("gain") > chance) & (F.col("weight") > least))
                 .orderBy(F.col("gain").desc(), "term").limit(limit).collect())
@@ -216,11 +216,11 @@ def learn(train: DataFrame) -> Model:
 
     weight = F.log((p + 0.5) / (toxic + 1.0)) - F.log((n + 0.5) / (clean + 1.0))
     words = materialize(emit(train, whole_words, "term"))
-    found = telling(words, LEXICON // 2, LEAST_WORD)
+    found = telling(words, LEXICON // 2, LEAST_WORD, 2.0)
     seen = words.where(F.col("term").isin(list(base)) & (p + n >= 5)).withColumn("weight", weight).collect()
     weights = base | {r["term"]: r["weight"] for r in seen} | found
     explained = {t for t, w in weights.items() if w > 0}
-    weights |= telling(materialize(emit(train, lambda text: stems(text, explained), "term")), LEXICON // 2, LEAST_STEM)
+    weights |= telling(materialize(emit(train, lambda text: stems(text, explained), "term")), LEXICON // 2, LEAST_STEM, 12.0)
     model = Model({t: w for t, w in weights.items() if w > 0}, harmless)
 
     def phrases(text: str) -> set[str]:
