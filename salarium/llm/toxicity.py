@@ -42,7 +42,7 @@ TRAIN_ROWS = 8000
 LEXICON = 2000
 THRESHOLD = 0.3
 #: Log ratio of frequencies from which a word or a word beginning enters.
-LEAST_WORD, LEAST_STEM = 2.0, 3.0
+LEAST_WORD, LEAST_STEM = 2.0, 2.0
 #: Lengths of the word beginnings that may enter the lexicon.
 STEMS = range(4, 9)
 
@@ -58,8 +58,9 @@ LOOKALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 HARMLESS = ("circus clown", "class clown", "clown fish", "dumb bell", "guinea pig", "pig farm", "pond scum", "trash bin",
             "trash can", "trash collection")
+MEASURES = ("total", "share", "words")
 BASE_WEIGHT = 4.0
-BASE_COEFFICIENTS = (-4.0, 2.0, 0.5)
+BASE_COEFFICIENTS = (-4.0, 2.0, 0.5, 0.0)
 
 
 def _fold_table() -> dict[int, str | None]:
@@ -103,7 +104,7 @@ class Model:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...]
-    coefficients: tuple[float, float, float] = BASE_COEFFICIENTS
+    coefficients: tuple[float, ...] = BASE_COEFFICIENTS
 
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
@@ -131,11 +132,14 @@ def hits(a: ahocorasick.Automaton, text: str) -> dict[int, float]:
     return {s: w for s, w in best.items() if not any(x <= s <= y for x, y in excused)} if excused else best
 
 
-def measures(a: ahocorasick.Automaton, text: str) -> tuple[float, float]:
-    """Sum of weights and its share of the words, both damped."""
+def measures(a: ahocorasick.Automaton, text: str) -> tuple[float, float, float]:
+    """Sum of weights over different words, the share of all hits in the
+    words, and the number of different words, all damped."""
     found = hits(a, text)
-    total, words = sum(found.values()), max(1, text.count(" ") - 1)
-    return float(np.log1p(total)), float(np.log1p(100.0 * total / words))
+    words = max(1, text.count(" ") - 1)
+    distinct = {text[s:text.find(" ", s)]: w for s, w in found.items()}
+    total = sum(distinct.values())
+    return float(np.log1p(total)), float(np.log1p(100.0 * sum(found.values()) / words)), float(np.log1p(len(distinct)))
 
 
 def crc_of(doc_id: Column) -> Column:
@@ -220,7 +224,7 @@ def learn(train: DataFrame) -> Model:
     seen = words.where(F.col("term").isin(list(base)) & (p + n >= 5)).withColumn("weight", weight).collect()
     weights = base | {r["term"]: r["weight"] for r in seen} | found
     explained = {t for t, w in weights.items() if w > 0}
-    weights |= telling(materialize(emit(train, lambda text: stems(text, explained), "term")), LEXICON // 2, LEAST_STEM, 12.0)
+    weights |= telling(materialize(emit(train, lambda text: stems(text, explained), "term")), LEXICON // 2, LEAST_STEM, 6.0)
     model = Model({t: w for t, w in weights.items() if w > 0}, harmless)
 
     def phrases(text: str) -> set[str]:
@@ -237,41 +241,45 @@ def learn(train: DataFrame) -> Model:
     common = (emit(train, phrases, "phrase").where((n >= 3) & (n * toxic > 4 * p * clean))
               .orderBy(n.desc(), "phrase").limit(LEXICON).collect())
     model.exceptions = tuple(sorted({*harmless, *(r["phrase"] for r in common)}))
-    data = apply_model(train, model, "text", ["label"], scores=False).collect()  # at most TRAIN_ROWS pairs of numbers
-    model.coefficients = fit(np.array([[r["total"], r["share"]] for r in data]), np.array([float(r["label"]) for r in data]))
+    data = apply_model(train, model, "text", ["label"], scores=False).collect()  # at most TRAIN_ROWS rows of numbers
+    model.coefficients = fit(np.array([[r[c] for c in MEASURES] for r in data]), np.array([float(r["label"]) for r in data]))
     return model
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
     """Logistic regression by Newton steps."""
     x = np.column_stack((np.ones(len(x)), x))
-    b = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0])
+    b = np.zeros(x.shape[1])
+    b[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(3), x.T @ (y - p) - ridge * b)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(b)), x.T @ (y - p) - ridge * b)
         b = b + step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in b)
 
 
-def score_of(model: Model, total: np.ndarray, share: np.ndarray) -> np.ndarray:
-    a, b, c = model.coefficients
-    return 1 / (1 + np.exp(-np.clip(a + b * total + c * share, -30, 30)))
+def score_of(model: Model, m: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model.coefficients[0] + m @ np.array(model.coefficients[1:]), -30, 30)))
+
+
+def measured(a: ahocorasick.Automaton, texts: pa.Array) -> np.ndarray:
+    return np.array([measures(a, folded(t.as_py() or "")) for t in texts]).reshape(-1, len(MEASURES))
 
 
 def apply_model(rows: DataFrame, model: Model, text_col: str, keep: list[str], scores: bool = True) -> DataFrame:
-    """The ``keep`` columns of ``rows`` with ``score``, or with the two
+    """The ``keep`` columns of ``rows`` with ``score``, or with the
     measures behind it."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # at most LEXICON terms and as many phrases
-    names = ["score"] if scores else ["total", "share"]
+    names = ["score"] if scores else list(MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         a = model.automaton()
         for batch in batches:
-            m = np.array([measures(a, folded(t.as_py() or "")) for t in batch.column(0)]).reshape(-1, 2)
-            values = [score_of(model, m[:, 0], m[:, 1])] if scores else [m[:, 0], m[:, 1]]
+            m = measured(a, batch.column(0))
+            values = [score_of(model, m)] if scores else list(m.T)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, values)], [*keep, *names])
 
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep), *(f"{n} double" for n in names)])
@@ -305,7 +313,6 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         model = shared.value
         a = model.automaton()
         for batch in batches:
-            m = np.array([measures(a, folded(t.as_py() or "")) for t in batch.column(place)]).reshape(-1, 2)
-            yield batch.filter(pa.array(score_of(model, m[:, 0], m[:, 1]) < THRESHOLD))
+            yield batch.filter(pa.array(score_of(model, measured(a, batch.column(place).cast(pa.string()))) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
