@@ -97,7 +97,7 @@ def mixing_runs(docs: DataFrame, id_col: str, text_col: str, source_col: str, se
     sizes = runs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = source_targets(sizes, weights, max_repeat)
     n_rows = runs.agg(F.sum("n")).first()[0] or 0
-    slice_bits = max(0, (n_rows // CELL_ROWS).bit_length())
+    slice_bits = max(4, (n_rows // CELL_ROWS).bit_length())
     cells = (runs.withColumn("class", size_class(F.col("size")))
              .withColumn("slice", F.shiftright("hash", HASH_BITS - slice_bits)))
     cell = ["source", "class", "slice"]

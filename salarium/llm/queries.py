@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salarium.llm.ann import nearest
 from salarium.llm.decontaminate import contaminated
+from salarium.llm.html_extract import extract
+from salarium.llm.license_scan import scan
 from salarium.llm.mix import MAX_REPEAT, WEIGHTS, mix_copies
+from salarium.llm.secret_scan import digest, find_secrets, train
 from salarium.llm.shard import LIMIT_BYTES, assign_shards
 from salarium.llm.simhash import simhash_classes
 from salarium.llm.toxicity import toxicity, train_model
@@ -25,10 +29,27 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digest(find_secrets(docs, train(docs)))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(50)) == 0)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -87,7 +108,11 @@ SELECT doc_id, size, source_size, target, least(floor(u + e * (i + 1)) - floor(u
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_html": op3_html,
+    "op4_secrets": op4_secrets,
+    "op5_neighbours": op5_neighbours,
     "op6_decontamination": op6_decontamination,
+    "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
 }
