@@ -13,6 +13,7 @@ from salarium.llm.mix import MAX_REPEAT, WEIGHTS, mix_copies
 from salarium.llm.secret_scan import digest, find_secrets, train
 from salarium.llm.shard import LIMIT_BYTES, assign_shards
 from salarium.llm.simhash import simhash_classes
+from salarium.llm.suffix_dedup import removal_digest
 from salarium.llm.toxicity import toxicity, train_model
 
 
@@ -59,6 +60,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 def bits_sql(text: str) -> str:
     """The first 60 bits of the MD5 of a string."""
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
@@ -115,6 +120,7 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLE = {
