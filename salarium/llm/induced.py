@@ -253,8 +253,10 @@ def sorted_minima(text: np.ndarray, padded: np.ndarray, cap: int) -> tuple[np.nd
         refine(order, rank, active, key)
         step *= 2
     pos = at[order]
-    lcp = np.zeros(m, np.int64)
-    live = np.arange(1, m)
+    lcp = np.full(m, cap, np.int64)  # of one rank: they agree on the whole reach
+    lcp[0] = 0
+    live = np.flatnonzero(rank[order][1:] != rank[order][:-1]) + 1
+    lcp[live] = 0
     for done in range(0, cap, 8):
         x = words_at(padded, np.minimum(pos[live] + done, n)) ^ words_at(padded, np.minimum(pos[live - 1] + done, n))
         same = np.zeros(len(live), np.int64)

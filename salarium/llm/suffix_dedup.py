@@ -46,10 +46,10 @@ LENGTH = 200
 #: Bytes of an anchor.
 GRAM = 32
 #: Bytes whose runs are found together.
-PIECE = 1 << 20
+PIECE = 1 << 17
 #: Bytes that are sorted together, and suffix tuples held in memory.
-SORT_BYTES = 8 << 20
-TUPLES = 4 << 20
+SORT_BYTES = 4 << 20
+TUPLES = 2 << 20
 HOT_RUNS = 50_000
 
 _PLACE = np.uint64((1 << 24) - 1)
@@ -83,9 +83,11 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
     grams = mixed((sums[gram:] - sums[:-gram]) * down[:n - gram + 1])
     # the place breaks ties to the left, and tells the places of equal grams apart
     anchor = (sliding_least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
-    start = np.arange(len(anchor))
-    text = np.searchsorted(ends, start, side="right")
-    inside = np.flatnonzero(start + length <= ends[text])
+    # windows that reach over the end of a text are none
+    whole = np.ones(n, bool)
+    for end in ends.tolist():
+        whole[max(0, end - length + 1):end] = False
+    inside = np.flatnonzero(whole[:len(anchor)])
     if not len(inside):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     own = anchor[inside]
@@ -94,8 +96,8 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
     windows = np.diff(np.concatenate((first, [len(own)])))
     hi = lo + windows - 1 + length
     run = mixed((sums[hi] - sums[lo]) * down[lo] + windows.astype(np.uint64))
-    begin = np.concatenate(([0], ends))[text[lo]]
-    return text[lo], lo - begin, windows, grams[own[first]], run
+    text = np.searchsorted(ends, lo, side="right")
+    return text, lo - np.concatenate(([0], ends))[text], windows, grams[own[first]], run
 
 
 def text_runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
