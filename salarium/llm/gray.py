@@ -81,12 +81,6 @@ class GrayIndex:
                                   np.repeat(sofar[part], FAN)[inside], level + 1, limit)
 
 
-def root_of(codes: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """Mask and pattern of one node over all ``codes``."""
-    both, either = np.bitwise_and.reduce(codes), np.bitwise_or.reduce(codes)
-    return ~(both ^ either), both
-
-
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest position that each of ``n`` positions is linked to."""
     root = np.arange(n)

@@ -4,13 +4,13 @@
    XXH64 hashes of its word shingles.  Equal fingerprints collapse to one
    row, so a hot group of copies is one code.
 2. Sort the distinct fingerprints by Gray rank and cut the order into
-   ranges of about ``RANGE_CODES`` codes, at most ``MAX_RANGES``.  The
-   agreed bits of a range are an upper node of the index; the driver holds
+   ``RANGES`` ranges, more only if one would exceed ``RANGE_CODES`` codes,
+   at most ``MAX_RANGES``.  The agreed bits of a range are an upper node of the index; the driver holds
    these nodes alone, two longs each.
 3. A fingerprint visits the ranges whose upper node it differs from in at
-   most the allowed bits.  Each pair of ranges is one group, searched with
-   the index of one side; a group returns links of a spanning forest, never
-   all its pairs.
+   most the allowed bits; of two ranges one is visited, taken in turns, so
+   each pair of codes meets once.  A range is one group, searched with its
+   index; it returns links of a spanning forest, never all its pairs.
 4. Components of the links give every document its class.
 
 Defined results: null and empty text have fingerprint zero and are linked
@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 
 from salarium.llm.common import fresh, ref
 from salarium.llm.components import connected_components
-from salarium.llm.gray import GrayIndex, forest, gray_rank, root_of
+from salarium.llm.gray import GrayIndex, forest, gray_rank
 from salarium.session import materialize
 
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-#: Codes in a range of the Gray order; more if there would be over MAX_RANGES.
-RANGE_CODES = 8192
+#: Ranges of the Gray order: so many, more if a range would exceed RANGE_CODES, never over MAX_RANGES.
+RANGES = 64
+RANGE_CODES = 1 << 21
 MAX_RANGES = 4096
 #: Shingles of one text that are hashed together.
 PIECE = 1 << 16
@@ -82,7 +83,7 @@ def ranges(codes: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Cut points of the Gray order and the mask and pattern of each range;
     at most MAX_RANGES of each reach the driver."""
     n = codes.count()
-    parts = max(1, min(MAX_RANGES, -(-n // RANGE_CODES)))
+    parts = max(1, min(n, MAX_RANGES, max(RANGES, -(-n // RANGE_CODES))))
     cuts: list[int] = []
     if parts > 1:
         points = [i / parts for i in range(1, parts)]
@@ -109,6 +110,7 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (u, v) between distinct codes at ``max_bits`` or fewer
     differing bits: enough of them to keep every connection."""
     cuts, mask, pattern = ranges(codes)
+    places = np.arange(len(mask))
     at, step = np.array(cuts, np.int64), max(1, (1 << 22) // len(mask))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,28 +120,24 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             for i in range(0, len(code), step):
                 c, own = code[i:i + step], home[i:i + step]
                 near = np.bitwise_count((c.view(np.uint64)[:, None] ^ pattern) & mask) <= max_bits
+                turn = (own[:, None] + places) % 2 == 0
+                near &= np.where(own[:, None] < places, turn, ~turn)
                 near[np.arange(len(c)), own] = True
-                k, other = np.nonzero(near)
-                own = own[k]
-                cols = [np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32),
-                        (own > other).astype(np.int32), c[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["a", "b", "side", "code"])
+                k, part = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(part != own[k]), pa.array(c[k])],
+                                                 ["part", "visits", "code"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, side = pdf["code"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
-        if pdf["a"].iat[0] == pdf["b"].iat[0]:
-            index = GrayIndex(codes)
-            every, pairs = index.codes, index.search(index.codes, max_bits)
-        else:
-            index, others = GrayIndex(codes[side == 0]), codes[side == 1]
-            every, n = np.concatenate([index.codes, others]), len(index.codes)
-            pairs = ((q + n, c) for q, c in index.search(others, max_bits))
+        codes, visits = pdf["code"].to_numpy().view(np.uint64), pdf["visits"].to_numpy(bool)
+        index, others = GrayIndex(codes[~visits]), codes[visits]
+        every = np.concatenate([index.codes, others])
+        pairs = index.search(every, max_bits)
         root = forest(len(every), pairs)
         child = np.flatnonzero(root != np.arange(len(every)))
         return pd.DataFrame({"u": every[child].view(np.int64), "v": every[root[child]].view(np.int64)})
 
-    routed = codes.select("code", "rank").mapInArrow(route, "a int, b int, side int, code long")
-    return routed.groupBy("a", "b").applyInPandas(search, "u long, v long")
+    routed = codes.select("code", "rank").mapInArrow(route, "part int, visits boolean, code long")
+    return routed.groupBy("part").applyInPandas(search, "u long, v long")
 
 
 def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
