@@ -165,7 +165,7 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
 
     def rerank(mem: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(mem) or not len(ask):
-            return pd.DataFrame({"q": [], "key": [], "score": [], "ids": []})
+            return pd.DataFrame({"q": [], "key": [], "score": [], "ids": []}, dtype=object)
         m, q = unit(vectors(mem["vec"])), unit(vectors(ask["vec"]))
         rough = q @ m.T
         n = min(len(m), k + 4)

@@ -3,11 +3,12 @@ portable hashes and Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASH_BITS = 60
 
@@ -60,3 +61,17 @@ def batches_of(texts: pa.ChunkedArray | pa.Array, max_bytes: int = 4 << 20) -> I
         size += len(b)
     if rows:
         yield start, rows
+
+
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keep`` accepts, all columns as they
+    are, whatever their names."""
+    place = docs.columns.index(text_col)
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(place).cast(pa.string())), pa.bool_()))
+
+    schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(plain, docs.schema.fields)])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns)

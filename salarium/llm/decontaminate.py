@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from salarium.llm.common import batches_of, ref
+from salarium.llm.common import batches_of, keep_rows, ref
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -263,14 +263,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     over the documents for each block of items."""
     for block in item_blocks(items, item_id_col, item_text_col, shingle, containment):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        place = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = []
-                for _, texts in batches_of(batch.column(place).cast(pa.string())):
-                    clean += [not found for found in shared.value.matches(texts)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+        def clean(texts: pa.Array, shared=shared) -> list[bool]:
+            return [not found for _, part in batches_of(texts) for found in shared.value.matches(part)]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = keep_rows(docs, text_col, clean)
     return docs

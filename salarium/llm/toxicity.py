@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salarium.llm.common import ref
+from salarium.llm.common import keep_rows, ref
 from salarium.session import materialize
 
 TRAIN_ROWS = 8000
@@ -307,12 +307,9 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(texts: pa.Array) -> list[bool]:
         model = shared.value
-        a = model.automaton()
-        for batch in batches:
-            yield batch.filter(pa.array(score_of(model, measured(a, batch.column(place).cast(pa.string()))) < THRESHOLD))
+        return (score_of(model, measured(model.automaton(), texts)) < THRESHOLD).tolist()
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text_col, clean)
