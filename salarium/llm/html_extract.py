@@ -9,9 +9,9 @@
    less the mean entropy of its texts over the pages, log c / log m for a
    text that ``c`` pages show.  Their weighted sum is the importance of the
    node: near 0 for what a site repeats, near 1 for what each page has anew.
-3. From each page, branches of low importance go, and so do containers that
-   their markup names as menu, header, footer, sidebar, notice, advert, form
-   or comments; of the rest, the blocks inside article or main elements stay
+3. From each page, branches whose nodes are all of low importance go, and so
+   do containers that their markup names as menu, header, footer, sidebar,
+   notice, advert, form or comments; of the rest, the blocks inside article or main elements stay
    if there are any.
 
 Counts are aggregated before they are shuffled, so a host with most pages
@@ -104,6 +104,17 @@ def site_tree(pages: DataFrame) -> DataFrame:
                         ((1 - CONTENT_WEIGHT) * presentation + CONTENT_WEIGHT * content).alias("importance"))
 
 
+def noisy_nodes(tree: DataFrame) -> DataFrame:
+    """(host, node) of the nodes that are of low importance themselves and
+    in all their branches."""
+    tree = materialize(tree)
+    low = (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)
+    parts = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    holds = tree.where(~low).select("host", F.explode(above).alias("node")).distinct()
+    return tree.where(low).select("host", "node").join(holds, ["host", "node"], "left_anti")
+
+
 def article(page: Page, low: set[str]) -> str:
     """The blocks outside boilerplate and low branches, joined."""
 
@@ -128,8 +139,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         host_of(ref(pages, url_col).cast("string")).alias("host"),
                         ref(pages, html_col).cast("string").alias("html"))
     id_kind = rows.schema["page_id"].dataType.simpleString()
-    low = materialize(site_tree(rows).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-                      .select("host", "node"))
+    low = materialize(noisy_nodes(site_tree(rows)))
     out_kind = f"page_id {id_kind}, url string, text string"
 
     def text_rows(b: pa.RecordBatch, low_of) -> pa.RecordBatch:
