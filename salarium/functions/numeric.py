@@ -28,11 +28,6 @@ def dbl(c: str | Column) -> Column:
     return col(c).cast("double")
 
 
-def sum_d(c: str | Column) -> Column:
-    """Exact sum, returned as double."""
-    return F.sum(col(c)).cast("double")
-
-
 def mean_d(c: str | Column) -> Column:
     """double(exact sum) / count of non-null values; NULL on an empty group."""
     return F.try_divide(F.sum(col(c)).cast("double"), F.count(col(c)))

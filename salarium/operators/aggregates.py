@@ -28,7 +28,7 @@ def salary_stats(df: DataFrame, keys, *, value: str = "salary_amount",
     With percentiles: one pass over ``df`` -- a GROUPING SETS aggregate
     yields the (group, value) histogram and the (group, employee) /
     (group, company) distinct keys together -- then one aggregate over the
-    rank frame gives mean, exact stddev, min/max and the percentiles."""
+    rank frame gives mean, stddev, min/max and the percentiles."""
     keys = list(keys)
     if not percentiles:
         return _plain_stats(df, keys, value, company_count, employee_count, avg_name, stddev,
@@ -54,14 +54,14 @@ def salary_stats(df: DataFrame, keys, *, value: str = "salary_amount",
     names = {"company_id": "company_count", "employee_id": "employee_count"}
     aggs = quantile_exprs(percentiles) + [
         F.max("n").alias("_n"), F.max("total").alias("_s1"),
-        F.sum(v * v * F.col("f")).alias("_s2"),
+        sq_dev(v, F.col("f")).alias("_d2"),
         F.max("vmin").alias("_min"), F.max("vmax").alias("_max")] + \
         [F.count(f"_id_{c}").alias(names[c]) for c in ids]
     st = rf.df.groupBy(*keys).agg(*aggs)
     n = F.col("_n")
     cols = [F.try_divide(F.col("_s1").cast("double"), n).alias(avg_name)]
     if stddev:
-        cols.append(rnd(_stddev_samp(n, F.col("_s1"), F.col("_s2")), SPREAD_DIGITS).alias("stddev_salary"))
+        cols.append(rnd(stddev_samp_of(n, F.col("_d2")), SPREAD_DIGITS).alias("stddev_salary"))
     if max_name:
         cols.append(F.col("_max").cast("double").alias(max_name))
     if min_name:
@@ -75,15 +75,16 @@ def salary_stats(df: DataFrame, keys, *, value: str = "salary_amount",
     return out.select(*order, *[c for c in out.columns if c not in order])
 
 
-def _stddev_samp(n: Column, s1: Column, s2: Column) -> Column:
-    """Sample standard deviation from exact decimal moments:
-    sqrt((n*S2 - S1^2) / (n (n-1))); NULL for n < 2.  The numerator is exact
-    in decimal; if it would overflow, the double form is used instead."""
-    exact = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), s2), F.try_multiply(s1, s1))
-    den = n.cast("double") * (n - 1).cast("double")
-    approx = s2.cast("double") - s1.cast("double") * s1.cast("double") / n.cast("double")
-    var = F.coalesce(exact.cast("double") / den, approx / (n - 1).cast("double"))
-    return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))
+def sq_dev(v: Column, f: Column) -> Column:
+    """Sum of squared deviations over a rank frame: the mean rides along as
+    total / n, so one pass is enough and no square of a sum can overflow."""
+    mean = F.col("total").cast("double") / F.col("n").cast("double")
+    return F.sum(F.when(v.isNotNull(), F.pow(v.cast("double") - mean, F.lit(2.0)) * f.cast("double")))
+
+
+def stddev_samp_of(n: Column, d2: Column) -> Column:
+    """Sample standard deviation; NULL for n < 2."""
+    return F.when(n >= 2, F.sqrt(d2 / (n - 1).cast("double")))
 
 
 def _plain_stats(df, keys, value, company_count, employee_count, avg_name, stddev, max_name,

@@ -5,7 +5,8 @@ into words of letters/digits, each word padded with two spaces in front and
 one behind, and its 3-character windows form a set; similarity is
 |shared| / |union| of the two sets.  Everything is built-in higher-order
 array functions, evaluated per row on the executors; the search term's
-trigram set is a constant folded into the plan, so no join is needed.
+trigram set is a literal of the plan, so no join is needed, and the column's
+trigrams are built once per row.
 """
 
 from __future__ import annotations
@@ -30,16 +31,27 @@ def trigrams(c: str | Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    inter = F.size(F.array_intersect(a, b)).cast("double")
-    union = F.size(F.array_union(a, b)).cast("double")
-    return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+def term_trigrams(term: str) -> list[str]:
+    """The same set for a constant, built once for the plan."""
+    words = "".join(c if c.isalnum() else " " for c in term.lower()).split()
+    return list(dict.fromkeys(f"  {w} "[i:i + 3] for w in words for i in range(len(w) + 1)))
+
+
+def similarity(column: Column, term: str) -> Column:
+    grams = term_trigrams(term)
+    constant = F.array(*[F.lit(g) for g in grams]) if grams else F.array().cast("array<string>")
+
+    def share(own: Column) -> Column:
+        inter = F.size(F.array_intersect(own, constant))
+        return F.coalesce(F.try_divide(inter.cast("double"), (F.size(own) + len(grams) - inter).cast("double")), F.lit(0.0))
+
+    # bound once: the set is used three times
+    return F.transform(F.array(trigrams(column)), share).getItem(0)
 
 
 def fuzzy_search(df: DataFrame, column: str, term: str,
                  threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Rows of ``df`` whose ``column`` is trigram-similar to ``term``
-    (similarity >= threshold), with the similarity."""
-    sim = similarity(trigrams(column), trigrams(F.lit(term)))
-    return (df.withColumn("similarity", F.round(sim, INDEX_DIGITS))
+    (similarity >= threshold), with the similarity; a NULL is not similar."""
+    return (df.withColumn("similarity", F.round(similarity(F.col(column), term), INDEX_DIGITS))
               .where(F.col("similarity") >= F.lit(threshold)))

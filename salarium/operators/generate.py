@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salarium.operators.ranks import PRE, V, rank_frame
+from salarium.operators.ranks import PRE, V, hash_bucket, rank_frame
 from salarium.sources.star import SALARY
 
 # Fixed values (reference seed script); the filename is prefix || id ||
@@ -32,13 +32,19 @@ PAY_TIERS = {
     "low": ([(0.10, 20000, 30000), (0.30, 8000, 12000), (0.70, 4500, 5500)], (3000, 3000)),
 }
 
-_MASK53 = (1 << 53) - 1
+
+
+def digest_bits(digits: int, *parts: str | int | Column) -> Column:
+    """The first ``digits`` hex digits of the MD5 of the parts joined by
+    '|', as a long: the same in every SQL engine."""
+    cols = [F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, digits), 16, 10).cast("long")
 
 
 def uniform(seed: int, tag: str, *cols: str | Column) -> Column:
-    """Deterministic uniform [0, 1) draw from (seed, tag, cols)."""
-    h = F.xxhash64(F.lit(seed), F.lit(tag), *[F.col(c) if isinstance(c, str) else c for c in cols])
-    return h.bitwiseAND(F.lit(_MASK53)).cast("double") / F.lit(float(1 << 53))
+    """Deterministic uniform [0, 1) draw from (seed, tag, cols): 52 bits."""
+    h = digest_bits(13, seed, tag, *[F.col(c) if isinstance(c, str) else c for c in cols])
+    return h.cast("double") / F.lit(float(1 << 52))
 
 
 def document_headcounts(companies: DataFrame, seed: int = 42,
@@ -66,8 +72,8 @@ def hash_positions(df: DataFrame, key: str, seed: int, groups=()) -> DataFrame:
     no whole group in one task.  ``key`` must be unique within a group;
     hash collisions are ordered by ``key``."""
     groups = list(groups)
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.lit("order"), *groups, F.col(key)))
-    rf = rank_frame(h.select(*groups, "_h"), "_h", groups)
+    h = df.withColumn("_h", digest_bits(15, seed, "order", *[F.col(c) for c in (*groups, key)]))
+    rf = rank_frame(h.select(*groups, "_h"), "_h", groups, bucket=hash_bucket(df, F.col(V)))
     pos = rf.df.select(*groups, F.col(V).alias("_h"), F.col(PRE).alias("_pre"), F.col("n").alias("_n"))
     j = h.join(pos, groups + ["_h"], "inner")
     tie = Window.partitionBy(*groups, "_h").orderBy(key)   # collision groups: 1-2 rows
@@ -102,14 +108,16 @@ def synthetic_assignments(documents: DataFrame, employees: DataFrame, seed: int
     h per company; here employees get dense positions in a seeded random
     permutation and company c takes the h consecutive positions from a
     random start (mod E), an equi-join on position -- work proportional to
-    the rows produced, never companies x employees.
+    the rows produced, never companies x employees.  A deviation: neighbours
+    of the permutation recur together across companies, while each company's
+    own draw stays uniform over the employees and without repeats.
     """
     emp = hash_positions(employees.select("employee_id"), "employee_id", seed)
     total = emp.agg(F.max("_n")).scalar()
     start = F.floor(uniform(seed, "start", "company_id") * total).cast("long")
     slots = (documents.where(F.col("employee_count") > 0)
              .select("document_id", "company_id", F.col("employee_count").alias("h"))
-             .withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.col("h"), total.cast("int")) - 1)))
+             .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("h").cast("long"), total) - 1)))
              .withColumn("position", F.pmod(start + F.col("_j"), total)))
     rows = slots.join(emp.select("employee_id", "position"), "position", "inner")
     cid = F.col("company_id")

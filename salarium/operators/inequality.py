@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salarium.functions.numeric import INDEX_DIGITS
+from salarium.functions.numeric import INDEX_DIGITS, SPREAD_DIGITS, rnd
+from salarium.operators.aggregates import sq_dev, stddev_samp_of
 from salarium.operators.ranks import CUM, F_, PRE, V, RankFrame, rank_frame
 
 # Fixed value (reference Gini): offset added to every value.
@@ -39,7 +40,7 @@ def gini_expr():
 def inequality(rf: RankFrame, epsilon: float = DEFAULT_EPSILON,
                digits: int | None = INDEX_DIGITS, with_stddev: bool = False) -> DataFrame:
     """Gini, Hoover and Atkinson per group in one aggregate over the frame
-    (optionally the sample stddev too, from exact moments)."""
+    (optionally the sample stddev too)."""
     df = rf.df.where(F.col(V).isNotNull())
     v = F.col(V).cast("double")
     f = F.col(F_).cast("double")
@@ -55,7 +56,7 @@ def inequality(rf: RankFrame, epsilon: float = DEFAULT_EPSILON,
         F.sum(F.when(pos, f)).alias("_pn"),
         F.sum(F.when(pos, f * v)).alias("_ps"),
         F.sum(F.when(pos, f * (F.log(v) if epsilon == 1 else F.pow(v, F.lit(a))))).alias("_pa"),
-        F.first("total").alias("_s1"), F.sum(F.col(V) * F.col(V) * F.col(F_)).alias("_s2"),
+        sq_dev(v, f).alias("_d2"),
     ]
     g = df.groupBy(*rf.groups).agg(*aggs)
     n = F.col("n").cast("double")
@@ -75,18 +76,14 @@ def inequality(rf: RankFrame, epsilon: float = DEFAULT_EPSILON,
         return F.round(c, digits) if digits is not None else c
     extra = []
     if with_stddev:
-        from salarium.functions.numeric import SPREAD_DIGITS, rnd
-        from salarium.operators.aggregates import _stddev_samp
-        extra.append(rnd(_stddev_samp(F.col("n"), F.col("_s1"), F.col("_s2")), SPREAD_DIGITS)
-                     .alias("stddev_salary"))
+        extra.append(rnd(stddev_samp_of(F.col("n"), F.col("_d2")), SPREAD_DIGITS).alias("stddev_salary"))
     return g.select(*rf.groups, F.coalesce(F.col("n"), F.lit(0)).alias("record_count"),
                     r(gini).alias("gini"), r(hoover).alias("hoover"), r(atk).alias("atkinson"), *extra)
 
 
 def inequality_of(df: DataFrame, value: str = "salary_amount", groups=(),
-                  epsilon: float = DEFAULT_EPSILON, bounds_from: DataFrame | None = None,
-                  digits: int | None = INDEX_DIGITS) -> DataFrame:
-    rf = rank_frame(df.select(*groups, value), value, groups, bounds_from=bounds_from)
+                  epsilon: float = DEFAULT_EPSILON, digits: int | None = INDEX_DIGITS) -> DataFrame:
+    rf = rank_frame(df.select(*groups, value), value, groups)
     return inequality(rf, epsilon, digits)
 
 

@@ -7,8 +7,6 @@ otherwise the join is a shuffle sort-merge join.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +16,29 @@ DETAIL_COLUMNS = ["employee_id", "full_name", "company_id", "company_name",
                   "activity_description", "city", "salary_amount", "filename"]
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL (grouping keys may be NULL)."""
-    keys = list(keys)
-    if not keys:
-        return left.crossJoin(right)
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys])
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+def company_people(star: Star, floor=None) -> DataFrame:
+    """Records reduced to one row per (company, employee): ``records``,
+    ``paid`` (records with a salary), ``pay``, ``lowest``, ``highest``.
+
+    Shuffled on both keys, so a company with a third of all records is
+    spread over all tasks; per-company figures, distinct employees among
+    them, are then plain partial sums over this frame."""
+    sr = star.records("company_id", "employee_id", "salary_amount")
+    if floor is not None:
+        sr = sr.where(F.col("salary_amount") >= F.lit(floor))
+    return sr.groupBy("company_id", "employee_id").agg(
+        F.count(F.lit(1)).alias("records"), F.count("salary_amount").alias("paid"), F.sum("salary_amount").alias("pay"),
+        F.min("salary_amount").alias("lowest"), F.max("salary_amount").alias("highest"))
+
+
+def company_sizes(star: Star, floor=None) -> DataFrame:
+    """One row per company that has records: ``company_id, size`` (distinct
+    employees), ``paid, pay, lowest, highest``; only companies of the
+    dimension."""
+    per = company_people(star, floor).groupBy("company_id").agg(
+        F.count("employee_id").alias("size"), F.sum("paid").alias("paid"),
+        F.sum("pay").cast("decimal(25,2)").alias("pay"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+    return per.join(star.companies.select("company_id"), "company_id", "left_semi")
 
 
 def star_detail(star: Star, where: Column | None = None, extra=()) -> DataFrame:

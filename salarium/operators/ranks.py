@@ -15,10 +15,10 @@ Instead (per optional group key ``g``):
      broadcast), and because values have a fixed resolution a bucket
      [t, t*(1+1/32)) holds at most t/32/ulp + 1 distinct values, whatever
      the data size.
-   * DOUBLE values: ``k`` boundaries from ``approxQuantile`` (a bounded list
-     of doubles on the driver).
-3. Per (g, bucket) totals -> exclusive prefix offsets per group.  That
-   table has at most ``groups x (k + 1)`` rows.
+   * DOUBLE values and decimals wider than 18 digits: the same steps of the
+     double's base-2 logarithm (``double_bucket``), a hard bound as well.
+   * uniform hashes: their leading bits (``hash_bucket``).
+3. Per (g, bucket) totals -> exclusive prefix offsets per group.
 4. ``Window.partitionBy(g, bucket).orderBy(v)`` running sums of ``f`` and
    ``v*f`` (rows strictly below) plus the offsets give, for every distinct
    value, ``pre`` (rows strictly below), ``cum`` (sum strictly below), and
@@ -37,11 +37,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from salarium.session import checkpoint_dir
+from pyspark.sql import types as T
 
 V, F_, PRE, CUM, B = "v", "f", "pre", "cum", "_bucket"
 
@@ -72,22 +70,39 @@ def log_bucket(unscaled: Column) -> Column:
     return F.coalesce(b, F.lit(NULL_BUCKET))
 
 
-def _unscaled(c: Column, dt) -> Column:
-    from pyspark.sql import types as T
-    if isinstance(dt, T.DecimalType):
-        return (c * F.lit(10 ** dt.scale)).cast("long")
-    return c.cast("long")
+def double_bucket(v: Column) -> Column:
+    """Monotone bucket of a double: 32 steps of log2 |v| per octave, mirrored
+    for negative values, 0 between; NULL and NaN last.  The logarithm is
+    monotone, so a tie group never straddles two buckets; at most about
+    134,000 distinct buckets over the whole range of doubles."""
+    a = F.abs(v)
+    mag = (F.floor(F.log2(a) * (1 << LOG_STEPS_BITS)) + (1100 << LOG_STEPS_BITS)).cast("int")
+    b = (F.when(F.isnan(v), F.lit(NULL_BUCKET)).when(a == float("inf"), F.signum(v).cast("int") * (1 << 20))
+          .when(v > 0, mag).when(v < 0, -mag).when(v == 0, F.lit(0)))
+    return F.coalesce(b, F.lit(NULL_BUCKET))   # non-nullable, see log_bucket
 
 
-def _exact_resolution(df: DataFrame, col: str) -> bool:
-    from pyspark.sql import types as T
-    dt = df.schema[col].dataType
-    return isinstance(dt, (T.DecimalType, T.IntegerType, T.LongType, T.ShortType, T.ByteType))
+HASH_BITS = 60   # width of the hashes that ``hash_bucket`` takes
 
 
-def default_buckets(df: DataFrame) -> int:
+def hash_bucket(df: DataFrame, h: Column) -> Column:
+    """Bucket of a uniform ``HASH_BITS``-bit hash: its leading bits, about
+    four buckets per shuffle partition and at most 2^14, so the largest
+    bucket shrinks as partitions are added."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, 4 * parts)
+    bits = min(14, max(8, (4 * parts).bit_length()))
+    return F.coalesce(F.shiftright(h, HASH_BITS - bits).cast("int"), F.lit(NULL_BUCKET))
+
+
+def value_bucket(hist: DataFrame) -> Column:
+    """Bucket of the value column by its type."""
+    dt = hist.schema[V].dataType
+    if isinstance(dt, T.DecimalType) and dt.precision <= 18:
+        return log_bucket((F.col(V) * F.lit(10 ** dt.scale)).cast("long"))
+    if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        # |Long.MIN| has no long: it shares the bucket of its neighbour
+        return log_bucket(F.greatest(F.col(V).cast("long"), F.lit(-(2 ** 63 - 1))))
+    return double_bucket(F.col(V).cast("double"))
 
 
 @dataclass
@@ -109,51 +124,15 @@ class RankFrame:
                 .otherwise(F.lit(0.0))
 
 
-def _bounds(values: DataFrame, col: str, k: int) -> list[float]:
-    probs = [i / k for i in range(1, k)]
-    qs = values.approxQuantile(col, probs, 1.0 / (4 * k))
-    out: list[float] = []
-    for q in qs:
-        if q is not None and q == q and (not out or q > out[-1]):
-            out.append(float(q))
-    return out
-
-
-def bucketize(df: DataFrame, dcol: str, bounds: list[float], out: str = B) -> DataFrame:
-    """Bucket = number of boundaries strictly below-or-equal the value
-    (binary search in the JVM); NULL/NaN go to the last bucket."""
-    splits = [float("-inf")] + bounds + [float("inf")]
-    tmp = "_bk_in"
-    df = df.withColumn(tmp, F.coalesce(F.col(dcol), F.lit(float("nan"))))
-    bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    # NaN lands in the extra last bucket; make it the NULL bucket and keep
-    # the column non-nullable so both uses of the histogram plan identically
-    # (one shared exchange instead of two).
-    b = F.col(out)
-    return (bz.transform(df)
-              .withColumn(out, F.coalesce(F.when(b < len(splits) - 1, b.cast("int")),
-                                          F.lit(NULL_BUCKET)))
-              .drop(tmp))
-
-
-def rank_frame(df: DataFrame, value: str | Column, groups=(), *,
-               bounds_from: DataFrame | None = None, buckets: int | None = None,
-               checkpoint: bool = False) -> RankFrame:
+def rank_frame(df: DataFrame, value: str | Column, groups=(), *, bucket: Column | None = None) -> RankFrame:
     """Build the rank frame of ``value`` (optionally per ``groups``).
-
-    ``bounds_from`` (DOUBLE values only): a one-column numeric DataFrame with
-    roughly the same value distribution, used only to pick quantile bucket
-    boundaries; the default is the histogram itself.
-    ``checkpoint``: cut the histogram's lineage into the shared checkpoint
-    folder so an expensive input is computed once and survives executor
-    loss between the boundary job and the main job.
-    """
+    ``bucket``: a monotone bucket of the value column ``v`` in place of the
+    one chosen by its type."""
     groups = tuple(groups)
     vcol = F.col(value) if isinstance(value, str) else value
     hist = (df.groupBy(*groups, vcol.alias(V))
               .agg(F.count(F.lit(1)).alias(F_)))
-    return frame_from_hist(hist, groups, bounds_from=bounds_from, buckets=buckets,
-                           checkpoint=checkpoint)
+    return frame_from_hist(hist, groups, bucket=bucket)
 
 
 SIDE_BUCKETS = 1024
@@ -166,8 +145,7 @@ def side_bucket(*ids: Column) -> Column:
     return (F.lit(SIDE_BASE) - F.pmod(F.xxhash64(*ids), F.lit(SIDE_BUCKETS))).cast("int")
 
 
-def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None = None,
-                    buckets: int | None = None, checkpoint: bool = False,
+def frame_from_hist(hist: DataFrame, groups=(), *, bucket: Column | None = None,
                     carry=(), side: str | None = None) -> RankFrame:
     """Rank frame from an already aggregated histogram ``(*groups, v, f)``
     (one row per group and distinct value).
@@ -179,28 +157,12 @@ def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None
     rank columns; the side bucket spreads them over many tasks.  Consumers
     read group constants with ``max`` (NULL on side rows)."""
     groups = tuple(groups)
-    df = hist
-    if checkpoint:
-        checkpoint_dir(df.sparkSession)
-        hist = hist.checkpoint(eager=True)
-    if buckets is None and _exact_resolution(hist, V):
-        lb = log_bucket(_unscaled(F.col(V), hist.schema[V].dataType))
-        hb = hist.withColumn(B, F.coalesce(F.col(side), lb) if side else lb)
-    else:
-        k = buckets or default_buckets(df)
-        if bounds_from is None:
-            src = hist.select(F.col(V).cast("double").alias("_q")).where(F.col("_q").isNotNull())
-        else:
-            src = bounds_from.select(F.col(bounds_from.columns[0]).cast("double").alias("_q"))\
-                             .where(F.col("_q").isNotNull())
-        bounds = _bounds(src, "_q", k)
-        hb = bucketize(hist.withColumn("_vd", F.col(V).cast("double")), "_vd", bounds).drop("_vd")
-        if side:
-            hb = hb.withColumn(B, F.coalesce(F.col(side), F.col(B)))
+    lb = value_bucket(hist) if bucket is None else bucket
+    hb = hist.withColumn(B, F.coalesce(F.col(side), lb) if side else lb)
     vf = F.col(V) * F.col(F_)
 
-    # Per (group, bucket) totals and exclusive prefix offsets.  At most
-    # groups x (k + 1) rows; without groups this is a (k + 1)-row table.
+    # Per (group, bucket) totals and exclusive prefix offsets: bounded per
+    # group by the number of buckets.
     # side rows (weight 0) need no offsets: keep them out of the totals.
     # Filter on the weight, not on the side column: a predicate on grouping
     # columns would be pushed below the shared histogram aggregate and make
@@ -234,8 +196,9 @@ def frame_from_hist(hist: DataFrame, groups=(), *, bounds_from: DataFrame | None
         offsets = offsets.withColumn("_gh", gh).withColumn("_g", F.struct(*groups)).drop(*groups)
         keys = ["_gh", "_g", B]
     else:
-        # One row per non-empty bucket: at most ~4100 rows (log buckets) or
-        # k + 1 (quantile buckets) -- a proven bound, so it is broadcast.
+        # One row per non-empty bucket: at most ~4100 rows (log buckets), 2^14
+        # (hash buckets) or ~134,000 (doubles, about 10 MB) -- a proven bound,
+        # so it is broadcast.
         offsets = F.broadcast(offsets)
         keys = [B]
 
@@ -320,6 +283,24 @@ def ntile(rf: RankFrame, tiles: int = 10) -> DataFrame:
                  F.max("_carry_total").alias("group_total")))
 
 
+def lorenz_curve(rf: RankFrame) -> DataFrame:
+    """The exact Lorenz curve as its corner points: the first row, and the
+    last row of every group of equal values (between them the curve is a
+    straight line).  ``*groups, i, x = i / (n - 1), y = cumulative share``."""
+    df = rf.df.where(F.col(V).isNotNull() & (F.col("n") > 0))
+    last = F.col(PRE) + F.col(F_) - 1
+    rows = F.when(F.col(PRE) == 0, F.array_distinct(F.array(F.lit(0).cast("long"), last))).otherwise(F.array(last))
+    return _curve_points(df.withColumn("i", F.explode(rows)), rf.groups)
+
+
+def _curve_points(df: DataFrame, groups) -> DataFrame:
+    return df.select(*groups, "i",
+                     F.when(F.col("n") > 1, F.col("i").cast("double") / (F.col("n") - 1).cast("double"))
+                      .otherwise(F.lit(0.0)).alias("x"),
+                     F.try_divide((F.col(CUM) + F.col(V) * (F.col("i") - F.col(PRE) + 1)).cast("double"),
+                                  F.col("total").cast("double")).alias("y"))
+
+
 def lorenz_points(rf: RankFrame, points: int = 100) -> DataFrame:
     """Exact Lorenz-curve points at row indices floor(j*(n-1)/points),
     j = 0..points: x = i/(n-1), y = cumulative sum through row i / total.
@@ -337,12 +318,7 @@ def lorenz_points(rf: RankFrame, points: int = 100) -> DataFrame:
     ex = (df.where(j_lo <= j_hi)
             .withColumn("_j", F.explode(F.sequence(j_lo, j_hi)))
             .withColumn("i", F.floor(F.col("_j") * F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0) / K).cast("long")))
-    pts = ex.select(*rf.groups, "i",
-                    F.when(F.col("n") > 1, F.col("i").cast("double") / (F.col("n") - 1).cast("double"))
-                     .otherwise(F.lit(0.0)).alias("x"),
-                    F.try_divide((F.col(CUM) + F.col(V) * (F.col("i") - pre + 1)).cast("double"),
-                                 F.col("total").cast("double")).alias("y"))
-    return pts.dropDuplicates([*rf.groups, "i"])
+    return _curve_points(ex, rf.groups).dropDuplicates([*rf.groups, "i"])
 
 
 def expand_rows(rf: RankFrame, chunk: int = 100_000) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salarium.functions.numeric import PERCENTILE_DIGITS, mean_round2, rnd
+from salarium.functions.numeric import PERCENTILE_DIGITS, rnd
 from salarium.operators.aggregates import MEDIAN
-from salarium.operators.ranks import quantiles, rank_frame
+from salarium.operators.ranks import quantile_exprs, quantile_value, rank_frame
 from salarium.plans import views
 from salarium.sources.sinks import reload_tables, scratch_path, write_table
 from salarium.sources.star import SALARY, Star, load_star
@@ -43,23 +43,29 @@ def table_row_counts(star: Star) -> DataFrame:
 
 
 def metric_value_stats(star: Star) -> DataFrame:
-    """(metric, value) long form: rounded mean, median, max -- one
-    aggregate pass plus the rank frame for the exact median."""
-    sr = star.records("salary_amount")
-    med = quantiles(rank_frame(sr, "salary_amount"), MEDIAN)
-    one = sr.agg(mean_round2("salary_amount").alias("a"), F.max("salary_amount").cast("double").alias("m"))
-    one = one.select("a", "m", med.select(rnd(F.col("median_salary"), PERCENTILE_DIGITS)).scalar().alias("p"))
+    """(metric, value) long form: rounded mean, median, max, all from
+    one pass over the rank frame."""
+    rf = rank_frame(star.records("salary_amount"), "salary_amount")
+    one = rf.df.agg(*quantile_exprs(MEDIAN), F.max("n").alias("n"), F.max("total").alias("total"), F.max("vmax").alias("vmax"))
+    one = one.select(F.round(F.try_divide(F.col("total").cast("decimal(25,2)"), F.col("n")), 2).cast("double").alias("a"),
+                     rnd(quantile_value("median_salary"), PERCENTILE_DIGITS).alias("p"), F.col("vmax").cast("double").alias("m"))
     a, p, m = METRIC_LABELS
     return one.selectExpr(f"stack(3, '{a}', a, '{p}', p, '{m}', m) AS (metric, value)")
 
 
 def reload_and_count(spark: SparkSession, star: Star) -> DataFrame:
     """S10 round trip: write the four tables to a fresh folder under the
-    shared checkpoint directory, read them back with the declared schemas
-    and count the rows."""
+    shared checkpoint directory, read them back with the declared schemas,
+    count the rows and sum what they hold."""
     base = scratch_path(spark, "star")
     reload_tables(star, base)
-    return table_row_counts(load_star(spark, base))
+    sums = {"companies": "company_id", "employees": "employee_id", "documents": "document_id", "salary_records": "salary_amount"}
+    tabs, out = load_star(spark, base).tables(), None
+    for label, t in ROW_COUNT_LABELS:
+        part = tabs[t].agg(F.count(F.lit(1)).alias("row_count"), F.sum(sums[t]).cast("double").alias("content_sum"))
+        part = part.select(F.lit(label).alias("table_name"), "row_count", "content_sum")
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 SUMMARY_TABLES = ("company_summary", "top_earners", "city_salary_stats", "activity_salary_stats")
@@ -67,13 +73,14 @@ SUMMARY_TABLES = ("company_summary", "top_earners", "city_salary_stats", "activi
 
 def refresh_summary_tables(spark: SparkSession, star: Star, base: str | None = None) -> DataFrame:
     """Persist the four views as tables (overwrite) and report the
-    rows written per table."""
+    rows written per table and a sum over each."""
     base = base or scratch_path(spark, "summary")
     out = None
     for name in SUMMARY_TABLES:
         path = f"{base}/{name}"
         write_table(getattr(views, name)(star), path)
-        part = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))\
-                    .select(F.lit(name).alias("table_name"), "row_count")
+        total = "salary_amount" if name == "top_earners" else "employee_count"
+        part = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"), F.sum(total).cast("double").alias("content_sum"))\
+                    .select(F.lit(name).alias("table_name"), "row_count", "content_sum")
         out = part if out is None else out.unionAll(part)
     return out

@@ -68,3 +68,26 @@ def label_of(ordinal: str, labels) -> str:
 def like_ci(col: str, term: str) -> str:
     t = term.replace("'", "''")
     return f"LOWER({col}) LIKE LOWER('%{t}%')"
+
+
+# Literals of the oracle, on purpose not those of the package: a wrong edge
+# or label there shows up as a mismatch.
+DASHBOARD_EDGES = (5000, 10000, 15000, 20000, 30000, 50000, 100000, 200000, 500000, 1000000)
+DASHBOARD_NAMES = ("< 5K", "5K-10K", "10K-15K", "15K-20K", "20K-30K", "30K-50K", "50K-100K", "100K-200K", "200K-500K", "500K-1M", "1M+")
+REPORT_EDGES = (3000, 5000, 8000, 10000, 15000, 20000, 30000, 50000, 100000, 200000, 500000, 1000000)
+REPORT_NAMES = ("< 3K", "3K-5K", "5K-8K", "8K-10K", "10K-15K", "15K-20K", "20K-30K", "30K-50K", "50K-100K", "100K-200K",
+                "200K-500K", "500K-1M", "1M+")
+SIZE_RANGES = ((1, 1), (2, 5), (6, 10), (11, 20), (21, 50), (51, 100), (101, 200), (201, 500), (501, 1000))
+SIZE_NAMES = ("1 employee", "2-5 employees", "6-10 employees", "11-20 employees", "21-50 employees", "51-100 employees",
+              "101-200 employees", "201-500 employees", "501-1000 employees", "1000+ employees")
+
+
+def digest(digits: int, *parts: str) -> str:
+    """The first hex digits of the MD5 of parts joined by '|' as a BIGINT."""
+    joined = " || '|' || ".join(parts)
+    return f"('0x' || substr(md5({joined}), 1, {digits}))::BIGINT"
+
+
+def draw(tag: str, *keys: str, seed: int = 42) -> str:
+    """Uniform [0, 1) draw of the generators."""
+    return f"({digest(13, f"'{seed}'", f"'{tag}'", *(f'{k}::VARCHAR' for k in keys))} / 4503599627370496.0::DOUBLE)"

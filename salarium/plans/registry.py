@@ -2,8 +2,7 @@
 
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` runs over the driver's tables
 through the star adapter; ``ORACLE[name]`` is the same question in SQL over
-the same tables (omitted only where no SQL equivalent exists, e.g. the
-hash-seeded generators).  Column names match between the two.
+the same tables (every key has one).  Column names match between the two.
 """
 
 from __future__ import annotations
@@ -14,13 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salarium.functions.buckets import (COMPANY_SIZE_LABELS, COMPANY_SIZE_RANGES,
-                                        DASHBOARD_SALARY_EDGES, DASHBOARD_SALARY_LABELS,
-                                        REPORT_SALARY_EDGES, REPORT_SALARY_LABELS)
 from salarium.functions.criteria import Criteria
 from salarium.plans import dashboard, report, views
-from salarium.plans.oracle import (avg_d, avg_round2, case_ordinal, dbl, label_of, like_ci, q,
-                                   sql, std)
+from salarium.plans.oracle import (DASHBOARD_EDGES, DASHBOARD_NAMES, REPORT_EDGES, REPORT_NAMES, SIZE_NAMES,
+                                   SIZE_RANGES, avg_d, avg_round2, case_ordinal, dbl, digest, draw, label_of,
+                                   like_ci, q, sql, std)
 from salarium.sources.star import load_tpch_star
 
 def decimals_to_double(df: DataFrame) -> DataFrame:
@@ -149,7 +146,7 @@ def _bucket_sql(edges, labels, source: str, label: str = "salary_range") -> str:
   SELECT CAST({o} AS BIGINT) AS range_order, COUNT(*) AS count FROM ({source}) GROUP BY 1)"""
 
 
-REPORT_BUCKETS_SQL = _bucket_sql(REPORT_SALARY_EDGES, REPORT_SALARY_LABELS,
+REPORT_BUCKETS_SQL = _bucket_sql(REPORT_EDGES, REPORT_NAMES,
                                  "SELECT salary_amount FROM salary_records WHERE salary_amount >= 1")
 
 
@@ -173,8 +170,8 @@ def _(star, spark, d):
 
 def _size_case(x: str) -> str:
     parts = " ".join(f"WHEN {x} BETWEEN {lo} AND {hi} THEN {i}"
-                     for i, (lo, hi) in enumerate(COMPANY_SIZE_RANGES, start=1))
-    return f"CASE {parts} ELSE {len(COMPANY_SIZE_RANGES) + 1} END"
+                     for i, (lo, hi) in enumerate(SIZE_RANGES, start=1))
+    return f"CASE {parts} ELSE {len(SIZE_RANGES) + 1} END"
 
 
 COMPANY_SIZES_SQL = f""", company_sizes AS (
@@ -189,7 +186,7 @@ COMPANY_SIZES_SQL = f""", company_sizes AS (
 
 
 @register("company_size_distribution",
-          sql(f"SELECT {label_of('range_order', COMPANY_SIZE_LABELS)} AS size_range, range_order, "
+          sql(f"SELECT {label_of('range_order', SIZE_NAMES)} AS size_range, range_order, "
               "company_count, employee_count FROM size_buckets", COMPANY_SIZES_SQL))
 def _(star, spark, d):
     return report.company_size_distribution(star)
@@ -280,22 +277,24 @@ def _(star, spark, d):
 
 
 TOKEN = "string_split(e.full_name, ' ')[-1]"
-TOKEN_STATS_CTE = f""", first_name_stats AS (
-  SELECT {TOKEN} AS first_name, COUNT(*) AS person_count, {avg_round2('s.salary_amount')} AS avg_salary
-  FROM employees e JOIN salary_records s ON e.employee_id = s.employee_id
-  GROUP BY 1 HAVING COUNT(*) >= 20
+TOKEN_STATS_CTE = f""", paid_tokens AS (
+  SELECT s.salary_amount, {TOKEN} AS token FROM salary_records s, employees e WHERE e.employee_id = s.employee_id
+), token_stats AS (
+  SELECT * FROM (SELECT token AS first_name, COUNT(*) AS person_count, {avg_round2('salary_amount')} AS avg_salary
+                 FROM paid_tokens GROUP BY token)
+  WHERE person_count > 19 AND first_name <> ''
 )"""
 
 
 @register("first_name_stats_top", sql("""SELECT first_name, person_count, avg_salary
-FROM first_name_stats WHERE first_name != ''
+FROM token_stats
 ORDER BY avg_salary DESC, first_name LIMIT 100""", TOKEN_STATS_CTE))
 def _(star, spark, d):
     return views.first_name_stats_top(star)
 
 
 @register("first_name_stats_bottom", sql("""SELECT first_name, person_count, avg_salary
-FROM first_name_stats WHERE first_name != ''
+FROM token_stats
 ORDER BY avg_salary ASC, first_name LIMIT 100""", TOKEN_STATS_CTE))
 def _(star, spark, d):
     return views.first_name_stats_bottom(star)
@@ -314,24 +313,15 @@ def _(star, spark, d):
     return views.name_token_stats(star, NAME_TOKENS)
 
 
-def _share_select(label: str, p: float) -> str:
-    return f"""SELECT '{label}' AS income_group, COUNT(*) AS employee_count,
-  CAST(SUM(salary_amount) AS DOUBLE) AS group_salary_mass,
-  (CAST(SUM(salary_amount) AS DOUBLE) / CAST((SELECT total_salary_mass FROM salary_total) AS DOUBLE)) * 100
-    AS percentage_of_total
-FROM salary_percentiles WHERE percentile >= {p}"""
-
-
-TOP_SHARES_CTE = """, salary_total AS (
-  SELECT SUM(salary_amount) AS total_salary_mass FROM salary_records
-), salary_percentiles AS (
-  SELECT employee_id, salary_amount, PERCENT_RANK() OVER (ORDER BY salary_amount) AS percentile
-  FROM salary_records
-)"""
-
-
-@register("top_income_shares", sql("\nUNION ALL\n".join(
-    _share_select(label, p) for label, p in views.TOP_SHARE_GROUPS), TOP_SHARES_CTE))
+@register("top_income_shares", sql("""SELECT name AS income_group, SUM(CASE WHEN place >= least THEN f ELSE 0 END)::BIGINT AS employee_count,
+  CAST(SUM(CASE WHEN place >= least THEN v * f END) AS DOUBLE) AS group_salary_mass,
+  CAST(SUM(CASE WHEN place >= least THEN v * f END) AS DOUBLE) / CAST(SUM(v * f) AS DOUBLE) * 100 AS percentage_of_total
+FROM placed, (VALUES ('Top 0.1%', 0.999), ('Top 1%', 0.99), ('Top 10%', 0.9)) g(name, least)
+GROUP BY name""", """, ties AS (
+  SELECT salary_amount AS v, COUNT(*) AS f FROM salary_records GROUP BY salary_amount
+), placed AS (
+  SELECT v, f, (SUM(f) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) - f)::DOUBLE / (SUM(f) OVER () - 1)::DOUBLE AS place FROM ties
+)"""))
 def _(star, spark, d):
     return views.top_income_shares(star)
 
@@ -385,7 +375,7 @@ def _(star, spark, d):
 
 
 @register("dashboard_salary_buckets", sql(_bucket_sql(
-    DASHBOARD_SALARY_EDGES, DASHBOARD_SALARY_LABELS,
+    DASHBOARD_EDGES, DASHBOARD_NAMES,
     f"SELECT s.salary_amount {STAR_FROM} WHERE {cohort_where(COHORT)}")))
 def _(star, spark, d):
     return dashboard.dashboard_salary_buckets(star, COHORT)
@@ -448,6 +438,13 @@ def _(star, spark, d):
     return report.inequality_measures(star).select("atkinson")
 
 
+@register("atkinson_log", sql("""SELECT ROUND(1 - EXP(AVG(LN(v))) / AVG(v), 8) AS atkinson
+FROM (SELECT CAST(salary_amount AS DOUBLE) AS v FROM fact WHERE salary_amount > 0)""", FACT_CTE))
+def _(star, spark, d):
+    """Atkinson index at epsilon 1."""
+    return report.inequality_measures(star, 1).select("atkinson")
+
+
 @register("inequality_by_group", sql("""SELECT city, COUNT(*) AS record_count,
   ROUND(SUM((2 * i - n - 1) * w) / (MAX(n) * SUM(w)), 8) AS gini,
   ROUND(CASE WHEN SUM(v) = 0 THEN 0 ELSE SUM(ABS(v - mean)) / (2 * SUM(v)) END, 8) AS hoover,
@@ -468,7 +465,7 @@ def _(star, spark, d):
 
 
 CURVE_CTE = FACT_CTE + """, curve AS (
-  SELECT ROW_NUMBER() OVER (ORDER BY salary_amount) - 1 AS i,
+  SELECT ROW_NUMBER() OVER (ORDER BY salary_amount) - 1 AS i, salary_amount,
          SUM(salary_amount) OVER (ORDER BY salary_amount ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
          COUNT(*) OVER () AS n, SUM(salary_amount) OVER () AS t
   FROM fact
@@ -478,10 +475,20 @@ CURVE_CTE = FACT_CTE + """, curve AS (
 @register("lorenz_curve", sql("""SELECT i AS point_index,
   CASE WHEN n > 1 THEN CAST(i AS DOUBLE) / (n - 1) ELSE 0.0 END AS x,
   CAST(c AS DOUBLE) / CAST(t AS DOUBLE) AS y
+FROM (SELECT *, LEAD(salary_amount) OVER (ORDER BY i) AS following FROM curve)
+WHERE i = 0 OR following IS NULL OR following <> salary_amount""", CURVE_CTE))
+def _(star, spark, d):
+    return report.lorenz_curve(star)
+
+
+@register("lorenz_points_100", sql("""SELECT i AS point_index,
+  CASE WHEN n > 1 THEN CAST(i AS DOUBLE) / (n - 1) ELSE 0.0 END AS x,
+  CAST(c AS DOUBLE) / CAST(t AS DOUBLE) AS y
 FROM curve
 WHERE i IN (SELECT DISTINCT (g.j * (m.nn - 1)) // 100 FROM range(0, 101) g(j), (SELECT COUNT(*) AS nn FROM fact) m)""",
-                              CURVE_CTE))
+                                   CURVE_CTE))
 def _(star, spark, d):
+    """A chart's 101 points of the curve (the number of points is the feature)."""
     return report.lorenz_curve(star, 100)
 
 
@@ -602,7 +609,7 @@ def _(star, spark, d):
     return report.page_decile_shares(star)
 
 
-@register("page_company_sizes", sql(f"""SELECT {label_of('range_order', COMPANY_SIZE_LABELS)} AS size_range,
+@register("page_company_sizes", sql(f"""SELECT {label_of('range_order', SIZE_NAMES)} AS size_range,
   range_order, company_count, employee_count,
   CAST(SUM(company_count) OVER () AS BIGINT) AS total_companies,
   CAST(SUM(employee_count) OVER () AS BIGINT) AS total_employees,
@@ -702,9 +709,9 @@ def _(star, spark, d):
     return report.size_vs_salary_corr(star)
 
 
-@register("compare_two_cities", sql(f"""SELECT {label_of('range_order', REPORT_SALARY_LABELS)} AS salary_range,
+@register("compare_two_cities", sql(f"""SELECT {label_of('range_order', REPORT_NAMES)} AS salary_range,
   range_order, count_a, count_b FROM (
-  SELECT CAST({case_ordinal('s.salary_amount', REPORT_SALARY_EDGES)} AS BIGINT) AS range_order,
+  SELECT CAST({case_ordinal('s.salary_amount', REPORT_EDGES)} AS BIGINT) AS range_order,
          COUNT(CASE WHEN c.city = '{CITY_A}' THEN 1 END) AS count_a,
          COUNT(CASE WHEN c.city = '{CITY_B}' THEN 1 END) AS count_b
   FROM companies c JOIN salary_records s ON c.company_id = s.company_id
@@ -769,10 +776,8 @@ FROM companies c JOIN salary_records s ON c.company_id = s.company_id
 WHERE s.salary_amount >= 1
 GROUP BY c.company_id HAVING COUNT(DISTINCT s.employee_id) >= 30"""))
 def _(star, spark, d):
-    from salarium.operators.joins import company_fact
-    return (company_fact(star).where(F.col("salary_amount") >= 1).groupBy("company_id")
-            .agg(F.countDistinct("employee_id").alias("employee_count"))
-            .where(F.col("employee_count") >= 30))
+    from salarium.operators.joins import company_sizes
+    return company_sizes(star, 1).where(F.col("size") >= 30).select("company_id", F.col("size").alias("employee_count"))
 
 
 @register("filter_nonblank_token", sql(f"""SELECT {TOKEN} AS first_name, COUNT(*) AS person_count
@@ -841,18 +846,33 @@ def _trgm_sql(col: str) -> str:
             "range(1, length('  ' || w || ' ') - 1), lambda i: substring('  ' || w || ' ', i, 3)))))")
 
 
-@register("fuzzy_name_search", sql(f"""SELECT employee_id, full_name, similarity FROM (
-  SELECT employee_id, full_name,
+def _fuzzy_sql(table: str, key: str, col: str, term: str) -> str:
+    return sql(f"""SELECT {key}, {col}, similarity FROM (
+  SELECT {key}, {col},
     ROUND(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
       ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) END, 8) AS similarity
-  FROM (SELECT employee_id, full_name, {_trgm_sql('full_name')} AS a, {_trgm_sql("'" + FUZZY_TERM + "'")} AS b
-        FROM employees))
-WHERE similarity >= 0.3"""))
+  FROM (SELECT {key}, {col}, {_trgm_sql(col)} AS a, {_trgm_sql("'" + term + "'")} AS b FROM {table}))
+WHERE similarity >= 0.3""")
+
+
+@register("fuzzy_name_search", _fuzzy_sql("employees", "employee_id", "full_name", FUZZY_TERM))
 def _(star, spark, d):
     from salarium.operators.fuzzy import fuzzy_search
     return fuzzy_search(star.employees, "full_name", FUZZY_TERM).select("employee_id", "full_name", "similarity")
 
 
+@register("fuzzy_company_search", _fuzzy_sql("companies", "company_id", "company_name", "customer 000000042"))
+def _(star, spark, d):
+    from salarium.operators.fuzzy import fuzzy_search
+    return fuzzy_search(star.companies, "company_name", "customer 000000042").select("company_id", "company_name", "similarity")
+
+
+@register("fuzzy_activity_search", _fuzzy_sql("companies", "company_id", "activity_description", "machine"))
+def _(star, spark, d):
+    from salarium.operators.fuzzy import fuzzy_search
+    return fuzzy_search(star.companies, "activity_description", "machine").select("company_id", "activity_description", "similarity")
+
+
 # ---------------------------------------------------------------------------
 # Dashboard bundle and chart datasets
 # ---------------------------------------------------------------------------
@@ -861,7 +881,7 @@ def _bundle_sql(cr: Criteria) -> str:
     w = cohort_where(cr)
     city = _dash_group_sql("city", True, cr)[len(sql("")):].strip()
     act = _dash_group_sql("activity_description", False, cr)[len(sql("")):].strip()
-    buckets = _bucket_sql(DASHBOARD_SALARY_EDGES, DASHBOARD_SALARY_LABELS,
+    buckets = _bucket_sql(DASHBOARD_EDGES, DASHBOARD_NAMES,
                           f"SELECT s.salary_amount {STAR_FROM} WHERE {w}")
     comps = TOP_COMPANIES_SQL.format(where=w, top=20)
     return sql(f"""SELECT 'city_stats' AS dataset, city AS label, city, CAST(NULL AS VARCHAR) AS activity_description,
@@ -915,7 +935,10 @@ def _(star, spark, d):
     return table_row_counts(star)
 
 
-@register("reload_tables", ROW_COUNTS_SQL)
+@register("reload_tables", sql("""SELECT 'Companies:' AS table_name, COUNT(*) AS row_count, SUM(company_id)::DOUBLE AS content_sum FROM companies
+UNION ALL SELECT 'Employees:', COUNT(*), SUM(employee_id)::DOUBLE FROM employees
+UNION ALL SELECT 'Documents:', COUNT(*), SUM(document_id)::DOUBLE FROM documents
+UNION ALL SELECT 'Salary Records:', COUNT(*), CAST(SUM(salary_amount) AS DOUBLE) FROM salary_records"""))
 def _(star, spark, d):
     from salarium.plans.jobs import reload_and_count
     return reload_and_count(spark, star)
@@ -938,45 +961,97 @@ def _(star, spark, d):
     return document_mass_backfill(star)
 
 
-@register("refresh_summary_tables", sql(f"""SELECT 'company_summary' AS table_name, COUNT(*) AS row_count FROM companies
-UNION ALL SELECT 'top_earners', COUNT(*) {STAR_FROM}
-UNION ALL SELECT 'city_salary_stats', COUNT(DISTINCT COALESCE(c.city, '<null>'))
-  FROM companies c JOIN salary_records s ON c.company_id = s.company_id
-UNION ALL SELECT 'activity_salary_stats', COUNT(DISTINCT COALESCE(c.activity_description, '<null>'))
-  FROM companies c JOIN salary_records s ON c.company_id = s.company_id"""))
+def _heads_sql(group: str) -> str:
+    return (f"SELECT COUNT(*), SUM(n)::DOUBLE FROM (SELECT c.{group}, COUNT(DISTINCT s.employee_id) AS n "
+            f"FROM companies c JOIN salary_records s ON c.company_id = s.company_id GROUP BY 1)")
+
+
+@register("refresh_summary_tables", sql(f"""SELECT 'company_summary' AS table_name, (SELECT COUNT(*) FROM companies) AS row_count,
+  (SELECT SUM(n)::DOUBLE FROM (SELECT s.company_id, COUNT(DISTINCT s.employee_id) AS n
+   FROM companies c JOIN salary_records s ON c.company_id = s.company_id GROUP BY 1)) AS content_sum
+UNION ALL SELECT 'top_earners', COUNT(*), CAST(SUM(s.salary_amount) AS DOUBLE) {STAR_FROM}
+UNION ALL SELECT 'city_salary_stats', * FROM ({_heads_sql("city")})
+UNION ALL SELECT 'activity_salary_stats', * FROM ({_heads_sql("activity_description")})"""))
 def _(star, spark, d):
     from salarium.plans.jobs import refresh_summary_tables
     return refresh_summary_tables(spark, star)
 
 
-@register("export_result", sql(f"SELECT {DETAIL}\n{STAR_FROM}\nWHERE {cohort_where(COHORT)}"))
-def _(star, spark, d):
+def _export(star, spark, fmt: str) -> DataFrame:
+    """Export a cohort and read the file back."""
     from salarium.operators.joins import DETAIL_COLUMNS
     from salarium.sources.sinks import export_result, scratch_path
     rows = dashboard.cohort(star, COHORT).select(*DETAIL_COLUMNS)
-    path = export_result(rows, scratch_path(spark, "export"), "json")
+    path = export_result(rows, scratch_path(spark, "export"), fmt)
     schema = ", ".join(f"{f.name} {'double' if isinstance(f.dataType, T.DecimalType) else f.dataType.simpleString()}"
                        for f in rows.schema.fields)
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
+EXPORT_SQL = sql(f"SELECT {DETAIL}\n{STAR_FROM}\nWHERE {cohort_where(COHORT)}")
+
+
+@register("export_result", EXPORT_SQL)
+def _(star, spark, d):
+    return _export(star, spark, "json")
+
+
+@register("export_csv", EXPORT_SQL)
+def _(star, spark, d):
+    return _export(star, spark, "csv")
+
+
+@register("export_parquet", EXPORT_SQL)
+def _(star, spark, d):
+    return _export(star, spark, "parquet")
 
 
 # ---------------------------------------------------------------------------
-# Generators (hash-seeded: no SQL twin, checked by invariants in tests)
+# Generators: draws are digests that the oracle reproduces
 # ---------------------------------------------------------------------------
 
-@register("document_headcounts")
+HEADCOUNT_SQL = f"""SELECT company_id AS document_id, 'DECL_' || company_id || '_2024_01.pdf' AS filename, company_id,
+  CASE WHEN company_id <= 5 THEN 15 + floor({draw("headcount", "company_id")} * 35)
+       WHEN company_id <= 15 THEN 5 + floor({draw("headcount", "company_id")} * 15)
+       ELSE 2 + floor({draw("headcount", "company_id")} * 8) END::INT AS employee_count, 0.0::DOUBLE AS total_salary_mass
+FROM companies"""
+
+
+def _pay_sql(tier: str, branches, rest) -> str:
+    keys = ("company_id", "employee_id")
+    cases = " ".join(f"WHEN {draw(f'{tier}-if{i}', *keys)} < {p} THEN {base} + {draw(f'{tier}-v{i}', *keys)} * {span}"
+                     for i, (p, base, span) in enumerate(branches))
+    return f"CASE {cases} ELSE {rest[0]} + {draw(f'{tier}-else', *keys)} * {rest[1]} END"
+
+
+PAY_SQL = f"""CASE WHEN company_id IN (1, 4, 5, 6, 11, 17)
+    THEN {_pay_sql("high", [(0.15, 50000, 100000), (0.40, 15000, 35000), (0.75, 8000, 12000)], (4000, 6000))}
+  WHEN company_id IN (2, 7, 13, 15, 19)
+    THEN {_pay_sql("medium", [(0.10, 30000, 50000), (0.30, 12000, 18000), (0.70, 6000, 8000)], (3500, 4500))}
+  ELSE {_pay_sql("low", [(0.10, 20000, 30000), (0.30, 8000, 12000), (0.70, 4500, 5500)], (3000, 3000))} END"""
+
+
+@register("document_headcounts", sql(HEADCOUNT_SQL))
 def _(star, spark, d):
     from salarium.operators.generate import document_headcounts
     return document_headcounts(star.companies)
 
 
-@register("synthetic_assignments")
+@register("synthetic_assignments", sql(f"""SELECT employee_id, company_id, document_id, j + 1 AS emp_num,
+  CAST(CAST({PAY_SQL} AS DECIMAL(10,2)) AS DOUBLE) AS salary_amount
+FROM (SELECT document_id, company_id, j, (floor({draw("start", "company_id")} * n)::BIGINT + j) % n AS position
+      FROM heads, (SELECT COUNT(*) AS n FROM employees), range(0, 50) r(j) WHERE j < LEAST(employee_count, n)) s
+JOIN seats USING (position)""", f""", heads AS ({HEADCOUNT_SQL}), seats AS (
+  SELECT employee_id, row_number() OVER (ORDER BY {digest(15, "'42'", "'order'", "employee_id::VARCHAR")}, employee_id) - 1 AS position
+  FROM employees)"""))
 def _(star, spark, d):
     from salarium.operators.generate import document_headcounts, synthetic_assignments
     return synthetic_assignments(document_headcounts(star.companies), star.employees)
 
 
-@register("random_order_in_company")
+@register("random_order_in_company", sql(f"""SELECT company_id, employee_id, row_number() OVER (PARTITION BY company_id
+  ORDER BY {digest(15, "'42'", "'order'", "company_id::VARCHAR", "employee_id::VARCHAR")}, employee_id) AS emp_num
+FROM (SELECT DISTINCT company_id, employee_id FROM salary_records WHERE company_id IS NOT NULL)"""))
 def _(star, spark, d):
     from salarium.operators.generate import random_order_in_company
     pairs = star.records("company_id", "employee_id").where(F.col("company_id").isNotNull())
@@ -1004,3 +1079,51 @@ UNION ALL SELECT 'duplicate', (SELECT COUNT(*) FROM ok_lines)
 def _(star, spark, d):
     from salarium.sources.ingest import parse_declarations, render_declarations
     return parse_declarations(render_declarations(star)).audit
+
+
+@register("ingest_records", sql("""SELECT DISTINCT d.filename, e.full_name, CAST(s.salary_amount AS DOUBLE) AS salary_amount,
+  c.company_name, c.activity_description, c.city
+FROM salary_records s JOIN employees e ON s.employee_id = e.employee_id
+JOIN documents d ON s.document_id = d.document_id JOIN companies c ON d.company_id = c.company_id
+WHERE s.salary_amount IS NOT NULL"""))
+def _(star, spark, d):
+    """The loaded records with their natural keys, joined through the ids."""
+    from salarium.sources.ingest import parse_declarations, render_declarations
+    t = parse_declarations(render_declarations(star)).star
+    return (t.salary_records.join(t.employees, "employee_id").join(t.documents.select("document_id", "filename"), "document_id")
+            .join(t.companies, "company_id")
+            .select("filename", "full_name", "salary_amount", "company_name", "activity_description", "city"))
+
+
+@register("ingest_documents", sql("""SELECT d.filename, c.company_name, COALESCE(m.people, 0)::INT AS employee_count,
+  CAST(COALESCE(m.mass, 0) AS DOUBLE) AS total_salary_mass
+FROM documents d JOIN companies c ON d.company_id = c.company_id
+LEFT JOIN (SELECT filename, COUNT(DISTINCT full_name) AS people, SUM(salary_amount) AS mass FROM (
+  SELECT DISTINCT d.filename, e.full_name, s.salary_amount FROM salary_records s JOIN employees e ON s.employee_id = e.employee_id
+  JOIN documents d ON s.document_id = d.document_id WHERE s.salary_amount IS NOT NULL) GROUP BY filename) m
+ON m.filename = d.filename"""))
+def _(star, spark, d):
+    """Every declaration, those without a single loaded line too."""
+    from salarium.sources.ingest import parse_declarations, render_declarations
+    t = parse_declarations(render_declarations(star)).star
+    return t.documents.join(t.companies, "company_id").select("filename", "company_name", "employee_count", "total_salary_mass")
+
+
+@register("ingest_rejects", sql("""SELECT filename, 'page ' || document_id AS line, 'unparsed' AS status FROM documents WHERE document_id % 10 = 0
+UNION ALL SELECT filename, 'Odd Person ; 12x' || document_id, CASE WHEN has THEN 'bad_amount' ELSE 'missing_header' END FROM kept WHERE document_id % 10 = 1
+UNION ALL SELECT filename, 'Odd Person ; 7,500', CASE WHEN has THEN 'ambiguous_amount' ELSE 'missing_header' END FROM kept WHERE document_id % 10 = 2
+UNION ALL SELECT filename, 'EMPLOYER:  ; ACTIVITY: A ; CITY: B', 'bad_header' FROM documents WHERE document_id % 10 = 3
+UNION ALL SELECT 'lone_' || document_id, 'Odd Person ; 100.00', 'missing_header' FROM documents WHERE document_id % 10 = 4""",
+    """, kept AS (SELECT d.*, c.company_id IS NOT NULL AS has FROM documents d LEFT JOIN companies c ON d.company_id = c.company_id)"""))
+def _(star, spark, d):
+    """Lines that a load must quarantine, one odd line for half of the
+    declarations, among the good ones."""
+    from salarium.sources.ingest import parse_declarations, render_declarations
+    k = F.col("document_id") % 10
+    odd = star.documents.where(k < 5).select(
+        F.when(k == 4, F.concat(F.lit("lone_"), F.col("document_id").cast("string"))).otherwise(F.col("filename")).alias("filename"),
+        F.when(k == 0, F.concat(F.lit("page "), F.col("document_id").cast("string")))
+         .when(k == 1, F.concat(F.lit("Odd Person ; 12x"), F.col("document_id").cast("string")))
+         .when(k == 2, F.lit("Odd Person ; 7,500")).when(k == 3, F.lit("EMPLOYER:  ; ACTIVITY: A ; CITY: B"))
+         .otherwise(F.lit("Odd Person ; 100.00")).alias("line"))
+    return parse_declarations(render_declarations(star).unionByName(odd)).rejects

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from salarium.functions.buckets import COMPANY_SIZE, REPORT_SALARY
 from salarium.functions.labels import or_unknown, truncate_label
-from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, SPREAD_DIGITS, mean_d,
-                                        ratio, rnd)
+from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, SPREAD_DIGITS, ratio, rnd)
 from salarium.operators.aggregates import QUARTILES, bucket_counts, salary_stats
 from salarium.operators.inequality import DEFAULT_EPSILON, inequality, running_share
-from salarium.operators.joins import company_fact, salary_fact
+from salarium.operators.joins import company_fact, company_sizes, salary_fact
+from salarium.operators.ranks import lorenz_curve as exact_curve
 from salarium.operators.ranks import (lorenz_points, ntile, ntile_pieces, quantile_exprs, quantile_value,
                                       rank_frame)
 from salarium.sources.star import Star
@@ -177,8 +177,15 @@ def global_percent_rank(star: Star) -> DataFrame:
 
 
 def percent_rank_at_least(star: Star, p: float = 0.99) -> DataFrame:
-    """records whose global percent rank is >= p."""
-    return global_percent_rank(star).where(F.col("percent_rank") >= F.lit(p))
+    """records whose global percent rank is >= p.  The least qualifying
+    salary is one scalar, so only the records above it are joined back."""
+    sr = star.records("employee_id", "document_id", "salary_amount")
+    rf = rank_frame(sr.select("salary_amount"), "salary_amount")
+    top = rf.df.select(F.col("v").alias("_v"), rf.percent_rank().alias("percent_rank")).where(F.col("percent_rank") >= F.lit(p))
+    least = top.agg(F.min("_v")).scalar()
+    few = sr.where((F.col("salary_amount") >= least) | F.col("salary_amount").isNull())
+    return (few.join(top, few.salary_amount.eqNullSafe(top._v), "inner")
+               .select("employee_id", "document_id", F.col("salary_amount").cast("double").alias("salary_amount"), "percent_rank"))
 
 
 def running_income(star: Star) -> DataFrame:
@@ -209,11 +216,13 @@ def inequality_by_group(star: Star, group: str = "city", epsilon: float = DEFAUL
     return inequality(rf, epsilon)
 
 
-def lorenz_curve(star: Star, points: int = 100) -> DataFrame:
-    """I4: exact Lorenz points of the report fact at row indices
-    floor(j (n-1) / points); the first point is (0, x1 / sum)."""
-    return lorenz_points(fact_frame(star), points).select(
-        F.col("i").alias("point_index"), "x", "y")
+def lorenz_curve(star: Star, points: int | None = None) -> DataFrame:
+    """I4: the exact Lorenz curve of the report fact, one point per distinct
+    salary (the last row of its ties) and the first row; with ``points``
+    only the rows floor(j (n-1) / points), for a chart."""
+    rf = fact_frame(star)
+    curve = exact_curve(rf) if points is None else lorenz_points(rf, points)
+    return curve.select(F.col("i").alias("point_index"), "x", "y")
 
 
 def global_stddev(star: Star) -> DataFrame:
@@ -256,8 +265,7 @@ def top1_threshold(star: Star) -> DataFrame:
 def company_size_distribution(star: Star) -> DataFrame:
     """Distinct employees per company id (salary >= 1) -> size range ->
     companies and employees per range."""
-    sizes = (_floor(company_fact(star)).groupBy("company_id")
-             .agg(F.countDistinct("employee_id").alias("size")))
+    sizes = company_sizes(star, 1).select("size")
     return (sizes.select(COMPANY_SIZE.ordinal("size").alias("range_order"), "size")
                  .groupBy("range_order")
                  .agg(F.count(F.lit(1)).alias("company_count"),
@@ -426,8 +434,7 @@ def page_top_companies_salary(star: Star, min_employees: int = PAGE_MIN_EMPLOYEE
 def size_vs_salary_corr(star: Star) -> DataFrame:
     """Correlation between company size (distinct employees) and the
     company's mean salary, over companies in the report fact."""
-    per = (_floor(company_fact(star)).groupBy("company_id")
-           .agg(F.countDistinct("employee_id").alias("size"), mean_d("salary_amount").alias("avg_salary")))
+    per = company_sizes(star, 1).select("size", ratio(F.col("pay"), F.col("paid")).alias("avg_salary"))
     return per.agg(F.count(F.lit(1)).alias("company_count"),
                    rnd(F.corr(F.col("size").cast("double"), "avg_salary"), INDEX_DIGITS).alias("correlation"))
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salarium.functions.criteria import contains_ci, name_or_activity_ilike, salary_between
-from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, mean_d, mean_round2,
+from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, mean_round2,
                                         ratio, rnd)
 from salarium.operators.aggregates import MEDIAN, salary_stats
-from salarium.operators.joins import (DETAIL_COLUMNS, company_fact, company_left_fact,
+from salarium.operators.joins import (DETAIL_COLUMNS, company_fact, company_sizes,
                                       employee_fact, star_detail)
-from salarium.operators.ranks import F_, V, quantile_exprs, quantile_value, quantiles, rank_frame
+from salarium.operators.ranks import F_, V, quantile_exprs, quantile_value, rank_frame
 from salarium.sources.star import Star
 
 # Fixed values (reference query parameters).
@@ -24,12 +24,13 @@ SALARY_BAND = (50000, 100000)
 def company_summary(star: Star) -> DataFrame:
     """A1 / V1: every company (LEFT JOIN) with distinct employees, rounded
     mean, max and min; companies without records get 0."""
-    df = company_left_fact(star)
-    return (df.groupBy("company_id", "company_name", "activity_description", "city")
-              .agg(F.countDistinct("employee_id").alias("employee_count"),
-                   F.coalesce(mean_round2("salary_amount"), F.lit(0.0)).alias("average_salary"),
-                   F.coalesce(F.max("salary_amount").cast("double"), F.lit(0.0)).alias("max_salary"),
-                   F.coalesce(F.min("salary_amount").cast("double"), F.lit(0.0)).alias("min_salary")))
+    mean = F.round(F.try_divide(F.col("pay"), F.col("paid")), 2).cast("double")
+    zero = F.lit(0.0)
+    return star.companies.join(company_sizes(star), "company_id", "left").select(
+        "company_id", "company_name", "activity_description", "city",
+        F.coalesce("size", F.lit(0)).alias("employee_count"), F.coalesce(mean, zero).alias("average_salary"),
+        F.coalesce(F.col("highest").cast("double"), zero).alias("max_salary"),
+        F.coalesce(F.col("lowest").cast("double"), zero).alias("min_salary"))
 
 
 def top_earners(star: Star) -> DataFrame:
@@ -99,7 +100,7 @@ def first_name_stats_bottom(star: Star, min_count: int = NAME_TOKEN_MIN_COUNT,
             .orderBy(F.col("avg_salary").asc_nulls_last(), "first_name").limit(limit))
 
 
-def name_token_stats(star: Star, tokens=("HAMZA",)) -> DataFrame:
+def name_token_stats(star: Star, tokens) -> DataFrame:
     """Count, rounded mean and rounded median for the listed tokens
     (case-sensitive IN) -- one pass: count, exact sum and median all come
     from the token's rank frame."""
@@ -141,12 +142,11 @@ def top_income_shares(star: Star, groups=TOP_SHARE_GROUPS) -> DataFrame:
 
 def mean_median_ratio(star: Star) -> DataFrame:
     """Record count, mean, median and mean/median over all records
-    (no salary floor)."""
-    sr = star.records("salary_amount")
-    base = sr.agg(F.count(F.lit(1)).alias("record_count"), mean_d("salary_amount").alias("mean_salary"))
-    med = quantiles(rank_frame(sr, "salary_amount"), MEDIAN)
-    m = rnd(F.col("median_salary"), PERCENTILE_DIGITS)
-    return base.select("record_count", "mean_salary",
-                       med.select(m).scalar().alias("median_salary"))\
-               .withColumn("mean_to_median_ratio",
-                           rnd(ratio(F.col("mean_salary"), F.col("median_salary")), INDEX_DIGITS))
+    (no salary floor), in one pass over the rank frame."""
+    rf = rank_frame(star.records("salary_amount"), "salary_amount")
+    one = rf.df.agg(*quantile_exprs(MEDIAN), F.max("n_rows").alias("rows"), F.max("n").alias("n"), F.max("total").alias("total"))
+    return one.select(
+        F.coalesce("rows", F.lit(0)).cast("long").alias("record_count"),
+        ratio(F.col("total"), F.col("n")).alias("mean_salary"),
+        rnd(quantile_value("median_salary"), PERCENTILE_DIGITS).alias("median_salary"))\
+        .withColumn("mean_to_median_ratio", rnd(ratio(F.col("mean_salary"), F.col("median_salary")), INDEX_DIGITS))

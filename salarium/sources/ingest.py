@@ -11,15 +11,26 @@ Line format (one declaration per file)::
     <employee full name> ; <amount>
 
 Amounts may use spaces or either separator convention ("12 345,67",
-"12,345.67", "12345.67", optional "MAD").  Lines that are neither a header
-nor an employee line, amounts that do not parse, and employee lines of a
-file without exactly one header are rejected with a reason.  Repeated
-(document, employee, amount) lines are duplicates.  Keys are 64-bit hashes
-of the natural keys; a collision check counts natural keys per hash.
-
-Everything is per-line expressions plus equi-joins and aggregations on
-file / natural keys -- no per-file collection, so one huge declaration is
-as cheap per line as many small ones.
+"12,345.67", "12345.67", optional "MAD").  ``decimal_mark`` names the
+convention of a run; without it an amount that both conventions read
+differently ("7,500", "1.500") is rejected as ambiguous.
+
+Every line ends in exactly one status: the used header of its file, loaded,
+duplicate, blank, or one of the rejects (a header without an employer, a
+header of a file with several, an employee line of a file without exactly
+one good header, an amount that does not parse or is ambiguous, a line of
+no known form).  Repeated (document, employee, amount) lines are
+duplicates.  A declaration whose lines are all rejected still is a
+document.
+
+Rows are identified by their natural keys; the 64-bit ids are hashes of
+them, and ``collisions`` counts ids with several natural keys per table
+(``check_collisions`` fails a load that has any).
+
+Lines of one file never have to meet: employee lines are aggregated by
+(file, employee, amount) before they join their file's header, and counts
+per file come from partial sums, so one huge declaration spreads over all
+tasks.
 """
 
 from __future__ import annotations
@@ -34,7 +45,8 @@ from salarium.sources.star import SALARY, Star
 # The line patterns of our declaration format.
 HEADER_RE = r"^\s*EMPLOYER\s*:\s*(.*?)\s*;\s*ACTIVITY\s*:\s*(.*?)\s*;\s*CITY\s*:\s*(.*?)\s*$"
 EMPLOYEE_RE = r"^\s*([^;]*?)\s*;\s*([^;]*?)\s*(?:MAD)?\s*$"
-STATUSES = ("header", "loaded", "duplicate", "bad_amount", "unparsed", "missing_header", "blank")
+STATUSES = ("header", "loaded", "duplicate", "blank", "bad_header", "extra_header", "missing_header", "bad_amount",
+            "ambiguous_amount", "unparsed")
 
 
 def clean_text(c: Column) -> Column:
@@ -43,14 +55,29 @@ def clean_text(c: Column) -> Column:
     return F.when(t == "", F.lit(None)).otherwise(t)
 
 
-def parse_amount(raw: Column) -> Column:
-    """'12 345,67' / '12,345.67' / '12345.67' -> DECIMAL(15,2); NULL if unparseable."""
-    s = F.regexp_replace(raw, r"[\s ]", "")
-    dot_thousands = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
-    normalised = (F.when(s.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), F.regexp_replace(s, ",", ""))
-                  .when(s.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$"), dot_thousands)
-                  .when(s.rlike(r"^\d+([.,]\d+)?$"), F.regexp_replace(s, ",", ".")))
-    return normalised.try_cast(SALARY)
+def bare_amount(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"[\s\u00a0\u202f]", "")
+
+
+def is_ambiguous(raw: Column) -> Column:
+    """One separator before exactly three digits: thousands or decimals."""
+    return bare_amount(raw).rlike(r"^\d{1,3}[.,]\d{3}$")
+
+
+def parse_amount(raw: Column, decimal_mark: str | None = None) -> Column:
+    """'12 345,67' / '12,345.67' / '12345.67' -> DECIMAL(15,2); NULL if it
+    does not parse.  ``decimal_mark`` ('.' or ',') fixes the convention;
+    without it ambiguous amounts are NULL."""
+    s = bare_amount(raw)
+    point = F.regexp_replace(s, ",", "")
+    comma = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
+    is_point = s.rlike(r"^(\d+|\d{1,3}(,\d{3})+)(\.\d+)?$")
+    is_comma = s.rlike(r"^(\d+|\d{1,3}(\.\d{3})+)(,\d+)?$")
+    if decimal_mark == ".":
+        return F.when(is_point, point).try_cast(SALARY)
+    if decimal_mark == ",":
+        return F.when(is_comma, comma).try_cast(SALARY)
+    return F.when(~is_ambiguous(raw), F.when(is_point, point).when(is_comma, comma)).try_cast(SALARY)
 
 
 def key_of(*cols: Column) -> Column:
@@ -65,7 +92,7 @@ class IngestResult:
     collisions: DataFrame   # table, colliding_keys (expected 0)
 
 
-def parse_declarations(lines: DataFrame) -> IngestResult:
+def parse_declarations(lines: DataFrame, decimal_mark: str | None = None) -> IngestResult:
     """``lines``: (filename, line).  Returns the typed star, rejects, audit."""
     is_header = F.col("line").rlike(HEADER_RE)
     emp_ok = F.col("line").rlike(EMPLOYEE_RE)
@@ -77,31 +104,29 @@ def parse_declarations(lines: DataFrame) -> IngestResult:
          .otherwise(F.lit("unparsed")).alias("kind"))
 
     headers = (classified.where(F.col("kind") == "header")
-               .select("filename",
+               .select("filename", "line",
                        clean_text(F.regexp_extract("line", HEADER_RE, 1)).alias("company_name"),
                        clean_text(F.regexp_extract("line", HEADER_RE, 2)).alias("activity_description"),
                        clean_text(F.regexp_extract("line", HEADER_RE, 3)).alias("city")))
-    # a file must carry exactly one header; one row per file either way
-    per_file = (headers.groupBy("filename")
-                .agg(F.count(F.lit(1)).alias("_nh"), F.first("company_name").alias("company_name"),
-                     F.first("activity_description").alias("activity_description"),
-                     F.first("city").alias("city")))
+    usable = headers.where(F.col("company_name").isNotNull())
+    # a file must carry exactly one usable header
+    per_file = (usable.groupBy("filename")
+                .agg(F.count(F.lit(1)).alias("_nh"), F.min("company_name").alias("company_name"),
+                     F.min("activity_description").alias("activity_description"),
+                     F.min("city").alias("city")))
     good_files = per_file.where(F.col("_nh") == 1).drop("_nh")
+    several = per_file.where(F.col("_nh") > 1).select("filename")
 
+    raw = F.regexp_extract("line", EMPLOYEE_RE, 2)
+    amount = parse_amount(raw, decimal_mark)
     emp = (classified.where(F.col("kind") == "employee")
-           .select("filename", "line",
-                   clean_text(F.regexp_extract("line", EMPLOYEE_RE, 1)).alias("full_name"),
-                   parse_amount(F.regexp_extract("line", EMPLOYEE_RE, 2)).alias("salary_amount")))
-    emp = emp.join(good_files, "filename", "left").withColumn(
-        "status",
-        F.when(F.col("company_name").isNull(), F.lit("missing_header"))
-         .when(F.col("salary_amount").isNull() | F.col("full_name").isNull(), F.lit("bad_amount"))
-         .otherwise(F.lit("ok")))
-    valid = emp.where(F.col("status") == "ok")
+           .select("filename", "line", clean_text(F.regexp_extract("line", EMPLOYEE_RE, 1)).alias("full_name"),
+                   amount.alias("salary_amount"), is_ambiguous(raw).alias("_ambiguous")))
+    unread = F.col("salary_amount").isNull() | F.col("full_name").isNull()
     # duplicates: identical (document, employee, amount) lines beyond the first
-    dedup = (valid.groupBy("filename", "full_name", "salary_amount", "company_name",
-                           "activity_description", "city")
-             .agg(F.count(F.lit(1)).alias("_copies")))
+    copies = (emp.where(~unread).groupBy("filename", "full_name", "salary_amount")
+              .agg(F.count(F.lit(1)).alias("_copies")))
+    dedup = copies.join(good_files, "filename")
 
     company_id = key_of(F.col("company_name"), F.col("activity_description"), F.col("city"))
     records = dedup.select(
@@ -110,35 +135,57 @@ def parse_declarations(lines: DataFrame) -> IngestResult:
         company_id.alias("company_id"),
         key_of(F.col("filename")).alias("document_id"),
         "salary_amount")
-    companies = good_files.select(company_id.alias("company_id"), "company_name",
-                                  "activity_description", "city").dropDuplicates(["company_id"])
-    employees = dedup.select(key_of(F.col("full_name")).alias("employee_id"), "full_name")\
-                     .dropDuplicates(["employee_id"])
-    documents = (dedup.groupBy("filename", "company_name", "activity_description", "city")
-                 .agg(F.countDistinct("full_name").cast("int").alias("employee_count"),
-                      F.sum("salary_amount").cast(SALARY).alias("total_salary_mass"))
-                 .select(key_of(F.col("filename")).alias("document_id"), "filename",
-                         company_id.alias("company_id"), "employee_count", "total_salary_mass"))
-
+    companies = (good_files.select("company_name", "activity_description", "city").distinct()
+                 .select(company_id.alias("company_id"), "company_name", "activity_description", "city"))
+    employees = dedup.select("full_name").distinct().select(key_of(F.col("full_name")).alias("employee_id"), "full_name")
+    people = copies.groupBy("filename", "full_name").agg(F.sum("salary_amount").alias("_pay"))
+    mass = people.groupBy("filename").agg(F.count(F.lit(1)).cast("int").alias("employee_count"),
+                                          F.sum("_pay").cast(SALARY).alias("total_salary_mass"))
+    documents = (good_files.join(mass, "filename", "left")
+                 .select(key_of(F.col("filename")).alias("document_id"), "filename", company_id.alias("company_id"),
+                         F.coalesce("employee_count", F.lit(0)).alias("employee_count"),
+                         F.coalesce("total_salary_mass", F.lit(0).cast(SALARY)).alias("total_salary_mass")))
+
+    homeless = emp.join(good_files.select("filename"), "filename", "left_anti")
+    housed = emp.where(unread).join(good_files.select("filename"), "filename", "left_semi")
     rejects = (classified.where(F.col("kind") == "unparsed").select("filename", "line", F.lit("unparsed").alias("status"))
-               .unionByName(emp.where(F.col("status") != "ok").select("filename", "line", "status")))
-    line_status = (classified.where(F.col("kind").isin("header", "blank", "unparsed"))
-                   .groupBy(F.col("kind").alias("status")).agg(F.count(F.lit(1)).alias("row_count")))
-    emp_status = (emp.where(F.col("status") != "ok").groupBy("status")
-                  .agg(F.count(F.lit(1)).alias("row_count")))
+               .unionByName(headers.where(F.col("company_name").isNull()).select("filename", "line", F.lit("bad_header").alias("status")))
+               .unionByName(usable.join(several, "filename", "left_semi").select("filename", "line", F.lit("extra_header").alias("status")))
+               .unionByName(homeless.select("filename", "line", F.lit("missing_header").alias("status")))
+               .unionByName(housed.select("filename", "line", F.when(F.col("_ambiguous") & F.lit(decimal_mark is None),
+                                                                     F.lit("ambiguous_amount")).otherwise(F.lit("bad_amount")).alias("status"))))
+    blank = (classified.where(F.col("kind") == "blank").groupBy(F.col("kind").alias("status"))
+             .agg(F.count(F.lit(1)).alias("row_count")))
+    rejected = rejects.groupBy("status").agg(F.count(F.lit(1)).alias("row_count"))
+    used = good_files.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("header").alias("status"), "row_count").where("row_count > 0")
     loaded = dedup.agg(F.count(F.lit(1)).alias("loaded"), F.sum(F.col("_copies") - 1).alias("duplicate"))
     loaded = loaded.selectExpr("stack(2, 'loaded', loaded, 'duplicate', coalesce(duplicate, 0)) AS (status, row_count)")
-    audit = line_status.unionByName(emp_status).unionByName(loaded)
-
-    def collision(name: str, keys: DataFrame, natural) -> DataFrame:
-        return (keys.groupBy("_k").agg(F.countDistinct(*natural).alias("_n")).where(F.col("_n") > 1)
-                .agg(F.count(F.lit(1)).alias("colliding_keys")).select(F.lit(name).alias("table"), "colliding_keys"))
-    collisions = (collision("companies", good_files.select(company_id.alias("_k"), "company_name",
-                                                           "activity_description", "city"),
-                            ["company_name", "activity_description", "city"])
-                  .unionByName(collision("employees", dedup.select(key_of(F.col("full_name")).alias("_k"),
-                                                                   "full_name"), ["full_name"])))
-    return IngestResult(Star(companies, documents, employees, records), rejects, audit, collisions)
+    audit = blank.unionByName(rejected).unionByName(used).unionByName(loaded)
+
+    star = Star(companies, documents, employees, records)
+    return IngestResult(star, rejects, audit, key_collisions(star))
+
+
+#: The id of each table.
+IDS = {"companies": "company_id", "employees": "employee_id", "documents": "document_id", "salary_records": "record_id"}
+
+
+def key_collisions(star: Star) -> DataFrame:
+    """(table, colliding_keys): ids that several rows share.  Rows are
+    distinct by natural key, so a shared id is a hash collision."""
+    out = None
+    for name, df in star.tables().items():
+        shared = df.groupBy(IDS[name]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        one = shared.agg(F.count(F.lit(1)).alias("colliding_keys")).select(F.lit(name).alias("table"), "colliding_keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def check_collisions(collisions: DataFrame) -> None:
+    """Fail instead of loading rows under a shared id."""
+    bad = collisions.where(F.col("colliding_keys") > 0).collect()   # at most one row per table
+    if bad:
+        raise ValueError("hash ids collide: " + ", ".join(f"{r['table']} {r['colliding_keys']}" for r in bad))
 
 
 def render_declarations(star: Star) -> DataFrame:

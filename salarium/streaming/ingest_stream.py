@@ -6,41 +6,52 @@ through ``parse_declarations`` and its tables are written to
 replaces its own output (exactly-once with the streaming checkpoint).
 A file is never split across micro-batches, so a declaration's header and
 lines are always parsed together.
+
+A sink has one checkpoint, ``<sink_dir>/_checkpoint`` unless named, so a
+second run continues the batch numbers; a sink that holds output without
+its checkpoint is refused, as its batches would be overwritten.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from salarium.session import checkpoint_dir
-from salarium.sources.ingest import parse_declarations
+from salarium.sources.ingest import check_collisions, key_collisions, parse_declarations
 from salarium.sources.star import SCHEMAS, Star
 
-DIMENSION_KEYS = {"companies": "company_id", "employees": "employee_id", "documents": "document_id",
-                  "salary_records": "record_id"}
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store Spark reads it from."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def declaration_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                        checkpoint: str | None = None, max_files: int = 1000,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, decimal_mark: str | None = None) -> StreamingQuery:
     """Start the ingest stream; ``available_now`` processes what is there
     and stops (scheduled runs), otherwise it keeps polling."""
     lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files)
              .load(source_dir)
              .select(F.input_file_name().alias("filename"), F.col("value").alias("line")))
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/salarium-ingest-stream-{uuid.uuid4().hex[:12]}"
+    ckpt = checkpoint or f"{sink_dir.rstrip('/')}/_checkpoint"
+    if path_exists(spark, f"{sink_dir}/audit") and not path_exists(spark, f"{ckpt}/offsets"):
+        raise ValueError(f"{sink_dir} holds batches of another checkpoint than {ckpt}")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        res = parse_declarations(batch)
-        outs = dict(res.star.tables())
-        outs["rejects"] = res.rejects
-        outs["audit"] = res.audit
-        for name, df in outs.items():
-            df.write.mode("overwrite").parquet(f"{sink_dir}/{name}/batch_id={batch_id}")
+        batch = batch.persist()   # read once for all tables
+        try:
+            res = parse_declarations(batch, decimal_mark)
+            check_collisions(res.collisions)
+            outs = dict(res.star.tables())
+            outs["rejects"] = res.rejects
+            outs["audit"] = res.audit
+            for name, df in outs.items():
+                df.write.mode("overwrite").parquet(f"{sink_dir}/{name}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
@@ -48,11 +59,11 @@ def declaration_stream(spark: SparkSession, source_dir: str, sink_dir: str,
 
 
 def load_ingested(spark: SparkSession, sink_dir: str) -> Star:
-    """Read the stream's output as one star.  Dimension rows repeat across
-    batches (the same company in several files); keys are content hashes,
-    so one row per key is kept."""
-    t = {}
-    for name, schema in SCHEMAS.items():
-        df = spark.read.parquet(f"{sink_dir}/{name}").select(*schema.fieldNames())
-        t[name] = df.dropDuplicates([DIMENSION_KEYS[name]])
-    return Star(t["companies"], t["documents"], t["employees"], t["salary_records"])
+    """Read the stream's output as one star.  Companies and employees repeat
+    across batches and are kept once per natural key (all their columns);
+    documents and records never do.  Ids shared by different rows fail the
+    load."""
+    t = {name: spark.read.parquet(f"{sink_dir}/{name}").select(*schema.fieldNames()) for name, schema in SCHEMAS.items()}
+    star = Star(t["companies"].distinct(), t["documents"], t["employees"].distinct(), t["salary_records"])
+    check_collisions(key_collisions(star))
+    return star

@@ -1,8 +1,10 @@
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
-from salarium.sources.ingest import parse_amount, parse_declarations
+from salarium.sources.ingest import STATUSES, check_collisions, key_collisions, parse_amount, parse_declarations
+from salarium.sources.star import Star
 
 LINES = [
     ("a.txt", "EMPLOYER: Acme  SA ; ACTIVITY: Tech ; CITY: Rabat"),
@@ -26,6 +28,39 @@ def test_parse_amount(spark):
                    D("3000.50")]
 
 
+def test_ambiguous_amounts_need_a_convention(spark):
+    df = spark.createDataFrame([(v,) for v in ["7,500", "1.500", "12.345", "1,234.50", "1500,5"]], "s string")
+    got = [[r.a for r in df.select(parse_amount(F.col("s"), mark).alias("a")).collect()] for mark in (None, ".", ",")]
+    assert got[0] == [None, None, None, D("1234.50"), D("1500.50")]
+    assert got[1] == [D("7500.00"), D("1.50"), D("12.35"), D("1234.50"), None]
+    assert got[2] == [D("7.50"), D("1500.00"), D("12345.00"), None, D("1500.50")]
+
+
+def test_every_line_has_one_status(spark):
+    odd = LINES + [
+        ("d.txt", "EMPLOYER:  ; ACTIVITY: X ; CITY: Y"), ("d.txt", "Emma ; 10"),                       # no employer
+        ("e.txt", "EMPLOYER: One ; ACTIVITY: X ; CITY: Y"), ("e.txt", "EMPLOYER: Two ; ACTIVITY: X ; CITY: Y"), ("e.txt", "Emma ; 10"),
+        ("f.txt", "EMPLOYER: Gone ; ACTIVITY: X ; CITY: Y"), ("f.txt", "Emma ; 7,500"), ("f.txt", "Emma ; x1"),   # all rejected
+        ("g.txt", None)]
+    res = parse_declarations(spark.createDataFrame(odd, "filename string, line string"))
+    audit = {r.status: r.row_count for r in res.audit.collect()}
+    assert sum(audit.values()) == len(odd)
+    assert audit == {"header": 3, "loaded": 3, "duplicate": 1, "blank": 2, "bad_header": 1, "extra_header": 2, "missing_header": 3,
+                     "bad_amount": 2, "ambiguous_amount": 1, "unparsed": 1}
+    docs = {r.filename: (r.employee_count, r.total_salary_mass) for r in res.star.documents.collect()}
+    assert docs["f.txt"] == (0, D("0.00")) and set(docs) == {"a.txt", "c.txt", "f.txt"}
+    assert all(r.company_name for r in res.star.companies.collect())
+    assert res.rejects.count() == sum(audit[k] for k in STATUSES[4:])
+
+
+def test_shared_ids_fail_the_load(spark):
+    star = parse_declarations(spark.createDataFrame(LINES, "filename string, line string")).star
+    twice = Star(star.companies, star.documents, star.employees.unionAll(star.employees), star.salary_records)
+    check_collisions(key_collisions(star))
+    with pytest.raises(ValueError, match="employees"):
+        check_collisions(key_collisions(twice))
+
+
 def test_parse_declarations(spark):
     res = parse_declarations(spark.createDataFrame(LINES, "filename string, line string"))
     audit = {r.status: r.row_count for r in res.audit.collect()}

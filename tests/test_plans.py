@@ -1,6 +1,8 @@
 """Plan assertions: no Python in any registered plan, no full-table window
 on one partition, pushdown and pruning into the Parquet scan."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -13,7 +15,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_no_python_and_no_single_partition_row_window(spark, name):
     p = plan_of(E.queries()[name](spark, SF001))
     assert not any(n in p for n in PY_NODES), name
@@ -42,7 +44,8 @@ def test_rank_window_is_hash_partitioned(spark):
 
 
 @pytest.mark.parametrize("name", ["report_city_stats", "report_company_stats", "national_percentiles",
-                                  "dashboard_city_stats", "income_deciles", "city_salary_stats"])
+                                  "dashboard_city_stats", "income_deciles", "city_salary_stats", "mean_median_ratio",
+                                  "metric_value_stats", "top_income_shares", "lorenz_curve"])
 def test_fact_is_scanned_once(spark, name):
     """Grouped statistics and the rank core read the fact once: every other
     use of the histogram shuffle is a ReusedExchange.  A predicate pushed
@@ -53,3 +56,13 @@ def test_fact_is_scanned_once(spark, name):
     final = plan_of(q).split("== Initial Plan ==")[0]
     assert final.count("lineitem.parquet") == 1, name
     assert "ReusedExchange" in final, name
+
+
+@pytest.mark.parametrize("name", ["company_summary", "company_size_distribution", "page_company_sizes", "having_min_count",
+                                  "size_vs_salary_corr"])
+def test_distinct_employees_are_shuffled_on_both_keys(spark, name):
+    """A company with a third of all records must not be counted in one
+    task: records are reduced by (company, employee) first."""
+    p = plan_of(E.queries()[name](spark, SF001))
+    assert re.search(r"hashpartitioning\(company_id#\d+L?, employee_id#\d+", p)
+    assert "count(distinct" not in p

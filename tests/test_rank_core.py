@@ -2,15 +2,18 @@
 (including a NULL group), and a hot value holding a third of the rows."""
 
 import random
+from decimal import Decimal as D
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from salarium.operators.aggregates import sq_dev, stddev_samp_of
+from salarium.operators.generate import digest_bits
 from salarium.operators.inequality import inequality
-from salarium.operators.ranks import (expand_rows, lorenz_points, ntile, ntile_pieces, quantiles,
-                                      rank_frame)
+from salarium.operators.ranks import (double_bucket, expand_rows, frame_from_hist, hash_bucket, lorenz_curve, lorenz_points,
+                                      ntile, ntile_pieces, quantiles, rank_frame)
 from tests import brute
 
 PROBS = {"p0": 0.0, "p01": 0.01, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p999": 0.999, "p1": 1.0}
@@ -108,5 +111,50 @@ def test_property_against_brute(spark, ints):
 def test_double_values_use_quantile_buckets(spark):
     xs = [random.Random(5).uniform(0, 10) for _ in range(200)]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    q = quantiles(rank_frame(df, "x", buckets=8), {"p50": 0.5}).collect()[0]
+    q = quantiles(rank_frame(df, "x"), {"p50": 0.5}).collect()[0]
     assert q.p50 == pytest.approx(brute.percentile_cont(xs, 0.5), abs=1e-12)
+
+
+def test_wide_decimals_and_extreme_values(spark):
+    df = spark.createDataFrame([(D("25.25"),), (D("99999999999999999999.5"),), (D("-3.125"),), (None,)], "x decimal(38,18)")
+    q = quantiles(rank_frame(df, "x"), {"p50": 0.5}).first()
+    assert q.p50 == 25.25
+    longs = spark.createDataFrame([(-2 ** 63,), (-2 ** 63 + 1,), (0,), (2 ** 62,)], "x long")
+    pre = {r.v: r.pre for r in rank_frame(longs, "x").df.select("v", "pre").collect()}
+    assert pre == {-2 ** 63: 0, -2 ** 63 + 1: 1, 0: 2, 2 ** 62: 3}
+
+
+def test_double_buckets_are_monotone(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, -0.0, 1.0, 2.0, 4.0, 8.0, float("inf"), -float("inf")]])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").select("v", double_bucket(F.col("v")).alias("b"))
+    rows = sorted((r.v, r.b) for r in df.collect())
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+
+
+def test_hash_buckets_shrink_with_partitions(spark):
+    rows = spark.range(20000).select(digest_bits(15, 1, "order", F.col("id")).alias("v"))
+    most = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (8, 512):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            most.append(rows.groupBy(hash_bucket(rows, F.col("v")).alias("b")).count().agg(F.max("count")).first()[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert most[0] <= 20000 / 256 * 2 and most[1] <= 20000 / 2048 * 4
+
+
+def test_stddev_takes_one_path_at_any_size(spark):
+    """10^12 rows of large salaries as a histogram: no overflow, no other formula."""
+    hist = spark.createDataFrame([(D("90000.00"), 5 * 10 ** 11), (D("110000.00"), 5 * 10 ** 11)], "v decimal(15,2), f long")
+    rf = frame_from_hist(hist)
+    got = rf.df.agg(stddev_samp_of(F.max("n"), sq_dev(F.col("v"), F.col("f"))).alias("s")).first().s
+    assert abs(got - 10000.0) < 1e-4
+
+
+def test_full_lorenz_curve(spark):
+    df = spark.createDataFrame([(D(v),) for v in ("1", "1", "2", "4", "4", "4")], "x decimal(15,2)")
+    got = [(r.i, round(r.y, 12)) for r in lorenz_curve(rank_frame(df, "x")).orderBy("i").collect()]
+    assert got == [(0, round(1 / 16, 12)), (1, 0.125), (2, 0.25), (5, 1.0)]

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from salarium.streaming import declaration_stream, load_ingested
@@ -31,3 +32,18 @@ def test_incremental_ingest(spark, tmp_path):
     assert float(total) == 1000.50 + 2000 + 700 + 3000
     rejects = spark.read.parquet(str(sink / "rejects")).where("status = 'unparsed'").count()
     assert rejects == 1
+
+
+def test_second_run_continues_the_sink(spark, tmp_path):
+    """Without a named checkpoint the sink's own one is used: the second run
+    adds a batch instead of replacing the first."""
+    src, sink = tmp_path / "in", tmp_path / "out"
+    os.makedirs(src)
+    write(src / "a.txt", ["EMPLOYER: Acme ; ACTIVITY: Tech ; CITY: Rabat", "Amal Alaoui ; 1000"])
+    declaration_stream(spark, str(src), str(sink)).awaitTermination(120)
+    write(src / "b.txt", ["EMPLOYER: Beta ; ACTIVITY: Retail ; CITY: Fes", "Bilal Alaoui ; 2000"])
+    declaration_stream(spark, str(src), str(sink)).awaitTermination(120)
+    star = load_ingested(spark, str(sink))
+    assert sorted(float(r.salary_amount) for r in star.salary_records.collect()) == [1000.0, 2000.0]
+    with pytest.raises(ValueError, match="checkpoint"):
+        declaration_stream(spark, str(src), str(sink), str(tmp_path / "another"))
