@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from salarium.llm.common import batches_of, keep_rows, ref
+from salarium.llm.rolling import mixed, powers, prefix_sums
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -45,33 +46,6 @@ PIECE = 1 << 20
 SIEVE_BITS = 20
 
 _SEPARATORS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-#: A value for each byte, from a rule.
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, PIECE + (PIECE >> 2))
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def normal(text: bytes) -> bytes:
     """Lower-cased words joined by single spaces."""
     if not text.isascii():
@@ -93,8 +67,8 @@ def shingle_hashes(joined: bytes, owners: np.ndarray, shingle: int) -> tuple[np.
     full = end > start
     start, end = start[full], end[full]
     owner = np.searchsorted(owners, start, side="right")
-    up, down = powers(n + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[:n], dtype=np.uint64)))
+    _, down = powers(n + 1)
+    sums = prefix_sums(b)
     word = mixed((sums[end] - sums[start]) * down[start])
     w = len(word)
     if w >= shingle:

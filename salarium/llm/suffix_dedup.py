@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salarium.llm.common import batches_of, ref
-from salarium.llm.decontaminate import _BYTE, mixed, powers
 from salarium.llm.induced import suffixes
+from salarium.llm.rolling import mixed, powers, prefix_sums
 from salarium.session import materialize
 
 LENGTH = 200
@@ -67,11 +67,6 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:len(data)], dtype=np.uint64)))
-
-
 def runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text, place, windows, anchor hash, run hash) of the runs of texts
     that lie one after another; ``ends`` are their ends."""
