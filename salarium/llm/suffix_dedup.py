@@ -31,6 +31,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,6 @@ from pyspark.sql import functions as F
 from salarium.llm.common import batches_of, ref
 from salarium.llm.induced import suffixes
 from salarium.llm.rolling import mixed, powers, prefix_sums
-from salarium.session import materialize
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -169,8 +170,10 @@ def repeated_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
                          pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64))], ["k1", "k2", "lo", "n", "anchor", "run"])
 
     found = rows.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, lo int, n int, anchor long, run long")
+    # stated here, so that no reader of the runs adds it alone and the readers share one shuffle
+    found = found.where(reduce(and_, [F.col(c).isNotNull() for c in ("k1", "k2", "lo", "n", "anchor", "run")]))
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("anchor")
-    return materialize(found.join(again, "anchor").dropDuplicates(["k1", "k2", "lo"]))
+    return found.join(again, "anchor").select("k1", "k2", "lo", "n", "anchor", "run").distinct()
 
 
 def sort_shards(pieces: DataFrame, length: int, sort_bytes: int, budget: int) -> DataFrame:
