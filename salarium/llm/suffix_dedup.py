@@ -272,7 +272,8 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = repeated_runs(rows, length, gram)
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     single = found.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("k1", "k2", "lo", "n")).alias("r"))
-    several = single.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    # counting "r" keeps the columns, and so the shuffle, that the other readers use
+    several = single.groupBy("anchor").agg(F.count("r").alias("kinds")).where(F.col("kinds") > 1)
     listed = single.join(several, "anchor").select("anchor", "count", "kinds", "r.*")
 
     def lists(which) -> DataFrame:
