@@ -18,7 +18,7 @@ reference raises), Hoover 0, Atkinson 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salarium.functions.numeric import INDEX_DIGITS, SPREAD_DIGITS, rnd
@@ -37,48 +37,73 @@ def gini_expr():
     return F.sum(F.when(F.col(V).isNotNull(), term)).alias("_gnum")
 
 
-def inequality(rf: RankFrame, epsilon: float = DEFAULT_EPSILON,
-               digits: int | None = INDEX_DIGITS, with_stddev: bool = False) -> DataFrame:
-    """Gini, Hoover and Atkinson per group in one aggregate over the frame
-    (optionally the sample stddev too)."""
-    df = rf.df.where(F.col(V).isNotNull())
+def atkinson_from(power_mean_sum: Column, rows: Column, pay: Column, epsilon: float) -> Column:
+    """Atkinson index from the sum of v^(1 - epsilon) (of ln v for epsilon 1),
+    the number and the sum of the positive values; 0 without any."""
+    level = power_mean_sum / rows
+    level = F.exp(level) if epsilon == 1 else F.pow(level, F.lit(1.0 / (1.0 - epsilon)))
+    return F.when(F.coalesce(rows, F.lit(0)) == 0, F.lit(0.0)).otherwise(1 - level / (pay / rows))
+
+
+def power_term(v: Column, epsilon: float) -> Column:
+    return F.log(v) if epsilon == 1 else F.pow(v, F.lit(1.0 - epsilon))
+
+
+def inequality_aggs(epsilon: float = DEFAULT_EPSILON) -> list[Column]:
+    """Aggregates over a rank frame from which ``inequality_cols`` makes the
+    indexes."""
     v = F.col(V).cast("double")
     f = F.col(F_).cast("double")
     mean = F.col("total").cast("double") / F.col("n").cast("double")
-    a = 1.0 - epsilon
     pos = F.col(V) > 0
-    aggs = [
+    return [
         gini_expr(),
-        F.first("n").alias("n"),
-        F.first("total").cast("double").alias("_sum"),
-        F.first("vmin").cast("double").alias("_min"),
+        F.first("n", True).alias("n"),
+        F.first("total", True).cast("double").alias("_sum"),
+        F.first("vmin", True).cast("double").alias("_min"),
         F.sum(f * F.abs(v - mean)).alias("_absdev"),
         F.sum(F.when(pos, f)).alias("_pn"),
         F.sum(F.when(pos, f * v)).alias("_ps"),
-        F.sum(F.when(pos, f * (F.log(v) if epsilon == 1 else F.pow(v, F.lit(a))))).alias("_pa"),
+        F.sum(F.when(pos, f * power_term(v, epsilon))).alias("_pa"),
         sq_dev(v, f).alias("_d2"),
     ]
-    g = df.groupBy(*rf.groups).agg(*aggs)
+
+
+def inequality_cols(epsilon: float = DEFAULT_EPSILON, digits: int | None = INDEX_DIGITS) -> dict[str, Column]:
+    """record_count, gini, hoover, atkinson and stddev_salary by name."""
     n = F.col("n").cast("double")
     shift = F.when(F.col("_min") < 0, n * F.col("_min")).otherwise(F.lit(0.0))
     gini = F.col("_gnum") / (n * (F.col("_sum") + n * F.lit(GINI_OFFSET) - shift))
     empty = F.coalesce(F.col("n"), F.lit(0)) == 0
     hoover = F.when(empty | (F.coalesce(F.col("_sum"), F.lit(0.0)) == 0), F.lit(0.0))\
               .otherwise(F.col("_absdev") / (2 * F.col("_sum")))
-    pmean = F.col("_ps") / F.col("_pn")
-    if epsilon == 1:
-        atk = 1 - F.exp(F.col("_pa") / F.col("_pn")) / pmean
-    else:
-        atk = 1 - F.pow(F.col("_pa") / F.col("_pn"), F.lit(1.0 / a)) / pmean
-    atk = F.when(F.coalesce(F.col("_pn"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(atk)
+    atk = atkinson_from(F.col("_pa"), F.col("_pn"), F.col("_ps"), epsilon)
 
     def r(c):
         return F.round(c, digits) if digits is not None else c
-    extra = []
-    if with_stddev:
-        extra.append(rnd(stddev_samp_of(F.col("n"), F.col("_d2")), SPREAD_DIGITS).alias("stddev_salary"))
-    return g.select(*rf.groups, F.coalesce(F.col("n"), F.lit(0)).alias("record_count"),
-                    r(gini).alias("gini"), r(hoover).alias("hoover"), r(atk).alias("atkinson"), *extra)
+    cols = {"record_count": F.coalesce(F.col("n"), F.lit(0)), "gini": r(gini), "hoover": r(hoover), "atkinson": r(atk),
+            "stddev_salary": rnd(stddev_samp_of(F.col("n"), F.col("_d2")), SPREAD_DIGITS)}
+    return {name: c.alias(name) for name, c in cols.items()}
+
+
+def inequality(rf: RankFrame, epsilon: float = DEFAULT_EPSILON,
+               digits: int | None = INDEX_DIGITS, with_stddev: bool = False) -> DataFrame:
+    """Gini, Hoover and Atkinson per group in one aggregate over the frame
+    (optionally the sample stddev too)."""
+    g = rf.df.where(F.col(V).isNotNull()).groupBy(*rf.groups).agg(*inequality_aggs(epsilon))
+    cols = inequality_cols(epsilon, digits)
+    if not with_stddev:
+        cols.pop("stddev_salary")
+    return g.select(*rf.groups, *cols.values())
+
+
+def atkinson_index(df: DataFrame, value: str = "salary_amount", epsilon: float = DEFAULT_EPSILON,
+                   digits: int = INDEX_DIGITS) -> DataFrame:
+    """I3 alone: one aggregate over the positive values."""
+    v = F.col(value).cast("double")
+    one = df.where(F.col(value) > 0).agg(F.sum(power_term(v, epsilon)).alias("_pa"), F.count(value).alias("_pn"),
+                                         F.sum(value).cast("double").alias("_ps"))
+    return one.select(F.round(atkinson_from(F.col("_pa"), F.col("_pn"), F.col("_ps"), epsilon), digits).alias("atkinson"))
 
 
 def inequality_of(df: DataFrame, value: str = "salary_amount", groups=(),

@@ -430,40 +430,49 @@ def _(star, spark, d):
 
 @register("hoover", sql(f"SELECT {HOOVER} AS hoover", FACT_CTE))
 def _(star, spark, d):
-    return report.inequality_measures(star).select("hoover")
+    return report.hoover(star)
 
 
 @register("atkinson", sql(f"SELECT {ATKINSON} AS atkinson", FACT_CTE))
 def _(star, spark, d):
-    return report.inequality_measures(star).select("atkinson")
+    return report.atkinson(star)
 
 
 @register("atkinson_log", sql("""SELECT ROUND(1 - EXP(AVG(LN(v))) / AVG(v), 8) AS atkinson
 FROM (SELECT CAST(salary_amount AS DOUBLE) AS v FROM fact WHERE salary_amount > 0)""", FACT_CTE))
 def _(star, spark, d):
     """Atkinson index at epsilon 1."""
-    return report.inequality_measures(star, 1).select("atkinson")
+    return report.atkinson(star, 1)
 
 
-@register("inequality_by_group", sql("""SELECT city, COUNT(*) AS record_count,
+def inequality_sql(group: str) -> str:
+    return sql(f"""SELECT {group}, COUNT(*) AS record_count,
   ROUND(SUM((2 * i - n - 1) * w) / (MAX(n) * SUM(w)), 8) AS gini,
   ROUND(CASE WHEN SUM(v) = 0 THEN 0 ELSE SUM(ABS(v - mean)) / (2 * SUM(v)) END, 8) AS hoover,
   ROUND(CASE WHEN COUNT(CASE WHEN v > 0 THEN 1 END) = 0 THEN 0
     ELSE 1 - POWER(AVG(CASE WHEN v > 0 THEN POWER(v / pmean, 0.5) END), 2) END, 8) AS atkinson
 FROM (
-  SELECT g.city, g.v, g.v - CASE WHEN st.mn < 0 THEN st.mn ELSE 0 END + 1e-7 AS w,
-         ROW_NUMBER() OVER (PARTITION BY g.city ORDER BY g.v) AS i, st.n, st.mean, st.pmean
-  FROM gx g JOIN st ON g.city = st.city)
-GROUP BY city""", FACT_CTE + """, gx AS (
-  SELECT city, CAST(salary_amount AS DOUBLE) AS v FROM fact WHERE city IS NOT NULL
+  SELECT g.{group}, g.v, g.v - CASE WHEN st.mn < 0 THEN st.mn ELSE 0 END + 1e-7 AS w,
+         ROW_NUMBER() OVER (PARTITION BY g.{group} ORDER BY g.v) AS i, st.n, st.mean, st.pmean
+  FROM gx g JOIN st ON g.{group} = st.{group})
+GROUP BY {group}""", FACT_CTE + f""", gx AS (
+  SELECT {group}, CAST(salary_amount AS DOUBLE) AS v FROM fact WHERE {group} IS NOT NULL
 ), st AS (
-  SELECT city, COUNT(*) AS n, MIN(v) AS mn, AVG(v) AS mean, AVG(CASE WHEN v > 0 THEN v END) AS pmean
-  FROM gx GROUP BY city
-)"""))
+  SELECT {group}, COUNT(*) AS n, MIN(v) AS mn, AVG(v) AS mean, AVG(CASE WHEN v > 0 THEN v END) AS pmean
+  FROM gx GROUP BY {group}
+)""")
+
+
+@register("inequality_by_group", inequality_sql("city"))
 def _(star, spark, d):
     return report.inequality_by_group(star, "city")
 
 
+@register("inequality_by_activity", inequality_sql("activity_description"))
+def _(star, spark, d):
+    return report.inequality_by_group(star, "activity_description")
+
+
 CURVE_CTE = FACT_CTE + """, curve AS (
   SELECT ROW_NUMBER() OVER (ORDER BY salary_amount) - 1 AS i, salary_amount,
          SUM(salary_amount) OVER (ORDER BY salary_amount ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,

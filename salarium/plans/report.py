@@ -8,17 +8,18 @@ final (small) page rows are ever materialised by the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salarium.functions.buckets import COMPANY_SIZE, REPORT_SALARY
 from salarium.functions.labels import or_unknown, truncate_label
 from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, SPREAD_DIGITS, ratio, rnd)
 from salarium.operators.aggregates import QUARTILES, bucket_counts, salary_stats
-from salarium.operators.inequality import DEFAULT_EPSILON, inequality, running_share
+from salarium.operators.inequality import (DEFAULT_EPSILON, atkinson_index, inequality, inequality_aggs,
+                                           inequality_cols, running_share)
 from salarium.operators.joins import company_fact, company_sizes, salary_fact
 from salarium.operators.ranks import lorenz_curve as exact_curve
-from salarium.operators.ranks import (lorenz_points, ntile, ntile_pieces, quantile_exprs, quantile_value,
+from salarium.operators.ranks import (frame_from_hist, lorenz_points, ntile, ntile_pieces, quantile_exprs, quantile_value,
                                       rank_frame)
 from salarium.sources.star import Star
 
@@ -110,15 +111,42 @@ def national_percentiles(star: Star, approx_accuracy: int | None = None) -> Data
                           F.col("record_count").cast("long").alias("record_count"),
                           F.col("_total").cast("double").alias("total_salary"))
     rf = national_frame(star)
-    one = rf.df.agg(*quantile_exprs(NATIONAL_PERCENTILES),
-                    F.max("n").alias("record_count"), F.max("total").alias("_total"),
-                    F.max("vmin").alias("_min"), F.max("vmax").alias("_max"))
-    return one.select(*[rnd(quantile_value(n), PERCENTILE_DIGITS).alias(n) for n in NATIONAL_PERCENTILES],
-                      F.try_divide(F.col("_total").cast("double"), F.col("record_count")).alias("avg"),
-                      F.col("_min").cast("double").alias("min"),
-                      F.col("_max").cast("double").alias("max"),
-                      F.col("record_count").cast("long").alias("record_count"),
-                      F.col("_total").cast("double").alias("total_salary"))
+    return rf.df.agg(*national_aggs()).select(*national_cols())
+
+
+def national_aggs() -> list[Column]:
+    """Aggregates over a rank frame from which ``national_cols`` makes A13."""
+    return quantile_exprs(NATIONAL_PERCENTILES) + [
+        F.max("n").alias("_records"), F.max("total").alias("_total"), F.max("vmin").alias("_least"), F.max("vmax").alias("_most")]
+
+
+def national_cols() -> list[Column]:
+    return [*[rnd(quantile_value(n), PERCENTILE_DIGITS).alias(n) for n in NATIONAL_PERCENTILES],
+            F.try_divide(F.col("_total").cast("double"), F.col("_records")).alias("avg"),
+            F.col("_least").cast("double").alias("min"),
+            F.col("_most").cast("double").alias("max"),
+            F.col("_records").cast("long").alias("record_count"),
+            F.col("_total").cast("double").alias("total_salary")]
+
+
+def national_and_fact(star: Star, epsilon: float = DEFAULT_EPSILON) -> DataFrame:
+    """One row (p, s): the A13 figures of all records with salary >= 1, and
+    the inequality of the report fact, which is the part of them whose
+    company is known.  The records are read and reduced to one histogram
+    with both counts; the two populations are groups of one rank frame."""
+    sr = _floor(star.records("company_id", "salary_amount"))
+    known = star.companies.select(F.col("company_id").alias("_co"))
+    hist = (sr.join(known, sr.company_id == known._co, "left").groupBy(F.col("salary_amount").alias("v"))
+            .agg(F.count(F.lit(1)).alias("_all"), F.count("_co").alias("_known")))
+    parts = F.array(F.struct(F.lit("all").alias("part"), F.col("_all").alias("f")),
+                    F.struct(F.lit("fact").alias("part"), F.col("_known").alias("f")))
+    rows = hist.select("v", F.explode(parts).alias("p")).select("p.part", "v", "p.f").where(F.col("f") > 0)
+    st = (frame_from_hist(rows, ["part"]).df.groupBy("part")
+          .agg(*national_aggs(), *inequality_aggs(epsilon)))
+    fact = inequality_cols(epsilon)
+    two = st.select("part", F.struct(*national_cols()).alias("p"), F.struct(*fact.values()).alias("s"))
+    return two.agg(F.max(F.when(F.col("part") == "all", F.col("p"))).alias("p"),
+                   F.max(F.when(F.col("part") == "fact", F.col("s"))).alias("s"))
 
 
 def percentile_table(star: Star) -> DataFrame:
@@ -208,6 +236,17 @@ def inequality_measures(star: Star, epsilon: float = DEFAULT_EPSILON) -> DataFra
     return inequality(fact_frame(star), epsilon)
 
 
+def hoover(star: Star) -> DataFrame:
+    """I2 on the report fact.  It reads the frame's totals only, so the
+    running sums and their shuffle are pruned from the plan."""
+    return inequality_measures(star).select("hoover")
+
+
+def atkinson(star: Star, epsilon: float = DEFAULT_EPSILON) -> DataFrame:
+    """I3 on the report fact."""
+    return atkinson_index(salary_fact(star).select("salary_amount"), epsilon=epsilon)
+
+
 def inequality_by_group(star: Star, group: str = "city", epsilon: float = DEFAULT_EPSILON) -> DataFrame:
     """I8: Gini / Hoover / Atkinson per group (NULL group dropped); a hot group
     spans many rank buckets."""
@@ -283,10 +322,8 @@ def company_size_distribution(star: Star) -> DataFrame:
 def report_summary(star: Star) -> DataFrame:
     """Key statistics page as one row (percentiles over records with
     salary >= 1; stddev, Gini and Hoover over the report fact)."""
-    p = national_percentiles(star)
-    # one scalar subquery per source (a struct), not one per column
-    fact = inequality(fact_frame(star), with_stddev=True).select(
-        F.struct("gini", "hoover", "stddev_salary").alias("s")).scalar()
+    p = national_and_fact(star).select("p.*", "s")
+    fact = F.col("s")
     return p.select(
         "record_count", "total_salary", F.col("avg").alias("mean_salary"),
         F.col("p50").alias("median_salary"),
@@ -300,7 +337,7 @@ def report_summary(star: Star) -> DataFrame:
         rnd(ratio(F.col("p75"), F.col("p25")), INDEX_DIGITS).alias("p75_p25"),
         rnd(ratio(F.col("p99"), F.col("p50")), INDEX_DIGITS).alias("p99_p50"),
         fact.getField("gini").alias("gini"),
-        fact.getField("hoover").alias("hoover"))
+        F.coalesce(fact.getField("hoover"), F.lit(0.0)).alias("hoover"))
 
 
 def page_salary_distribution(star: Star) -> DataFrame:
@@ -317,14 +354,14 @@ def page_percentiles(star: Star) -> DataFrame:
 
 def page_lorenz(star: Star, epsilon: float = DEFAULT_EPSILON) -> DataFrame:
     """Inequality box of the Lorenz page (curve points: ``lorenz_curve``)."""
-    ineq = inequality_measures(star, epsilon)
-    p = national_percentiles(star).select(F.struct(
-        rnd(ratio(F.col("p90"), F.col("p10")), INDEX_DIGITS).alias("p90_p10"),
-        rnd(ratio(F.col("p75"), F.col("p25")), INDEX_DIGITS).alias("p75_p25"),
-        rnd(ratio(F.col("p99"), F.col("p50")), INDEX_DIGITS).alias("p99_p50"),
-        F.col("p99").alias("top1_min_salary"))).scalar()
-    return ineq.select("gini", "hoover", "atkinson",
-                       *[p.getField(c).alias(c) for c in ("p90_p10", "p75_p25", "p99_p50", "top1_min_salary")])
+    p = national_and_fact(star, epsilon).select("p.*", "s")
+    s = F.col("s")
+    return p.select(s.getField("gini").alias("gini"), F.coalesce(s.getField("hoover"), F.lit(0.0)).alias("hoover"),
+                    F.coalesce(s.getField("atkinson"), F.lit(0.0)).alias("atkinson"),
+                    rnd(ratio(F.col("p90"), F.col("p10")), INDEX_DIGITS).alias("p90_p10"),
+                    rnd(ratio(F.col("p75"), F.col("p25")), INDEX_DIGITS).alias("p75_p25"),
+                    rnd(ratio(F.col("p99"), F.col("p50")), INDEX_DIGITS).alias("p99_p50"),
+                    F.col("p99").alias("top1_min_salary"))
 
 
 def page_decile_shares(star: Star) -> DataFrame:

@@ -17,13 +17,14 @@ DEFAULT_CONF = {
 }
 
 
-def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Settings for a large cluster run, sized from the input volume.
+def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster run, sized from the largest shuffle that
+    is left after map-side aggregation (not from the input: a histogram of
+    100 TB is far smaller, and map x reduce statuses weigh on the driver).
 
     * Shuffle partitions start at about one per ``target_partition_bytes``
-      of input (at least 2000); AQE then coalesces small ones toward the
-      advisory size instead of keeping the default parallelism, so a 100 TB
-      job starts near 400k partitions and small jobs shrink automatically.
+      of that shuffle (at least 2000); AQE then coalesces small ones toward
+      the advisory size instead of keeping the default parallelism.
     * Scan splits are 512 MB so a 100 TB scan is ~200k tasks, each
       streaming one split through whole-stage code.
     * Skew join splits any shuffle partition 5x over the median and above
@@ -32,7 +33,7 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> d
       broadcast is its bucket-offset table, bounded by construction.
     * Checkpoint files of finished jobs are cleaned up.
     """
-    parts = max(2000, input_bytes // target_partition_bytes)
+    parts = max(2000, -(-shuffle_bytes // target_partition_bytes))
     conf = dict(DEFAULT_CONF)
     conf.update({
         "spark.sql.shuffle.partitions": str(parts),

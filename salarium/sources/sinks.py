@@ -14,8 +14,14 @@ from salarium.sources.star import Star
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a
-    machine-local temp folder)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/salarium-{name}-{uuid.uuid4().hex[:12]}"
+    machine-local temp folder); the file system removes it when the driver
+    ends, as lazy readers may need it until then."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/salarium-{name}-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_within=None) -> None:

@@ -1,11 +1,15 @@
 """Plan assertions: no Python in any registered plan, no full-table window
 on one partition, pushdown and pruning into the Parquet scan."""
 
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as E
+from salarium.session import cluster_conf
 from tests.conftest import SF001
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -45,7 +49,8 @@ def test_rank_window_is_hash_partitioned(spark):
 
 @pytest.mark.parametrize("name", ["report_city_stats", "report_company_stats", "national_percentiles",
                                   "dashboard_city_stats", "income_deciles", "city_salary_stats", "mean_median_ratio",
-                                  "metric_value_stats", "top_income_shares", "lorenz_curve"])
+                                  "metric_value_stats", "top_income_shares", "lorenz_curve", "report_summary", "page_lorenz",
+                                  "hoover"])
 def test_fact_is_scanned_once(spark, name):
     """Grouped statistics and the rank core read the fact once: every other
     use of the histogram shuffle is a ReusedExchange.  A predicate pushed
@@ -66,3 +71,33 @@ def test_distinct_employees_are_shuffled_on_both_keys(spark, name):
     p = plan_of(E.queries()[name](spark, SF001))
     assert re.search(r"hashpartitioning\(company_id#\d+L?, employee_id#\d+", p)
     assert "count(distinct" not in p
+
+
+def test_hoover_needs_no_running_sums(spark):
+    """Only the totals of the rank frame: no sort of values, no shuffle by bucket and value."""
+    p = plan_of(E.queries()["hoover"](spark, SF001))
+    assert not re.search(r"Sort \[_bucket#\d+ ASC NULLS FIRST, v#", p) and "_off_f" not in p
+
+
+@pytest.mark.parametrize("name", ["atkinson", "atkinson_log"])
+def test_single_aggregate_needs_no_rank_frame(spark, name):
+    p = plan_of(E.queries()[name](spark, SF001))
+    assert p.count("lineitem.parquet") == 1 and "Window" not in p and "_bucket" not in p
+
+
+def test_cluster_conf_follows_the_shuffle():
+    small, large = cluster_conf(1 << 30), cluster_conf(10 << 40)
+    assert small["spark.sql.shuffle.partitions"] == "2000"
+    assert large["spark.sql.shuffle.partitions"] == str(10 * 4096)
+
+
+def test_scratch_folders_go_with_the_driver(tmp_path):
+    """Written in a session of its own, gone once its driver has ended."""
+    code = ("from pyspark.sql import SparkSession\n"
+            "from salarium.sources.sinks import scratch_path\n"
+            f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', {str(tmp_path)!r}).getOrCreate()\n"
+            "p = scratch_path(s, 'x')\n"
+            "s.range(3).write.mode('overwrite').parquet(p)\n"
+            "assert s.read.parquet(p).count() == 3\n")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(E.__file__), timeout=120)
+    assert not list(tmp_path.glob("salarium-*"))
