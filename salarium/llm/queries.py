@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salarium.llm.ann import nearest
-from salarium.llm.decontaminate import contaminated
+from salarium.llm.decontaminate import CONTAINMENT, SHINGLE, contaminated
 from salarium.llm.html_extract import extract
 from salarium.llm.license_scan import scan
 from salarium.llm.mix import MAX_REPEAT, WEIGHTS, mix_copies
@@ -110,6 +110,24 @@ o AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / s
 SELECT doc_id, size, source_size, target, least(floor(u + e * (i + 1)) - floor(u + e * i), {repeat})::BIGINT * size AS taken FROM o"""
 
 
+def op6_sql(documents: str = "documents", items: str = "benchmark", shingle: int = SHINGLE, containment: float = CONTAINMENT) -> str:
+    """Exact containment from all shingles of both tables."""
+    def shingles(source: str, keys: str) -> str:
+        return f"""SELECT DISTINCT {keys}, unnest([array_to_string(w[p:p + {shingle - 1}], ' ')
+  for p in range(1, greatest(len(w) - {shingle - 1}, 1) + 1)]) AS s FROM {source} WHERE len(w) > 0"""
+
+    words = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM {documents} WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS m, min(item_id) AS item_id, any_value({words}) AS w FROM {items} WHERE text IS NOT NULL GROUP BY text),
+ds AS ({shingles("d", "r, doc_id")}),
+js AS ({shingles("i", "m, item_id")}),
+n AS (SELECT m, count(*) AS n FROM js GROUP BY m),
+h AS (SELECT r, doc_id, m, item_id, count(*) AS c FROM ds JOIN js USING (s) GROUP BY r, doc_id, m, item_id)
+SELECT doc_id, item_id, c::DOUBLE / n::DOUBLE AS containment, n::INT AS n_shingles
+FROM h JOIN n USING (m) WHERE c::DOUBLE / n::DOUBLE >= {containment}::DOUBLE"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -126,4 +144,5 @@ QUERIES = {
 ORACLE = {
     "op1_sharding": op1_sql(),
     "op2_mixing": op2_sql(),
+    "op6_decontamination": op6_sql(),
 }

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from salarium.llm import decontaminate as D
 from salarium.llm import induced
 from salarium.llm import license_scan as L
+from salarium.llm import queries as Q
 from salarium.llm import suffix_dedup as X
 from salarium.llm import toxicity as T
 from tests.conftest import SF001, SF01
@@ -45,6 +47,12 @@ def test_contamination_of_odd_rows(spark, tmp_path, monkeypatch, piece):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = sorted((tuple(r)[:3] for r in D.contaminated(docs, table).collect()), key=repr)
     assert got == contained(rows, items) and any(i == 3 for _, i, _ in got)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    sql = f"SELECT doc_id, item_id, containment FROM ({Q.op6_sql()})"
+    assert sorted((tuple(r) for r in con.execute(sql).fetchall()), key=repr) == got
     clean = D.decontaminate(docs, table)
     assert clean.columns == docs.columns
     assert clean.count() == sum(1 for d in rows if not contained([d], items))
