@@ -156,8 +156,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k1, k2, lo, n, anchor, run): runs of different texts or places whose
-    anchor occurs again."""
+    """(k1, k2, lo, n, anchor, run): runs whose anchor occurs again; those of
+    equal texts come once for each copy."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +173,18 @@ def repeated_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     # stated here, so that no reader of the runs adds it alone and the readers share one shuffle
     found = found.where(reduce(and_, [F.col(c).isNotNull() for c in ("k1", "k2", "lo", "n", "anchor", "run")]))
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("anchor")
-    return found.join(again, "anchor").select("k1", "k2", "lo", "n", "anchor", "run").distinct()
+    return split_join(found, again, ["anchor"], "left_semi").select("k1", "k2", "lo", "n", "anchor", "run")
+
+
+def split_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keys``, a result grouped by ``on``.  A bit of the
+    first key is named as a further key, which the grouping does not know:
+    both sides are then plain shuffles, and the adaptive planner may split
+    the partition of a hot key over many tasks."""
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumn("odd", F.col(on[0]).bitwiseAND(F.lit(1)))
+
+    return named(rows).join(named(keys), [*on, "odd"], how).drop("odd")
 
 
 def sort_shards(pieces: DataFrame, length: int, sort_bytes: int, budget: int) -> DataFrame:
@@ -271,18 +282,21 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed(docs, id_col, text_col)
     found = repeated_runs(rows, length, gram)
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    # Copies of a text count like other places: a text with copies goes
+    # whole, so it is no matter that its runs count as repeated.  The filters
+    # name "r" and "count" so that all readers of ``single`` share its shuffle.
     single = found.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("k1", "k2", "lo", "n")).alias("r"))
-    # counting "r" keeps the columns, and so the shuffle, that the other readers use
-    several = single.groupBy("anchor").agg(F.count("r").alias("kinds")).where(F.col("kinds") > 1)
-    listed = single.join(several, "anchor").select("anchor", "count", "kinds", "r.*")
+    several = single.groupBy("anchor").agg(F.count("r").alias("kinds"), F.sum("count").alias("rows")).where(
+        (F.col("kinds") > 1) & (F.col("rows") > 1)).drop("rows")
+    listed = split_join(single, several, ["anchor"]).select("anchor", "count", "kinds", "r.*")
 
     def lists(which) -> DataFrame:
         return listed.where(which).groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "lo", "n", "count")).alias("runs"))
 
     sorted_marks = sort_shards(cut_pieces(lists(F.col("kinds") <= hot_runs), texts, length), length, sort_bytes, budget)
     hot_marks = count_windows(cut_pieces(lists(F.col("kinds") > hot_runs), texts, length), length)
-    equal = single.where(F.col("count") > 1).select("anchor", "run")
-    equal_marks = found.join(equal, ["anchor", "run"]).select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
+    equal = single.where((F.col("count") > 1) & F.col("r").isNotNull()).select("anchor", "run")
+    equal_marks = split_join(found, equal, ["anchor", "run"], "left_semi").select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
     marks = equal_marks.unionByName(sorted_marks).unionByName(hot_marks)
     # at most one range for each window of one text
     ranges = marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
