@@ -3,11 +3,14 @@
 A text and a template are aligned on the words that occur once in both: the
 longest run of such anchors in increasing order holds, and the gaps between
 them are aligned in the same way.  The aligned share of the template's words
-is its coverage.
+is its coverage; where repeated words leave patience short of ``COVERAGE``,
+that of the longest common subsequence.
 
-Only places where most words of a template come together are aligned: a
-window of twice the template's length with ``COVERAGE`` of its different
-words.  Each document is read once, whole, and nothing leaves its row.
+A place is a stretch of at most twice the template's length that holds
+``COVERAGE`` of its words in order.  Places are disjoint and as many as can
+be: a sliding count of shared words says where one may start, a bit-parallel
+common subsequence where it ends.  Each document is read once, whole, and
+nothing leaves its row.
 
 Defined results: words are runs of letters and digits after lower-casing;
 null and empty texts match nothing; a template found several times gives one
@@ -17,6 +20,7 @@ places; repeated rows each give their own; a null id is kept.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -78,40 +82,97 @@ class Template:
     def __init__(self, name: str, text: str):
         self.name = name
         self.words = [m[0] for m in WORDS.finditer(text.lower())]
-        self.known = set(self.words)
-        self.least = -(-len(self.known) * COVERAGE // 1)
-
-    def places(self, words: list[str], at: list[int]) -> Iterator[tuple[int, int]]:
-        """Windows of the text that hold most of the template's words; ``at``
+        self.count = Counter(self.words)
+        self.known = frozenset(self.words)
+        self.need = math.ceil(len(self.words) * COVERAGE - 1e-9)
+        self.reach = 2 * len(self.words)
+        #: different words that any place has: each word that is missing lacks at least one position
+        self.least = max(1, len(self.known) - (len(self.words) - self.need))
+        self.masks, self.back = ({}, {})
+        for masks, order in ((self.masks, self.words), (self.back, self.words[::-1])):
+            for i, w in enumerate(order):
+                masks[w] = masks.get(w, 0) | 1 << i
+
+    def common(self, words: list[str], path: range, goal: int) -> tuple[int, int]:
+        """Longest common subsequence of the template and the words along
+        ``path`` (backwards: of both from behind), bit-parallel, up to
+        ``goal``; and the last position that added to it."""
+        masks = self.masks if path.step > 0 else self.back
+        n = len(self.words)
+        every = (1 << n) - 1
+        row, length, last = every, 0, -1
+        for p in path:
+            m = masks.get(words[p])
+            if m is None:
+                continue
+            u = row & m
+            row = ((row + u) | (row - u)) & every
+            now = n - row.bit_count()
+            if now > length:
+                length, last = now, p
+                if length >= goal:
+                    break
+        return length, last
+
+    def starts(self, words: list[str], at: list[int]) -> Iterator[int]:
+        """Known words from which a stretch in reach holds as many words of
+        the template, in any order, as a place needs."""
+        seen, shared, right = Counter(), 0, 0
+        for p in at:
+            while right < len(at) and at[right] < p + self.reach:
+                w = words[at[right]]
+                shared += seen[w] < self.count[w]
+                seen[w] += 1
+                right += 1
+            if shared >= self.need:
+                yield p
+            seen[words[p]] -= 1
+            shared -= seen[words[p]] < self.count[words[p]]
+
+    def places(self, words: list[str], at: list[int]) -> list[tuple[int, int]]:
+        """The largest number of disjoint stretches, at most ``reach`` words
+        long, that hold ``need`` words of the template in order: always the
+        one that ends first, from the last word where it can start; ``at``
         are the positions of known words."""
-        reach, seen, left, done = 2 * len(self.words), Counter(), 0, 0
-        for right, p in enumerate(at):
-            seen[words[p]] += 1
-            while at[left] <= p - reach:
-                seen[words[at[left]]] -= 1
-                if not seen[words[at[left]]]:
-                    del seen[words[at[left]]]
-                left += 1
-            if len(seen) >= self.least:
-                while seen[words[at[left]]] > 1:
-                    seen[words[at[left]]] -= 1
-                    left += 1
-                start = max(done, at[left] - len(self.words) // 4)
-                done = min(len(words), p + 1 + len(self.words) // 2)
-                yield start, done
-                seen, left = Counter(), right + 1
+        out, free = [], 0
+        for p in self.starts(words, at):
+            if p < free:
+                continue
+            length, last = self.common(words, range(p, min(len(words), p + self.reach)), self.need)
+            if length < self.need:
+                free = p + self.need - length  # a start further right by one gains at most one word
+                continue
+            _, first = self.common(words, range(last, p - 1, -1), self.need)
+            out.append((first, last + 1))
+            free = last + 1
+        return out
+
+    def found(self, words: list[str], at: list[int]) -> list[tuple[int, int, int]]:
+        """(aligned words, first word, last word) of every place, carried on
+        as far as its neighbours and ``reach`` let it."""
+        out, places = [], self.places(words, at)
+        before = 0
+        for (start, end), (limit, _) in zip(places, [*places[1:], (len(words), 0)]):
+            whole = len(self.words)
+            wide = max(before, end - self.reach)
+            length, first, last = 0, 0, 0
+            for s in {start: 0, wide: 0}:
+                n, e = self.common(words, range(s, min(limit, s + self.reach)), whole)
+                if n > length:
+                    length, last = n, e
+                    _, first = self.common(words, range(e, s - 1, -1), n)
+            aligned = len(align(words[first:last + 1], self.words))
+            out.append((aligned if aligned >= self.need else length, first, last))
+            before = last + 1
+        return out
 
     def find(self, words: list[str], at: list[int]) -> tuple[float, int, int, int] | None:
         """(coverage, first word, last word, places) of the best place."""
-        best, places = None, 0
-        for start, end in self.places(words, at):
-            pairs = align(words[start:end], self.words)
-            share = len(pairs) / len(self.words)
-            if share >= COVERAGE:
-                places += 1
-                if best is None or share > best[0]:
-                    best = (share, start + pairs[0][0], start + pairs[-1][0])
-        return (*best, places) if best else None
+        found = self.found(words, at)
+        if not found:
+            return None
+        n, first, last = max(found, key=lambda x: (x[0], -x[1]))
+        return n / len(self.words), first, last, len(found)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:

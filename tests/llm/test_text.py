@@ -126,6 +126,59 @@ def test_licenses(spark, tmp_path):
     assert {r["doc_id"] for r in L.scan(data.odd_docs(spark, tmp_path / "odd")).collect()} == {15}
 
 
+def subsequence(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def brute_places(words, template):
+    """Largest number of disjoint stretches that hold the template, from
+    every start and end."""
+    good = [(e, s) for s in range(len(words)) for e in range(s + 1, min(len(words), s + 2 * len(template)) + 1)
+            if subsequence(words[s:e], template) >= 0.8 * len(template)]
+    free = count = 0
+    for e, s in sorted(good):
+        if s >= free:
+            free, count = e, count + 1
+    return count
+
+
+def license_rows(text, name="apache-2.0-notice"):
+    t = L.Template(name, L.TEMPLATES[name])
+    words = [w.lower() for w in L.WORDS.findall(text)]
+    got = t.find(words, [k for k, w in enumerate(words) if w in t.known])
+    assert (got[3] if got else 0) == brute_places(words, t.words)
+    return got
+
+
+def test_licenses_after_headings_copies_and_damage():
+    notice = L.TEMPLATES["apache-2.0-notice"]
+    damaged = "Licensed under the Apache License, Version 3. "
+    assert license_rows("Apache License, Version 2.0. " + notice) == (1.0, 5, 12, 1)
+    assert license_rows(f"{notice} {notice}") == (1.0, 0, 7, 2)
+    assert license_rows(f"{notice} " * 9)[3] == 9
+    assert license_rows(damaged + notice) == (1.0, 7, 14, 1)
+    assert license_rows("Licensed under the Apache License, Version 2.1. " + notice) == (1.0, 8, 15, 2)
+    assert license_rows(damaged * 2) is None
+    assert license_rows("Licensed under, the Apache Version. License notes: " + notice)[0] == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=8), st.lists(st.integers(0, 6), max_size=40))
+def test_license_places_are_those_of_every_start(template, text):
+    t = L.Template("t", " ".join(map(str, template)))
+    words = [str(w) for w in text]
+    got = t.find(words, [k for k, w in enumerate(words) if w in t.known])
+    assert (got[3] if got else 0) == brute_places(words, t.words)
+    assert got is None or got[0] >= 0.8 and words[got[1]] in t.known and words[got[2]] in t.known
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=80), st.integers(1, 4), st.sampled_from([3, 20, 200]), st.sampled_from([0, 10, 10**6]))
 def test_suffix_order_and_prefixes(data_, times, cap, budget):
