@@ -12,7 +12,8 @@
 3. From each page, branches whose nodes are all of low importance go, and so
    do containers that their markup names as menu, header, footer, sidebar,
    notice, advert, form or comments; of the rest, the blocks inside article or main elements stay
-   if there are any.
+   if there are any.  A class, an id or a form alone rules out no html, body, main or article element
+   and no container of most of the text (``page_tree.lift``).
 
 Counts are aggregated before they are shuffled, so a host with most pages
 spreads over all tasks.  The low nodes go to the pages as a broadcast if
@@ -22,7 +23,8 @@ otherwise; both give the same result.
 Defined results: a null html is an empty page, its text is empty; a null or
 odd url belongs to the host ''; a node that fewer than ``LEAST_PAGES`` pages
 of a host share is judged by its markup alone; if everything would go, the
-blocks that the markup does not rule out stay; repeated pages and null ids
+blocks that the markup does not rule out stay, or those with the fewest
+marks around them; repeated pages and null ids
 each keep a row.
 """
 
@@ -125,7 +127,9 @@ def article(page: Page, low: set[str]) -> str:
             path = path[:path.rfind("/")]
         return False
 
-    clear = [b for b in page.blocks if not b.noise]
+    # nothing clear: the blocks of the fewest marks
+    least = min(((b.hard, b.named) for b in page.blocks), default=(0, 0))
+    clear = [b for b in page.blocks if (b.hard, b.named) == least]
     kept = [b for b in clear if not is_low(b.path)] if low else clear
     kept = kept or clear
     inside = [b for b in kept if b.main] or [b for b in clear if b.main]

@@ -17,13 +17,18 @@ RAW = frozenset("script style textarea title noscript iframe xmp template svg".s
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td
 tfoot th thead tr ul br""".split())
-NOISE_TAGS = frozenset("head nav footer aside form button select option menu dialog label input".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+NOISE_TAGS = frozenset("head nav footer aside button select option menu dialog label input".split())
+#: Names and forms rule these out never by themselves, nor containers of most of the page.
+ROOTS = frozenset("html body main article".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar".split())
+FORM_ROLES = frozenset("search form".split())
 NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|"
     r"consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sidebar|aside|widget|"
     r"widgets|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|comment|comments|commentlist|reply|replies|disqus|"
     r"discussion|share|sharing|social|related|recommended|recommendations|toolbar|pagination|pager|login|search)(?:$|[\s_-])")
+#: Article elements of these names are no article.
+ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:comment|reply|related|recommended|sponsored)(?:$|[\s_-])")
 HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])")
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
@@ -34,24 +39,37 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     path: str
-    noise: bool
     main: bool
+    #: elements around it, itself among them, that are marked by their kind, and by a name or form alone
+    hard: int = 0
+    named: tuple[Element, ...] = ()
+    #: characters in it, and those of outermost article or main elements that begin in it
+    size: int = 0
+    around: int = 0
+    #: named containers around the outermost article or main element that this is in
+    outside: tuple[Element, ...] = ()
 
 
 @dataclass
 class Block:
-    """A run of text: its container path, whether a marked-up boilerplate
-    element is around it, and whether an article or main element is."""
+    """A run of text: its container path, the number of marked-up
+    boilerplate elements around it by their kind and by name or form, and
+    whether an article or main element is around it."""
 
     path: str
     text: str
-    noise: bool
+    hard: int
+    named: int
     main: bool
 
+    @property
+    def noise(self) -> bool:
+        return bool(self.hard or self.named)
+
 
 @dataclass
 class Page:
@@ -75,14 +93,16 @@ def attributes(source: str) -> tuple[str, str, bool]:
 
 
 def parse(source: str) -> Page:
-    page, stack, buffer, at = Page(), [Element("", "", False, False)], [], 0
+    page, stack, buffer, at = Page(), [Element("", "", False)], [], 0
+    held: list[Element] = []
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
             top = stack[-1]
-            page.blocks.append(Block(top.path, text, top.noise, top.main))
+            page.blocks.append(Block(top.path, text, top.hard, len(top.named), top.main))
+            held.append(top)
 
     def close(index: int) -> None:
         if any(e.tag in BLOCK for e in stack[index:]):
@@ -128,15 +148,41 @@ def parse(source: str) -> Page:
                     break
         words, role, hidden = attributes(m["attr"]) if "=" in m["attr"] or "hidden" in m["attr"] else ("", "", False)
         top = stack[-1]
-        main = top.main or name in ("article", "main") or role == "main"
-        noise = (top.noise or name in NOISE_TAGS or hidden or role in NOISE_ROLES or bool(words and NOISE_WORDS.search(words))
-                 or not main and (name == "header" or bool(words and HEADER_WORDS.search(words))))
+        main = top.main or name == "main" or role == "main" or name == "article" and not (words and ASIDE_WORDS.search(words))
+        hard = top.hard + (name in NOISE_TAGS or hidden or role in NOISE_ROLES or not main and name == "header")
+        named = name not in ROOTS and (name == "form" or role in FORM_ROLES or bool(words and NOISE_WORDS.search(words))
+                                       or not main and bool(words and HEADER_WORDS.search(words)))
         path = top.path
         if name in BLOCK and name not in ("br", "hr"):
             label = re.sub(r"\d+", "", words.split()[0]) if words.split() else ""
             path = f"{top.path}/{name}{'.' if label else ''}{label}"
             page.containers.append((path, top.path))
         if name not in VOID:
-            stack.append(Element(name, path, noise, main))
+            inner = Element(name, path, main, hard, top.named, outside=top.outside if top.main else top.named)
+            inner.named += (inner,) if named else ()
+            stack.append(inner)
     flush()
+    lift(page, held)
     return page
+
+
+def lift(page: Page, held: list[Element]) -> None:
+    """Takes back the marks by name or form of containers of most of the
+    text; ``held`` are the blocks' elements.  On a page with article or main
+    elements their text counts: more than half of it for a container around
+    such elements, more than three quarters for one inside; otherwise more
+    than half of all text."""
+    inside = any(b.main and not b.hard for b in page.blocks)
+    total = 0
+    for block, element in zip(page.blocks, held):
+        if block.hard or inside and not block.main:
+            continue
+        total += len(block.text)
+        for e in element.named:
+            e.size += len(block.text)
+        for e in element.outside if inside else ():
+            e.around += len(block.text)
+    for block, element in zip(page.blocks, held):
+        if block.named:
+            block.named = sum(2 * e.around <= total and (not e.main or 4 * e.size <= 3 * total if inside else 2 * e.size <= total)
+                              for e in element.named)

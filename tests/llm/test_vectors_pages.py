@@ -69,6 +69,25 @@ def test_article_of_a_page(spark):
     assert W.extract(pages.limit(0)).count() == 0
 
 
+ODD_MARKS = [
+    "<body class='single has-sidebar'><nav>Menu</nav><p>The text of it</p></body>",
+    "<body><nav>Menu</nav><div id='page' class='no-sidebar'><p>The text of it</p></div><footer>End</footer></body>",
+    "<body><article class='post social'><p>The text of it</p></article><div class='related'><article>Teaser</article></div></body>",
+    "<html class='no-widget'><body><form action='/'><nav>Menu</nav><main><p>The text of it</p></main><div>End</div></form></body></html>",
+    "<body><form><div class='menu'>Menu</div><p>The text of it</p></form></body>",
+    "<body><main><h1>The</h1><div class='with-sidebar'><p>text of it</p></div></main></body>",
+    "<body style='visibility: hidden'><p>The text of it</p><div class=ad>Buy</div></body>",
+    "<body><div class='has-sidebar'><article class='post social'><p>The text of it</p></article><p>Teaser</p></div></body>",
+    "<body><article><p>The text of it</p><div id=comments><p>Reader says at more length</p></div></article></body>",
+    "<body><article><p>The text of it</p></article><div id=comments><article class=comment-body>Reader says at much more length</article></div></body>",
+]
+
+
+@pytest.mark.parametrize("odd", ODD_MARKS)
+def test_names_do_not_rule_out_the_page(odd):
+    assert W.article(parse(odd), set()) == "The text of it"
+
+
 def test_repeated_branches_of_a_site_go(spark):
     """Without telling names or article elements, by the site's tree alone."""
     rows = [(i, f"https://Site.example/{i}", f"<body><div class=upper><p>Same links here</p></div><div class=middle><p>Own text {i} of page {i * i}</p></div>"
