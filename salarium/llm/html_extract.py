@@ -15,7 +15,10 @@
    if there are any.  A class, an id or a form alone rules out no html, body, main or article element
    and no container of most of the text (``page_tree.lift``).
 
-Counts are aggregated before they are shuffled, so a host with most pages
+Copies and near copies of a page on one host are one page of its tree, so
+that a group of copies does not make an article look repeated.  Near copies
+are pages whose clear text shares all hashes of a min-wise key; a few changed
+words may leave some of a large group apart.  Counts are aggregated before they are shuffled, so a host with most pages
 spreads over all tasks.  The low nodes go to the pages as a broadcast if
 they are at most ``BROADCAST_NODES``, by a join on the page's content
 otherwise; both give the same result.
@@ -30,8 +33,11 @@ each keep a row.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -47,6 +53,9 @@ LEAST_IMPORTANCE = 0.55
 #: Weight of the content in the importance of a node.
 CONTENT_WEIGHT = 0.9
 BROADCAST_NODES = 200_000
+#: Keys by which near copies meet, and the min-wise hashes in each.
+ROUNDS, MINIMA = 2, 6
+MIX = np.random.default_rng(7).integers(1 << 62, size=ROUNDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def host_of(url: Column) -> Column:
@@ -72,9 +81,55 @@ def features(page: Page) -> set[tuple[str, int, int]]:
     return out
 
 
-def site_tree(pages: DataFrame) -> DataFrame:
+def sketches(text: str) -> list[bytes]:
+    """``ROUNDS`` keys of ``MINIMA`` min-wise hashes of word triples each:
+    a text with few changes mostly shares one of the keys."""
+    words = text.split()
+    triples = {" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, triples), np.uint64, len(triples))
+    least = np.array([(h * m).min() for m in MIX])
+    return [least[r * MINIMA:(r + 1) * MINIMA].tobytes() for r in range(ROUNDS)]
+
+
+def different_pages(pages: DataFrame) -> DataFrame:
+    """(host, node, kind, value) of the features of the pages of (host,
+    html), copies and near copies of a page once for each host: of pages
+    that share a key the one of the smallest hash stays, in each round."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part, rows = b.slice(at, 256), []
+                for source in part.column(1):
+                    html = source.as_py() or ""
+                    page = parse(html)
+                    tree = zlib.compress(json.dumps(sorted(features(page))).encode(), 1)
+                    rows.append((xxhash.xxh64_intdigest(html) >> 1, tree, *sketches(article(page, set()))))
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0], pa.int64()),
+                                                  *(pa.array(c, pa.binary()) for c in columns[1:])], names)
+
+    keys = [f"key{r}" for r in range(ROUNDS)]
+    names = ["host", "page", "tree", *keys]
+    rows = pages.select("host", "html").mapInArrow(packed, "host string, page long, tree binary, " + ", ".join(f"{k} binary" for k in keys))
+    for key in keys:
+        rest = [n for n in names if n not in ("host", key)]
+        rows = rows.groupBy("host", key).agg(F.min(F.struct(*rest)).alias("one")).select("host", key, "one.*")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for host, tree in zip(b.column(0).to_pylist(), b.column(1)):
+                nodes, kinds, values = list(zip(*json.loads(zlib.decompress(tree.as_py())))) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(nodes), pa.string()), pa.array(nodes, pa.string()),
+                                                  pa.array(kinds, pa.int32()), pa.array(values, pa.int64())], ["host", "node", "kind", "value"])
+
+    return rows.select("host", "tree").mapInArrow(unpacked, "host string, node string, kind int, value long")
+
+
+def site_tree(pages: DataFrame, copies: bool = True) -> DataFrame:
     """(host, node, pages, importance) of every node of every host's tree,
-    from (host, html)."""
+    from (host, html); without ``copies`` each group of copies and near
+    copies of a page on a host is one page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,7 +145,7 @@ def site_tree(pages: DataFrame) -> DataFrame:
                                                   pa.array(kinds, pa.int32()), pa.array(values, pa.int64())],
                                                  ["host", "node", "kind", "value"])
 
-    seen = pages.select("host", "html").mapInArrow(run, "host string, node string, kind int, value long")
+    seen = pages.select("host", "html").mapInArrow(run, "host string, node string, kind int, value long") if copies else different_pages(pages)
     c = F.col("c").cast("double")
     counts = seen.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
     shown, text = F.col("kind") == 0, F.col("kind") == 1
@@ -143,7 +198,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         host_of(ref(pages, url_col).cast("string")).alias("host"),
                         ref(pages, html_col).cast("string").alias("html"))
     id_kind = rows.schema["page_id"].dataType.simpleString()
-    low = materialize(noisy_nodes(site_tree(rows)))
+    low = materialize(noisy_nodes(site_tree(rows, copies=False)))
     out_kind = f"page_id {id_kind}, url string, text string"
 
     def text_rows(b: pa.RecordBatch, low_of) -> pa.RecordBatch:

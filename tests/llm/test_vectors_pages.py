@@ -98,6 +98,25 @@ def test_repeated_branches_of_a_site_go(spark):
         assert got == {i: f"Own text {i} of page {i * i}" for i in range(12)}
 
 
+@pytest.mark.parametrize("changed", ["", "{}"])
+def test_copies_of_a_page_count_once(spark, changed):
+    """Most rows of the host are copies, or near copies, of one page."""
+    def words(i):
+        return " ".join(f"w{i}x{k * k % 97}y{k}" for k in range(300))
+
+    def page(i, date):
+        return (f"<body><div class=upper>Same links here</div><div class=middle><p>{words(i)}</p><p>more of {words(i + 1000)}</p></div>"
+                f"<div class=date>Seen {date}</div><div class=lower>Same end</div></body>")
+
+    rows = [(i, "https://site.example/x", page(i, i * 7)) for i in range(12)]
+    rows += [(100 + i, "https://site.example/y", page(99, "99 " + changed.format(i))) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 72
+    for i, _, html in rows:
+        n = i if i < 100 else 99
+        assert words(n) in got[i] and words(n + 1000) in got[i] and "Same" not in got[i]
+
+
 def test_importance_is_entropy(spark):
     rows = [("h", f"<body><p>{'same' if i < 8 else i}</p></body>") for i in range(16)]
     tree = {r["node"]: r["importance"] for r in W.site_tree(spark.createDataFrame(rows, "host string, html string")).collect()}
