@@ -39,6 +39,9 @@ PROBES = 24
 LEAST_CANDIDATES = 1000
 SLICE = 4096
 SEED = 11
+#: Error of a rough score for each component, at most, and pairs that are ranked at once.
+ROUNDING = 1e-15
+PAIRS = 1 << 16
 
 
 def rotate(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
@@ -168,11 +171,25 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
             return pd.DataFrame({"q": [], "key": [], "score": [], "ids": []}, dtype=object)
         m, q = unit(vectors(mem["vec"])), unit(vectors(ask["vec"]))
         rough = q @ m.T
-        n = min(len(m), k + 4)
-        best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-        row, col = np.repeat(np.arange(len(q)), n), best.ravel()
+        n = min(len(m), k + 1)
+        # all that rounding may put among the first, so that ties are told apart by exact cosine and id
+        enough = np.partition(rough, len(m) - n, axis=1)[:, len(m) - n] - ROUNDING * (m.shape[1] + 8)
+        x, y = vectors(ask["vec"]), vectors(mem["vec"])
+        first = np.array([i[0] for i in mem["ids"]], np.int64)
+        rows, cols, scores = [], [], []
+        step = max(1, PAIRS // len(m))
+        for at in range(0, len(q), step):
+            row, col = np.nonzero(rough[at:at + step] >= enough[at:at + step, None])
+            score = cosine(x[at + row], y[col])
+            order = np.lexsort((first[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            rows.append(at + row[place < n])
+            cols.append(col[place < n])
+            scores.append(score[place < n])
+        row, col = np.concatenate(rows), np.concatenate(cols)
         return pd.DataFrame({"q": ask["key"].to_numpy()[row], "key": mem["key"].to_numpy()[col],
-                             "score": cosine(vectors(ask["vec"])[row], vectors(mem["vec"])[col]), "ids": mem["ids"].to_numpy()[col]})
+                             "score": np.concatenate(scores), "ids": mem["ids"].to_numpy()[col]})
 
     found = members.groupBy(*group).cogroup(probed.groupBy(*group)).applyInPandas(
         rerank, "q binary, key binary, score double, ids array<long>")

@@ -35,6 +35,17 @@ def test_neighbours_of_odd_vectors(spark):
     assert got == brute([r for r in rows if r[0] != 206], 5)
 
 
+def test_neighbours_among_rescaled_copies(spark):
+    """Different vectors of one cosine, more than are wanted, in one slice."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=6)
+    rows = [(1000 - i, (base * 2.0 ** (i - 25)).tolist()) for i in range(50)]
+    rows += [(i, rng.normal(size=6).tolist()) for i in range(20)] + [(500 + i, [float(x == i % 6) for x in range(6)]) for i in range(24)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in A.nearest(table, lambda c: F.pmod(c, F.lit(5)) == 0).collect()}
+    assert got == brute(rows, 5)
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 1.0])], [(0, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0])]])
 def test_few_vectors(spark, rows):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
