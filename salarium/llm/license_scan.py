@@ -15,7 +15,8 @@ nothing leaves its row.
 Defined results: words are runs of letters and digits after lower-casing;
 null and empty texts match nothing; a template found several times gives one
 row, the place of the best coverage, the first of equals, and the number of
-places; repeated rows each give their own; a null id is kept.
+places; of templates that meet in one place the one with most aligned words
+has it; repeated rows each give their own; a null id is kept.
 """
 
 from __future__ import annotations
@@ -175,6 +176,21 @@ class Template:
         return n / len(self.words), first, last, len(found)
 
 
+def choose(hits: list[Template], words: list[str]) -> list[tuple[str, float, int, int, int]]:
+    """(license, coverage, first word, last word, places) of the templates
+    found; of places that overlap by over half of the shorter the one with
+    more aligned words counts, of equals the better covered."""
+    places = [(-n, -n / len(t.words), first, last, t.name) for t in hits
+              for n, first, last in t.found(words, [k for k, w in enumerate(words) if w in t.known])]
+    taken, out = bytearray(len(words)), {}
+    for _, share, first, last, name in sorted(places):
+        size = last + 1 - first
+        if 2 * taken.count(1, first, last + 1) <= size:
+            taken[first:last + 1] = b"\1" * size
+            out.setdefault(name, []).append((share, first, last))
+    return [(t.name, -min(out[t.name])[0], *min(out[t.name])[1:], len(out[t.name])) for t in hits if t.name in out]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, coverage, start, end, places): licenses found in
     every document; start and end are code points, the end exclusive."""
@@ -191,17 +207,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 text = value.as_py() or ""
                 words = WORDS.findall(text.lower())
                 here = vocabulary.intersection(words)
-                hits = [t for t in all_of if len(t.known & here) >= t.least]
+                hits = [t for t in all_of if len(here) >= t.least and len(words) >= t.need and len(t.known & here) >= t.least]
                 if not hits:
                     continue
                 # lower-casing may change the length, so positions come from the text as it is
                 spans = [(m.start(), m.end()) for m in WORDS.finditer(text)]
                 words = [text[s:e].lower() for s, e in spans]
-                for t in hits:
-                    got = t.find(words, [k for k, w in enumerate(words) if w in t.known])
-                    if got:
-                        place.append(i)
-                        found.append((t.name, got[0], spans[got[1]][0], spans[got[2]][1], got[3]))
+                for name, share, first, last, places in choose(hits, words):
+                    place.append(i)
+                    found.append((name, share, spans[first][0], spans[last][1], places))
             columns = list(zip(*found)) or [()] * 5
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))],

@@ -126,6 +126,15 @@ def test_licenses(spark, tmp_path):
     assert {r["doc_id"] for r in L.scan(data.odd_docs(spark, tmp_path / "odd")).collect()} == {15}
 
 
+@pytest.mark.parametrize("name", list(L.TEMPLATES))
+def test_each_license_is_found_as_itself(name):
+    templates = [L.Template(n, t) for n, t in L.TEMPLATES.items()]
+    text = "odd words before " + L.TEMPLATES[name] + " odd words behind"
+    got = L.choose(templates, [w.lower() for w in L.WORDS.findall(text)])
+    assert (name, 1.0) in [g[:2] for g in got]
+    assert "disclaimer" not in text or "SUCH DAMAGE" in text or len(text) > 5000
+
+
 def subsequence(a, b):
     """Length of a longest common subsequence."""
     row = [0] * (len(b) + 1)
