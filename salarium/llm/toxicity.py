@@ -97,6 +97,42 @@ def folded(text: str) -> str:
     return f" {' '.join(text.translate(_BREAK).split())} "
 
 
+_SIGN = re.compile(r"[013457@$!8]")
+_TOKEN = re.compile(r"[a-z013457@$!8]+")
+
+
+def disguised(a: ahocorasick.Automaton, text: str) -> dict[str, float]:
+    """Words (with their weights) of tokens of letters and substitution signs
+    that hit only with all signs folded; signs at the ends fold or go."""
+    out: dict[str, float] = {}
+    text = text.lower()
+    if not text.isascii():
+        text = text.translate(_FOLD)
+    if not len(a) or not _SIGN.search(text):
+        return out
+    tokens = list(_TOKEN.finditer(text))
+    for i, m in enumerate(tokens):
+        token = m[0]
+        if token.isalpha() or not any(c.isalpha() for c in token):
+            continue
+        near = [tokens[k][0] if 0 <= k < len(tokens) else "" for k in (i - 1, i + 1)]
+        before, after = (folded(t).split() for t in near)
+        plain = folded(token)
+        if hits(a, plain):
+            continue
+        left, right = token.lstrip("@$!"), token.rstrip("@$!")
+        for form in dict.fromkeys((token, left, right, left.rstrip("@$!"))):
+            word = "".join(DIGITS.get(c, c) for c in form)
+            if f" {word} " == plain:
+                continue
+            lead = f" {before[-1]} " if before else " "
+            found = hits(a, f"{lead}{word} {after[0]} " if after else f"{lead}{word} ")
+            if len(lead) in found:
+                out[word] = max(out.get(word, 0.0), found[len(lead)])
+                break
+    return out
+
+
 @dataclass
 class Model:
     """Lexicon terms (with a leading space, whole words with one behind
@@ -132,14 +168,16 @@ def hits(a: ahocorasick.Automaton, text: str) -> dict[int, float]:
     return {s: w for s, w in best.items() if not any(x <= s <= y for x, y in excused)} if excused else best
 
 
-def measures(a: ahocorasick.Automaton, text: str) -> tuple[float, float, float]:
+def measures(a: ahocorasick.Automaton, text: str, hidden: dict[str, float] | None = None) -> tuple[float, float, float]:
     """Sum of weights over different words, the share of all hits in the
-    words, and the number of different words, all damped."""
+    words, and the number of different words, all damped; ``hidden`` are
+    the disguised words."""
     found = hits(a, text)
     words = max(1, text.count(" ") - 1)
     distinct = {text[s:text.find(" ", s)]: w for s, w in found.items()}
+    distinct |= hidden or {}
     total = sum(distinct.values())
-    return float(np.log1p(total)), float(np.log1p(100.0 * sum(found.values()) / words)), float(np.log1p(len(distinct)))
+    return float(np.log1p(total)), float(np.log1p(100.0 * (sum(found.values()) + sum((hidden or {}).values())) / words)), float(np.log1p(len(distinct)))
 
 
 def crc_of(doc_id: Column) -> Column:
@@ -265,7 +303,8 @@ def score_of(model: Model, m: np.ndarray) -> np.ndarray:
 
 
 def measured(a: ahocorasick.Automaton, texts: pa.Array) -> np.ndarray:
-    return np.array([measures(a, folded(t.as_py() or "")) for t in texts]).reshape(-1, len(MEASURES))
+    plain = [t.as_py() or "" for t in texts]
+    return np.array([measures(a, folded(t), disguised(a, t)) for t in plain]).reshape(-1, len(MEASURES))
 
 
 def apply_model(rows: DataFrame, model: Model, text_col: str, keep: list[str], scores: bool = True) -> DataFrame:

@@ -72,6 +72,15 @@ def test_folding():
     assert T.folded("Ïd10t, 5tup1d $$$ m0ron### МОRОN wh@t ２") .split() == ["idiot", "stupid", "moron", "moron", "what"]
 
 
+def test_disguised_words():
+    a = T.Model({f" {w} ": 4.0 for w in (*T.BASE, "shit")}, (" guinea pig ",)).automaton()
+    for odd, word in (("asshol3", "asshole"), ("imbecil3!", "imbecile"), ("worthle55", "worthless"), ("455hole", "asshole"), ("1d10t", "idiot"),
+                      ("5h1t", "shit"), ("!idiot", "idiot"), ("(455h0l3)$$$", "asshole")):
+        assert T.disguised(a, f"you {odd} there") == {word: 4.0}, odd
+    assert T.disguised(a, "idiot! m0ron 12 8 clean! guinea !pig mp3") == {}
+    assert T.measures(a, T.folded("you 1d10t"), T.disguised(a, "you 1d10t")) > T.measures(a, T.folded("you 1d10t"))
+
+
 def test_exceptions_and_length():
     a = T.Model({" trash ": 4.0, " idio": 2.0}, (" trash can ",)).automaton()
     assert T.hits(a, T.folded("a trash can")) == {} and list(T.hits(a, T.folded("trash! idiots")).values()) == [4.0, 2.0]
