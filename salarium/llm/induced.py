@@ -2,8 +2,8 @@
 
 The suffixes that start at local minima of the text (LMS suffixes) are
 sorted first: their pieces up to the next minimum get names in text order,
-and the string of names, a third of the text or less, is sorted by
-recursion on name pairs.  All other suffixes are induced: passing over the
+and the string of names, a third of the text or less, is sorted in
+memory by prefix doubling.  All other suffixes are induced: passing over the
 sorted suffixes in ascending order gives the larger-type suffixes, passing
 over those in descending order the smaller-type ones, because the suffix
 that starts one character earlier is next in the queue of that character.
