@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from salarium.llm.ann import nearest
 from salarium.llm.decontaminate import CONTAINMENT, SHINGLE, contaminated
 from salarium.llm.html_extract import extract
+from salarium.llm.importance import importance_ranks
 from salarium.llm.license_scan import scan
 from salarium.llm.mix import MAX_REPEAT, WEIGHTS, mix_copies
 from salarium.llm.secret_scan import digest, find_secrets, train
@@ -64,6 +65,10 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def bits_sql(text: str) -> str:
     """The first 60 bits of the MD5 of a string."""
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
@@ -128,6 +133,36 @@ SELECT doc_id, item_id, c::DOUBLE / n::DOUBLE AS containment, n::INT AS n_shingl
 FROM h JOIN n USING (m) WHERE c::DOUBLE / n::DOUBLE >= {containment}::DOUBLE"""
 
 
+def op12_sql(documents: str = "documents", items: str = "benchmark", buckets: int = 10_000, least_words: int = 20,
+             share_percent: int = 10, seed: int = 2024) -> str:
+    """Buckets of the different words from a CRC table built here, gains by
+    bucket, and one ordered window over all documents."""
+    capital, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(text, '{capital}', '{small}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k:
+             CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i)) AS crc),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words}, []) AS w FROM {documents}),
+e AS (SELECT r, unnest(w) AS w FROM d),
+b AS (SELECT unnest({words}) AS w FROM {items} WHERE text IS NOT NULL),
+v AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM e UNION SELECT w FROM b)),
+y AS (SELECT w, list_transform(range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT) AS y FROM v),
+h AS (SELECT w, xor(list_reduce(y, lambda a, z: xor(crc[xor(a, z) % 256 + 1], a >> 8), 4294967295), 4294967295) % {buckets} AS bucket
+      FROM y, c),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN h USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN h USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000::DOUBLE * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {buckets})::DOUBLE)
+        / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {buckets})::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM e JOIN h USING (w) JOIN g USING (bucket) GROUP BY r),
+q AS (SELECT r, doc_id, coalesce(n, 0)::BIGINT AS n_features,
+        coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+        ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+p AS (SELECT *, weight + floor(-1000::DOUBLE * ln(-ln((h::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM q),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS i FROM p WHERE n_features >= {least_words})
+SELECT doc_id, n_features, weight, score, CASE WHEN i <= {share_percent} * (SELECT count(*) FROM k) // 100 THEN i END AS rank
+FROM p LEFT JOIN k USING (r)"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -139,10 +174,12 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array": op10_suffix_array,
+    "op12_importance": op12_importance,
 }
 
 ORACLE = {
     "op1_sharding": op1_sql(),
     "op2_mixing": op2_sql(),
     "op6_decontamination": op6_sql(),
+    "op12_importance": op12_sql(),
 }
