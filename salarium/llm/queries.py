@@ -10,11 +10,13 @@ from salarium.llm.decontaminate import CONTAINMENT, SHINGLE, contaminated
 from salarium.llm.html_extract import extract
 from salarium.llm.importance import importance_ranks
 from salarium.llm.license_scan import scan
+from salarium.llm import pii
 from salarium.llm.mix import MAX_REPEAT, WEIGHTS, mix_copies
 from salarium.llm.secret_scan import digest, find_secrets, train
 from salarium.llm.shard import LIMIT_BYTES, assign_shards
 from salarium.llm.simhash import simhash_classes
 from salarium.llm.suffix_dedup import removal_digest
+from salarium.llm.token_align import alignment
 from salarium.llm.toxicity import toxicity, train_model
 
 
@@ -65,10 +67,19 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find_personal_data(docs, pii.train(docs)))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"))
+
+
 def bits_sql(text: str) -> str:
     """The first 60 bits of the MD5 of a string."""
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
@@ -174,7 +185,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array": op10_suffix_array,
+    "op11_personal_data": op11_personal_data,
     "op12_importance": op12_importance,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE = {
