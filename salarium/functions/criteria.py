@@ -100,6 +100,17 @@ def cohort_predicate(cr: Criteria, *, company_name="company_name", full_name="fu
     return all_of(preds)
 
 
+def company_predicate(cr: Criteria, literal: bool = False) -> Column:
+    """The criteria on the company dimension."""
+    terms = ((cr.company_name, "company_name"), (cr.city, "city"), (cr.activity, "activity_description"))
+    return all_of([contains_ci(c, t, literal) for t, c in terms if t])
+
+
+def employee_predicate(cr: Criteria, literal: bool = False) -> Column:
+    """The criteria on the employee dimension."""
+    return all_of([contains_ci("full_name", cr.employee_name, literal)] if cr.employee_name else [])
+
+
 def name_or_activity_ilike(name_term: str, activity_term: str) -> Column:
     """company_name ILIKE '%a%' OR activity_description ILIKE '%b%'."""
     return (F.col("company_name").ilike(like_pattern(name_term))

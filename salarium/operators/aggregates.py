@@ -1,63 +1,66 @@
 """Grouped salary statistics.
 
 ``salary_stats`` is the one builder behind the view, dashboard and report
-statistics: distinct counts, exact mean, sample stddev, min/max in one
-aggregate, and exact PERCENTILE_CONT from the distributed rank core
-(never a per-group in-memory value list, so a group holding a third of all
-rows is spread over many tasks).
+statistics: distinct counts, exact mean, sample stddev, min/max and exact
+PERCENTILE_CONT.  Rows are reduced before the keys are joined, and values are
+ranked by bucket (never a per-group in-memory value list, so a group holding
+a third of all rows is spread over many tasks).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salarium.functions.numeric import PERCENTILE_DIGITS, SPREAD_DIGITS, mean_d, rnd
-from salarium.operators.ranks import frame_from_hist, quantile_exprs, quantile_value, side_bucket
+from salarium.functions.numeric import PERCENTILE_DIGITS, SPREAD_DIGITS, rnd
+from salarium.operators.ranks import from_edge, quantile_exprs, quantile_value, value_bucket
 
 MEDIAN = {"median_salary": 0.5}
 QUARTILES = {"median_salary": 0.5, "p25_salary": 0.25, "p75_salary": 0.75}
 
 
-def salary_stats(df: DataFrame, keys, *, value: str = "salary_amount",
-                 company_count: bool = False, employee_count: bool = True,
+def reduced(df: DataFrame, value: str = "salary_amount") -> DataFrame:
+    """Records by company, employee and value with their number: all that
+    grouped statistics need of them.  ``f`` counts non-null values."""
+    return df.groupBy("company_id", "employee_id", F.col(value).alias("v")).agg(F.count(value).alias("f"))
+
+
+def salary_stats(rows: DataFrame, dim: DataFrame, keys, *, company_count: bool = False, employee_count: bool = True,
                  avg_name: str = "average_salary", percentiles: dict | None = None,
                  stddev: bool = False, max_name: str | None = "max_salary",
                  min_name: str | None = None, min_employees: int | None = None) -> DataFrame:
-    """Per-group salary statistics.  Without percentiles: one aggregate.
-    With percentiles: one pass over ``df`` -- a GROUPING SETS aggregate
-    yields the (group, value) histogram and the (group, employee) /
-    (group, company) distinct keys together -- then one aggregate over the
-    rank frame gives mean, stddev, min/max and the percentiles."""
+    """Statistics of ``reduced`` rows by the ``keys`` of their company, which
+    ``dim`` holds by company_id (companies that it lacks drop out).
+
+    The records are aggregated before anything is joined.  Then only numbers
+    travel: companies of equal keys share one group number, the smallest of
+    their ids, and the keys themselves come back with the finished groups."""
     keys = list(keys)
-    if not percentiles:
-        return _plain_stats(df, keys, value, company_count, employee_count, avg_name, stddev,
-                            max_name, min_name, min_employees)
-    ids = [c for c, on in (("company_id", company_count), ("employee_id", employee_count)) if on]
-    sets = [keys + [value]] + [keys + [c] for c in ids]
-    g = (df.groupingSets(sets, *keys, value, *ids)
-           .agg(F.count(F.lit(1)).alias("_f"), F.grouping(value).alias("_gv"),
-                *[F.grouping(c).alias(f"_g_{c}") for c in ids]))
-    # One DataFrame feeds the rank frame: value rows (v, f) plus weight-0
-    # side rows carrying one distinct id each, counted in the same final
-    # aggregate -- so the input is aggregated exactly once.
-    is_val = F.col("_gv") == 0
-    carry = [f"_id_{c}" for c in ids]
-    items = g.select(*keys,
-                     F.when(is_val, F.col(value)).alias("v"),
-                     F.when(is_val, F.col("_f")).otherwise(F.lit(0)).alias("f"),
-                     *[F.when(F.col(f"_g_{c}") == 0, F.col(c)).alias(f"_id_{c}") for c in ids],
-                     F.when(~is_val, side_bucket(*[F.col(c) for c in ids], F.col("_gv")))
-                      .alias("_side"))
-    rf = frame_from_hist(items, keys, carry=carry, side="_side")
-    v = F.col("v")
-    names = {"company_id": "company_count", "employee_id": "employee_count"}
-    aggs = quantile_exprs(percentiles) + [
-        F.max("n").alias("_n"), F.max("total").alias("_s1"),
-        sq_dev(v, F.col("f")).alias("_d2"),
-        F.max("vmin").alias("_min"), F.max("vmax").alias("_max")] + \
-        [F.count(f"_id_{c}").alias(names[c]) for c in ids]
-    st = rf.df.groupBy(*keys).agg(*aggs)
+    groups = dim.groupBy(*keys).agg(F.min("company_id").alias("g"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys])
+    member = dim.alias("d").join(groups.alias("k"), same).select("d.company_id", "k.g")
+    # All branches read the shuffle of ``rows``, so all must use its weight,
+    # and null values go by their weight: a filter on a grouping column would
+    # be pushed below the aggregate in one branch, and the records would be
+    # read and shuffled twice.
+    rows = rows.where(F.col("f") >= 0).join(member, "company_id")
+    hist = rows.groupBy("g", "v", value_bucket(rows).alias("_bucket")).agg(F.sum("f").alias("f")).where("f > 0")
+    # a row of a company has no employee and the other way round, so one count
+    # of each column gives both
+    none = F.lit(None).cast("long")
+    seen = rows.groupBy("g", "employee_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).select("g", "employee_id", none.alias("company_id"))
+    if company_count:
+        companies = rows.groupBy("g", "company_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0)
+        seen = seen.unionByName(companies.select("g", none.alias("employee_id"), "company_id"))
+    heads = seen.groupBy("g").agg(F.count("company_id").alias("company_count"), F.count("employee_id").alias("employee_count"))
+    if min_employees is not None:
+        heads = heads.where(F.col("employee_count") >= min_employees)
+    if percentiles or stddev:
+        st = group_figures(hist, percentiles or {})
+    else:
+        st = hist.groupBy("g").agg(F.sum("f").alias("_n"), F.sum(F.col("v") * F.col("f")).alias("_s1"), F.min("v").alias("_min"), F.max("v").alias("_max"))
     n = F.col("_n")
     cols = [F.try_divide(F.col("_s1").cast("double"), n).alias(avg_name)]
     if stddev:
@@ -66,13 +69,61 @@ def salary_stats(df: DataFrame, keys, *, value: str = "salary_amount",
         cols.append(F.col("_max").cast("double").alias(max_name))
     if min_name:
         cols.append(F.col("_min").cast("double").alias(min_name))
-    cols += [rnd(quantile_value(p), PERCENTILE_DIGITS).alias(p) for p in percentiles]
-    out = st.select(*keys, *[names[c] for c in ids], *cols)
-    if min_employees is not None:
-        out = out.where(F.col("employee_count") >= min_employees)
-    order = keys + (["company_count"] if company_count else []) + \
-        (["employee_count"] if employee_count else [])
-    return out.select(*order, *[c for c in out.columns if c not in order])
+    cols += [rnd(quantile_value(p), PERCENTILE_DIGITS).alias(p) for p in percentiles or {}]
+    counts = (["company_count"] if company_count else []) + (["employee_count"] if employee_count else [])
+    # a group without a single salary has people but no figures
+    return heads.join(st, "g", "left").join(groups, "g").select(*keys, *counts, *cols)
+
+
+def group_figures(hist: DataFrame, percentiles: dict[str, float]) -> DataFrame:
+    """Figures of each group from its histogram (g, v, f, and the bucket if it
+    is known): g, _n, _s1, _d2,
+    _min, _max and the columns of ``quantile_exprs``.
+
+    Totals by group and value bucket (a bounded number for each group) give
+    the moments, and tell which buckets hold the wanted ranks.  Only the
+    values of those few buckets are ranked; the rest of the histogram is
+    neither shuffled again nor sorted."""
+    off, edge, step = from_edge(hist)
+    hb = hist if "_bucket" in hist.columns else hist.withColumn("_bucket", value_bucket(hist))
+    sums = ["sum(f) AS _bf", "min(v) AS _bmin", "max(v) AS _bmax", "sum(cast(_off AS double) * _off * f) AS _bq"]
+    if step is None:
+        sums += ["sum(_off * f) AS _bd", "sum(v * f) AS _bs"]
+        within, total = "_bq - _bd * _bd / _bf", "_bs"
+    else:
+        # distances in whole steps: they and their squares add up exactly in
+        # high and low halves, longs; the few beyond 31 bits as decimals (the
+        # squares of a bucket with such ones, as doubles)
+        small = "abs(_off) < 2147483648L AND f < 2147483648L"
+        sums += [f"sum(if({small}, shiftright(_off * f, 20), 0L)) AS _d1", f"sum(if({small}, (_off * f) & 1048575L, 0L)) AS _d0",
+                 f"sum(if({small}, null, cast(_off AS decimal(19,0)) * f)) AS _dx", f"bool_and({small}) AS _small",
+                 f"try_sum(if({small}, shiftright(_off * _off, 32) * f, 0L)) AS _hi", f"try_sum(if({small}, (_off * _off & 4294967295L) * f, 0L)) AS _lo"]
+        moved = "(cast(_d1 AS decimal(20,0)) * 1048576 + _d0 + coalesce(_dx, 0))"
+        square = "try_add(try_multiply(cast(_hi AS decimal(38,0)), cast(4294967296L AS decimal(20,0))), cast(_lo AS decimal(38,0)))"
+        exact = f"cast(try_subtract(try_multiply(cast(_bf AS decimal(38,0)), {square}), try_multiply(cast(_bd AS decimal(38,0)), cast(_bd AS decimal(38,0)))) AS double) / _bf"
+        within = f"coalesce(if(_small, {exact}, null), _bq - cast(_bd AS double) * cast(_bd AS double) / _bf)"
+        total = f"cast((cast(_bf AS decimal(38,0)) * {edge} + _bd) / {int(step)} AS decimal(38,{len(str(int(step))) - 1}))"
+    tot = hb.withColumn("_off", F.expr(off)).groupBy("g", "_bucket").agg(*map(F.expr, sums))
+    if step is not None:
+        tot = tot.selectExpr("*", f"{moved} AS _bd")
+    tot = tot.selectExpr("*", f"{total} AS _s", f"greatest({within}, 0D) AS _w").selectExpr(
+        "*", "sum(_bf) OVER (PARTITION BY g ORDER BY _bucket) - _bf AS _off", "sum(_bf) OVER (PARTITION BY g) AS n", "sum(_s) OVER (PARTITION BY g) AS total")
+    # squared deviations: those inside a bucket, and those of the buckets' means
+    unit = f"{step or 1.0!r}D"
+    far = f"((cast({edge} AS double) + cast(_bd AS double) / _bf) / {unit} - cast(total AS double) / n)"
+    moments = ["max(n) AS _n", "max(total) AS _s1", f"sum(_w / {unit} / {unit} + _bf * {far} * {far}) AS _d2", "min(_bmin) AS _min", "max(_bmax) AS _max"]
+    if not percentiles:
+        return tot.groupBy("g").agg(*map(F.expr, moments))
+    ranks = [f"(cast(n - 1 AS double) * {float(p)!r}D)" for p in percentiles.values()]
+    holds = " OR ".join(f"(floor({k}) < _off + _bf AND ceil({k}) >= _off)" for k in ranks)
+    # at most two buckets for each percentile hold wanted ranks
+    cells = f"collect_list(if({holds}, named_struct('_bucket', _bucket, '_off', _off), null)) AS cells"
+    groups = tot.groupBy("g").agg(*map(F.expr, [*moments, cells])).selectExpr("*", "explode(cells) AS cell").drop("cells")
+    carried = ["_n", "_s1", "_d2", "_min", "_max"]
+    wanted = groups.select("g", F.col("cell._bucket").alias("_bucket"), F.col("cell._off").alias("_off"), *carried)
+    ranked = hb.join(wanted, ["g", "_bucket"]).selectExpr(
+        "*", "_n AS n", "_off + sum(f) OVER (PARTITION BY g, _bucket ORDER BY v) - f AS pre")
+    return ranked.groupBy("g").agg(*[F.max(c).alias(c) for c in carried], *quantile_exprs(percentiles))
 
 
 def sq_dev(v: Column, f: Column) -> Column:
@@ -87,31 +138,12 @@ def stddev_samp_of(n: Column, d2: Column) -> Column:
     return F.when(n >= 2, F.sqrt(d2 / (n - 1).cast("double")))
 
 
-def _plain_stats(df, keys, value, company_count, employee_count, avg_name, stddev, max_name,
-                 min_name, min_employees) -> DataFrame:
-    aggs: list[Column] = []
-    if company_count:
-        aggs.append(F.countDistinct("company_id").alias("company_count"))
-    if employee_count:
-        aggs.append(F.countDistinct("employee_id").alias("employee_count"))
-    aggs.append(mean_d(value).alias(avg_name))
-    if stddev:
-        aggs.append(rnd(F.stddev_samp(F.col(value).cast("double")), SPREAD_DIGITS).alias("stddev_salary"))
-    if max_name:
-        aggs.append(F.max(value).cast("double").alias(max_name))
-    if min_name:
-        aggs.append(F.min(value).cast("double").alias(min_name))
-    base = df.groupBy(*keys).agg(*aggs)
-    if min_employees is not None:
-        base = base.where(F.col("employee_count") >= min_employees)
-    return base
-
-
 def bucket_counts(df: DataFrame, spec, value: str = "salary_amount",
-                  label: str = "salary_range", count: str = "count") -> DataFrame:
-    """Rows per labelled range; empty ranges are absent (GROUP BY)."""
-    return (df.select(spec.ordinal(value).alias("range_order"))
-              .groupBy("range_order").agg(F.count(F.lit(1)).alias(count))
+                  label: str = "salary_range", count: str = "count", weight: Column | None = None) -> DataFrame:
+    """Rows per labelled range (or their ``weight``); empty ranges are absent
+    (GROUP BY)."""
+    return (df.select(spec.ordinal(value).alias("range_order"), *([] if weight is None else [weight.alias("_w")]))
+              .groupBy("range_order").agg((F.count(F.lit(1)) if weight is None else F.sum("_w")).alias(count))
               .select(F.element_at(F.array(*[F.lit(x) for x in spec.labels]),
                                    F.col("range_order")).alias(label),
                       F.col("range_order").cast("long").alias("range_order"), count))

@@ -99,26 +99,50 @@ def _pay(seed: int, tier: str) -> Column:
     return expr.otherwise(F.lit(else_base) + uniform(seed, f"{tier}-else", *keys) * else_span)
 
 
+#: Rounds of a permutation, and the most turns of one cycle walk.  A walk
+#: leaves [0, size) for less than sqrt(size) of the values, so each further
+#: turn is needed with a chance of at most 1 / sqrt(size).
+ROUNDS = 4
+WALK = 64
+
+
+def keyed_place(j: str, key: str, size: str, seed: int) -> Column:
+    """Where place ``j`` goes in the permutation of 0 .. size - 1 that belongs
+    to ``key`` (column names): a Feistel network over pairs (l, r) with l
+    below a and r below b, a * b just over ``size``, whose round numbers are
+    digests of seed, key, round and the other half; values beyond ``size``
+    go round again (cycle walking), which keeps it a bijection."""
+    a = f"cast(ceil(sqrt({size})) as bigint)"
+    b = f"(({size} + {a} - 1) div {a})"
+
+    def digest(i: str, half: str) -> str:
+        return f"cast(conv(substring(md5(concat_ws('|', '{seed}', 'place', {key}, {i}, {half})), 1, 13), 16, 10) as bigint)"
+
+    turn = (f"aggregate(sequence(1, {ROUNDS}), named_struct('l', x div {b}, 'r', x % {b}), (s, i) -> if(i % 2 = 1, "
+            f"named_struct('l', (s.l + {digest('i', 's.r')}) % {a}, 'r', s.r), "
+            f"named_struct('l', s.l, 'r', (s.r + {digest('i', 's.l')}) % {b})), s -> s.l * {b} + s.r)")
+    walk = f"aggregate(sequence(1, {WALK}), cast({j} as bigint), (x, t) -> if(t > 1 AND x < {size}, x, {turn}))"
+    return F.expr(f"transform(array({walk}), x -> if(x < {size}, x, raise_error('a cycle walk did not end')))[0]")
+
+
 def synthetic_assignments(documents: DataFrame, employees: DataFrame, seed: int = 42) -> DataFrame:
     """For every declaration (company, headcount h) pick h distinct
-    employees in a seeded random order and draw a salary from the company's
-    pay tier.
-
-    The reference cross-joins companies with employees and keeps the first
-    h per company; here employees get dense positions in a seeded random
-    permutation and company c takes the h consecutive positions from a
-    random start (mod E), an equi-join on position -- work proportional to
-    the rows produced, never companies x employees.  A deviation: neighbours
-    of the permutation recur together across companies, while each company's
-    own draw stays uniform over the employees and without repeats.
+    employees in a random order of its own and draw a salary from the
+    company's pay tier.
+
+    The reference cross-joins companies with employees, orders each company's
+    copy at random and keeps the first h.  Here employees have dense
+    positions, and company c takes the positions to which its own keyed
+    permutation sends 0 .. h - 1: the draws of two companies are independent,
+    no employee repeats within one, and the work is proportional to the rows
+    produced (an equi-join on position), never companies x employees.
     """
     emp = hash_positions(employees.select("employee_id"), "employee_id", seed)
     total = emp.agg(F.max("_n")).scalar()
-    start = F.floor(uniform(seed, "start", "company_id") * total).cast("long")
     slots = (documents.where(F.col("employee_count") > 0)
-             .select("document_id", "company_id", F.col("employee_count").alias("h"))
-             .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("h").cast("long"), total) - 1)))
-             .withColumn("position", F.pmod(start + F.col("_j"), total)))
+             .select("document_id", "company_id", F.col("employee_count").alias("h"), total.alias("_e"))
+             .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("h").cast("long"), F.col("_e")) - 1)))
+             .withColumn("position", keyed_place("_j", "company_id", "_e", seed)))
     rows = slots.join(emp.select("employee_id", "position"), "position", "inner")
     cid = F.col("company_id")
     salary = (F.when(cid.isin(HIGH_PAY_COMPANIES), _pay(seed, "high"))

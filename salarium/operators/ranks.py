@@ -105,6 +105,22 @@ def value_bucket(hist: DataFrame) -> Column:
     return double_bucket(F.col(V).cast("double"))
 
 
+def from_edge(hist: DataFrame) -> tuple[str, str, float | None]:
+    """SQL for the distance of ``v`` from the edge of its bucket ``_bucket``
+    and for the edge, and the steps per unit.  The edge is a function of the
+    bucket alone.  Values of a fixed resolution count in whole steps, longs;
+    others as doubles."""
+    dt, steps = hist.schema[V].dataType, 1 << LOG_STEPS_BITS
+    if isinstance(dt, T.DecimalType) and dt.precision > 18 or isinstance(dt, (T.DoubleType, T.FloatType)):
+        edge = f"(signum(_bucket) * pow(2D, least(abs(_bucket), {2123 << LOG_STEPS_BITS}) / {steps}D - 1100))"
+        return f"(cast(v AS double) - {edge})", edge, None
+    scale = 10 ** (dt.scale if isinstance(dt, T.DecimalType) else 0)
+    mag = "if(_bucket >= 0, _bucket, -_bucket - 2)"
+    size = f"cast(floor(pow(2D, {mag} div {steps}) * (1 + ({mag} % {steps}) / {steps}D)) AS bigint)"
+    edge = f"(CASE WHEN _bucket = -1 THEN 0L WHEN _bucket >= 0 THEN {size} ELSE -{size} END)"
+    return f"(cast(v * {scale} AS bigint) - {edge})", edge, float(scale)
+
+
 @dataclass
 class RankFrame:
     """One row per (group, distinct value) with rank prefix columns.

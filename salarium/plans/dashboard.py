@@ -1,8 +1,8 @@
 """Search and dashboard statistics for one cohort (the web API's queries).
 
-Every dataset is a plan over the same filtered star detail; ``stats_bundle``
-computes the cohort once and checkpoints it into the shared folder for its
-four consumers (the reference re-ran the four-way join four times).
+The statistics are plans over one reduced frame of the cohort (company,
+employee, salary, number of records), which ``stats_bundle`` shares between
+its four datasets (the reference re-ran the four-way join four times).
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salarium.functions.buckets import DASHBOARD_SALARY
-from salarium.functions.criteria import Criteria, cohort_predicate
+from salarium.functions.criteria import Criteria, cohort_predicate, company_predicate, employee_predicate, salary_between
 from salarium.functions.labels import truncate_label
-from salarium.operators.aggregates import MEDIAN, bucket_counts, salary_stats
+from salarium.operators.aggregates import MEDIAN, bucket_counts, reduced, salary_stats
 from salarium.operators.joins import DETAIL_COLUMNS, star_detail
-from salarium.session import materialize
 from salarium.sources.star import Star
 
 # Fixed values (reference dashboard parameters).
@@ -45,70 +44,83 @@ def _top(df: DataFrame, by: str, keys, n: int) -> DataFrame:
     return df.orderBy(F.col(by).desc_nulls_first(), *[F.col(k).asc_nulls_last() for k in keys]).limit(n)
 
 
-def city_stats(rows: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
+def cohort_people(star: Star, cr: Criteria) -> DataFrame:
+    """The cohort by company, employee and salary: all that its statistics
+    need.  Criteria on a dimension are tested on its own rows, which then
+    filter the records as semi-joins; no column of a dimension is carried."""
+    companies = star.companies.where(company_predicate(cr))
+    employees = star.employees.where(employee_predicate(cr))
+    lo, hi = cr.salary_range
+    rows = star.records("company_id", "employee_id", "document_id", "salary_amount").where(salary_between("salary_amount", lo, hi))
+    rows = (rows.join(companies.select("company_id"), "company_id", "left_semi")
+            .join(employees.select("employee_id"), "employee_id", "left_semi")
+            .join(star.documents.select("document_id"), "document_id", "left_semi"))
+    return reduced(rows)
+
+
+def city_stats(people: DataFrame, companies: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
     """A5: per non-null city: distinct employees, mean, median, max; top by mean."""
-    s = salary_stats(rows.where(F.col("city").isNotNull()), ["city"], avg_name="avg_salary",
+    s = salary_stats(people, companies.where(F.col("city").isNotNull()), ["city"], avg_name="avg_salary",
                      percentiles=MEDIAN, max_name="max_salary")
     return _top(s, "avg_salary", ["city"], top)
 
 
-def activity_stats(rows: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
+def activity_stats(people: DataFrame, companies: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
     """Per non-null activity: distinct employees, mean, median; top by mean."""
-    s = salary_stats(rows.where(F.col("activity_description").isNotNull()), ["activity_description"],
+    s = salary_stats(people, companies.where(F.col("activity_description").isNotNull()), ["activity_description"],
                      avg_name="avg_salary", percentiles=MEDIAN, max_name=None)
     return _top(s, "avg_salary", ["activity_description"], top)
 
 
-def salary_buckets(rows: DataFrame) -> DataFrame:
-    """Rows per dashboard salary range (11 ranges, empty ones absent)."""
-    return bucket_counts(rows, DASHBOARD_SALARY)
+def salary_buckets(people: DataFrame) -> DataFrame:
+    """Records per dashboard salary range (11 ranges, empty ones absent);
+    a cohort has no record without a salary."""
+    return bucket_counts(people, DASHBOARD_SALARY, "v", weight=F.col("f"))
 
 
-def top_companies(rows: DataFrame, min_employees: int = COMPANY_MIN_EMPLOYEES,
+def top_companies(people: DataFrame, companies: DataFrame, min_employees: int = COMPANY_MIN_EMPLOYEES,
                   top: int = DASHBOARD_TOP) -> DataFrame:
     """Per (name, city, activity) -- not id -- with >= min_employees
     distinct employees: mean and max; top by mean."""
     keys = ["company_name", "city", "activity_description"]
-    s = salary_stats(rows, keys, avg_name="avg_salary", max_name="max_salary",
+    s = salary_stats(people, companies, keys, avg_name="avg_salary", max_name="max_salary",
                      min_employees=min_employees)
     return _top(s, "avg_salary", keys, top)
 
 
 def dashboard_city_stats(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return city_stats(cohort(star, cr))
+    return city_stats(cohort_people(star, cr), star.companies)
 
 
 def dashboard_activity_stats(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return activity_stats(cohort(star, cr))
+    return activity_stats(cohort_people(star, cr), star.companies)
 
 
 def dashboard_salary_buckets(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return salary_buckets(cohort(star, cr))
+    return salary_buckets(cohort_people(star, cr))
 
 
 def dashboard_top_companies(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return top_companies(cohort(star, cr))
+    return top_companies(cohort_people(star, cr), star.companies)
 
 
 def stats_bundle(star: Star, cr: Criteria = Criteria()) -> dict[str, DataFrame]:
-    """T-2: the four dashboard datasets over one cohort, computed once and
-    checkpointed into the shared folder (the reference re-ran the four-way
-    join for every dataset)."""
-    rows = materialize(cohort(star, cr).select("employee_id", "company_name",
-                                               "activity_description", "city", "salary_amount"))
-    return {"cohort": rows,
-            "city_stats": city_stats(rows),
-            "activity_stats": activity_stats(rows),
-            "salary_distribution": salary_buckets(rows),
-            "top_companies": top_companies(rows)}
+    """T-2: the four dashboard datasets of one cohort, and its rows by
+    company, employee and salary.  Each is a plan over that one reduced frame
+    (the reference re-ran the four-way join for every dataset); taken
+    together in one plan they share its shuffle."""
+    people = cohort_people(star, cr)
+    return {"cohort": people,
+            "city_stats": city_stats(people, star.companies),
+            "activity_stats": activity_stats(people, star.companies),
+            "salary_distribution": salary_buckets(people),
+            "top_companies": top_companies(people, star.companies)}
 
 
 def stats_bundle_long(star: Star, cr: Criteria = Criteria()) -> DataFrame:
     """T-2 as one long DataFrame (dataset, label, measures) -- the API's four
-    lists side by side, built from one shared cohort plan."""
-    # The cohort (a four-way join) feeds four aggregations: compute it once.
-    rows = materialize(cohort(star, cr).select("employee_id", "company_name",
-                                               "activity_description", "city", "salary_amount"))
+    lists side by side.  The cohort is scanned, joined and reduced once."""
+    made = stats_bundle(star, cr)
     cols = ["dataset", "label", "city", "activity_description", "employee_count", "avg_salary",
             "median_salary", "max_salary", "record_count"]
 
@@ -119,14 +131,14 @@ def stats_bundle_long(star: Star, cr: Criteria = Criteria()) -> DataFrame:
                 out = out.withColumn(c, F.lit(None).cast(fill.get(c, "double")))
         return out.select(*cols)
 
-    return (shape(city_stats(rows), "city_stats", "city",
+    return (shape(made["city_stats"], "city_stats", "city",
                   activity_description="string", record_count="long")
-            .unionByName(shape(activity_stats(rows), "activity_stats", "activity_description",
+            .unionByName(shape(made["activity_stats"], "activity_stats", "activity_description",
                                city="string", record_count="long"))
-            .unionByName(shape(salary_buckets(rows).withColumnRenamed("count", "record_count"),
+            .unionByName(shape(made["salary_distribution"].withColumnRenamed("count", "record_count"),
                                "salary_distribution", "salary_range", city="string",
                                activity_description="string", employee_count="long"))
-            .unionByName(shape(top_companies(rows), "top_companies", "company_name",
+            .unionByName(shape(made["top_companies"], "top_companies", "company_name",
                                record_count="long")))
 
 
@@ -134,15 +146,14 @@ def chart_top15(star: Star, cr: Criteria = Criteria(), n: int = CHART_TOP,
                 chars: int = CHART_LABEL_CHARS) -> DataFrame:
     """The dashboard charts keep the first 15 rows of the city,
     activity and company lists; long labels become 40 chars + '...'."""
-    rows = materialize(cohort(star, cr).select("employee_id", "company_name",
-                                               "activity_description", "city", "salary_amount"))
-    cities = city_stats(rows, top=n).select(
+    people = cohort_people(star, cr)
+    cities = city_stats(people, star.companies, top=n).select(
         F.lit("city").alias("chart"), F.col("city").alias("label"), "avg_salary", "employee_count")
-    acts = activity_stats(rows, top=n).select(
+    acts = activity_stats(people, star.companies, top=n).select(
         F.lit("activity").alias("chart"),
         truncate_label("activity_description", chars, chars).alias("label"),
         "avg_salary", "employee_count")
-    comps = top_companies(rows, top=n).select(
+    comps = top_companies(people, star.companies, top=n).select(
         F.lit("company").alias("chart"), truncate_label("company_name", chars, chars).alias("label"),
         "avg_salary", "employee_count")
     return cities.unionByName(acts).unionByName(comps)

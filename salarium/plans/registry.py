@@ -882,6 +882,53 @@ def _(star, spark, d):
     return fuzzy_search(star.companies, "activity_description", "machine").select("company_id", "activity_description", "similarity")
 
 
+def _grams_sql(table: str, key: str, col: str) -> str:
+    """One row a gram of each different text, with the text's smallest key."""
+    return (f"SELECT key, len(grams) AS n, unnest(grams) AS gram FROM (SELECT min({key}) AS key, {_trgm_sql(col)} AS grams "
+            f"FROM {table} WHERE {col} IS NOT NULL GROUP BY {col}) WHERE len(grams) > 0")
+
+
+def _pairs_sql(threshold: float, left: str, right: str | None = None) -> str:
+    """Every pair of sets that share a gram at all, by counting."""
+    return f"""SELECT left_key, right_key, similarity FROM (
+  SELECT a.key AS left_key, b.key AS right_key, ROUND(COUNT(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - COUNT(*))::DOUBLE, 8) AS similarity
+  FROM ({left}) a JOIN ({right or left}) b ON a.gram = b.gram {"" if right else "AND a.key < b.key"} GROUP BY a.key, b.key)
+WHERE similarity >= {threshold}"""
+
+
+COMPANY_GRAMS = _grams_sql("companies", "company_id", "company_name")
+PERSON_GRAMS = _grams_sql("employees", "employee_id", "full_name")
+
+
+@register("fuzzy_company_pairs", sql(_pairs_sql(0.75, COMPANY_GRAMS)))
+def _(star, spark, d):
+    """Duplicate employers: names of which three grams in four agree."""
+    from salarium.operators.fuzzy_join import fuzzy_pairs
+    return fuzzy_pairs(star.companies, "company_id", "company_name", 0.75)
+
+
+@register("fuzzy_person_links", sql(f"""SELECT e.employee_id, c.class_key, c.class_size, COALESCE(l.links, 0) AS links
+FROM employees e JOIN (SELECT full_name, MIN(employee_id) AS class_key, COUNT(*) AS class_size FROM employees GROUP BY 1) c
+  ON e.full_name = c.full_name
+LEFT JOIN (SELECT key, COUNT(*) AS links FROM (SELECT unnest([left_key, right_key]) AS key FROM pairs) GROUP BY key) l ON l.key = c.class_key""",
+    f", pairs AS ({_pairs_sql(0.6, PERSON_GRAMS)})"))
+def _(star, spark, d):
+    """For every person the class of equal names and the number of other,
+    similar names."""
+    from salarium.operators.fuzzy_join import fuzzy_pairs, link_counts, members
+    pairs = fuzzy_pairs(star.employees, "employee_id", "full_name", 0.6)
+    return link_counts(pairs, members(star.employees, "employee_id", "full_name"), "employee_id")
+
+
+@register("fuzzy_employer_match", sql(_pairs_sql(0.7, COMPANY_GRAMS, _grams_sql("supplier", "s_suppkey", "replace(s_name, 'Supplier', 'Customer')"))))
+def _(star, spark, d):
+    """A second register of names (the suppliers, spelled as employers)
+    matched with the employers: a join of two tables."""
+    from salarium.operators.fuzzy_join import fuzzy_pairs
+    other = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.expr("replace(s_name, 'Supplier', 'Customer')").alias("name"))
+    return fuzzy_pairs(star.companies, "company_id", "company_name", 0.7, other, "s_suppkey", "name")
+
+
 # ---------------------------------------------------------------------------
 # Dashboard bundle and chart datasets
 # ---------------------------------------------------------------------------
@@ -1046,13 +1093,27 @@ def _(star, spark, d):
     return document_headcounts(star.companies)
 
 
-@register("synthetic_assignments", sql(f"""SELECT employee_id, company_id, document_id, j + 1 AS emp_num,
+def _halves(i: int) -> str:
+    """Undo round i of the companies' permutations."""
+    half, other, size = ("l", "r", "a") if i % 2 else ("r", "l", "b")
+    drawn = digest(13, "'42'", "'place'", "company_id::VARCHAR", f"'{i}'", f"{other}::VARCHAR")
+    return f"SELECT * REPLACE (({half} - {drawn} % {size} + {size}) % {size} AS {half}) FROM "
+
+
+# The reference's own shape: every company with every employee, each pair
+# with its number in the company's order (the permutation run backwards from
+# the employee), and the first numbers kept.
+@register("synthetic_assignments", sql(f"""SELECT employee_id, company_id, document_id, place + 1 AS emp_num,
   CAST(CAST({PAY_SQL} AS DECIMAL(10,2)) AS DOUBLE) AS salary_amount
-FROM (SELECT document_id, company_id, j, (floor({draw("start", "company_id")} * n)::BIGINT + j) % n AS position
-      FROM heads, (SELECT COUNT(*) AS n FROM employees), range(0, 50) r(j) WHERE j < LEAST(employee_count, n)) s
+FROM (SELECT company_id, document_id, employee_count, x AS position, place FROM walked JOIN heads USING (company_id) WHERE place < n AND place < employee_count)
 JOIN seats USING (position)""", f""", heads AS ({HEADCOUNT_SQL}), seats AS (
   SELECT employee_id, row_number() OVER (ORDER BY {digest(15, "'42'", "'order'", "employee_id::VARCHAR")}, employee_id) - 1 AS position
-  FROM employees)"""))
+  FROM employees), sides AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT COUNT(*) AS n, ceil(sqrt(COUNT(*)))::BIGINT AS a FROM employees)),
+back AS (SELECT company_id, n, x, l * b + r AS y FROM ({_halves(1)}({_halves(2)}({_halves(3)}({_halves(4)}(
+  SELECT company_id, n, a, b, x, x // b AS l, x % b AS r FROM companies, sides, range(0, (SELECT a * b FROM sides)) t(x))))))),
+walked AS (WITH RECURSIVE w AS (SELECT company_id, n, x, y AS place FROM back WHERE x < n
+  UNION ALL SELECT w.company_id, w.n, w.x, back.y FROM w JOIN back ON back.company_id = w.company_id AND back.x = w.place WHERE w.place >= w.n)
+  SELECT * FROM w)"""))
 def _(star, spark, d):
     from salarium.operators.generate import document_headcounts, synthetic_assignments
     return synthetic_assignments(document_headcounts(star.companies), star.employees)

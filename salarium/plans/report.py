@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from salarium.functions.buckets import COMPANY_SIZE, REPORT_SALARY
 from salarium.functions.labels import or_unknown, truncate_label
 from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, SPREAD_DIGITS, ratio, rnd)
-from salarium.operators.aggregates import QUARTILES, bucket_counts, salary_stats
+from salarium.operators.aggregates import QUARTILES, bucket_counts, reduced, salary_stats
 from salarium.operators.inequality import (DEFAULT_EPSILON, atkinson_index, inequality, inequality_aggs,
                                            inequality_cols, running_share)
 from salarium.operators.joins import company_fact, company_sizes, salary_fact
@@ -50,9 +50,13 @@ def floor_records(star: Star, floor=SALARY_FLOOR) -> DataFrame:
 # Grouped statistics
 # --------------------------------------------------------------------------
 
+def paid_people(star: Star) -> DataFrame:
+    """What the grouped statistics need of the records with salary >= 1."""
+    return reduced(_floor(star.records("company_id", "employee_id", "salary_amount")))
+
+
 def _geo_stats(star: Star, key: str) -> DataFrame:
-    rows = _floor(company_fact(star)).where(F.col(key).isNotNull())
-    return salary_stats(rows, [key], company_count=True, avg_name="avg_salary",
+    return salary_stats(paid_people(star), star.companies.where(F.col(key).isNotNull()), [key], company_count=True, avg_name="avg_salary",
                         percentiles=QUARTILES, stddev=True, max_name="max_salary",
                         min_name="min_salary")
 
@@ -70,8 +74,7 @@ def report_activity_stats(star: Star) -> DataFrame:
 
 def report_company_stats(star: Star, min_employees: int = COMPANY_MIN_EMPLOYEES) -> DataFrame:
     """Per (name, city, activity) with >= min_employees distinct employees."""
-    rows = _floor(company_fact(star))
-    return salary_stats(rows, ["company_name", "city", "activity_description"],
+    return salary_stats(paid_people(star), star.companies, ["company_name", "city", "activity_description"],
                         avg_name="avg_salary", percentiles=QUARTILES, stddev=True,
                         max_name="max_salary", min_name="min_salary",
                         min_employees=min_employees)

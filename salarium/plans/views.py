@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salarium.functions.criteria import contains_ci, name_or_activity_ilike, salary_between
 from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, mean_round2,
                                         ratio, rnd)
-from salarium.operators.aggregates import MEDIAN, salary_stats
+from salarium.operators.aggregates import MEDIAN, reduced, salary_stats
 from salarium.operators.joins import (DETAIL_COLUMNS, company_fact, company_sizes,
                                       employee_fact, star_detail)
 from salarium.operators.ranks import F_, V, quantile_exprs, quantile_value, rank_frame
@@ -40,15 +40,20 @@ def top_earners(star: Star) -> DataFrame:
             .orderBy(F.col("salary_amount").desc_nulls_first(), "employee_id", "company_id", "filename"))
 
 
+def all_people(star: Star) -> DataFrame:
+    """What the grouped statistics need of all records."""
+    return reduced(star.records("company_id", "employee_id", "salary_amount"))
+
+
 def city_salary_stats(star: Star) -> DataFrame:
     """A3 / V3: per city, NULL city kept."""
-    return salary_stats(company_fact(star), ["city"], company_count=True,
+    return salary_stats(all_people(star), star.companies, ["city"], company_count=True,
                         avg_name="average_salary", percentiles=MEDIAN, max_name="max_salary")
 
 
 def activity_salary_stats(star: Star) -> DataFrame:
     """A4 / V4: per activity, NULL activity kept, no max."""
-    return salary_stats(company_fact(star), ["activity_description"], company_count=True,
+    return salary_stats(all_people(star), star.companies, ["activity_description"], company_count=True,
                         avg_name="average_salary", percentiles=MEDIAN, max_name=None)
 
 

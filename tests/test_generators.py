@@ -1,8 +1,12 @@
 """Invariants of the hash-seeded generators (no value oracle exists)."""
 
+from collections import Counter
+from itertools import combinations
+
+import pytest
 from pyspark.sql import functions as F
 
-from salarium.operators.generate import (PAY_TIERS, document_headcounts, random_order_in_company,
+from salarium.operators.generate import (PAY_TIERS, keyed_place, document_headcounts, random_order_in_company,
                                          synthetic_assignments)
 from salarium.sources.star import load_tpch_star
 from tests.conftest import SF001
@@ -30,6 +34,37 @@ def test_headcounts_and_assignments(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, synthetic_assignments(docs, star.employees).collect()))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 10, 97, 1000])
+def test_each_key_has_a_permutation(spark, size):
+    df = spark.range(size).crossJoin(spark.range(3).toDF("c")).withColumn("e", F.lit(size).cast("long"))
+    got = df.select("c", "id", keyed_place("id", "c", "e", 42).alias("p")).collect()
+    orders = [tuple(r["p"] for r in sorted(got, key=lambda r: r["id"]) if r["c"] == c) for c in range(3)]
+    assert all(sorted(o) == list(range(size)) for o in orders)
+    assert size < 10 or len(set(orders)) == 3
+
+
+def test_rosters_overlap_as_chance_predicts(spark):
+    """Two companies that draw h of E people share h^2 / E of them on
+    average, and neighbours of one roster are not neighbours in another."""
+    E, h, n = 400, 40, 120
+    docs = spark.range(n).select(F.col("id").alias("document_id"), F.col("id").alias("company_id"), F.lit(h).alias("employee_count"))
+    rows = synthetic_assignments(docs, spark.range(E).toDF("employee_id")).collect()
+    rosters = {}
+    for r in rows:
+        rosters.setdefault(r.company_id, {})[r.emp_num] = r.employee_id
+    sets = [set(x.values()) for x in rosters.values()]
+    shared = [len(a & b) for a, b in combinations(sets, 2)]
+    mean = sum(shared) / len(shared)
+    assert abs(mean - h * h / E) < 0.1  # 7140 pairs of deviation about 1.7
+    spread = sum((x - mean) ** 2 for x in shared) / len(shared)
+    want = h * h / E * (1 - h / E) * (E - h) / (E - 1)  # hypergeometric
+    assert 0.8 < spread / want < 1.25
+    held = Counter(e for s in sets for e in s)
+    assert len(held) == E and max(held.values()) < 3 * n * h / E
+    neighbours = Counter((x[i], x[i + 1]) for x in rosters.values() for i in range(1, h))
+    assert max(neighbours.values()) <= 4
+
+
 def test_random_order_is_permutation(spark):
     star = load_tpch_star(spark, SF001)
     pairs = star.records("company_id", "employee_id").where(F.col("company_id").isNotNull())

@@ -5,6 +5,7 @@ import os
 import re
 import subprocess
 import sys
+import time
 
 import pytest
 
@@ -50,7 +51,7 @@ def test_rank_window_is_hash_partitioned(spark):
 @pytest.mark.parametrize("name", ["report_city_stats", "report_company_stats", "national_percentiles",
                                   "dashboard_city_stats", "income_deciles", "city_salary_stats", "mean_median_ratio",
                                   "metric_value_stats", "top_income_shares", "lorenz_curve", "report_summary", "page_lorenz",
-                                  "hoover"])
+                                  "hoover", "stats_bundle", "chart_top15"])
 def test_fact_is_scanned_once(spark, name):
     """Grouped statistics and the rank core read the fact once: every other
     use of the histogram shuffle is a ReusedExchange.  A predicate pushed
@@ -100,4 +101,24 @@ def test_scratch_folders_go_with_the_driver(tmp_path):
             "s.range(3).write.mode('overwrite').parquet(p)\n"
             "assert s.read.parquet(p).count() == 3\n")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(E.__file__), timeout=120)
+    # Spark's JVM removes them in its exit hook, which may end after Python
+    until = time.time() + 30
+    while list(tmp_path.glob("salarium-*")) and time.time() < until:
+        time.sleep(0.2)
     assert not list(tmp_path.glob("salarium-*"))
+
+
+@pytest.mark.parametrize("name", ["city_salary_stats", "activity_salary_stats", "report_city_stats", "report_activity_stats",
+                                  "report_company_stats", "dashboard_city_stats", "dashboard_activity_stats"])
+def test_rows_are_reduced_before_dimensions_are_joined(spark, name):
+    """No Expand anywhere, and the columns of a dimension meet aggregates:
+    names never travel with single records."""
+    p = plan_of(E.queries()[name](spark, SF001))
+    assert "Expand" not in p
+    joins = [i for i, line in enumerate(p.splitlines()) if "Join" in line]
+    assert joins
+    for column in ("c_mktsegment", "n_name"):
+        for line in p.splitlines():
+            if "Exchange" in line and "salary_amount" in line:
+                assert column not in line
+    assert re.search(r"hashpartitioning\(company_id#\d+L?, employee_id#\d+L?, salary_amount#\d+", p)

@@ -158,3 +158,41 @@ def test_full_lorenz_curve(spark):
     df = spark.createDataFrame([(D(v),) for v in ("1", "1", "2", "4", "4", "4")], "x decimal(15,2)")
     got = [(r.i, round(r.y, 12)) for r in lorenz_curve(rank_frame(df, "x")).orderBy("i").collect()]
     assert got == [(0, round(1 / 16, 12)), (1, 0.125), (2, 0.25), (5, 1.0)]
+
+
+@pytest.mark.parametrize("kind", ["decimal(15,2)", "long", "double", "decimal(38,3)"])
+def test_group_figures_against_brute_force(spark, kind):
+    """Moments and percentiles by buckets: negative values, ties, a group of
+    near-equal large values, single values, a null group."""
+    import random
+    import statistics
+
+    from salarium.operators.aggregates import group_figures, stddev_samp_of
+    from salarium.operators.ranks import quantile_value
+    rng = random.Random(9)
+    whole = kind == "long"
+    groups = {"mixed": [rng.uniform(-500, 500) for _ in range(400)], "ties": [7.0] * 50 + [8.0] * 3, "one": [3.0], "zero": [0.0, 0.0, -1.0],
+              "near": [1e9 + i % 7 for i in range(200)], None: [rng.uniform(1, 9) for _ in range(30)]}
+    rows = [(g, float(round(v)) if whole else round(v, 2)) for g, vs in groups.items() for v in vs]
+    names = list(groups)
+    df = spark.createDataFrame([(names.index(g), v) for g, v in rows], "g long, x double").select("g", F.col("x").cast(kind).alias("v"))
+    hist = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("f"))
+    probs = {"low": 0.0, "q": 0.25, "m": 0.5, "top": 0.99, "high": 1.0}
+    out = group_figures(hist, probs).select("g", "_n", "_s1", "_min", "_max", stddev_samp_of(F.col("_n"), F.col("_d2")).alias("sd"),
+                                                  *[quantile_value(p).alias(p) for p in probs]).collect()
+    assert len(out) == len(groups)
+    for r in out:
+        vs = sorted(v for g, v in rows if g == names[r["g"]])
+        assert r["_n"] == len(vs) and float(r["_min"]) == vs[0] and float(r["_max"]) == vs[-1]
+        assert abs(float(r["_s1"]) - sum(vs)) < 1e-6 * max(1, abs(sum(vs)))
+        if len(vs) > 1:
+            # doubles lose the digits that a cluster shares
+            loss = 0 if kind in ("long", "decimal(15,2)") else 1e-9 * abs(vs[0])
+            assert abs(r["sd"] - statistics.stdev(vs)) < 1e-7 * max(1, statistics.stdev(vs)) + loss, (kind, r["g"])
+        else:
+            assert r["sd"] is None
+        for name, p in probs.items():
+            k = p * (len(vs) - 1)
+            lo = int(k)
+            want = vs[lo] + (vs[min(lo + 1, len(vs) - 1)] - vs[lo]) * (k - lo)
+            assert abs(r[name] - want) < 1e-6, (kind, r["g"], name)

@@ -99,7 +99,7 @@ def test_t13_bucket_edges(spark, v, dash, rep):
 
 
 def test_t14_company_identity(star):
-    twins = [r for r in dashboard.top_companies(dashboard.cohort(star, Criteria())).collect()
+    twins = [r for r in dashboard.top_companies(dashboard.cohort_people(star, Criteria()), star.companies).collect()
              if r.company_name == "Twin"]
     assert len(twins) == 1 and twins[0].employee_count == 3
     a1 = [r for r in views.company_summary(star).collect() if r.company_name == "Twin"]
