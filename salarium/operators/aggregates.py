@@ -27,12 +27,19 @@ def reduced(df: DataFrame, value: str = "salary_amount") -> DataFrame:
     return df.groupBy("company_id", "employee_id", F.col(value).alias("v")).agg(F.count(value).alias("f"))
 
 
-def salary_stats(rows: DataFrame, dim: DataFrame, keys, *, company_count: bool = False, employee_count: bool = True,
+def salary_stats(rows: DataFrame, dim: DataFrame, keys, **figures) -> DataFrame:
+    """Statistics of ``reduced`` rows by the ``keys`` of their company; the
+    options are those of ``stats_of_groups``."""
+    return stats_of_groups(rows, rows, dim, keys, **figures)
+
+
+def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys, *, company_count: bool = False, employee_count: bool = True,
                  avg_name: str = "average_salary", percentiles: dict | None = None,
                  stddev: bool = False, max_name: str | None = "max_salary",
                  min_name: str | None = None, min_employees: int | None = None) -> DataFrame:
-    """Statistics of ``reduced`` rows by the ``keys`` of their company, which
-    ``dim`` holds by company_id (companies that it lacks drop out).
+    """Statistics by the ``keys`` of a company, which ``dim`` holds by
+    company_id (companies that it lacks drop out): of ``values`` (company_id,
+    v, f) and ``people`` (company_id, employee_id, f), f a number of records.
 
     The records are aggregated before anything is joined.  Then only numbers
     travel: companies of equal keys share one group number, the smallest of
@@ -41,14 +48,16 @@ def salary_stats(rows: DataFrame, dim: DataFrame, keys, *, company_count: bool =
     groups = dim.groupBy(*keys).agg(F.min("company_id").alias("g"))
     same = functools.reduce(lambda a, b: a & b, [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys])
     member = dim.alias("d").join(groups.alias("k"), same).select("d.company_id", "k.g")
-    # All branches read the shuffle of ``rows``, so all must use its weight,
-    # and null values go by their weight: a filter on a grouping column would
-    # be pushed below the aggregate in one branch, and the records would be
-    # read and shuffled twice.
-    rows = rows.where(F.col("f") >= 0).join(member, "company_id")
-    hist = rows.groupBy("g", "v", value_bucket(rows).alias("_bucket")).agg(F.sum("f").alias("f")).where("f > 0")
+    # Where values and people are one frame, all branches read its shuffle, so
+    # all must use its weight, and null values go by their weight: a filter on
+    # a grouping column would be pushed below the aggregate in one branch, and
+    # the records would be read and shuffled twice.
+    priced = values.where(F.col("f") >= 0).join(member, "company_id")
+    weight = F.col("f") if values is people else F.when(F.col("v").isNotNull(), F.col("f")).otherwise(0)
+    hist = priced.groupBy("g", "v", value_bucket(priced).alias("_bucket")).agg(F.sum(weight).alias("f")).where("f > 0")
     # a row of a company has no employee and the other way round, so one count
     # of each column gives both
+    rows = people.where(F.col("f") >= 0).join(member, "company_id")
     none = F.lit(None).cast("long")
     seen = rows.groupBy("g", "employee_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).select("g", "employee_id", none.alias("company_id"))
     if company_count:

@@ -9,8 +9,9 @@ from salarium.functions.numeric import PERCENTILE_DIGITS, rnd
 from salarium.operators.aggregates import MEDIAN
 from salarium.operators.ranks import quantile_exprs, quantile_value, rank_frame
 from salarium.plans import views
-from salarium.sources.sinks import reload_tables, scratch_path, write_table
+from salarium.sources.sinks import reload_tables, replace_table, scratch_path
 from salarium.sources.star import SALARY, Star, load_star
+from salarium.sources.versions import commit, read_table, stage, versions
 
 # Fixed values (labels of the reference's verification queries).
 ROW_COUNT_LABELS = [("Companies:", "companies"), ("Employees:", "employees"),
@@ -30,6 +31,12 @@ def document_mass_backfill(star: Star) -> DataFrame:
              .drop("_mass"))
 
 
+def backfill_documents(spark: SparkSession, base: str) -> int:
+    """S7 as a job on the native layout: the documents with their masses
+    filled in, as the next version; the other tables stay."""
+    return replace_table(spark, base, "documents", document_mass_backfill(load_star(spark, base)))
+
+
 def table_row_counts(star: Star) -> DataFrame:
     """(table, row count) for the four tables."""
     tabs = star.tables()
@@ -72,15 +79,16 @@ SUMMARY_TABLES = ("company_summary", "top_earners", "city_salary_stats", "activi
 
 
 def refresh_summary_tables(spark: SparkSession, star: Star, base: str | None = None) -> DataFrame:
-    """Persist the four views as tables (overwrite) and report the
-    rows written per table and a sum over each."""
+    """Persist the four views as one new version of the tables and
+    report the rows written per table and a sum over each.  (From a batch of
+    records instead of all of them: ``plans/refresh.py``.)"""
     base = base or scratch_path(spark, "summary")
+    after = (versions(spark, base) or [0])[-1]
+    commit(spark, base, {name: stage(getattr(views, name)(star), base, name) for name in SUMMARY_TABLES}, after=after)
     out = None
     for name in SUMMARY_TABLES:
-        path = f"{base}/{name}"
-        write_table(getattr(views, name)(star), path)
         total = "salary_amount" if name == "top_earners" else "employee_count"
-        part = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"), F.sum(total).cast("double").alias("content_sum"))\
+        part = read_table(spark, base, name).agg(F.count(F.lit(1)).alias("row_count"), F.sum(total).cast("double").alias("content_sum"))\
                     .select(F.lit(name).alias("table_name"), "row_count", "content_sum")
         out = part if out is None else out.unionAll(part)
     return out

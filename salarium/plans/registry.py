@@ -1033,6 +1033,31 @@ def _(star, spark, d):
     return refresh_summary_tables(spark, star)
 
 
+def _refreshed(star, spark, name: str) -> DataFrame:
+    """A summary table after three batches: most records, the others together
+    with some wrong ones, and a batch that withdraws the wrong ones."""
+    from salarium.plans.refresh import refresh, summary_table
+    from salarium.sources.sinks import scratch_path
+    base = scratch_path(spark, "refresh")
+    rows = star.records("company_id", "employee_id", "document_id", "salary_amount")
+    part = F.pmod("document_id", F.lit(10))
+    wrong = rows.where(part == 3).withColumn("salary_amount", (F.col("salary_amount") + 1).cast("decimal(15,2)"))
+    refresh(spark, base, rows.where((part < 7) | part.isNull()), star.companies)
+    refresh(spark, base, rows.where(part >= 7).unionByName(wrong), star.companies)
+    refresh(spark, base, wrong, star.companies, F.lit(-1))
+    return summary_table(spark, base, name)
+
+
+@register("refresh_from_batches_city", ORACLE["city_salary_stats"])
+def _(star, spark, d):
+    return _refreshed(star, spark, "city_salary_stats")
+
+
+@register("refresh_from_batches_company", ORACLE["company_summary"])
+def _(star, spark, d):
+    return _refreshed(star, spark, "company_summary")
+
+
 def _export(star, spark, fmt: str) -> DataFrame:
     """Export a cohort and read the file back."""
     from salarium.operators.joins import DETAIL_COLUMNS

@@ -24,9 +24,14 @@ SALARY_BAND = (50000, 100000)
 def company_summary(star: Star) -> DataFrame:
     """A1 / V1: every company (LEFT JOIN) with distinct employees, rounded
     mean, max and min; companies without records get 0."""
+    return summary_rows(star.companies, company_sizes(star))
+
+
+def summary_rows(companies: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A1 from figures by company: size, paid, pay, lowest, highest."""
     mean = F.round(F.try_divide(F.col("pay"), F.col("paid")), 2).cast("double")
     zero = F.lit(0.0)
-    return star.companies.join(company_sizes(star), "company_id", "left").select(
+    return companies.join(sizes, "company_id", "left").select(
         "company_id", "company_name", "activity_description", "city",
         F.coalesce("size", F.lit(0)).alias("employee_count"), F.coalesce(mean, zero).alias("average_salary"),
         F.coalesce(F.col("highest").cast("double"), zero).alias("max_salary"),

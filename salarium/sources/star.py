@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salarium.sources.versions import manifest
+
 SALARY = T.DecimalType(15, 2)
 
 COMPANIES = T.StructType([
@@ -84,8 +86,10 @@ class Star:
 
 
 def load_star(spark: SparkSession, base: str) -> Star:
-    """Read the native layout ``{base}/{table}`` written by ``reload_tables``."""
-    t = {name: spark.read.schema(schema).parquet(f"{base}/{name}")
+    """Read the native layout: the last version written by ``reload_tables``,
+    or plain folders ``{base}/{table}``."""
+    held = manifest(spark, base)
+    t = {name: spark.read.schema(schema).parquet(*[f"{base}/{f}" for f in held.get(name, [name])])
          for name, schema in SCHEMAS.items()}
     return Star(t["companies"], t["documents"], t["employees"], t["salary_records"])
 
