@@ -97,7 +97,9 @@ def fuzzy_pairs(left: DataFrame, left_key: str, left_text: str, threshold: float
     need = F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
     possible = F.when(F.col("a.k2") == "", 1).otherwise(2) + F.least(n - F.col("a.at"), m - F.col("b.at"))
     fits = (n >= m * F.lit(threshold) - F.lit(1e-6)) & (possible >= need)
-    met = a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & roles & fits)
+    # Sizes are known only once the keys are dealt out: neither side may be
+    # broadcast by the size it has before
+    met = a.join(b.hint("merge"), (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & roles & fits)
     shared = F.size(F.array_intersect("a.grams", "b.grams"))
     similarity = F.round(shared.cast("double") / (n + m - shared).cast("double"), INDEX_DIGITS)
     swap = F.col("a.key") > F.col("b.key") if right is None else F.col("a.side") > F.col("b.side")
