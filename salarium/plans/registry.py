@@ -1204,6 +1204,48 @@ def _(star, spark, d):
     return t.documents.join(t.companies, "company_id").select("filename", "company_name", "employee_count", "total_salary_mass")
 
 
+# A second batch files every seventh declaration again, from another folder,
+# with all amounts one higher and, for some, without any line at all.
+CORRECTED = """, filed AS (SELECT d.document_id, d.filename, d.document_id % 7 = 0 AS again, d.document_id % 21 = 0 AS emptied, c.company_name
+  FROM documents d JOIN companies c ON d.company_id = c.company_id), lines AS (
+  SELECT DISTINCT f.filename, e.full_name, s.salary_amount, f.again, f.emptied FROM salary_records s
+  JOIN employees e ON s.employee_id = e.employee_id JOIN filed f ON f.document_id = s.document_id WHERE s.salary_amount IS NOT NULL)"""
+
+
+def _filed_twice(star):
+    from salarium.sources.ingest import filings, parse_declarations, render_declarations
+    from salarium.sources.star import Star
+    first = parse_declarations(render_declarations(star))
+    again = star.documents.where(F.col("document_id") % 7 == 0).withColumn("filename", F.concat(F.lit("again/"), F.col("filename")))
+    rows = star.records("employee_id", "document_id", "salary_amount").where(F.col("document_id") % 21 != 0)
+    rows = rows.withColumn("salary_amount", (F.col("salary_amount") + 1).cast("decimal(15,2)"))
+    second = parse_declarations(render_declarations(Star(star.companies, again, star.employees, rows)))
+    both = Star(*[a.unionByName(b) if n in ("documents", "salary_records") else a.unionByName(b).distinct()
+                  for (n, a), b in zip(first.star.tables().items(), second.star.tables().values())])
+    filed = filings(first.star.documents, 0).unionByName(filings(second.star.documents, 1))
+    return both, filed, first.audit.unionByName(second.audit)
+
+
+@register("ingest_corrections", sql("""SELECT CASE WHEN again THEN 'again/' ELSE '' END || filename AS filename, full_name,
+  CAST(CASE WHEN again THEN salary_amount + 1 ELSE salary_amount END AS DOUBLE) AS salary_amount FROM lines WHERE NOT emptied""", CORRECTED))
+def _(star, spark, d):
+    """The records that stand after a batch of corrections."""
+    from salarium.sources.ingest import standing_star
+    both, filed, _ = _filed_twice(star)
+    t = standing_star(both, filed)
+    return (t.salary_records.join(t.employees, "employee_id").join(t.documents.select("document_id", "filename"), "document_id")
+            .select("filename", "full_name", "salary_amount"))
+
+
+@register("ingest_corrections_audit", sql("""SELECT * FROM (SELECT 'superseded' AS status, COUNT(*) AS row_count FROM lines WHERE again
+UNION ALL SELECT 'loaded', COUNT(*) FROM lines WHERE NOT emptied
+UNION ALL SELECT 'header', (SELECT COUNT(*) FROM filed) + (SELECT COUNT(*) FROM filed WHERE again)) WHERE row_count > 0""", CORRECTED))
+def _(star, spark, d):
+    from salarium.sources.ingest import standing_audit
+    both, filed, audit = _filed_twice(star)
+    return standing_audit(audit, both.salary_records, filed).where("status IN ('superseded', 'loaded', 'header')")
+
+
 @register("ingest_rejects", sql("""SELECT filename, 'page ' || document_id AS line, 'unparsed' AS status FROM documents WHERE document_id % 10 = 0
 UNION ALL SELECT filename, 'Odd Person ; 12x' || document_id, CASE WHEN has THEN 'bad_amount' ELSE 'missing_header' END FROM kept WHERE document_id % 10 = 1
 UNION ALL SELECT filename, 'Odd Person ; 7,500', CASE WHEN has THEN 'ambiguous_amount' ELSE 'missing_header' END FROM kept WHERE document_id % 10 = 2

@@ -23,6 +23,10 @@ no known form).  Repeated (document, employee, amount) lines are
 duplicates.  A declaration whose lines are all rejected still is a
 document.
 
+An employer may file again for a period: of all its declarations for that
+period only the last stands (``standing``), in the same batch or a later one,
+and the lines of the others end as superseded.
+
 Rows are identified by their natural keys; the 64-bit ids are hashes of
 them, and ``collisions`` counts ids with several natural keys per table
 (``check_collisions`` fails a load that has any).
@@ -181,6 +185,59 @@ def key_collisions(star: Star) -> DataFrame:
     return out
 
 
+# A period in a file name: a year and a month.
+PERIOD_RE = r"(?<!\d)((?:19|20)\d{2})[-_. ](0[1-9]|1[0-2])(?!\d)"
+
+
+def period_of(filename: Column) -> Column:
+    """The period that a declaration is for: year and month from its file
+    name, else the name itself without folders and extension, so that a file
+    filed again under its old name (in whatever folder) replaces it."""
+    name = F.regexp_replace(filename, r"^.*/", "")
+    year, month = (F.regexp_extract(name, PERIOD_RE, g) for g in (1, 2))
+    return F.when(year != "", F.concat_ws("-", year, month)).otherwise(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", ""))
+
+
+def filings(documents: DataFrame, batch: int, filed: DataFrame | None = None) -> DataFrame:
+    """One row a declaration of a batch: (document_id, company_id, period,
+    batch, filed_at, filename).  ``filed``: (filename, filed_at) where the
+    files carry a time."""
+    rows = documents.select("document_id", "company_id", period_of(F.col("filename")).alias("period"), F.lit(batch).cast("long").alias("batch"), "filename")
+    if filed is None:
+        return rows.withColumn("filed_at", F.lit(None).cast("timestamp"))
+    return rows.join(filed, "filename", "left")
+
+
+def standing(filed: DataFrame) -> DataFrame:
+    """(document_id, stands): of all declarations of one employer for one
+    period the last stands, by batch, then time of filing, then file name;
+    the others are superseded.  A group of declarations is reduced by a
+    mergeable maximum, whatever its size."""
+    order = F.struct("batch", "filed_at", "filename", "document_id").alias("o")
+    last = filed.groupBy("company_id", "period").agg(F.max(order).alias("o"))
+    return (filed.join(last.select("company_id", "period", F.col("o.document_id").alias("_last")), ["company_id", "period"])
+            .select("document_id", (F.col("document_id") == F.col("_last")).alias("stands")))
+
+
+def standing_star(star: Star, filed: DataFrame) -> Star:
+    """The star without superseded declarations and their records; people and
+    employers of whom nothing else is left go too."""
+    keep = standing(filed).where("stands").select("document_id")
+    documents = star.documents.join(keep, "document_id", "left_semi")
+    records = star.salary_records.join(keep, "document_id", "left_semi")
+    return Star(star.companies.join(documents, "company_id", "left_semi"), documents,
+                star.employees.join(records, "employee_id", "left_semi"), records)
+
+
+def standing_audit(audit: DataFrame, records: DataFrame, filed: DataFrame) -> DataFrame:
+    """(status, row_count) over all batches: loaded lines of superseded
+    declarations count as superseded."""
+    gone = records.join(standing(filed).where("NOT stands"), "document_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    moved = gone.selectExpr("stack(2, 'loaded', -n, 'superseded', n) AS (status, row_count)")
+    total = audit.select("status", "row_count").unionByName(moved).groupBy("status").agg(F.sum("row_count").alias("row_count"))
+    return total.where(F.col("row_count") != 0)
+
+
 def check_collisions(collisions: DataFrame) -> None:
     """Fail instead of loading rows under a shared id."""
     bad = collisions.where(F.col("colliding_keys") > 0).collect()   # at most one row per table

@@ -5,6 +5,6 @@ data is declaration files.  ``declaration_stream`` runs the batch ingest
 (``salarium.sources.ingest``) on each micro-batch of new files.
 """
 
-from salarium.streaming.ingest_stream import declaration_stream, load_ingested
+from salarium.streaming.ingest_stream import declaration_stream, load_audit, load_ingested
 
-__all__ = ["declaration_stream", "load_ingested"]
+__all__ = ["declaration_stream", "load_audit", "load_ingested"]
