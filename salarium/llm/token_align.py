@@ -79,7 +79,7 @@ class Pair:
         # ids with the sign behind them: inside a group, at its end
         self.signs = [f"{i}{s}" for i in range(len(self.bytes_a)) for s in ",|"]
         self.first_b = len(self.signs)
-        self.signs += [f"{i}{s}" for i in range(n) for s in ",;"]
+        self.signs = np.array(self.signs + [f"{i}{s}" for i in range(n) for s in ",;"], object)
 
     def linkable(self) -> np.ndarray:
         """Sorted codes a * size of B + b of all pairs in which the bytes of
@@ -94,16 +94,17 @@ class Pair:
         codes |= {i * n + j for token, same in b.items() for at in range(len(token)) for i in a.get(token[at:], ()) for j in same}
         return np.array(sorted(codes), np.int64)
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids by A and B of each text; none unless both join to exactly a
         space and the text."""
-        out = []
+        out, none = [], np.empty(0, np.int64)
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
             whole = b" " + text.encode()
             same = text and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            a = self.a.encode_ordinary(" " + text) if same else []
-            same = same and b"".join(map(self.bytes_a.__getitem__, a)) == whole
-            out.append((a, b) if same else ([], []))
+            # tokens of A are cuts of the text, so their length tells whether
+            # they are all of it
+            a = self.a.encode_to_numpy(" " + text, disallowed_special=()) if same else none
+            out.append((a, np.array(b, np.int64)) if same and self.len_a[a].sum() == len(whole) else (none, none))
         return out
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
@@ -113,7 +114,7 @@ class Pair:
         n_a, n_b = (np.array([len(c[k]) for c in coded], np.int64) for k in (0, 1))
         if not n_a.any():
             return n_a, n_b, [""] * len(texts), np.empty(0, np.int32), n_a
-        a, b = (np.concatenate([np.array(c[k], np.int64) for c in coded]) for k in (0, 1))
+        a, b = (np.concatenate([c[k] for c in coded]).astype(np.int64) for k in (0, 1))
         # both sides describe the same bytes, so one running end serves all texts
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         near = np.searchsorted(ends_b, ends_a)
@@ -127,7 +128,7 @@ class Pair:
         merged = np.empty(len(a) + len(b), np.int64)
         merged[np.arange(len(a)) + np.concatenate(([0], at_b + 1))[group_a]] = 2 * a + last_a
         merged[np.arange(len(b)) + at_a[group_b] + 1] = self.first_b + 2 * b + last_b
-        signs, cuts = list(map(self.signs.__getitem__, merged.tolist())), np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+        signs, cuts = self.signs[merged].tolist(), np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
         lines = ["".join(signs[x:y])[:-1] for x, y in zip(cuts, cuts[1:])]
         digests = [hashlib.sha256(line.encode()).hexdigest() if line else "" for line in lines]
         links = np.searchsorted(self.known, a[at_a] * len(self.bytes_b) + b[at_b]).astype(np.int32)
