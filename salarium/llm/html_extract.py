@@ -187,8 +187,11 @@ def article(page: Page, low: set[str]) -> str:
     clear = [b for b in page.blocks if (b.hard, b.named) == least]
     kept = [b for b in clear if not is_low(b.path)] if low else clear
     kept = kept or clear
-    inside = [b for b in kept if b.main] or [b for b in clear if b.main]
-    return " ".join(b.text for b in (inside or kept))
+    # article and main elements go first only where they hold most of what the
+    # tree keeps: teasers may be such elements too
+    inside = [b for b in kept if b.main]
+    most = 2 * sum(len(b.text) for b in inside) > sum(len(b.text) for b in kept)
+    return " ".join(b.text for b in (inside if most else kept))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

@@ -6,8 +6,10 @@ needed to know, for each run of text, the containers around it.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Element names by their role, and words of class and id
@@ -34,7 +36,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
              "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body article section div main select".split())
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>"']|"[^"]*"|'[^']*')*>|[^>]*>)|[!?/][^>]*>)""", re.S)
+TAG = re.compile(r"""<(?:!--(?:-?>|.*?(?:-->|\Z))|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>"']|"[^"]*"|'[^']*')*>|[^>]*>)|[!?/][^>]*>)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -92,8 +94,18 @@ def attributes(source: str) -> tuple[str, str, bool]:
     return " ".join(words), role, hidden
 
 
+#: Longest container path, and the most marked containers that an element
+#: keeps; deeper paths stand under the hash of their upper part.
+PATH_CHARS = 600
+MOST_NAMED = 64
+
+
 def parse(source: str) -> Page:
+    """Time and memory are linear in the length of the source, whatever it
+    holds."""
     page, stack, buffer, at = Page(), [Element("", "", False)], [], 0
+    last = source.rfind(">")  # no tag ends behind it
+    open_tags: Counter[str] = Counter()
     held: list[Element] = []
 
     def flush() -> None:
@@ -107,12 +119,16 @@ def parse(source: str) -> Page:
     def close(index: int) -> None:
         if any(e.tag in BLOCK for e in stack[index:]):
             flush()
+        open_tags.subtract(e.tag for e in stack[index:])
         del stack[index:]
 
+    def nearest(name: str) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0) if open_tags[name] else 0
+
     while at < len(source):
-        m = TAG.search(source, at)
-        if m is None:
-            buffer.append(html.unescape(source[at:]))
+        m = TAG.search(source, at) if at <= last else None
+        if m is None:  # text to the end, or to a comment that never ends
+            buffer.append(html.unescape(source[at:].partition("<!--")[0]))
             break
         if m.start() > at:
             buffer.append(html.unescape(source[at:m.start()]))
@@ -121,23 +137,24 @@ def parse(source: str) -> Page:
         if not name:
             continue
         if m["end"]:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
+            place = nearest(name)
             if place and (name in BLOCK or not any(e.tag in BLOCK for e in stack[place:])):
                 close(place)
             elif place:
+                open_tags[name] -= 1
                 del stack[place]
             elif name in BLOCK:
                 flush()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             if not m["attr"].endswith("/>"):
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
             continue
         if name in BLOCK:
             flush()
             if name != "br":
-                place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
+                place = nearest("p")
                 if place and not any(e.tag in SCOPE for e in stack[place:]):
                     close(place)
             closed = CLOSED_BY.get(name, ())
@@ -155,12 +172,14 @@ def parse(source: str) -> Page:
         path = top.path
         if name in BLOCK and name not in ("br", "hr"):
             label = re.sub(r"\d+", "", words.split()[0]) if words.split() else ""
-            path = f"{top.path}/{name}{'.' if label else ''}{label}"
+            above = top.path if len(top.path) < PATH_CHARS else f"/#{hashlib.md5(top.path.encode()).hexdigest()}"
+            path = f"{above}/{name}{'.' if label else ''}{label}"
             page.containers.append((path, top.path))
         if name not in VOID:
             inner = Element(name, path, main, hard, top.named, outside=top.outside if top.main else top.named)
-            inner.named += (inner,) if named else ()
+            inner.named += (inner,) if named and len(inner.named) < MOST_NAMED else ()
             stack.append(inner)
+            open_tags[name] += 1
     flush()
     lift(page, held)
     return page

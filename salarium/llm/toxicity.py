@@ -63,21 +63,32 @@ BASE_WEIGHT = 4.0
 BASE_COEFFICIENTS = (-4.0, 2.0, 0.5, 0.0)
 
 
-def _fold_table() -> dict[int, str | None]:
-    table: dict[int, str | None] = {}
-    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
+class Folds(dict):
+    """Plain lower-case letters for every code point that is a form of ASCII
+    ones (accents, full width, mathematical, circled, ...) or looks like one;
+    others stay."""
+
+    def __init__(self) -> None:
+        super().__init__({c: None for c in [*range(0x300, 0x370), 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]})
+        self.update({ord(k): v for k, v in LOOKALIKES.items()})
+
+    def __missing__(self, c: int) -> str | int:
         plain = unicodedata.normalize("NFKD", chr(c))
         plain = "".join(x for x in plain if not unicodedata.combining(x)).lower()
-        if plain != chr(c):
-            table[c] = plain
-    for c in [*range(0x300, 0x370), 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]:
-        table[c] = None
-    table.update({ord(k): v for k, v in LOOKALIKES.items()})
-    return table
+        value = self[c] = plain if c > 127 and plain.isascii() else c
+        return value
+
+
+class Breaks(dict):
+    """A space for every code point but letters and their marks."""
+
+    def __missing__(self, c: int) -> str | int:
+        value = self[c] = c if unicodedata.category(chr(c))[0] in "LM" else " "
+        return value
 
 
-_FOLD = _fold_table()
-_BREAK = {c: " " for c in range(128) if not chr(c).isalpha()}
+_FOLD = Folds()
+_BREAK = Breaks()
 _SUBSTITUTE = re.compile(r"[013457@$!8]{1,2}(?=[a-z])")
 
 
