@@ -62,18 +62,23 @@ def star_detail(star: Star, where: Column | None = None, extra=()) -> DataFrame:
 def company_fact(star: Star, where: Column | None = None) -> DataFrame:
     """Companies x salary_records (INNER on company only: records with a
     NULL employee or document survive)."""
-    sr = star.records("employee_id", "company_id", "document_id", "salary_amount")
-    c = star.companies.select(F.col("company_id").alias("_co"), "company_name",
-                              "activity_description", "city")
-    df = sr.join(c, sr.company_id == c._co, "inner").drop("_co")
+    columns = ("employee_id", "company_id", "document_id", "salary_amount")
+    df = None
+    for records, companies in star.company_parts or [(star.records(*columns), star.companies)]:
+        c = companies.select(F.col("company_id").alias("_co"), "company_name", "activity_description", "city")
+        part = records.select(*columns).join(c, F.col("company_id") == F.col("_co"), "inner").drop("_co")
+        df = part if df is None else df.unionByName(part)
     return df.where(where) if where is not None else df
 
 
 def employee_fact(star: Star, where: Column | None = None) -> DataFrame:
     """Employees x salary_records."""
-    sr = star.records("employee_id", "document_id", "salary_amount")
-    e = star.employees.select(F.col("employee_id").alias("_emp"), "full_name")
-    df = sr.join(e, sr.employee_id == e._emp, "inner").drop("_emp")
+    columns = ("employee_id", "document_id", "salary_amount")
+    df = None
+    for records, employees in star.employee_parts or [(star.records(*columns), star.employees)]:
+        e = employees.select(F.col("employee_id").alias("_emp"), "full_name")
+        part = records.select(*columns).join(e, F.col("employee_id") == F.col("_emp"), "inner").drop("_emp")
+        df = part if df is None else df.unionByName(part)
     return df.where(where) if where is not None else df
 
 

@@ -681,6 +681,16 @@ def _(star, spark, d):
     return report.page_city_cv(star)
 
 
+@register("page_city_captions", sql(f"""SELECT city,
+  CASE WHEN a >= 1000000 THEN printf('%.2fM', a / 1000000) WHEN a >= 1000 THEN printf('%.1fK', a / 1000) ELSE printf('%.0f', a) END AS magnitude,
+  CASE WHEN a >= 1000000 THEN printf('%.1fM MAD', a / 1000000) WHEN a >= 1000 THEN printf('%.0fK MAD', a / 1000) ELSE printf('%.0f MAD', a) END AS axis_label,
+  format('Companies: {{:,}} | Avg Salary: {{:,}} MAD', n, floor(a)::BIGINT) AS caption
+FROM (SELECT c.city, COUNT(DISTINCT c.company_id) AS n, {avg_d(SAL)} AS a FROM companies c JOIN salary_records s ON c.company_id = s.company_id
+  WHERE s.salary_amount >= 1 AND c.city IS NOT NULL GROUP BY c.city)"""))
+def _(star, spark, d):
+    return report.page_city_captions(star)
+
+
 @register("page_city_iqr", sql(f"""SELECT city, p25_salary, p75_salary, employee_count,
   ROUND(p75_salary - p25_salary, 6) AS iqr, {_ratio('p75_salary', 'p25_salary')} AS iqr_ratio
 FROM {LARGEST}""", _geo_cte("city")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salarium.functions.buckets import COMPANY_SIZE, REPORT_SALARY
-from salarium.functions.labels import or_unknown, truncate_label
+from salarium.functions.labels import magnitude_label, money_axis_label, or_unknown, truncate_label
 from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, SPREAD_DIGITS, ratio, rnd)
 from salarium.operators.aggregates import QUARTILES, bucket_counts, reduced, salary_stats
 from salarium.operators.inequality import (DEFAULT_EPSILON, atkinson_index, inequality, inequality_aggs,
@@ -438,6 +438,15 @@ def page_city_cv(star: Star) -> DataFrame:
                     rnd(ratio(F.col("stddev_salary"), F.col("avg_salary")), INDEX_DIGITS).alias("cv"))
 
 
+def page_city_captions(star: Star) -> DataFrame:
+    """The captions of P6 and P7 for every city: the mean as a magnitude and
+    as an axis label, and a line with whole numbers cut, not rounded."""
+    t = report_city_stats(star)
+    whole = F.floor("avg_salary").cast("long")
+    line = F.concat(F.lit("Companies: "), F.format_number("company_count", 0), F.lit(" | Avg Salary: "), F.format_number(whole, 0), F.lit(" MAD"))
+    return t.select("city", magnitude_label("avg_salary").alias("magnitude"), money_axis_label("avg_salary").alias("axis_label"), line.alias("caption"))
+
+
 def page_city_iqr(star: Star) -> DataFrame:
     """Interquartile range and p75/p25 of the 15 largest cities."""
     t = _largest_cities(star)

@@ -66,6 +66,11 @@ class Star:
     # company_id (the adapter derives company_id by a join).
     _records_without_company: Callable[[], DataFrame] | None = field(default=None, repr=False)
 
+    # Co-partitioned pairs (records, dimension) whose joins together are the
+    # join of all records, where the layout has them (``sources/layout.py``).
+    company_parts: list | None = field(default=None, repr=False)
+    employee_parts: list | None = field(default=None, repr=False)
+
     def records(self, *cols: str) -> DataFrame:
         """Projection of salary_records.  Catalyst cannot drop a join it
         cannot prove redundant, so when company_id is not requested the
