@@ -1068,6 +1068,46 @@ def _(star, spark, d):
     return _refreshed(star, spark, "company_summary")
 
 
+# Every percentile of every city from persisted sketches (two runs, merged
+# from finer cells) lies within the stated rank error; counts, mean and
+# extremes are compared as they are, distinct counts within their error.
+@register("sketch_city_percentiles", sql(f"""SELECT city, percentile_key, TRUE AS within FROM
+  (SELECT DISTINCT c.city FROM companies c JOIN salary_records s ON c.company_id = s.company_id WHERE s.salary_amount >= 1),
+  (SELECT unnest([{", ".join(f"'{k}'" for k in report.NATIONAL_PERCENTILES)}]) AS percentile_key)"""))
+def _(star, spark, d):
+    from salarium.plans import sketches
+    base = _sketched(star, spark)
+    errors = sketches.rank_errors(star, sketches.sketched(spark, base, ["city"]), "city")
+    return errors.select("city", "percentile_key", (F.col("error") <= sketches.RANK_ERROR).alias("within"))
+
+
+@register("sketch_city_figures", sql(f"""SELECT c.city, COUNT(*) AS record_count, {avg_d(SAL)} AS avg_salary, MIN({SAL})::DOUBLE AS min_salary,
+  MAX({SAL})::DOUBLE AS max_salary, TRUE AS people_within, TRUE AS companies_within
+FROM companies c JOIN salary_records s ON c.company_id = s.company_id WHERE s.salary_amount >= 1 GROUP BY c.city"""))
+def _(star, spark, d):
+    from salarium.operators.joins import company_fact
+    from salarium.plans import sketches
+    found = sketches.sketched(spark, _sketched(star, spark), ["city"])
+    exact = company_fact(star).where("salary_amount >= 1").groupBy(F.col("city").alias("_city")).agg(
+        F.countDistinct("employee_id").alias("people"), F.countDistinct("company_id").alias("firms"))
+    both = found.join(exact, F.col("city").eqNullSafe(F.col("_city")))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), F.col(b) * sketches.COUNT_ERROR)
+    return both.select("city", "record_count", "avg_salary", "min_salary", "max_salary", near("employee_count", "people").alias("people_within"),
+                       near("company_count", "firms").alias("companies_within"))
+
+
+def _sketched(star, spark) -> str:
+    """Persisted sketches of the records in two batches."""
+    from dataclasses import replace
+
+    from salarium.plans import sketches
+    from salarium.sources.sinks import scratch_path
+    base = scratch_path(spark, "sketches")
+    for odd in (0, 1):
+        sketches.add_batch(spark, base, replace(star, salary_records=star.salary_records.where(F.pmod("document_id", F.lit(2)) == odd)))
+    return base
+
+
 def _export(star, spark, fmt: str) -> DataFrame:
     """Export a cohort and read the file back."""
     from salarium.operators.joins import DETAIL_COLUMNS
