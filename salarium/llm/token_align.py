@@ -47,6 +47,8 @@ FILE_B = "piece_bpe_32k.model"
 # Fixed value: how tokenizer A cuts a text before merging.
 CUT_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "▁"
+#: Texts aligned at a time; a token takes about a hundred bytes meanwhile.
+BATCH_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -163,7 +165,7 @@ def align_texts(docs: DataFrame, files: tuple[bytes, bytes], text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(*sent.value)
         for batch in batches:
-            for start, texts in batches_of(batch.column(0)):
+            for start, texts in batches_of(batch.column(0), BATCH_BYTES):
                 n_a, n_b, digests, links, sizes = pair.align([t.decode() for t in texts])
                 ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
                 yield pa.record_batch([
