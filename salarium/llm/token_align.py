@@ -49,6 +49,7 @@ CUT_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPACE = "▁"
 #: Texts aligned at a time; a token takes about a hundred bytes meanwhile.
 BATCH_BYTES = 1 << 20
+BATCH_ROWS = 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -182,6 +183,13 @@ def links_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time: their links take about fifty bytes each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def pair_counts(aligned: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
     """(place, a, b, n, best): how many links of the corpus hold each pair of
     ids, and whether none of its B id's pairs has more."""
@@ -190,7 +198,7 @@ def pair_counts(aligned: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(sent.value), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             link, row = links_of(batch.column(1))
             np.add.at(total, link, batch.column(0).to_numpy()[row])
         held = np.flatnonzero(total)
@@ -212,7 +220,7 @@ def measures(aligned: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, best = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             key, n_a, n_b, digest = (batch.column(i) for i in (0, 2, 3, 4))
             link, row = links_of(batch.column(5))
             sums = np.zeros((3, batch.num_rows), np.int64)
