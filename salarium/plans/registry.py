@@ -521,6 +521,16 @@ PRANK_CTE = """, pr AS (
 )"""
 
 
+RECORD_KEY = "COALESCE(employee_id::VARCHAR, 'null') || '|' || COALESCE(document_id::VARCHAR, 'null')"
+
+
+@register("salary_ntile_rows", sql(f"""SELECT employee_id, document_id, salary_amount::DOUBLE AS salary_amount,
+  NTILE(10) OVER (ORDER BY salary_amount, {digest(15, "'42'", "'order'", "salary_amount::VARCHAR", RECORD_KEY)}, {RECORD_KEY}) AS decile
+FROM salary_records WHERE salary_amount >= 1"""))
+def _(star, spark, d):
+    return report.salary_ntile_rows(star)
+
+
 @register("global_percent_rank", sql("SELECT * FROM pr", PRANK_CTE))
 def _(star, spark, d):
     return report.global_percent_rank(star)

@@ -15,6 +15,7 @@ from salarium.functions.buckets import COMPANY_SIZE, REPORT_SALARY
 from salarium.functions.labels import magnitude_label, money_axis_label, or_unknown, truncate_label
 from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, SPREAD_DIGITS, ratio, rnd)
 from salarium.operators.aggregates import QUARTILES, bucket_counts, reduced, salary_stats
+from salarium.operators.generate import hash_positions
 from salarium.operators.inequality import (DEFAULT_EPSILON, atkinson_index, inequality, inequality_aggs,
                                            inequality_cols, running_share)
 from salarium.operators.joins import company_fact, company_sizes, salary_fact
@@ -195,6 +196,30 @@ def salary_ntile(star: Star, tiles: int = DECILES) -> DataFrame:
                     F.col("tile").cast("long").alias("decile"), F.col("rows").alias("row_count"))
 
 
+def salary_ntile_rows(star: Star, tiles: int = DECILES, seed: int = 42) -> DataFrame:
+    """D2 on every record with salary >= 1: NTILE over (salary, a seeded
+    random order of equal salaries, employee and document).
+
+    Most salaries lie inside one tile, which their records get by a join on
+    the value.  Only the at most ``tiles`` - 1 salaries that an edge cuts need
+    an order among their records; the rank core deals those by hash buckets,
+    so a salary of a third of all records is no single task's."""
+    rows = floor_records(star)
+    rf = rank_frame(rows.select("salary_amount"), "salary_amount")
+
+    def tile(pos: str) -> str:
+        q, r = f"(n_rows div {tiles})", f"(n_rows % {tiles})"
+        return f"(1 + if({pos} < {r} * ({q} + 1), {pos} div ({q} + 1), {r} + ({pos} - {r} * ({q} + 1)) div greatest({q}, 1)))"
+
+    values = rf.df.select(F.col("v").alias("_v"), "pre", "n_rows", F.expr(tile("pre")).alias("_lo"), F.expr(tile("(pre + f - 1)")).alias("_hi"))
+    whole = rows.join(values.where("_lo = _hi"), rows.salary_amount == F.col("_v")).select(*rows.columns, F.col("_lo").alias("decile"))
+    cut = rows.join(values.where("_lo < _hi"), rows.salary_amount == F.col("_v"))
+    key = F.concat_ws("|", F.coalesce(F.col("employee_id").cast("string"), F.lit("null")), F.coalesce(F.col("document_id").cast("string"), F.lit("null")))
+    placed = hash_positions(cut.withColumn("_key", key), "_key", seed, ["salary_amount"])
+    placed = placed.select(*rows.columns, F.expr(tile("(pre + position)")).alias("decile"))
+    return whole.unionByName(placed).select("employee_id", "document_id", F.col("salary_amount").cast("double").alias("salary_amount"), F.col("decile").cast("long").alias("decile"))
+
+
 def global_percent_rank(star: Star) -> DataFrame:
     """Every record with PERCENT_RANK() OVER (ORDER BY salary) -- rank
     prefix from the distributed frame, joined back on the value (AQE
