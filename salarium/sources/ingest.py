@@ -44,6 +44,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salarium.sources.sinks import scratch_path
 from salarium.sources.star import SALARY, Star
 
 # The line patterns of our declaration format.
@@ -63,16 +64,20 @@ def bare_amount(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[\s\u00a0\u202f]", "")
 
 
-def is_ambiguous(raw: Column) -> Column:
+def is_ambiguous(bare: Column) -> Column:
     """One separator before exactly three digits: thousands or decimals."""
-    return bare_amount(raw).rlike(r"^\d{1,3}[.,]\d{3}$")
+    return bare.rlike(r"^\d{1,3}[.,]\d{3}$")
 
 
 def parse_amount(raw: Column, decimal_mark: str | None = None) -> Column:
     """'12 345,67' / '12,345.67' / '12345.67' -> DECIMAL(15,2); NULL if it
     does not parse.  ``decimal_mark`` ('.' or ',') fixes the convention;
     without it ambiguous amounts are NULL."""
-    s = bare_amount(raw)
+    return amount_of(bare_amount(raw), decimal_mark)
+
+
+def amount_of(s: Column, decimal_mark: str | None = None) -> Column:
+    """``parse_amount`` of an amount without spaces."""
     point = F.regexp_replace(s, ",", "")
     comma = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
     is_point = s.rlike(r"^(\d+|\d{1,3}(,\d{3})+)(\.\d+)?$")
@@ -81,7 +86,7 @@ def parse_amount(raw: Column, decimal_mark: str | None = None) -> Column:
         return F.when(is_point, point).try_cast(SALARY)
     if decimal_mark == ",":
         return F.when(is_comma, comma).try_cast(SALARY)
-    return F.when(~is_ambiguous(raw), F.when(is_point, point).when(is_comma, comma)).try_cast(SALARY)
+    return F.when(~is_ambiguous(s), F.when(is_point, point).when(is_comma, comma)).try_cast(SALARY)
 
 
 def key_of(*cols: Column) -> Column:
@@ -96,22 +101,40 @@ class IngestResult:
     collisions: DataFrame   # table, colliding_keys (expected 0)
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` and more columns, each computed once a row: filters on them are
+    not pushed below, where they would compute them again."""
+    return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def parsed_lines(lines: DataFrame, decimal_mark: str | None = None) -> DataFrame:
+    """(filename, line, kind, company_name, activity_description, city,
+    full_name, salary_amount, ambiguous) of every line, written once under
+    the shared checkpoint folder: all tables are made from it, and neither
+    the lines nor the patterns are evaluated again for each."""
+    line = F.col("line")
+    # the cheap tests first; an employee line is a line of one semicolon
+    is_header = line.contains("EMPLOYER") & line.rlike(HEADER_RE)
+    is_employee = F.length(line) - F.length(F.replace(line, F.lit(";"), F.lit(""))) == 1
+    rows = with_once(lines.select("filename", "line"), kind=F.when(F.trim(F.coalesce(line, F.lit(""))) == "", F.lit("blank"))
+                     .when(is_header, F.lit("header")).when(is_employee, F.lit("employee")).otherwise(F.lit("unparsed")))
+    header, employee = F.col("kind") == "header", F.col("kind") == "employee"
+    part = {n: F.when(header, F.regexp_extract("line", HEADER_RE, i)) for i, n in enumerate(("company_name", "activity_description", "city"), 1)}
+    rows = with_once(rows, **{n: clean_text(c) for n, c in part.items()},
+                     _name=F.when(employee, F.substring_index("line", ";", 1)),
+                     _bare=F.when(employee, bare_amount(F.regexp_extract("line", EMPLOYEE_RE, 2))))
+    rows = with_once(rows, full_name=clean_text(F.col("_name")), salary_amount=amount_of(F.col("_bare"), decimal_mark),
+                     ambiguous=is_ambiguous(F.col("_bare"))).drop("_name", "_bare")
+    spark = lines.sparkSession
+    path = scratch_path(spark, "parsed")
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def parse_declarations(lines: DataFrame, decimal_mark: str | None = None) -> IngestResult:
     """``lines``: (filename, line).  Returns the typed star, rejects, audit."""
-    is_header = F.col("line").rlike(HEADER_RE)
-    emp_ok = F.col("line").rlike(EMPLOYEE_RE)
-    classified = lines.select(
-        "filename", "line",
-        F.when(F.trim(F.coalesce(F.col("line"), F.lit(""))) == "", F.lit("blank"))
-         .when(is_header, F.lit("header"))
-         .when(emp_ok, F.lit("employee"))
-         .otherwise(F.lit("unparsed")).alias("kind"))
-
-    headers = (classified.where(F.col("kind") == "header")
-               .select("filename", "line",
-                       clean_text(F.regexp_extract("line", HEADER_RE, 1)).alias("company_name"),
-                       clean_text(F.regexp_extract("line", HEADER_RE, 2)).alias("activity_description"),
-                       clean_text(F.regexp_extract("line", HEADER_RE, 3)).alias("city")))
+    classified = parsed_lines(lines, decimal_mark)
+    headers = classified.where(F.col("kind") == "header").select("filename", "line", "company_name", "activity_description", "city")
     usable = headers.where(F.col("company_name").isNotNull())
     # a file must carry exactly one usable header
     per_file = (usable.groupBy("filename")
@@ -121,11 +144,8 @@ def parse_declarations(lines: DataFrame, decimal_mark: str | None = None) -> Ing
     good_files = per_file.where(F.col("_nh") == 1).drop("_nh")
     several = per_file.where(F.col("_nh") > 1).select("filename")
 
-    raw = F.regexp_extract("line", EMPLOYEE_RE, 2)
-    amount = parse_amount(raw, decimal_mark)
     emp = (classified.where(F.col("kind") == "employee")
-           .select("filename", "line", clean_text(F.regexp_extract("line", EMPLOYEE_RE, 1)).alias("full_name"),
-                   amount.alias("salary_amount"), is_ambiguous(raw).alias("_ambiguous")))
+           .select("filename", "line", "full_name", "salary_amount", F.col("ambiguous").alias("_ambiguous")))
     unread = F.col("salary_amount").isNull() | F.col("full_name").isNull()
     # duplicates: identical (document, employee, amount) lines beyond the first
     copies = (emp.where(~unread).groupBy("filename", "full_name", "salary_amount")

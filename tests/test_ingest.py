@@ -76,3 +76,17 @@ def test_parse_declarations(spark):
     assert docs == {"a.txt": (2, D("22222.17")), "c.txt": (1, D("3000.50"))}
     assert all(r.colliding_keys == 0 for r in res.collisions.collect())
     assert {r.status for r in res.rejects.collect()} == {"bad_amount", "unparsed", "missing_header"}
+
+
+def test_every_line_is_read_once_for_all_tables(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+    lines = spark.createDataFrame(spark.sparkContext.parallelize(LINES, 2).mapPartitions(told), "filename string, line string")
+    res = parse_declarations(lines)
+    for df in (*res.star.tables().values(), res.rejects, res.audit, res.collisions):
+        df.collect()
+    assert seen.value == len(LINES)
