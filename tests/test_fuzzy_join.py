@@ -85,3 +85,19 @@ def test_no_all_pairs_and_hot_grams_are_split(spark):
     large = {r["k"]: r["count"] for r in posted(ordered(sets, 100), 0.5, False).groupBy(F.concat_ws("+", "k1", "k2").alias("k")).count().collect()}
     met = sum(sizes[k] * large.get(k, 0) for k in sizes)
     assert met < 2000 * 2000 / 10
+
+
+def test_no_grams_travel_to_the_join_and_signatures_bound_the_difference(spark):
+    from pyspark.sql import functions as F
+
+    from salarium.operators.fuzzy_join import SIGNATURE, gram_sets, ordered, signed
+    rows = [(i, x) for i, x in enumerate([*names(5, 60), "\u4e2d\u6587\U00020000", "\u4e2d\u6587\U00020001"]) if x]
+    df = spark.createDataFrame(rows, "id long, name string")
+    plan = fuzzy_pairs(df, "id", "name", 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    keyed = [x for x in plan.splitlines() if "xxhash64(" in x and " AS h#" in x]
+    assert len(keyed) == 2 and not any("grams" in x for x in keyed)
+    sets = signed(ordered(gram_sets(df, "id", "name").withColumn("side", F.lit(0)), 10)).collect()
+    assert all([tuple(map(ord, g)) for g in r["grams"]] == [(c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF) for c in r["codes"]] for r in sets)
+    for a, b in combinations(sets, 2):
+        bits = sum(((a[f"s{w}"] ^ b[f"s{w}"]) % (1 << 64)).bit_count() for w in range(SIGNATURE))
+        assert bits <= len(set(a["grams"]) ^ set(b["grams"]))
