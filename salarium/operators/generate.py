@@ -112,17 +112,46 @@ def keyed_place(j: str, key: str, size: str, seed: int) -> Column:
     below a and r below b, a * b just over ``size``, whose round numbers are
     digests of seed, key, round and the other half; values beyond ``size``
     go round again (cycle walking), which keeps it a bijection."""
+    return F.expr(_walked(f"cast({j} as bigint)", key, size, seed, 1))
+
+
+def _sides(size: str) -> tuple[str, str]:
     a = f"cast(ceil(sqrt({size})) as bigint)"
-    b = f"(({size} + {a} - 1) div {a})"
+    return a, f"(({size} + {a} - 1) div {a})"
+
+
+def _drawn(seed: int, key: str, i: int | str, half: str) -> str:
+    return f"cast(conv(substring(md5(concat_ws('|', '{seed}', 'place', {key}, {i}, {half})), 1, 13), 16, 10) as bigint)"
+
+
+def _walked(start: str, key: str, size: str, seed: int, first: int) -> str:
+    """The walk from turn ``first`` on, whatever the number of turns."""
+    a, b = _sides(size)
 
     def digest(i: str, half: str) -> str:
-        return f"cast(conv(substring(md5(concat_ws('|', '{seed}', 'place', {key}, {i}, {half})), 1, 13), 16, 10) as bigint)"
+        return _drawn(seed, key, i, half)
 
     turn = (f"aggregate(sequence(1, {ROUNDS}), named_struct('l', x div {b}, 'r', x % {b}), (s, i) -> if(i % 2 = 1, "
             f"named_struct('l', (s.l + {digest('i', 's.r')}) % {a}, 'r', s.r), "
             f"named_struct('l', s.l, 'r', (s.r + {digest('i', 's.l')}) % {b})), s -> s.l * {b} + s.r)")
-    walk = f"aggregate(sequence(1, {WALK}), cast({j} as bigint), (x, t) -> if(t > 1 AND x < {size}, x, {turn}))"
-    return F.expr(f"transform(array({walk}), x -> if(x < {size}, x, raise_error('a cycle walk did not end')))[0]")
+    walk = f"aggregate(sequence({first}, {WALK}), {start}, (x, t) -> if(t > 1 AND x < {size}, x, {turn}))"
+    return f"transform(array({walk}), x -> if(x < {size}, x, raise_error('a cycle walk did not end')))[0]"
+
+
+def with_places(df: DataFrame, j: str, key: str, size: str, seed: int, name: str = "position") -> DataFrame:
+    """``df`` with ``keyed_place`` as column ``name``.  The first turn, which
+    ends nearly every walk, goes through compiled columns, each computed once
+    a row; only values beyond ``size`` go on in the general form."""
+    own = df.columns
+    a, b = _sides("_size")
+    steps = [{"_size": f"cast({size} as bigint)", "_x": f"cast({j} as bigint)"}, {"_a": a, "_b": b}, {"_l": "_x div _b", "_r": "_x % _b"}]
+    for i in range(1, ROUNDS + 1):
+        half, side, other = ("_l", "_a", "_r") if i % 2 else ("_r", "_b", "_l")
+        steps.append({half: f"({half} + {_drawn(seed, key, i, other)}) % {side}"})
+    for step in [*steps, {"_x": "_l * _b + _r"}]:
+        kept = [c for c in df.columns if c not in step]
+        df = df.select(*kept, F.inline(F.array(F.struct(*[F.expr(e).alias(n) for n, e in step.items()]))))
+    return df.select(*own, F.expr(f"if(_x < _size, _x, {_walked('_x', key, '_size', seed, 2)})").alias(name))
 
 
 def synthetic_assignments(documents: DataFrame, employees: DataFrame, seed: int = 42) -> DataFrame:
@@ -141,8 +170,8 @@ def synthetic_assignments(documents: DataFrame, employees: DataFrame, seed: int
     total = emp.agg(F.max("_n")).scalar()
     slots = (documents.where(F.col("employee_count") > 0)
              .select("document_id", "company_id", F.col("employee_count").alias("h"), total.alias("_e"))
-             .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("h").cast("long"), F.col("_e")) - 1)))
-             .withColumn("position", keyed_place("_j", "company_id", "_e", seed)))
+             .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("h").cast("long"), F.col("_e")) - 1))))
+    slots = with_places(slots, "_j", "company_id", "_e", seed)
     rows = slots.join(emp.select("employee_id", "position"), "position", "inner")
     cid = F.col("company_id")
     salary = (F.when(cid.isin(HIGH_PAY_COMPANIES), _pay(seed, "high"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salarium.operators.generate import (PAY_TIERS, keyed_place, document_headcounts, random_order_in_company,
-                                         synthetic_assignments)
+                                         synthetic_assignments, with_places)
 from salarium.sources.star import load_tpch_star
 from tests.conftest import SF001
 
@@ -43,6 +43,13 @@ def test_each_key_has_a_permutation(spark, size):
     assert size < 10 or len(set(orders)) == 3
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
+def test_compiled_places_are_the_same(spark, size):
+    df = spark.range(size).crossJoin(spark.range(3).toDF("c")).withColumn("e", F.lit(size).cast("long"))
+    got = with_places(df, "id", "c", "e", 42).withColumn("p", keyed_place("id", "c", "e", 42))
+    assert got.count() == 3 * size and got.where("position != p OR position IS NULL").count() == 0
+
+
 def test_rosters_overlap_as_chance_predicts(spark):
     """Two companies that draw h of E people share h^2 / E of them on
     average, and neighbours of one roster are not neighbours in another."""
