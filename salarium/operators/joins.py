@@ -41,6 +41,18 @@ def company_sizes(star: Star, floor=None) -> DataFrame:
     return per.join(star.companies.select("company_id"), "company_id", "left_semi")
 
 
+def sizes_of_groups(pay: DataFrame, people: DataFrame) -> DataFrame:
+    """``company_sizes`` of records that are aggregated already: of ``pay``
+    (company_id, v, f) and ``people`` (company_id, employee_id, one row
+    each), f a number of records.  Companies are not looked up."""
+    has = F.col("v").isNotNull()
+    figures = pay.groupBy("company_id").agg(
+        F.sum(F.when(has, F.col("f"))).alias("paid"), F.sum(F.col("v") * F.col("f")).cast("decimal(25,2)").alias("pay"),
+        F.min("v").alias("lowest"), F.max("v").alias("highest"))
+    sizes = people.groupBy("company_id").agg(F.count("employee_id").alias("size"))
+    return sizes.join(figures, "company_id")
+
+
 def star_detail(star: Star, where: Column | None = None, extra=()) -> DataFrame:
     """salary_records x documents x companies x employees, all INNER, so a
     record with a NULL or dangling key drops out.  Records are joined to
@@ -51,11 +63,13 @@ def star_detail(star: Star, where: Column | None = None, extra=()) -> DataFrame:
     c = star.companies.select(F.col("company_id").alias("_co"), "company_name",
                               "activity_description", "city")
     e = star.employees.select(F.col("employee_id").alias("_emp"), "full_name")
-    df = (sr.join(d, sr.document_id == d._doc, "inner")
-            .join(c, F.col("company_id") == F.col("_co"), "inner")
-            .join(e, F.col("employee_id") == F.col("_emp"), "inner"))
-    if where is not None:
-        df = df.where(where)
+    df = sr.join(d, sr.document_id == d._doc, "inner")
+    if where is None:  # every record stays: the widest columns join last, not to travel twice
+        df = (df.join(e, F.col("employee_id") == F.col("_emp"), "inner")
+                .join(c, F.col("company_id") == F.col("_co"), "inner"))
+    else:
+        df = (df.join(c, F.col("company_id") == F.col("_co"), "inner")
+                .join(e, F.col("employee_id") == F.col("_emp"), "inner").where(where))
     return df.select(*DETAIL_COLUMNS, "document_id", *extra)
 
 

@@ -9,6 +9,7 @@ from salarium.functions.numeric import PERCENTILE_DIGITS, rnd
 from salarium.operators.aggregates import MEDIAN
 from salarium.operators.ranks import quantile_exprs, quantile_value, rank_frame
 from salarium.plans import views
+from salarium.session import materialize_together
 from salarium.sources.sinks import reload_tables, replace_table, scratch_path
 from salarium.sources.star import SALARY, Star, load_star
 from salarium.sources.versions import commit, read_table, stage, versions
@@ -84,7 +85,10 @@ def refresh_summary_tables(spark: SparkSession, star: Star, base: str | None = N
     records instead of all of them: ``plans/refresh.py``.)"""
     base = base or scratch_path(spark, "summary")
     after = (versions(spark, base) or [0])[-1]
-    commit(spark, base, {name: stage(getattr(views, name)(star), base, name) for name in SUMMARY_TABLES}, after=after)
+    people = views.all_people(star)
+    made = materialize_together({name: getattr(views, name)(star, people) for name in SUMMARY_TABLES if name != "top_earners"})
+    made["top_earners"] = views.top_earners(star)
+    commit(spark, base, {name: stage(made[name], base, name) for name in SUMMARY_TABLES}, after=after)
     out = None
     for name in SUMMARY_TABLES:
         total = "salary_amount" if name == "top_earners" else "employee_count"

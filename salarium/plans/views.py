@@ -10,7 +10,7 @@ from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, mean_ro
                                         ratio, rnd)
 from salarium.operators.aggregates import MEDIAN, reduced, salary_stats
 from salarium.operators.joins import (DETAIL_COLUMNS, company_fact, company_sizes,
-                                      employee_fact, star_detail)
+                                      employee_fact, sizes_of_groups, star_detail)
 from salarium.operators.ranks import F_, V, quantile_exprs, quantile_value, rank_frame
 from salarium.sources.star import Star
 
@@ -21,10 +21,15 @@ NAME_TOKEN_LIMIT = 100
 SALARY_BAND = (50000, 100000)
 
 
-def company_summary(star: Star) -> DataFrame:
+def company_summary(star: Star, people: DataFrame | None = None) -> DataFrame:
     """A1 / V1: every company (LEFT JOIN) with distinct employees, rounded
-    mean, max and min; companies without records get 0."""
-    return summary_rows(star.companies, company_sizes(star))
+    mean, max and min; companies without records get 0.  ``people``: the
+    records as ``all_people``, if they are at hand."""
+    if people is None:
+        return summary_rows(star.companies, company_sizes(star))
+    # weights are kept in use, so that all readers of ``people`` share its shuffle
+    heads = people.groupBy("company_id", "employee_id").agg(F.sum("f").alias("f")).where("f >= 0")
+    return summary_rows(star.companies, sizes_of_groups(people, heads))
 
 
 def summary_rows(companies: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -50,15 +55,15 @@ def all_people(star: Star) -> DataFrame:
     return reduced(star.records("company_id", "employee_id", "salary_amount"))
 
 
-def city_salary_stats(star: Star) -> DataFrame:
+def city_salary_stats(star: Star, people: DataFrame | None = None) -> DataFrame:
     """A3 / V3: per city, NULL city kept."""
-    return salary_stats(all_people(star), star.companies, ["city"], company_count=True,
+    return salary_stats(all_people(star) if people is None else people, star.companies, ["city"], company_count=True,
                         avg_name="average_salary", percentiles=MEDIAN, max_name="max_salary")
 
 
-def activity_salary_stats(star: Star) -> DataFrame:
+def activity_salary_stats(star: Star, people: DataFrame | None = None) -> DataFrame:
     """A4 / V4: per activity, NULL activity kept, no max."""
-    return salary_stats(all_people(star), star.companies, ["activity_description"], company_count=True,
+    return salary_stats(all_people(star) if people is None else people, star.companies, ["activity_description"], company_count=True,
                         avg_name="average_salary", percentiles=MEDIAN, max_name=None)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job in this package relies on.  AQE re-plans joins and
 # coalesces shuffle partitions at runtime; skew-join splits hot join keys.
@@ -91,6 +92,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def together(frames: dict):
+    """Frames as one: the name of each and its rows as a struct of that name."""
+    rows = None
+    for name, df in frames.items():
+        own = [F.struct(*df.columns).alias(n) if n == name else F.lit(None).cast(other.schema).alias(n) for n, other in frames.items()]
+        part = df.select(F.lit(name).alias("_table"), *own)
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def materialize_together(frames: dict) -> dict:
+    """Several small results of one large frame, made in one job, so that they
+    share its shuffles: written once by ``materialize``, then apart again."""
+    rows = materialize(together(frames))
+    return {name: rows.where(F.col("_table") == name).select(f"{name}.*") for name in frames}
+
+
 def materialize(df):
     """Cut lineage: write ``df`` once into the shared checkpoint folder
     (reliable checkpoint, never ``localCheckpoint``) and return a DataFrame

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salarium.plans import jobs, refresh, report, views
+from salarium.session import together
 from salarium.sources import versions as V
 from salarium.sources.sinks import reload_tables, replace_table
 from salarium.sources.star import load_star, load_tpch_star
@@ -93,6 +94,25 @@ def test_refresh_equals_recompute_and_reads_the_batch_only(spark, tmp_path):
     assert len(held["state_pay"]) == 4
 
 
+def test_views_of_one_reduced_frame_scan_the_records_once(spark):
+    star = load_tpch_star(spark, SF001)
+    people = views.all_people(star)
+    names = ("company_summary", "city_salary_stats", "activity_salary_stats")
+    one = together({name: getattr(views, name)(star, people) for name in names})
+    one.collect()
+    final = one._jdf.queryExecution().toString().split("== Physical Plan ==")[-1].split("== Initial Plan ==")[0]
+    assert final.count("lineitem.parquet") == 1
+    for name in names:
+        assert rows(one.where(F.col("_table") == name).select(f"{name}.*")) == rows(getattr(views, name)(star)), name
+
+
+def test_companies_join_last_where_every_record_stays(spark):
+    """Names of companies are the widest columns: no later join moves them again."""
+    plan = views.top_earners(load_tpch_star(spark, SF001))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "company_id" in joins[0] and "employee_id" in joins[1]
+
+
 def test_runs_are_compacted(spark, tmp_path, monkeypatch):
     star, base = load_tpch_star(spark, SF001), str(tmp_path / "sum")
     monkeypatch.setattr(refresh, "MOST_RUNS", 2)
