@@ -61,7 +61,9 @@ def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys,
     none = F.lit(None).cast("long")
     seen = rows.groupBy("g", "employee_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).select("g", "employee_id", none.alias("company_id"))
     if company_count:
-        companies = rows.groupBy("g", "company_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0)
+        # companies are few beside records, so theirs are counted before the join
+        present = people.groupBy("company_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).join(member, "company_id")
+        companies = present.groupBy("g", "company_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0)
         seen = seen.unionByName(companies.select("g", none.alias("employee_id"), "company_id"))
     heads = seen.groupBy("g").agg(F.count("company_id").alias("company_count"), F.count("employee_id").alias("employee_count"))
     if min_employees is not None:

@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salarium.operators.aggregates import MEDIAN, stats_of_groups
+from salarium.operators.joins import sizes_of_groups
 from salarium.plans.views import summary_rows
+from salarium.session import materialize_together
 from salarium.sources.versions import commit, manifest, read_table, stage, versions
 
 #: Runs of a state from which a refresh also compacts it.
@@ -49,12 +51,7 @@ def summaries(pay: DataFrame, people: DataFrame, companies: DataFrame) -> dict[s
     def by(key: str, max_name: str | None) -> DataFrame:
         return stats_of_groups(pay, people, companies, [key], company_count=True, avg_name="average_salary", percentiles=MEDIAN, max_name=max_name)
 
-    has = F.col("v").isNotNull()
-    figures = pay.groupBy("company_id").agg(
-        F.sum(F.when(has, F.col("f"))).alias("paid"), F.sum(F.col("v") * F.col("f")).cast("decimal(25,2)").alias("pay"),
-        F.min("v").alias("lowest"), F.max("v").alias("highest"))
-    sizes = people.groupBy("company_id").agg(F.count("employee_id").alias("size"))
-    return {"company_summary": summary_rows(companies, sizes.join(figures, "company_id")),
+    return {"company_summary": summary_rows(companies, sizes_of_groups(pay, people)),
             "city_salary_stats": by("city", "max_salary"), "activity_salary_stats": by("activity_description", None)}
 
 
@@ -74,7 +71,7 @@ def refresh(spark: SparkSession, base: str, batch: DataFrame, companies: DataFra
             states[name] = spark.read.parquet(f"{base}/{put[name]}")
         else:
             add[name] = folder
-    for name, df in summaries(states["state_pay"], states["state_people"], companies).items():
+    for name, df in materialize_together(summaries(states["state_pay"], states["state_people"], companies)).items():
         put[name] = stage(df, base, name)
     return commit(spark, base, put, add, after)
 

@@ -94,6 +94,20 @@ def test_refresh_equals_recompute_and_reads_the_batch_only(spark, tmp_path):
     assert len(held["state_pay"]) == 4
 
 
+def test_summaries_of_a_refresh_share_their_shuffles(spark, tmp_path, monkeypatch):
+    star, base, seen = load_tpch_star(spark, SF001), str(tmp_path / "sum"), {}
+
+    def stage(df, base, name, *more):
+        seen[name] = df._jdf.queryExecution().toString()
+        return V.stage(df, base, name, *more)
+
+    monkeypatch.setattr(refresh, "stage", stage)
+    refresh.refresh(spark, base, star.records("company_id", "employee_id", "document_id", "salary_amount"), star.companies)
+    for name in ("company_summary", "city_salary_stats", "activity_salary_stats"):
+        assert "Aggregate" not in seen[name] and "/state_" not in seen[name], name  # made already, in one job
+        assert rows(refresh.summary_table(spark, base, name)) == rows(getattr(views, name)(star)), name
+
+
 def test_views_of_one_reduced_frame_scan_the_records_once(spark):
     star = load_tpch_star(spark, SF001)
     people = views.all_people(star)
