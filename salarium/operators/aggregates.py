@@ -21,10 +21,23 @@ MEDIAN = {"median_salary": 0.5}
 QUARTILES = {"median_salary": 0.5, "p25_salary": 0.25, "p75_salary": 0.75}
 
 
-def reduced(df: DataFrame, value: str = "salary_amount") -> DataFrame:
+#: A group's values are dealt to VALUE_CELLS cells, the records of one value
+#: to TIE_CELLS of them, so neither a large group nor a hot value is one task's.
+VALUE_CELLS, TIE_CELLS = 64, 8
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to ``parts`` tasks (``Star.parts``), if given.
+    Shuffles that Spark plans itself are merged up to the advisory size, some
+    millions of such short rows in one task's hash map; these are not."""
+    return df if parts is None else df.repartition(parts, *keys)
+
+
+def reduced(df: DataFrame, value: str = "salary_amount", parts: int | None = None) -> DataFrame:
     """Records by company, employee and value with their number: all that
     grouped statistics need of them.  ``f`` counts non-null values."""
-    return df.groupBy("company_id", "employee_id", F.col(value).alias("v")).agg(F.count(value).alias("f"))
+    rows = dealt(df, parts, "company_id", "employee_id", value)
+    return rows.groupBy("company_id", "employee_id", F.col(value).alias("v")).agg(F.count(value).alias("f"))
 
 
 def salary_stats(rows: DataFrame, dim: DataFrame, keys, **figures) -> DataFrame:
@@ -36,10 +49,11 @@ def salary_stats(rows: DataFrame, dim: DataFrame, keys, **figures) -> DataFrame:
 def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys, *, company_count: bool = False, employee_count: bool = True,
                  avg_name: str = "average_salary", percentiles: dict | None = None,
                  stddev: bool = False, max_name: str | None = "max_salary",
-                 min_name: str | None = None, min_employees: int | None = None) -> DataFrame:
+                 min_name: str | None = None, min_employees: int | None = None, parts: int | None = None) -> DataFrame:
     """Statistics by the ``keys`` of a company, which ``dim`` holds by
     company_id (companies that it lacks drop out): of ``values`` (company_id,
-    v, f) and ``people`` (company_id, employee_id, f), f a number of records.
+    v, f) and ``people`` (company_id, employee_id, f), f a number of records,
+    in ``parts`` tasks (see ``dealt``).
 
     The records are aggregated before anything is joined.  Then only numbers
     travel: companies of equal keys share one group number, the smallest of
@@ -54,12 +68,17 @@ def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys,
     # the records would be read and shuffled twice.
     priced = values.where(F.col("f") >= 0).join(member, "company_id")
     weight = F.col("f") if values is people else F.when(F.col("v").isNotNull(), F.col("f")).otherwise(0)
-    hist = priced.groupBy("g", "v", value_bucket(priced).alias("_bucket")).agg(F.sum(weight).alias("f")).where("f > 0")
+    tie = F.col("employee_id" if "employee_id" in values.columns else "company_id")
+    cell = F.pmod(F.xxhash64("v"), F.lit(VALUE_CELLS)) * TIE_CELLS + F.pmod(F.xxhash64(tie), F.lit(TIE_CELLS))
+    pay = dealt(priced.select("g", "v", weight.alias("f"), (F.lit(0) if parts is None else cell).alias("_cell")), parts, "g", "_cell")
+    hist = pay.groupBy("g", "_cell", "v", value_bucket(pay).alias("_bucket")).agg(F.sum("f").alias("f")).where("f > 0")
     # a row of a company has no employee and the other way round, so one count
     # of each column gives both
     rows = people.where(F.col("f") >= 0).join(member, "company_id")
     none = F.lit(None).cast("long")
-    seen = rows.groupBy("g", "employee_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).select("g", "employee_id", none.alias("company_id"))
+    # records without an employee count for none, so they may stay apart
+    who = dealt(rows.select("g", "employee_id", F.coalesce("employee_id", "company_id").alias("_who"), "f"), parts, "g", "_who")
+    seen = who.groupBy("g", "_who", "employee_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).select("g", "employee_id", none.alias("company_id"))
     if company_count:
         # companies are few beside records, so theirs are counted before the join
         present = people.groupBy("company_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).join(member, "company_id")
@@ -69,7 +88,7 @@ def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys,
     if min_employees is not None:
         heads = heads.where(F.col("employee_count") >= min_employees)
     if percentiles or stddev:
-        st = group_figures(hist, percentiles or {})
+        st = group_figures(hist, percentiles or {}, parts)
     else:
         st = hist.groupBy("g").agg(F.sum("f").alias("_n"), F.sum(F.col("v") * F.col("f")).alias("_s1"), F.min("v").alias("_min"), F.max("v").alias("_max"))
     n = F.col("_n")
@@ -86,9 +105,9 @@ def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys,
     return heads.join(st, "g", "left").join(groups, "g").select(*keys, *counts, *cols)
 
 
-def group_figures(hist: DataFrame, percentiles: dict[str, float]) -> DataFrame:
+def group_figures(hist: DataFrame, percentiles: dict[str, float], parts: int | None = None) -> DataFrame:
     """Figures of each group from its histogram (g, v, f, and the bucket if it
-    is known): g, _n, _s1, _d2,
+    is known; a value may have several rows): g, _n, _s1, _d2,
     _min, _max and the columns of ``quantile_exprs``.
 
     Totals by group and value bucket (a bounded number for each group) give
@@ -132,8 +151,10 @@ def group_figures(hist: DataFrame, percentiles: dict[str, float]) -> DataFrame:
     groups = tot.groupBy("g").agg(*map(F.expr, [*moments, cells])).selectExpr("*", "explode(cells) AS cell").drop("cells")
     carried = ["_n", "_s1", "_d2", "_min", "_max"]
     wanted = groups.select("g", F.col("cell._bucket").alias("_bucket"), F.col("cell._off").alias("_off"), *carried)
-    ranked = hb.join(wanted, ["g", "_bucket"]).selectExpr(
-        "*", "_n AS n", "_off + sum(f) OVER (PARTITION BY g, _bucket ORDER BY v) - f AS pre")
+    # both sides, else Spark deals the histogram once more for its own number of tasks
+    values, wanted = (dealt(df, parts, "g", "_bucket") for df in (hb.select("g", "_bucket", "v", "f"), wanted))
+    ranked = values.join(wanted, ["g", "_bucket"]).selectExpr(
+        "*", "_n AS n", "_off + sum(f) OVER (PARTITION BY g, _bucket ORDER BY v ROWS UNBOUNDED PRECEDING) - f AS pre")
     return ranked.groupBy("g").agg(*[F.max(c).alias(c) for c in carried], *quantile_exprs(percentiles))
 
 

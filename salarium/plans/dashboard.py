@@ -55,20 +55,20 @@ def cohort_people(star: Star, cr: Criteria) -> DataFrame:
     rows = (rows.join(companies.select("company_id"), "company_id", "left_semi")
             .join(employees.select("employee_id"), "employee_id", "left_semi")
             .join(star.documents.select("document_id"), "document_id", "left_semi"))
-    return reduced(rows)
+    return reduced(rows, parts=star.parts())
 
 
-def city_stats(people: DataFrame, companies: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
+def city_stats(people: DataFrame, companies: DataFrame, top: int = DASHBOARD_TOP, parts: int | None = None) -> DataFrame:
     """A5: per non-null city: distinct employees, mean, median, max; top by mean."""
     s = salary_stats(people, companies.where(F.col("city").isNotNull()), ["city"], avg_name="avg_salary",
-                     percentiles=MEDIAN, max_name="max_salary")
+                     percentiles=MEDIAN, max_name="max_salary", parts=parts)
     return _top(s, "avg_salary", ["city"], top)
 
 
-def activity_stats(people: DataFrame, companies: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
+def activity_stats(people: DataFrame, companies: DataFrame, top: int = DASHBOARD_TOP, parts: int | None = None) -> DataFrame:
     """Per non-null activity: distinct employees, mean, median; top by mean."""
     s = salary_stats(people, companies.where(F.col("activity_description").isNotNull()), ["activity_description"],
-                     avg_name="avg_salary", percentiles=MEDIAN, max_name=None)
+                     avg_name="avg_salary", percentiles=MEDIAN, max_name=None, parts=parts)
     return _top(s, "avg_salary", ["activity_description"], top)
 
 
@@ -79,21 +79,21 @@ def salary_buckets(people: DataFrame) -> DataFrame:
 
 
 def top_companies(people: DataFrame, companies: DataFrame, min_employees: int = COMPANY_MIN_EMPLOYEES,
-                  top: int = DASHBOARD_TOP) -> DataFrame:
+                  top: int = DASHBOARD_TOP, parts: int | None = None) -> DataFrame:
     """Per (name, city, activity) -- not id -- with >= min_employees
     distinct employees: mean and max; top by mean."""
     keys = ["company_name", "city", "activity_description"]
     s = salary_stats(people, companies, keys, avg_name="avg_salary", max_name="max_salary",
-                     min_employees=min_employees)
+                     min_employees=min_employees, parts=parts)
     return _top(s, "avg_salary", keys, top)
 
 
 def dashboard_city_stats(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return city_stats(cohort_people(star, cr), star.companies)
+    return city_stats(cohort_people(star, cr), star.companies, parts=star.parts())
 
 
 def dashboard_activity_stats(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return activity_stats(cohort_people(star, cr), star.companies)
+    return activity_stats(cohort_people(star, cr), star.companies, parts=star.parts())
 
 
 def dashboard_salary_buckets(star: Star, cr: Criteria = Criteria()) -> DataFrame:
@@ -101,7 +101,7 @@ def dashboard_salary_buckets(star: Star, cr: Criteria = Criteria()) -> DataFrame
 
 
 def dashboard_top_companies(star: Star, cr: Criteria = Criteria()) -> DataFrame:
-    return top_companies(cohort_people(star, cr), star.companies)
+    return top_companies(cohort_people(star, cr), star.companies, parts=star.parts())
 
 
 def stats_bundle(star: Star, cr: Criteria = Criteria()) -> dict[str, DataFrame]:
@@ -111,10 +111,10 @@ def stats_bundle(star: Star, cr: Criteria = Criteria()) -> dict[str, DataFrame]:
     together in one plan they share its shuffle."""
     people = cohort_people(star, cr)
     return {"cohort": people,
-            "city_stats": city_stats(people, star.companies),
-            "activity_stats": activity_stats(people, star.companies),
+            "city_stats": city_stats(people, star.companies, parts=star.parts()),
+            "activity_stats": activity_stats(people, star.companies, parts=star.parts()),
             "salary_distribution": salary_buckets(people),
-            "top_companies": top_companies(people, star.companies)}
+            "top_companies": top_companies(people, star.companies, parts=star.parts())}
 
 
 def stats_bundle_long(star: Star, cr: Criteria = Criteria()) -> DataFrame:
@@ -147,13 +147,13 @@ def chart_top15(star: Star, cr: Criteria = Criteria(), n: int = CHART_TOP,
     """The dashboard charts keep the first 15 rows of the city,
     activity and company lists; long labels become 40 chars + '...'."""
     people = cohort_people(star, cr)
-    cities = city_stats(people, star.companies, top=n).select(
+    cities = city_stats(people, star.companies, top=n, parts=star.parts()).select(
         F.lit("city").alias("chart"), F.col("city").alias("label"), "avg_salary", "employee_count")
-    acts = activity_stats(people, star.companies, top=n).select(
+    acts = activity_stats(people, star.companies, top=n, parts=star.parts()).select(
         F.lit("activity").alias("chart"),
         truncate_label("activity_description", chars, chars).alias("label"),
         "avg_salary", "employee_count")
-    comps = top_companies(people, star.companies, top=n).select(
+    comps = top_companies(people, star.companies, top=n, parts=star.parts()).select(
         F.lit("company").alias("chart"), truncate_label("company_name", chars, chars).alias("label"),
         "avg_salary", "employee_count")
     return cities.unionByName(acts).unionByName(comps)

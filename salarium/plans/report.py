@@ -53,13 +53,13 @@ def floor_records(star: Star, floor=SALARY_FLOOR) -> DataFrame:
 
 def paid_people(star: Star) -> DataFrame:
     """What the grouped statistics need of the records with salary >= 1."""
-    return reduced(_floor(star.records("company_id", "employee_id", "salary_amount")))
+    return reduced(_floor(star.records("company_id", "employee_id", "salary_amount")), parts=star.parts())
 
 
 def _geo_stats(star: Star, key: str) -> DataFrame:
     return salary_stats(paid_people(star), star.companies.where(F.col(key).isNotNull()), [key], company_count=True, avg_name="avg_salary",
                         percentiles=QUARTILES, stddev=True, max_name="max_salary",
-                        min_name="min_salary")
+                        min_name="min_salary", parts=star.parts())
 
 
 def report_city_stats(star: Star) -> DataFrame:
@@ -78,7 +78,7 @@ def report_company_stats(star: Star, min_employees: int = COMPANY_MIN_EMPLOYEES)
     return salary_stats(paid_people(star), star.companies, ["company_name", "city", "activity_description"],
                         avg_name="avg_salary", percentiles=QUARTILES, stddev=True,
                         max_name="max_salary", min_name="min_salary",
-                        min_employees=min_employees)
+                        min_employees=min_employees, parts=star.parts())
 
 
 def report_salary_buckets(star: Star) -> DataFrame:

@@ -52,19 +52,19 @@ def top_earners(star: Star) -> DataFrame:
 
 def all_people(star: Star) -> DataFrame:
     """What the grouped statistics need of all records."""
-    return reduced(star.records("company_id", "employee_id", "salary_amount"))
+    return reduced(star.records("company_id", "employee_id", "salary_amount"), parts=star.parts())
 
 
 def city_salary_stats(star: Star, people: DataFrame | None = None) -> DataFrame:
     """A3 / V3: per city, NULL city kept."""
     return salary_stats(all_people(star) if people is None else people, star.companies, ["city"], company_count=True,
-                        avg_name="average_salary", percentiles=MEDIAN, max_name="max_salary")
+                        avg_name="average_salary", percentiles=MEDIAN, max_name="max_salary", parts=star.parts())
 
 
 def activity_salary_stats(star: Star, people: DataFrame | None = None) -> DataFrame:
     """A4 / V4: per activity, NULL activity kept, no max."""
     return salary_stats(all_people(star) if people is None else people, star.companies, ["activity_description"], company_count=True,
-                        avg_name="average_salary", percentiles=MEDIAN, max_name=None)
+                        avg_name="average_salary", percentiles=MEDIAN, max_name=None, parts=star.parts())
 
 
 def activity_keyword_rows(star: Star, keyword: str = "journal") -> DataFrame:

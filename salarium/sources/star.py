@@ -56,6 +56,11 @@ SCHEMAS = {
 }
 
 
+#: Records for one task of a wide step: of these its sorts and hash maps hold
+#: some 100 MB, however many records there are.
+TASK_RECORDS = 500_000
+
+
 @dataclass
 class Star:
     companies: DataFrame
@@ -71,6 +76,9 @@ class Star:
     company_parts: list | None = field(default=None, repr=False)
     employee_parts: list | None = field(default=None, repr=False)
 
+    # What ``parts`` found.
+    _parts: int | None = field(default=None, repr=False)
+
     def records(self, *cols: str) -> DataFrame:
         """Projection of salary_records.  Catalyst cannot drop a join it
         cannot prove redundant, so when company_id is not requested the
@@ -81,6 +89,16 @@ class Star:
             return self._records_without_company().select(*cols)
         return self.salary_records.select(*cols)
 
+    def parts(self) -> int:
+        """Tasks for a wide step over all records: one for each
+        ``TASK_RECORDS`` of them, at least one for each core.  Counts the
+        records (of Parquet files, their footers) when first asked."""
+        if self._parts is None:
+            records = self.records("employee_id")
+            cores = records.sparkSession.sparkContext.defaultParallelism
+            self._parts = max(cores, -(-records.count() // TASK_RECORDS))
+        return self._parts
+
     def tables(self) -> dict[str, DataFrame]:
         return {
             "companies": self.companies,
