@@ -151,7 +151,7 @@ def group_figures(hist: DataFrame, percentiles: dict[str, float], parts: int | N
     groups = tot.groupBy("g").agg(*map(F.expr, [*moments, cells])).selectExpr("*", "explode(cells) AS cell").drop("cells")
     carried = ["_n", "_s1", "_d2", "_min", "_max"]
     wanted = groups.select("g", F.col("cell._bucket").alias("_bucket"), F.col("cell._off").alias("_off"), *carried)
-    # both sides, else Spark deals the histogram once more for its own number of tasks
+    # both sides, so that neither is merged
     values, wanted = (dealt(df, parts, "g", "_bucket") for df in (hb.select("g", "_bucket", "v", "f"), wanted))
     ranked = values.join(wanted, ["g", "_bucket"]).selectExpr(
         "*", "_n AS n", "_off + sum(f) OVER (PARTITION BY g, _bucket ORDER BY v ROWS UNBOUNDED PRECEDING) - f AS pre")
