@@ -25,6 +25,10 @@ QUARTILES = {"median_salary": 0.5, "p25_salary": 0.25, "p75_salary": 0.75}
 #: to TIE_CELLS of them, so neither a large group nor a hot value is one task's.
 VALUE_CELLS, TIE_CELLS = 64, 8
 
+#: Up to so many groups, the value buckets that hold their percentiles are
+#: sent to all tasks (two for each percentile and group).
+FEW_GROUPS = 10_000
+
 
 def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
     """Rows dealt by ``keys`` to ``parts`` tasks (``Star.parts``), if given.
@@ -40,6 +44,17 @@ def reduced(df: DataFrame, value: str = "salary_amount", parts: int | None = Non
     return rows.groupBy("company_id", "employee_id", F.col(value).alias("v")).agg(F.count(value).alias("f"))
 
 
+def reduced_by_company(df: DataFrame, value: str = "salary_amount", parts: int | None = None) -> DataFrame:
+    """``reduced`` records for several statistics at once: dealt by company
+    and ``_lot``, one of TIE_CELLS lots of its employees, so that neither
+    figures of companies nor joins with them move the records again, and a
+    large company is not one task's.  An employee of a company is in one lot;
+    records without an employee go by their value."""
+    lot = F.xxhash64("employee_id", F.when(F.col("employee_id").isNull(), F.col(value))).bitwiseAND(TIE_CELLS - 1)
+    rows = dealt(df.withColumn("_lot", lot), parts, "company_id", "_lot")
+    return rows.groupBy("company_id", "_lot", "employee_id", F.col(value).alias("v")).agg(F.count(value).alias("f"))
+
+
 def salary_stats(rows: DataFrame, dim: DataFrame, keys, **figures) -> DataFrame:
     """Statistics of ``reduced`` rows by the ``keys`` of their company; the
     options are those of ``stats_of_groups``."""
@@ -53,7 +68,8 @@ def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys,
     """Statistics by the ``keys`` of a company, which ``dim`` holds by
     company_id (companies that it lacks drop out): of ``values`` (company_id,
     v, f) and ``people`` (company_id, employee_id, f), f a number of records,
-    in ``parts`` tasks (see ``dealt``).
+    in ``parts`` tasks (see ``dealt``).  Both may be one frame that is
+    ``reduced_by_company``.
 
     The records are aggregated before anything is joined.  Then only numbers
     travel: companies of equal keys share one group number, the smallest of
@@ -62,33 +78,47 @@ def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys,
     groups = dim.groupBy(*keys).agg(F.min("company_id").alias("g"))
     same = functools.reduce(lambda a, b: a & b, [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys])
     member = dim.alias("d").join(groups.alias("k"), same).select("d.company_id", "k.g")
+    lots = "_lot" in people.columns
+    if lots:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TIE_CELLS - 1).cast("long"))).alias("_lot")
+        joined = people.where(F.col("f") >= 0).join(dealt(member.select("company_id", "g", every), parts, "company_id", "_lot"), ["company_id", "_lot"])
+    few = lots and groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     # Where values and people are one frame, all branches read its shuffle, so
     # all must use its weight, and null values go by their weight: a filter on
     # a grouping column would be pushed below the aggregate in one branch, and
     # the records would be read and shuffled twice.
-    priced = values.where(F.col("f") >= 0).join(member, "company_id")
+    priced = joined if lots else values.where(F.col("f") >= 0).join(member, "company_id")
     weight = F.col("f") if values is people else F.when(F.col("v").isNotNull(), F.col("f")).otherwise(0)
-    tie = F.col("employee_id" if "employee_id" in values.columns else "company_id")
-    cell = F.pmod(F.xxhash64("v"), F.lit(VALUE_CELLS)) * TIE_CELLS + F.pmod(F.xxhash64(tie), F.lit(TIE_CELLS))
-    pay = dealt(priced.select("g", "v", weight.alias("f"), (F.lit(0) if parts is None else cell).alias("_cell")), parts, "g", "_cell")
-    hist = pay.groupBy("g", "_cell", "v", value_bucket(pay).alias("_bucket")).agg(F.sum("f").alias("f")).where("f > 0")
+    if few:
+        hist = priced.select("g", "v", weight.alias("f")).where("f > 0")
+    else:
+        tie = F.col("employee_id" if "employee_id" in values.columns else "company_id")
+        cell = F.pmod(F.xxhash64("v"), F.lit(VALUE_CELLS)) * TIE_CELLS + F.pmod(F.xxhash64(tie), F.lit(TIE_CELLS))
+        pay = dealt(priced.select("g", "v", weight.alias("f"), (F.lit(0) if parts is None else cell).alias("_cell")), parts, "g", "_cell")
+        hist = pay.groupBy("g", "_cell", "v", value_bucket(pay).alias("_bucket")).agg(F.sum("f").alias("f")).where("f > 0")
     # a row of a company has no employee and the other way round, so one count
     # of each column gives both
-    rows = people.where(F.col("f") >= 0).join(member, "company_id")
     none = F.lit(None).cast("long")
-    # records without an employee count for none, so they may stay apart
-    who = dealt(rows.select("g", "employee_id", F.coalesce("employee_id", "company_id").alias("_who"), "f"), parts, "g", "_who")
-    seen = who.groupBy("g", "_who", "employee_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).select("g", "employee_id", none.alias("company_id"))
-    if company_count:
+    if lots:
+        # a group without an employee is known by its companies
+        who = joined.select("g", F.when(F.col("f") >= 0, F.col("employee_id")).alias("employee_id")).where(F.col("employee_id").isNotNull())
+        seen = dealt(who, parts, "g", "employee_id").distinct().select("g", "employee_id", none.alias("company_id"))
+    else:
+        rows = people.where(F.col("f") >= 0).join(member, "company_id")
+        # records without an employee count for none, so they may stay apart
+        who = dealt(rows.select("g", "employee_id", F.coalesce("employee_id", "company_id").alias("_who"), "f"), parts, "g", "_who")
+        seen = who.groupBy("g", "_who", "employee_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).select("g", "employee_id", none.alias("company_id"))
+    if company_count or lots:
         # companies are few beside records, so theirs are counted before the join
-        present = people.groupBy("company_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).join(member, "company_id")
+        known = people.groupBy("company_id", "_lot").agg(F.sum("f").alias("f")) if lots else people
+        present = known.groupBy("company_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0).join(member, "company_id")
         companies = present.groupBy("g", "company_id").agg(F.sum("f").alias("f")).where(F.col("f") >= 0)
         seen = seen.unionByName(companies.select("g", none.alias("employee_id"), "company_id"))
     heads = seen.groupBy("g").agg(F.count("company_id").alias("company_count"), F.count("employee_id").alias("employee_count"))
     if min_employees is not None:
         heads = heads.where(F.col("employee_count") >= min_employees)
     if percentiles or stddev:
-        st = group_figures(hist, percentiles or {}, parts)
+        st = group_figures(hist, percentiles or {}, parts, few)
     else:
         st = hist.groupBy("g").agg(F.sum("f").alias("_n"), F.sum(F.col("v") * F.col("f")).alias("_s1"), F.min("v").alias("_min"), F.max("v").alias("_max"))
     n = F.col("_n")
@@ -105,7 +135,7 @@ def stats_of_groups(values: DataFrame, people: DataFrame, dim: DataFrame, keys,
     return heads.join(st, "g", "left").join(groups, "g").select(*keys, *counts, *cols)
 
 
-def group_figures(hist: DataFrame, percentiles: dict[str, float], parts: int | None = None) -> DataFrame:
+def group_figures(hist: DataFrame, percentiles: dict[str, float], parts: int | None = None, few: bool = False) -> DataFrame:
     """Figures of each group from its histogram (g, v, f, and the bucket if it
     is known; a value may have several rows): g, _n, _s1, _d2,
     _min, _max and the columns of ``quantile_exprs``.
@@ -113,7 +143,9 @@ def group_figures(hist: DataFrame, percentiles: dict[str, float], parts: int | N
     Totals by group and value bucket (a bounded number for each group) give
     the moments, and tell which buckets hold the wanted ranks.  Only the
     values of those few buckets are ranked; the rest of the histogram is
-    neither shuffled again nor sorted."""
+    neither shuffled again nor sorted.  Of ``few`` groups (FEW_GROUPS), rows
+    need not be added up before: those buckets go to all tasks, and only
+    their rows are added up by value and leave the tasks."""
     off, edge, step = from_edge(hist)
     hb = hist if "_bucket" in hist.columns else hist.withColumn("_bucket", value_bucket(hist))
     sums = ["sum(f) AS _bf", "min(v) AS _bmin", "max(v) AS _bmax", "sum(cast(_off AS double) * _off * f) AS _bq"]
@@ -151,9 +183,19 @@ def group_figures(hist: DataFrame, percentiles: dict[str, float], parts: int | N
     groups = tot.groupBy("g").agg(*map(F.expr, [*moments, cells])).selectExpr("*", "explode(cells) AS cell").drop("cells")
     carried = ["_n", "_s1", "_d2", "_min", "_max"]
     wanted = groups.select("g", F.col("cell._bucket").alias("_bucket"), F.col("cell._off").alias("_off"), *carried)
+    if few:
+        held = hb.join(F.broadcast(wanted), ["g", "_bucket"])
+        found = held.groupBy("g", "_bucket", "v", "_off", *carried).agg(F.sum("f").alias("f"))
+        return ranked_figures(found, carried, percentiles)
     # both sides, so that neither is merged
     values, wanted = (dealt(df, parts, "g", "_bucket") for df in (hb.select("g", "_bucket", "v", "f"), wanted))
-    ranked = values.join(wanted, ["g", "_bucket"]).selectExpr(
+    return ranked_figures(values.join(wanted, ["g", "_bucket"]), carried, percentiles)
+
+
+def ranked_figures(found: DataFrame, carried: list[str], percentiles: dict[str, float]) -> DataFrame:
+    """Percentiles of each group from the values (v, f) of the buckets that
+    hold them, each with its bucket's rank and the group's figures."""
+    ranked = found.selectExpr(
         "*", "_n AS n", "_off + sum(f) OVER (PARTITION BY g, _bucket ORDER BY v ROWS UNBOUNDED PRECEDING) - f AS pre")
     return ranked.groupBy("g").agg(*[F.max(c).alias(c) for c in carried], *quantile_exprs(percentiles))
 

@@ -53,6 +53,20 @@ def sizes_of_groups(pay: DataFrame, people: DataFrame) -> DataFrame:
     return sizes.join(figures, "company_id")
 
 
+def sizes_of_lots(people: DataFrame) -> DataFrame:
+    """``company_sizes`` of records that are ``reduced_by_company``: made
+    where they lie, only a row for each lot of a company travels.  Companies
+    are not looked up."""
+    each = people.groupBy("company_id", "_lot", "employee_id").agg(
+        F.sum("f").alias("paid"), F.sum(F.col("v") * F.col("f")).alias("pay"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
+    lots = each.groupBy("company_id", "_lot").agg(
+        F.count("employee_id").alias("size"), F.sum("paid").alias("paid"), F.sum("pay").cast("decimal(25,2)").alias("pay"),
+        F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+    return lots.groupBy("company_id").agg(
+        F.sum("size").alias("size"), F.sum("paid").alias("paid"), F.sum("pay").cast("decimal(25,2)").alias("pay"),
+        F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+
+
 def star_detail(star: Star, where: Column | None = None, extra=()) -> DataFrame:
     """salary_records x documents x companies x employees, all INNER, so a
     record with a NULL or dangling key drops out.  Records are joined to

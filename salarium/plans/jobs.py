@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from salarium.functions.numeric import PERCENTILE_DIGITS, rnd
 from salarium.operators.aggregates import MEDIAN
+from salarium.operators.joins import DETAIL_COLUMNS, star_detail
 from salarium.operators.ranks import quantile_exprs, quantile_value, rank_frame
 from salarium.plans import views
-from salarium.session import materialize_together
-from salarium.sources.sinks import reload_tables, replace_table, scratch_path
+from salarium.session import materialize_together, shuffles_dropped
+from salarium.sources.sinks import drop_scratch, reload_tables, replace_table, scratch_path, write_table
 from salarium.sources.star import SALARY, Star, load_star
 from salarium.sources.versions import commit, read_table, stage, versions
 
@@ -82,13 +83,23 @@ SUMMARY_TABLES = ("company_summary", "top_earners", "city_salary_stats", "activi
 def refresh_summary_tables(spark: SparkSession, star: Star, base: str | None = None) -> DataFrame:
     """Persist the four views as one new version of the tables and
     report the rows written per table and a sum over each.  (From a batch of
-    records instead of all of them: ``plans/refresh.py``.)"""
+    records instead of all of them: ``plans/refresh.py``.)
+
+    The shuffles of the star's joins, of the sort and of the statistics never
+    lie on disk together: each goes before the next begins, and the joined
+    rows wait for the sort in columns, by far smaller than their shuffles."""
     base = base or scratch_path(spark, "summary")
     after = (versions(spark, base) or [0])[-1]
-    people = views.all_people(star)
-    made = materialize_together({name: getattr(views, name)(star, people) for name in SUMMARY_TABLES if name != "top_earners"})
-    made["top_earners"] = views.top_earners(star)
-    commit(spark, base, {name: stage(made[name], base, name) for name in SUMMARY_TABLES}, after=after)
+    put = {}
+    with shuffles_dropped(spark):
+        detail = scratch_path(spark, "detail")
+        write_table(star_detail(star).select(*DETAIL_COLUMNS), detail)
+        put["top_earners"] = stage(views.top_earners(star, spark.read.parquet(detail)), base, "top_earners")
+        drop_scratch(spark, detail)
+        people = views.all_people(star)
+        made = materialize_together({name: getattr(views, name)(star, people) for name in SUMMARY_TABLES if name != "top_earners"})
+        put.update({name: stage(df, base, name) for name, df in made.items()})
+        commit(spark, base, put, after=after)
     out = None
     for name in SUMMARY_TABLES:
         total = "salary_amount" if name == "top_earners" else "employee_count"

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from salarium.functions.criteria import contains_ci, name_or_activity_ilike, salary_between
 from salarium.functions.numeric import (INDEX_DIGITS, PERCENTILE_DIGITS, mean_round2,
                                         ratio, rnd)
-from salarium.operators.aggregates import MEDIAN, reduced, salary_stats
+from salarium.operators.aggregates import MEDIAN, reduced, reduced_by_company, salary_stats
 from salarium.operators.joins import (DETAIL_COLUMNS, company_fact, company_sizes,
-                                      employee_fact, sizes_of_groups, star_detail)
+                                      employee_fact, sizes_of_lots, star_detail)
 from salarium.operators.ranks import F_, V, quantile_exprs, quantile_value, rank_frame
 from salarium.sources.star import Star
 
@@ -27,9 +27,7 @@ def company_summary(star: Star, people: DataFrame | None = None) -> DataFrame:
     records as ``all_people``, if they are at hand."""
     if people is None:
         return summary_rows(star.companies, company_sizes(star))
-    # weights are kept in use, so that all readers of ``people`` share its shuffle
-    heads = people.groupBy("company_id", "employee_id").agg(F.sum("f").alias("f")).where("f >= 0")
-    return summary_rows(star.companies, sizes_of_groups(people, heads))
+    return summary_rows(star.companies, sizes_of_lots(people))
 
 
 def summary_rows(companies: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -43,27 +41,33 @@ def summary_rows(companies: DataFrame, sizes: DataFrame) -> DataFrame:
         F.coalesce(F.col("lowest").cast("double"), zero).alias("min_salary"))
 
 
-def top_earners(star: Star) -> DataFrame:
+def top_earners(star: Star, detail: DataFrame | None = None) -> DataFrame:
     """A2 / V2: star detail by salary, highest first (NULL salaries first,
-    as PostgreSQL orders DESC)."""
-    return (star_detail(star).select(*DETAIL_COLUMNS)
+    as PostgreSQL orders DESC).  ``detail``: the star detail, if it is at
+    hand."""
+    return ((star_detail(star) if detail is None else detail).select(*DETAIL_COLUMNS)
             .orderBy(F.col("salary_amount").desc_nulls_first(), "employee_id", "company_id", "filename"))
 
 
 def all_people(star: Star) -> DataFrame:
-    """What the grouped statistics need of all records."""
+    """What several grouped statistics together need of all records."""
+    return reduced_by_company(star.records("company_id", "employee_id", "salary_amount"), parts=star.parts())
+
+
+def _people(star: Star) -> DataFrame:
+    """What one of them needs."""
     return reduced(star.records("company_id", "employee_id", "salary_amount"), parts=star.parts())
 
 
 def city_salary_stats(star: Star, people: DataFrame | None = None) -> DataFrame:
     """A3 / V3: per city, NULL city kept."""
-    return salary_stats(all_people(star) if people is None else people, star.companies, ["city"], company_count=True,
+    return salary_stats(_people(star) if people is None else people, star.companies, ["city"], company_count=True,
                         avg_name="average_salary", percentiles=MEDIAN, max_name="max_salary", parts=star.parts())
 
 
 def activity_salary_stats(star: Star, people: DataFrame | None = None) -> DataFrame:
     """A4 / V4: per activity, NULL activity kept, no max."""
-    return salary_stats(all_people(star) if people is None else people, star.companies, ["activity_description"], company_count=True,
+    return salary_stats(_people(star) if people is None else people, star.companies, ["activity_description"], company_count=True,
                         avg_name="average_salary", percentiles=MEDIAN, max_name=None, parts=star.parts())
 
 

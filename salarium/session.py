@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -92,6 +93,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark's switch that removes an action's shuffle files as it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Actions on frames made herein leave no shuffle files.  Else these stay
+    until the driver's garbage collection finds them, and those of one large
+    action lie on disk beside those of the next."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def together(frames: dict):
     """Frames as one: the name of each and its rows as a struct of that name."""
     rows = None

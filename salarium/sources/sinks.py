@@ -26,6 +26,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a ``scratch_path`` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_within=None) -> None:
     """Overwrite ``path`` with ``df`` (a re-run replaces, never appends)."""
     if sort_within:

@@ -1,12 +1,20 @@
 """Grouped statistics in tasks of a bounded number of records."""
 
+import dataclasses
+import os
 import random
 import re
 import statistics
+import time
 from decimal import Decimal
 
-from salarium.plans import report, views
+import pytest
+
+from salarium.operators import aggregates
+from salarium.plans import jobs, report, views
+from salarium.session import DROP_SHUFFLES, together
 from salarium.sources import star as stars
+from salarium.sources.versions import read_table
 
 
 def rows_of(seed=5, n=3000):
@@ -84,3 +92,58 @@ def test_statistics_of_dealt_groups_against_brute_force(spark, monkeypatch):
             es, cs = everyone.setdefault(where[company][3], (set(), set()))
             es.add(employee), cs.add(company)
     assert heads == {c: (len(es - {None}), len(cs)) for c, (es, cs) in everyone.items()}
+
+
+SHARED = ("company_summary", "city_salary_stats", "activity_salary_stats")
+
+
+def plain(df):
+    return sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("few", [10_000, 2])
+def test_statistics_of_one_frame_are_those_of_each(spark, monkeypatch, few):
+    """Also of companies, employees or values that are null, and of companies
+    that come twice; with more groups than may be sent to all tasks, too."""
+    monkeypatch.setattr(aggregates, "FEW_GROUPS", few)
+    star, companies, _ = small_parts(spark, monkeypatch)
+    again = spark.createDataFrame([*companies, *companies[3:6], (99, "none", "A9", "empty")], stars.COMPANIES)
+    star = dataclasses.replace(star, companies=again)
+    people = views.all_people(star)
+    for name in SHARED:
+        assert plain(getattr(views, name)(star, people)) == plain(getattr(views, name)(star)), name
+
+
+def test_statistics_of_one_frame_move_records_by_company_once(spark, monkeypatch):
+    """Records go by company once for all three, and then only their
+    employees, once for each statistic: no salaries, no weights."""
+    star, _, _ = small_parts(spark, monkeypatch)
+    people = views.all_people(star)
+    df = together({name: getattr(views, name)(star, people) for name in SHARED})
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    own = "\n".join(line for line in plan.splitlines() if "ReusedExchange" not in line)
+    dealt = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^()]*), \d+\), REPARTITION_BY_NUM", own)]
+    # the members of the two groupings meet the records by the same keys
+    assert sorted(dealt) == ["company_id, _lot"] * 3 + ["g, employee_id"] * 2
+
+
+def test_a_refresh_leaves_no_shuffles_and_no_scratch(spark, monkeypatch, tmp_path):
+    star, _, _ = small_parts(spark, monkeypatch)
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffles():
+        return {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    scratch = []
+    monkeypatch.setattr(jobs, "scratch_path", lambda spark, name: scratch.append(f"{tmp_path}/{name}") or scratch[-1])
+    setting, star_of_before = spark.conf.get(DROP_SHUFFLES, None), star.parts()
+    before = shuffles()
+    jobs.refresh_summary_tables(spark, star, f"{tmp_path}/out")
+    end = time.time() + 20
+    while (left := [f for f in shuffles() - before if f.endswith(".data")]) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and star_of_before == star.parts()
+    assert scratch and not any(map(os.path.exists, scratch))
+    assert spark.conf.get(DROP_SHUFFLES, None) == setting
+    for name in (*SHARED, "top_earners"):
+        assert plain(read_table(spark, f"{tmp_path}/out", name)) == plain(getattr(views, name)(star)), name
